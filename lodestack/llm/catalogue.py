@@ -1,8 +1,8 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from lodestack.llm import op1_tokens, op5_sharding
+from lodestack.llm import op1_tokens, op5_sharding, op8_mixing
 
-_OPS = (op1_tokens, op5_sharding)
+_OPS = (op1_tokens, op5_sharding, op8_mixing)
 
 
 def queries():

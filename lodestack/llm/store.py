@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Prefix of helper columns, so that no input column can clash with them.
 OWN = "_ls_"
@@ -57,3 +58,26 @@ def in_order(df: DataFrame, *order, partitions: int | None = None) -> DataFrame:
     keyed = df.withColumn(tie, F.monotonically_increasing_id())
     n = partitions or shuffle_partitions(df.sparkSession)
     return keyed.repartitionByRange(n, *order, F.col(tie)).sortWithinPartitions(*order, F.col(tie)).drop(tie)
+
+
+def numbered(df: DataFrame, *order, sums: tuple[str, ...] = (), row: str = "row", what: str = "numbered") -> DataFrame:
+    """df with its place in the order (row, from 0) and, for each column in sums, before_<column>: the sum over all rows before.
+
+    Built-in operations only, and no task sees more than a range partition: each numbers its own rows, and the
+    partitions' totals (one row each) give every partition its start. Null counts as 0 in sums.
+    """
+    part = f"{OWN}part"
+    spark = df.sparkSession
+    placed = written(in_order(df, *order).withColumns({part: F.spark_partition_id(), f"{OWN}at": F.monotonically_increasing_id()}), what)
+    totals = placed.groupBy(part).agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in sums]).orderBy(part).collect()
+    starts, n, running = [], 0, [0] * len(sums)
+    for t in totals:
+        starts.append((t[part], n, *running))
+        n, running = n + t["n"], [a + (t[c] or 0) for a, c in zip(running, sums, strict=True)]
+    schema = ", ".join([f"{part} int, {OWN}n long", *[f"{OWN}s{i} long" for i in range(len(sums))]])
+    offsets = F.broadcast(spark.createDataFrame(starts, schema))
+    here = Window.partitionBy(part).orderBy(f"{OWN}at")
+    local = {row: F.row_number().over(here) - 1 + F.col(f"{OWN}n")}
+    for i, c in enumerate(sums):
+        local[f"before_{c}"] = F.coalesce(F.sum(c).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"{OWN}s{i}")
+    return placed.join(offsets, part).withColumns(local).select(*df.columns, *local)
