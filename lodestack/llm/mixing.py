@@ -99,12 +99,13 @@ def mix(
     begins = numbered(sources.select("key", "source_size"), F.col("key"), sums=("source_size",), what="mixing-begins").select("key", F.col("before_source_size").alias("begin"))
     stream = placed.join(sources.join(begins, "key"), "key").withColumn("at", F.col("before_size") - F.col("begin"))
 
+    slots = written(schedule(sources), "mixing-schedule")  # a table, so that its true size decides how it is joined
     passes = stream.withColumn("pass", F.explode(F.expr(f"sequence(0L, {cap - 1}L)"))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
     passes = passes.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("due")))
     pieces = passes.withColumn("block", F.explode_outer(F.expr(f"if(to > from, sequence(from div {block_words}, (to - 1) div {block_words}), null)")))
     words = F.least("to", (F.col("block") + 1) * block_words) - F.greatest("from", F.col("block") * block_words)
     joined = pieces.select("place", "doc_id", "source", "size", "text_crc32", "source_size", "target", "key", "block", words.alias("words"), (F.col("from") < F.col("due")).cast("long").alias("reached")).join(
-        schedule(sources), ["key", "block"], "left"
+        slots, ["key", "block"], "left"
     )
     found = joined.groupBy("place", "doc_id", "source", "size", "text_crc32", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"), F.sum("reached").alias("reached"))
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.col("reached")).cast("int")
