@@ -8,11 +8,14 @@ fixed order; a document is never split over frames or files.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,50 +23,106 @@ from pyspark.sql import functions as F
 from lodestack.llm.store import in_order, require
 from lodestack.llm.tokenfile import FOOTER_MAGIC, Reader, Writer
 
-#: Words of a worker's memory of encoded words, and the longest word that it keeps.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words that a worker remembers twice over (a new and an old generation), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Bytes of text encoded together.
+CHUNK_BYTES = 4_000_000
+#: A letter, then marks up to the end of the word: the tokenizer always parts them.
+TAIL = r"([a-zß-öø-ÿ])([.,;:!?&%*#$]+)( |$)"
+#: What opens a special token; texts with it are left as they are.
+SPECIAL = "<|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters for bytes: printable ones stand for themselves, the others for 256 and on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class WordEncoder:
-    """Encodes texts by a tokenizer that never joins what a blank or line feed parts.
+    """Encodes texts by a byte-level tokenizer that never joins what a blank or line feed parts, and lower-cases.
 
     Such a tokenizer drops white space and splits there before anything else, so the ids of a text are those of
-    its pieces, one after the other; pieces recur, and their ids are remembered.
+    its words, one after the other; words recur, and the ids of recent ones are remembered. So that they recur more
+    often, ASCII letters are lowered and marks parted from the letter before them, which the tokenizer does too.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-        self._known: dict[str, bytes] = {"": b""}
-        self._kind = f"<u{self.width}"
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._known) > CACHE_WORDS:
-            self._known = {"": b""}
-        found = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        self._known.update((w, np.array(e.ids, self._kind).tobytes()) for w, e in zip(words, found, strict=True))
-
-    def __call__(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), self._kind)
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(new) > CACHE_WORDS // 2 or max(map(len, new)) > CACHE_CHARS:
-            once = {p: np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, self._kind).tobytes() for p in new if len(p) > CACHE_CHARS}
-            self._learn([p for p in new if p not in once])
-            return np.frombuffer(b"".join([once[p] if p in once else self._of(p) for p in pieces]), self._kind)
-        self._learn(new)
-        return np.frombuffer(b"".join([self._of(p) for p in pieces]), self._kind)
-
-    def _of(self, piece: str) -> bytes:
-        if piece not in self._known:  # the memory was cleared meanwhile
-            self._learn([piece])
-        return self._known[piece]
+        self.kind = f"<u{self.width}"
+        self._letters = _byte_letters()
+        self._new: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word from the old generation, or by the model alone for plain letters; None: ask the tokenizer."""
+        if (found := self._old.get(word)) is not None:
+            return found
+        if not word.isalpha() or max(word) > "\xff":  # beyond, lower case and composition are the tokenizer's
+            return None
+        return self._pack([t.id for t in self._model.tokenize(word.lower().encode().decode("latin-1").translate(self._letters))])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self._new) > CACHE_WORDS:
+            self._old, self._new = self._new, {"": b""}
+            self._model._clear_cache()
+        found = list(map(self._new.get, words))
+        hard = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                w = words[k]
+                if len(w) > CACHE_CHARS:
+                    found[k] = self._pack(self._tokenizer.encode(w, add_special_tokens=False).ids)
+                elif (ids := self._word(w)) is not None:
+                    self._new[w] = found[k] = ids
+                else:
+                    hard.append(k)
+        for k, e in zip(hard, self._tokenizer.encode_batch_fast([words[k] for k in hard], add_special_tokens=False), strict=True):
+            self._new[words[k]] = found[k] = self._pack(e.ids)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (null: none), without special tokens, and where each text ends among them."""
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        if not pc.any(pc.match_substring(plain, SPECIAL)).as_py():
+            plain = pc.replace_substring_regex(pc.ascii_lower(plain), TAIL, r"\1 \2\3")
+        pieces = pc.split_pattern(plain, " ")
+        words = pieces.flatten().dictionary_encode()
+        known = self._words(words.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        flat, starts = np.frombuffer(b"".join(known), self.kind), np.cumsum(lengths) - lengths
+        word = words.indices.to_numpy(zero_copy_only=False)
+        n = lengths[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = pieces.offsets.to_numpy(zero_copy_only=False)
+        return ids, ends[offsets[1:] - offsets[0]]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, which outlives its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of a batch, about CHUNK_BYTES of text at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at)
+        at = to
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 8_000_000, frame_ids: int = 65536) -> None:
@@ -75,18 +134,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     require(docs, id_col, text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
         part, number = TaskContext.get().partitionId(), 0
         end = np.array([] if end_id is None else [end_id], f"<u{encode.width}")
         out = Writer(part, number, encode.width, frame_ids)
         for batch in batches:
-            ids, texts = batch.columns
-            for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
-                out.add(doc_id, np.concatenate([encode(text.as_py() or ""), end]))
-                if out.ids >= file_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([out.bytes()], pa.binary())], names=["content"])
-                    number += 1
-                    out = Writer(part, number, encode.width, frame_ids)
+            for ids, texts in _chunks(batch):
+                found, ends = encode.encode(texts)
+                for doc_id, a, b in zip(ids, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out.add(doc_id, np.concatenate([found[a:b], end]))
+                    if out.ids >= file_ids:
+                        yield pa.RecordBatch.from_arrays([pa.array([out.bytes()], pa.binary())], names=["content"])
+                        number += 1
+                        out = Writer(part, number, encode.width, frame_ids)
         if len(out._rows):
             yield pa.RecordBatch.from_arrays([pa.array([out.bytes()], pa.binary())], names=["content"])
 
