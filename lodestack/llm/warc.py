@@ -23,7 +23,9 @@ VERSION = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Fixed date, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
-#: Hot payloads are joined with their response in so many parts.
+#: Tables of at most so many short rows are broadcast; the count is checked each time.
+BROADCAST_ROWS = 500_000
+#: Beyond that, payloads are joined with their response in so many parts.
 SALTS = 16
 
 
@@ -46,15 +48,20 @@ def decide(pages: DataFrame, min_revisit: int = 100, id_col: str = "page_id", ur
     ids = held.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("n")))
     groups = ids.groupBy("payload_digest").agg(first.alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    groups = groups.select("payload_digest", salts.alias("salt"), F.struct("first.page_id", "first.n").alias("to"))
-    salt = F.pmod(F.hash("page_id", "url"), F.lit(SALTS))
-    joined = held.withColumn("salt", salt).join(groups, ["payload_digest", "salt"], "left")
+    groups = written(groups.select("payload_digest", F.struct("first.page_id", "first.n").alias("to")), "warc-groups")
+    n, repeats = groups.agg(F.count("*"), F.count_if(F.col("to.n") > 1)).first()
+    if n <= BROADCAST_ROWS:
+        joined = held.join(F.broadcast(groups), "payload_digest", "left")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        joined = held.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(groups.withColumn("salt", parts), ["payload_digest", "salt"], "left")
     same = F.col("page_id").eqNullSafe(F.col("to.page_id"))
     kinds = {"record_type": F.when(F.col("to").isNotNull() & ~same, "revisit").otherwise("response"), "refers_to": F.when(~same, F.col("to.page_id"))}
     columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     repeated = F.col("to").isNotNull() & same & (F.col("to.n") > 1)
     plain = joined.where(~repeated).withColumns(kinds).select(columns)
+    if not repeats:
+        return plain
     # Repeated rows: one response and, for the others, revisits of it.
     urls = F.col("urls")
     several = joined.where(repeated).groupBy("page_id", "payload_digest", "payload_bytes", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
@@ -182,15 +189,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     stands behind a record whose end is no record's start, give no rows. A record cut off by the end of its file is
     not intact.
     """
-    kept = reachable(candidates(spark, path))
+    kept = written(reachable(candidates(spark, path)), "warc-kept")
     fields = ["file", "start", "record_type", "record_id", "refers_to", "payload_bytes", "payload_digest", "intact"]
-    cut = kept.where("NOT clean").select("file", F.col("start").alias("of"), "next", "length", "head")
+    cut = written(kept.where("NOT clean").select("file", F.col("start").alias("of"), "next", "length", "head"), "warc-cut")
+    whole = kept.where("clean").select(fields)
+    if not (n := cut.count()):
+        return whole
     # Records that false candidates cut: read their files again and join the pieces within their bounds.
-    again = _lines(spark, path).join(cut.select("file").distinct(), "file", "left_semi").withColumn("bytes", (F.octet_length("piece") + len(VERSION)).cast("long"))
-    parts = _offsets(again).where("start >= 0").join(cut, "file").where("start >= of AND start < coalesce(next, of + 1)")
+    near = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    again = _lines(spark, path).join(near(cut.select("file").distinct()), "file", "left_semi").withColumn("bytes", (F.octet_length("piece") + len(VERSION)).cast("long"))
+    parts = _offsets(again).where("start >= 0").join(near(cut), "file").where("start >= of AND start < coalesce(next, of + 1)")
     version = F.lit(VERSION).cast("binary")
     joined = parts.groupBy("file", "of", "length", "head").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-    whole = joined.withColumn("whole", F.aggregate("parts", F.lit("").cast("binary"), lambda all_, p: F.concat(all_, version, p["piece"])))
+    parts = joined.withColumn("whole", F.aggregate("parts", F.lit("").cast("binary"), lambda all_, p: F.concat(all_, version, p["piece"])))
     block = F.col("whole").substr(F.lit(len(VERSION) + len(END) + 1) + F.octet_length("head"), F.coalesce(F.col("length").cast("int"), F.lit(0)))
-    mended = whole.withColumns(_content(block, F.col("head"))).withColumn("start", F.col("of"))
-    return kept.where("clean").select(fields).unionByName(mended.select(fields))
+    mended = parts.withColumns(_content(block, F.col("head"))).withColumn("start", F.col("of"))
+    return whole.unionByName(mended.select(fields))

@@ -63,7 +63,8 @@ def test_query_agrees_with_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize("split", ["128m", "700b"])
 @pytest.mark.parametrize("copies", [1, 40])
-def test_magic_inside_payloads_and_odd_rows(spark, split, copies):
+def test_magic_inside_payloads_and_odd_rows(spark, split, copies, monkeypatch):
+    monkeypatch.setattr("lodestack.llm.warc.BROADCAST_ROWS", copies)
     pages = PAGES + [(1000 + i, "u", f"{i} {INNER} {i}") for i in range(copies)]
     docs = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload int").coalesce(2)
     path = new_path(spark, "t")
