@@ -1,8 +1,8 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from lodestack.llm import op1_tokens, op2_topk, op4_personal, op5_sharding, op6_decontamination, op7_quality, op8_mixing, op9_warc
+from lodestack.llm import op1_tokens, op10_jaccard, op2_topk, op4_personal, op5_sharding, op6_decontamination, op7_quality, op8_mixing, op9_warc
 
-_OPS = (op1_tokens, op2_topk, op4_personal, op5_sharding, op6_decontamination, op7_quality, op8_mixing, op9_warc)
+_OPS = (op1_tokens, op2_topk, op4_personal, op5_sharding, op6_decontamination, op7_quality, op8_mixing, op9_warc, op10_jaccard)
 
 
 def queries():

@@ -37,12 +37,12 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.empty((0, 0))
 
 
-def _build(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     tree = BallTree(rows["id"].to_numpy(np.int64), _matrix(rows["vector"]))
     return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [tree.to_bytes()]})
 
 
-def _pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("row")
     content = np.column_stack([rows["row"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), np.ascontiguousarray(_matrix(rows["vector"])).view(np.int64).reshape(len(rows), -1)])
     return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "q": [content.tobytes()]})
