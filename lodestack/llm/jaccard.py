@@ -4,36 +4,36 @@
    PartEnum signatures of their sets by bucket.
 2. Sets with a signature in common meet in the signature's bucket; the smallest is the leader of the others.
 3. The sets of a leader, which hold every pair that shares a signature led by it, are compared exactly, in
-   units of bounded size: all pairs in a unit. A leader with more sets than fit has several units, each with the
-   leader in it; sets that are not joined to the leader in their unit are then compared with those of all its other units.
-4. The links of the units, a spanning forest each, give connected components.
+   units of bounded size: all pairs in a unit. The links of the units, a spanning forest each, give components.
+4. A leader with more sets than fit has several units, each with the leader in it. Its sets that are in another
+   component than the leader are then compared with those of all its other units, and the components joined.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 from lodestack.llm.components import components
 from lodestack.llm.partenum import set_id, shingle_sets, signatures, similar
 from lodestack.llm.quality import slices
 from lodestack.llm.store import require, shuffle_partitions, written
 
-#: Sets in a unit besides its leader, and outsiders of other units compared with a unit at once.
-UNIT, OUTSIDERS = 512, 256
+#: Most sets in a unit besides its leader, about the most shingles in it, and outsiders of other units compared with a unit at once.
+UNIT, UNIT_SHINGLES, OUTSIDERS = 2048, 1_500_000, 512
 #: Shingles that a task gathers before it hands on its signatures, and text that it takes at once.
-FLUSH, CHUNK_BYTES = 3_000_000, 2_000_000
+FLUSH, CHUNK_BYTES = 1_000_000, 2_000_000
 #: Needed documents up to this many (16 bytes each) are broadcast; the count is checked.
 BROADCAST_ROWS = 1_000_000
-#: Columns of the matrix in which shingles are counted together.
-COLUMNS = 16384
+#: Shingles of so many sets in a unit are counted by matrix products of about so many cells.
+DENSE, CELLS = 64, 4_000_000
 
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("hash", "<i8"), ("n", "<i4"), ("set", "<i8")])
 NO_ID = -(2**63)
@@ -109,24 +109,37 @@ def linked(sets: list[np.ndarray], percent: int, ahead: int | None = None) -> np
     if n <= 6:
         for i in range(n):
             for j in range(i):
-                out[i, j] = out[j, i] = similar(sets[i], sets[j], percent)
+                if ahead is None or (j < ahead) != (i < ahead):
+                    out[i, j] = out[j, i] = similar(sets[i], sets[j], percent)
         return out
     size = np.array([len(s) for s in sets], np.int64)
-    word, column = np.unique(np.concatenate(sets), return_inverse=True)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), size)
-    shared = np.bincount(column, minlength=len(word)) > 1
-    column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
-    row, column = row[column >= 0], column[column >= 0]
+    both = np.zeros((n, n), np.int32)
+    # Shingles of many sets are counted by matrix products, a few at a time, those of few sets pair by pair.
+    rank = np.cumsum(count >= DENSE) - 1
+    own = count[column] >= DENSE
+    wide, at = rank[column[own]], row[own]
+    order = np.argsort(wide, kind="stable")
+    wide, at = wide[order], at[order]
+    step = max(64, CELLS // n)
+    for begin in range(0, int(wide[-1]) + 1 if len(wide) else 0, step):
+        x, y = np.searchsorted(wide, [begin, begin + step])
+        held = np.zeros((n, step), np.float32)
+        held[at[x:y], wide[x:y] - begin] = 1
+        both += (held @ held.T).astype(np.int32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((n, n), np.float64)
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-        held = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - begin)), np.float32)
-        held[row[a:b], column[a:b] - begin] = 1
-        both += held @ held.T
-    both = np.rint(both).astype(np.int64)
-    out = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+    flat = both.reshape(-1)
+    for c in np.unique(count[(count > 1) & (count < DENSE)]).tolist():
+        members = row[count[column] == c].reshape(-1, c)
+        i, j = np.triu_indices(c, 1)
+        for k in range(0, len(members), max(1, CELLS // len(i))):
+            part = members[k : k + max(1, CELLS // len(i))]
+            np.add.at(flat, (part[:, i] * n + part[:, j]).reshape(-1), 1)
+            np.add.at(flat, (part[:, j] * n + part[:, i]).reshape(-1), 1)
+    for i in range(n):
+        out[i] = ((100 + percent) * both[i].astype(np.int64) >= percent * (size[i] + size)) & (both[i] > 0)
     if ahead is not None:
         out[:ahead, :ahead] = out[ahead:, ahead:] = False
     np.fill_diagonal(out, False)
@@ -148,7 +161,7 @@ def forest(ids: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _comparing(percent: int, width: int, second: bool):
-    """For each unit of a bundle: (a, b) links that span its components; in the first round also the sets apart from the leader, as (a, leader, unit)."""
+    """For each unit of a bundle the links (a, b) that span its components; in the second round only between its own sets and outsiders."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         texts = rows.drop_duplicates("set")
@@ -156,31 +169,35 @@ def _comparing(percent: int, width: int, second: bool):
         for a, b in slices(pa.array(texts["text"], pa.large_string()), CHUNK_BYTES):
             part = texts.iloc[a:b]
             sets.update(zip(part["set"].tolist(), shingle_sets(pa.array(part["text"], pa.string()), width), strict=True))
-        out = defaultdict(list)
-        for unit, own in rows.groupby(["leader", "unit", "block"], sort=False):
+        spans = []
+        for _, own in rows.groupby(["leader", "unit", "block"], sort=False):
             own = own.sort_values("outside").drop_duplicates("set")
             ids = own["set"].to_numpy()
-            links = linked([sets[s] for s in ids.tolist()], percent, int((~own["outside"]).sum()) if second else None)
-            spans = forest(ids, links)
-            for a, b in spans:
-                out["a"].append(a), out["b"].append(b), out["leader"].append(0), out["unit"].append(-1)
-            if not second and own["several"].any():
-                root = dict(spans)
-                home = root.get(unit[0], unit[0])
-                for s in ids.tolist():
-                    if root.get(s, s) != home:
-                        out["a"].append(s), out["b"].append(s), out["leader"].append(unit[0]), out["unit"].append(unit[1])
-        return pd.DataFrame({k: np.array(out[k], np.int64) for k in ("a", "b", "leader", "unit")})
+            spans += forest(ids, linked([sets[s] for s in ids.tolist()], percent, int((~own["outside"]).sum()) if second else None))
+        return pd.DataFrame(np.array(spans, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
 
 def _bundled(units: DataFrame, texts: DataFrame, compare) -> DataFrame:
-    """Units with their texts, some to a task: about a thousand texts a bundle."""
+    """The links of units: these get their texts, and about a thousand texts go to a task together."""
     bundles = max(1, -(-units.count() // 1000))
     put = F.pmod(F.xxhash64("leader", "unit", "block"), F.lit(bundles)).alias("bundle")
-    held = units.join(texts, "set").select(put, "leader", "unit", "block", "set", "outside", "several", "text")
-    return written(held.groupBy("bundle").applyInPandas(compare, "a long, b long, leader long, unit long"), "jaccard-links")
+    held = units.join(texts, "set").select(put, "leader", "unit", "block", "set", "outside", "text")
+    return written(held.groupBy("bundle").applyInPandas(compare, "a long, b long"), "jaccard-links")
+
+
+def _second_round(units: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Units of the second round. Where a leader has several units, its sets that are in another component than the
+    leader so far go, in blocks, to all its other units."""
+    several = units.where("several AND set <> leader").join(roots, units["set"] == roots["node"], "left").select("leader", "unit", "set", F.coalesce("root", "set").alias("home"))
+    leaders = several.select("leader").distinct().join(roots, F.col("leader") == roots["node"], "left").select("leader", F.coalesce("root", "leader").alias("leader_home"))
+    apart = written(several.join(leaders, "leader").where("home <> leader_home").select("leader", "unit", "set"), "jaccard-apart")
+    blocks = apart.groupBy("leader").agg(F.ceil(F.count("*") / OUTSIDERS).cast("int").alias("blocks"))
+    spread = apart.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
+    outside = spread.join(sizes, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("other"), "block", "set", "unit").where("other <> unit")
+    inside = several.join(blocks, "leader").select("leader", "unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "set", F.lit(False).alias("outside"))
+    return written(inside.union(outside.select("leader", F.col("other").alias("unit"), "block", "set", F.lit(True).alias("outside"))), "jaccard-units")
 
 
 def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,30 +218,26 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
     rows = met.where("is_doc").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", "set")
     stars = written(met.where("NOT is_doc").select("set", "leader").distinct(), "jaccard-stars")
 
-    sizes = stars.groupBy("leader").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "hash")
+    known = written(rows.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.min_by(place, order).alias("first"), F.min("doc_id").alias("least")), "jaccard-sets")
+
+    parts = F.greatest(F.ceil(F.count("*") / UNIT), F.ceil(F.sum("n") / UNIT_SHINGLES)).cast("int")
+    sizes = written(stars.join(known.select("set", "n"), "set").groupBy("leader").agg(parts.alias("units")), "jaccard-leaders")
     units = stars.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("set"), F.col("units")).cast("int").alias("unit"), "set", (F.col("units") > 1).alias("several"))
     units = units.union(units.select("leader", "unit", F.col("leader").alias("set"), "several").distinct())
     units = written(units.select("leader", "unit", F.lit(0).alias("block"), "set", F.lit(False).alias("outside"), "several"), "jaccard-units")
 
-    known = written(rows.where("n > 0").groupBy("set").agg(F.min_by(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "hash"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("first"), F.min("doc_id").alias("least")), "jaccard-sets")
     needed = written(units.select("set").distinct().join(known, "set").select("set", F.col("first.at").alias("at"), F.col("first.hash").alias("hash")), "jaccard-needed")
     near = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
     texts = keyed.select(F.coalesce("id", F.lit(NO_ID)).alias("at"), "hash", "text").join(near(needed), ["at", "hash"]).select("set", "text").dropDuplicates(["set"])
     texts = written(texts, "jaccard-texts")
-    found = _bundled(units, texts, _comparing(percent, width, False))
-    links = found.where("unit < 0").select("a", "b")
-
-    apart = written(found.where("unit >= 0").select(F.col("a").alias("set"), "leader", "unit"), "jaccard-apart")
-    if not apart.isEmpty():
-        blocks = apart.groupBy("leader").agg(F.ceil(F.count("*") / OUTSIDERS).cast("int").alias("blocks"))
-        spread = apart.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
-        others = spread.join(sizes, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("other"), "block", "set", "unit").where("other <> unit")
-        inside = units.where("several AND set <> leader").join(blocks, "leader").select("leader", "unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "set", F.lit(False).alias("outside"), "several")
-        outside = others.select("leader", F.col("other").alias("unit"), "block", "set", F.lit(True).alias("outside"), F.lit(True).alias("several"))
-        more = _bundled(written(inside.union(outside), "jaccard-units"), texts, _comparing(percent, width, True))
-        links = links.union(more.select("a", "b"))
-
+    links = _bundled(units, texts, _comparing(percent, width, False))
     roots = components(links)
+    if not sizes.where("units > 1").isEmpty():
+        more = _bundled(_second_round(units, roots, sizes), texts, _comparing(percent, width, True))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
     named = known.join(roots, known["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("set", "component_id")

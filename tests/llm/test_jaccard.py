@@ -104,6 +104,7 @@ def test_bands_cover_all_sizes_and_pairs():
 def test_near_copies_and_odd_rows(spark, monkeypatch, unit, outsiders):
     monkeypatch.setattr(jaccard, "UNIT", unit)
     monkeypatch.setattr(jaccard, "OUTSIDERS", outsiders)
+    monkeypatch.setattr(jaccard, "DENSE", unit)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if unit < 10 else 10**6)
     rng = random.Random(3)
     docs = near_copies(rng, 60, 200, 0.06, 0) + near_copies(rng, 40, 60, 0.12, 1000) + near_copies(rng, 30, 12, 0.2, 2000) + near_copies(rng, 3, 6000, 0.02, 3000)
@@ -116,7 +117,7 @@ def test_near_copies_and_odd_rows(spark, monkeypatch, unit, outsiders):
 def test_matrix_counts_as_pairs_do():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
-    sets = [np.unique(np.r_[rng.permutation(base)[: 400 - i], rng.integers(0, 2**63, i).astype(np.uint64)]) for i in range(60)] + [np.empty(0, np.uint64)]
+    sets = [np.unique(np.r_[rng.permutation(base)[: 400 - i], rng.integers(0, 2**63, i).astype(np.uint64)]) for i in range(90)] + [np.empty(0, np.uint64)]
     want = np.array([[i != j and similar(a, b, 85) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
     assert (linked(sets, 85) == want).all()
     part = linked(sets, 85, 20)
