@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "daily_event_counts"
+FLAGSHIP = "hybrid_retrieval"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestack.plans import analytics, relational  # noqa: F401
+    from lodestack.plans import analytics, relational, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
