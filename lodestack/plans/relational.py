@@ -23,15 +23,14 @@ def citations(spark, sf_dir):
     return long.withColumn("source", F.concat(F.lit("src"), ((F.col("conversation_id") + F.col("turn") * F.col("pos")) % 23).cast("string")))
 
 
-@query("acl_filter", WITH_DOCS + """SELECT c_custkey AS user_id, doc_id FROM docs, customer WHERE c_custkey < 20 AND
-  (c_custkey % 10 = 0 OR owner_id = c_custkey OR visibility = 'public' OR (visibility = 'restricted' AND allowed_role = CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'hr' WHEN 2 THEN 'finance' ELSE 'it' END))""")
+@query("acl_filter", WITH_DOCS + """, r AS (SELECT *, (doc_id * 7) % 150 AS user_id FROM docs)
+SELECT user_id, doc_id FROM r WHERE user_id % 10 = 0 OR owner_id = user_id OR visibility = 'public' OR (visibility = 'restricted' AND allowed_role = CASE user_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'hr' WHEN 2 THEN 'finance' ELSE 'it' END)""")
 def acl_filter(spark, sf_dir):
-    """Which of the first 20 users sees which document; a stated set of users against all documents."""
+    """One request for every document, and which of them are granted."""
     role = F.element_at(F.array(*[F.lit(r) for r in ("admin", "hr", "finance", "it")]), (F.col("user_id") % 4 + 1).cast("int"))
-    who = table(spark, sf_dir, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("user_id"))
-    both = documents(spark, sf_dir).join(F.broadcast(who))
+    asked = documents(spark, sf_dir).withColumn("user_id", (F.col("doc_id") * 7) % 150)
     seen = R.visible(F.col("user_id") % 10 == 0, F.col("user_id"), F.col("owner_id"), F.col("visibility"), F.array(role), F.array("allowed_role"))
-    return both.where(seen).select("user_id", "doc_id")
+    return asked.where(seen).select("user_id", "doc_id")
 
 
 @query("acl_outcomes", WITH_DOCS + """, d AS (SELECT CASE WHEN owner_id = 7 THEN 'granted_owner' WHEN visibility = 'public' THEN 'granted_public' WHEN visibility = 'restricted' AND allowed_role IN ('hr', 'it') THEN 'granted_role'
@@ -48,15 +47,12 @@ def exact_duplicates(spark, sf_dir):
     return d.groupBy(F.sha2("text", 256).alias("checksum")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("n > 1")
 
 
-@query("duplicate_decision", WITH_DOCS + """, s AS (SELECT *, sha256(text) AS checksum FROM docs), old AS (SELECT DISTINCT checksum FROM s WHERE doc_id % 2 = 0), names AS (SELECT DISTINCT collection FROM s WHERE doc_id % 2 = 0 AND doc_id % 5 = 0)
-SELECT s.doc_id, CASE WHEN old.checksum IS NOT NULL THEN 'exact_duplicate' WHEN names.collection IS NOT NULL AND s.doc_id % 5 = 0 THEN 'filename_conflict' ELSE 'new_document' END AS decision
-FROM s LEFT JOIN old ON s.checksum = old.checksum LEFT JOIN names ON s.collection = names.collection WHERE s.doc_id % 2 = 1""")
+@query("duplicate_decision", WITH_DOCS + """SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 THEN 'exact_duplicate' WHEN row_number() OVER (PARTITION BY collection, file_size % 100 ORDER BY doc_id) > 1 THEN 'filename_conflict' ELSE 'new_document' END AS decision FROM docs""")
 def duplicate_decision(spark, sf_dir):
-    s = documents(spark, sf_dir).withColumn("checksum", F.sha2("text", 256))
-    old = s.where("doc_id % 2 = 0").select("checksum").distinct().withColumn("same", F.lit(True))
-    names = s.where("doc_id % 2 = 0 AND doc_id % 5 = 0").select("collection").distinct().withColumn("named", F.lit(True))
-    new = s.where("doc_id % 2 = 1").join(old, "checksum", "left").join(names, "collection", "left")
-    return new.select("doc_id", F.when(F.col("same"), "exact_duplicate").when(F.col("named") & (F.col("doc_id") % 5 == 0), "filename_conflict").otherwise("new_document").alias("decision"))
+    """What an upload in the order of ids would have decided: same content, same name (here: number in its collection), or new."""
+    d = documents(spark, sf_dir).select("doc_id", "collection", (F.col("file_size") % 100).alias("name"), F.sha2("text", 256).alias("checksum"))
+    earlier = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")) > 1
+    return d.select("doc_id", F.when(earlier("checksum"), "exact_duplicate").when(earlier("collection", "name"), "filename_conflict").otherwise("new_document").alias("decision"))
 
 
 @query("version_latest", WITH_DOCS + """SELECT doc_id, collection, lang, row_number() OVER w AS version, row_number() OVER w = count(*) OVER (PARTITION BY collection, lang) AS is_latest,
@@ -85,17 +81,16 @@ def collection_usage_full_outer(spark, sf_dir):
     return a.join(b, "collection", "full_outer").join(c, "collection", "full_outer").na.fill(0)
 
 
-@query("never_cited_anti", CITED_SQL + "SELECT doc_id, filename FROM docs WHERE NOT EXISTS (SELECT 1 FROM cited WHERE lower(source) = lower(collection) AND conversation_id % 31 = 0)")
+@query("never_cited_anti", CITED_SQL + "SELECT doc_id, filename FROM docs WHERE doc_id NOT IN (SELECT conversation_id * 5 + turn * pos FROM cited)")
 def never_cited_anti(spark, sf_dir):
-    used = citations(spark, sf_dir).where("conversation_id % 31 = 0").select(F.lower("source").alias("used")).distinct()
-    d = documents(spark, sf_dir)
-    return d.join(used, F.lower("collection") == F.col("used"), "left_anti").select("doc_id", "filename")
+    used = citations(spark, sf_dir).select((F.col("conversation_id") * 5 + F.col("turn") * F.col("pos")).alias("doc_id")).distinct()
+    return documents(spark, sf_dir).join(used, "doc_id", "left_anti").select("doc_id", "filename")
 
 
-@query("citations_with_default", CITED_SQL + """, k AS (SELECT DISTINCT collection FROM docs WHERE doc_id % 7 = 0)
+@query("citations_with_default", CITED_SQL + """, k AS (SELECT DISTINCT collection FROM docs WHERE file_size > 16000)
 SELECT coalesce(collection, 'Uncategorized') AS collection, count(*) AS n FROM cited LEFT JOIN k ON source = collection GROUP BY 1""")
 def citations_with_default(spark, sf_dir):
-    known = documents(spark, sf_dir).where("doc_id % 7 = 0").select("collection").distinct()
+    known = documents(spark, sf_dir).where("file_size > 16000").select("collection").distinct()
     c = citations(spark, sf_dir)
     return c.join(known, c["source"] == known["collection"], "left").groupBy(F.coalesce("collection", F.lit("Uncategorized")).alias("collection")).agg(F.count("*").alias("n"))
 
