@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.quality import slices
+from lodestack.llm.subword import slices
 from lodestack.llm.store import OWN, require, without, written
 
 KINDS = ("email", "ip", "card", "phone")

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm.store import require, without
-from lodestack.llm.subword import SubwordClassifier
+from lodestack.llm.subword import SubwordClassifier, slices
 
 #: Bounds of the sample that is brought to the driver: rows, and bytes of a text to learn from.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 65536
+TRAIN_ROWS, TRAIN_BYTES = 1500, 65536
 CHUNK_BYTES = 2_000_000
 
 
@@ -46,16 +43,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **boun
     return model.fit(sample["text"].combine_chunks(), sample["label"].to_numpy())
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about most bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
-        yield at, to
-        at = to
-
-
 def with_scores(docs: DataFrame, model: SubwordClassifier, text_col: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
     """docs with out: how likely class 1 is, by the whole text (null as empty). A column of docs by that name is replaced."""
     require(docs, text_col)
