@@ -46,6 +46,12 @@ def _smallest(grams: Column, run: int) -> Column:
     return _over(grams, run, lambda i: F.least(*[F.get(grams, i + j) for j in range(run)])) if run > 1 else grams
 
 
+def held_still(array: Column) -> Column:
+    """array as an expression of its own. Spark filters before it explodes a plain column by its size, and pushes that filter below the
+    projections that make the column, where nested lambdas are worked out again for every element."""
+    return F.concat(array, F.array().cast("array<bigint>"))
+
+
 def _fingerprinted(df: DataFrame, lengths: list[int], window: int) -> DataFrame:
     """df (with words) plus, for each length, f<length>: the fingerprint of the window at each start."""
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
