@@ -24,8 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: What this session has put into the shared folder.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lodestack/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestack/{what}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete all intermediate tables and files of this session, once no result that reads them is needed; how many there were."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
