@@ -72,7 +72,7 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
     parts = []
     for n in sorted(r.n for r in cut.select("n").distinct().collect()):  # at most `window` lengths
         own = _fingerprinted(cut.where(F.col("n") == n), [n], window)
-        at = own.select("item", "n", "words", F.posexplode(f"f{n}").alias("at", "fp"))
+        at = own.select("item", "n", "words", F.posexplode(held_still(F.col(f"f{n}"))).alias("at", "fp"))
         parts.append(at.select("n", F.concat_ws(" ", F.slice("words", F.col("at") + 1, n)).alias("win"), "fp", "item"))
     if not parts:
         return items.sparkSession.createDataFrame([], "n int, win string, fp bigint, items array<string>")
