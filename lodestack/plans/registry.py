@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestack.plans import analytics, knowledge, planning, relational, retrieval  # noqa: F401
+    from lodestack.plans import analytics, knowledge, planning, preparation, relational, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
