@@ -65,26 +65,36 @@ def cosine_calibrated(spark, sf_dir):
     return dense(spark, sf_dir, 10).where("score > 0.05").select("query", "doc", X.calibrated(F.greatest("score", F.lit(0.0))).alias("score"))
 
 
-FUSED_SQL = BM25_SQL + """, mapped AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), lexical AS (
-  SELECT q.query, d.doc, len(list_intersect(list_distinct(q.w), list_distinct(d.w))) / len(list_distinct(list_concat(q.w, d.w))) AS score FROM q, d WHERE len(list_intersect(q.w, d.w)) > 0),
-overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM lexical),
+FUSED_SQL = BM25_SQL + """, mapped AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), dt AS (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(w) AS term FROM d)), qt AS (SELECT query, term FROM asked),
+rare AS (SELECT term FROM dt GROUP BY 1 HAVING count(*) <= 0.05::DOUBLE * (SELECT n FROM stats)),
+dn AS (SELECT doc, count(*) AS n FROM dt JOIN rare USING (term) GROUP BY 1), qn AS (SELECT query, count(*) AS n FROM qt JOIN rare USING (term) GROUP BY 1),
+lexical AS (SELECT query, doc, count(*) AS n FROM dt JOIN rare USING (term) JOIN qt USING (term) GROUP BY 1, 2),
+overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(l.n / (dn.n + qn.n - l.n), 6) DESC, doc) AS INTEGER) AS rank FROM lexical l JOIN dn USING (doc) JOIN qn USING (query)),
 fused AS (SELECT coalesce(o.query, m.query) AS query, coalesce(o.doc, m.doc) AS doc, o.rank AS dense_rank, m.rank AS sparse_rank, round(coalesce(0.6::DOUBLE / (60 + o.rank), 0) + coalesce(0.4::DOUBLE / (60 + m.rank), 0), 6) AS score
   FROM (SELECT * FROM overlap WHERE rank <= 20) o FULL JOIN mapped m ON o.query = m.query AND o.doc = m.doc),
 final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, coalesce(dense_rank, 9999), coalesce(sparse_rank, 9999), doc) AS INTEGER) AS rank FROM fused) """
 
 
+#: Words in more than this share of the documents say nothing about them.
+RARE = 0.05
+
+
 def overlap(spark, sf_dir, k):
-    """Jaccard similarity of word sets, by the words that they share."""
-    d = corpus(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("words")).alias("term"), F.size(F.array_distinct("words")).alias("dn"))
-    q = asked(spark, sf_dir).select("item_id", F.explode(F.array_distinct("words")).alias("term"), F.size(F.array_distinct("words")).alias("qn"))
-    both = d.join(q, "term").groupBy(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"), "dn", "qn").agg(F.count("*").alias("n"))
+    """Jaccard similarity of the sets of rare words; only documents that share one with a query are scored."""
+    d = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct("words")).alias("term"))
+    q = asked(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode(F.array_distinct("words")).alias("term"))
+    total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))  # one row
+    rare = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(F.col("df") <= RARE * F.col("total")).select("term")
+    d, q = d.join(rare, "term", "left_semi"), q.join(rare, "term", "left_semi")
+    dn, qn = d.groupBy("doc").agg(F.count("*").alias("dn")), q.groupBy("query").agg(F.count("*").alias("qn"))
+    both = d.join(q, "term").groupBy("query", "doc").agg(F.count("*").alias("n")).join(dn, "doc").join(qn, "query")
     scored = both.select("query", "doc", F.round(F.col("n") / (F.col("dn") + F.col("qn") - F.col("n")), 6).alias("score"))
     return R.ranked(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
 @query("hybrid_retrieval", FUSED_SQL + "SELECT query, doc, dense_rank, sparse_rank, score, rank FROM final WHERE rank <= 5")
 def hybrid_retrieval(spark, sf_dir):
-    """Two ranked lists of 20 each, by word overlap and BM25, fused by reciprocal ranks to the best 5."""
+    """Two ranked lists of 20 each, by overlap of rare words and BM25, fused by reciprocal ranks to the best 5."""
     return R.fuse(overlap(spark, sf_dir, 20), sparse(spark, sf_dir, 20), 5, 0.6, 0.4)
 
 
