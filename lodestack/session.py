@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every batch job of this library relies on; all can be overridden by the cluster.
@@ -26,3 +28,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read lazily so that filters and column lists reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers of this machine find the package where it was not installed; a cluster installs it or ships it."""
+    here, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(":")
+    if here not in known:
+        environment["PYTHONPATH"] = ":".join([here, *filter(None, known)])
