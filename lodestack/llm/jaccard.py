@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from lodestack.llm import memory
 from lodestack.llm.components import components
 from lodestack.llm.partenum import set_id, shingle_sets, signatures, similar
 from lodestack.llm.quality import slices
@@ -29,7 +30,7 @@ from lodestack.llm.store import require, shuffle_partitions, written
 #: Most sets in a unit besides its leader, about the most shingles in it, and outsiders of other units compared with a unit at once.
 UNIT, UNIT_SHINGLES, OUTSIDERS = 2048, 1_500_000, 512
 #: Shingles that a task gathers before it hands on its signatures, and text that it takes at once.
-FLUSH, CHUNK_BYTES = 1_000_000, 2_000_000
+FLUSH, CHUNK_BYTES = 600_000, 1_000_000
 #: Needed documents up to this many (16 bytes each) are broadcast; the count is checked.
 BROADCAST_ROWS = 1_000_000
 #: Shingles of so many sets in a unit are counted by matrix products of about so many cells.
@@ -184,7 +185,7 @@ def _bundled(units: DataFrame, texts: DataFrame, compare) -> DataFrame:
     bundles = max(1, -(-units.count() // 1000))
     put = F.pmod(F.xxhash64("leader", "unit", "block"), F.lit(bundles)).alias("bundle")
     held = units.join(texts, "set").select(put, "leader", "unit", "block", "set", "outside", "text")
-    return written(held.groupBy("bundle").applyInPandas(compare, "a long, b long"), "jaccard-links")
+    return written(held.groupBy("bundle").applyInPandas(memory.groups(compare), "a long, b long"), "jaccard-links")
 
 
 def _second_round(units: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -213,8 +214,8 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    signed = keyed.mapInArrow(_signing(shuffle_partitions(spark), percent, width), "bucket int, docs binary, sets binary, sigs binary, at binary")
-    met = written(signed.groupBy("bucket").applyInPandas(_meeting, "id long, null boolean, hash long, n int, set long, leader long, is_doc boolean"), "jaccard-met")
+    signed = keyed.mapInArrow(memory.batches(_signing(shuffle_partitions(spark), percent, width)), "bucket int, docs binary, sets binary, sigs binary, at binary")
+    met = written(signed.groupBy("bucket").applyInPandas(memory.groups(_meeting), "id long, null boolean, hash long, n int, set long, leader long, is_doc boolean"), "jaccard-met")
     rows = met.where("is_doc").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", "set")
     stars = written(met.where("NOT is_doc").select("set", "leader").distinct(), "jaccard-stars")
 

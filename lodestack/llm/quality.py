@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm import memory
 from lodestack.llm.store import require, without
 from lodestack.llm.subword import SubwordClassifier, slices
 
 #: Bounds of the sample that is brought to the driver: rows, and bytes of a text to learn from.
 TRAIN_ROWS, TRAIN_BYTES = 1500, 65536
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,4 +61,4 @@ def with_scores(docs: DataFrame, model: SubwordClassifier, text_col: str = "text
             yield pa.RecordBatch.from_arrays([*columns, scores], names=[*names, out])
 
     fields = [f for i, f in enumerate(base.schema.fields) if keep_text or i != at]
-    return base.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+    return base.mapInArrow(memory.batches(run), T.StructType([*fields, T.StructField(out, T.DoubleType())]))

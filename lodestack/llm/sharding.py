@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm import memory
 from lodestack.llm.store import OWN, in_order, require, without, written
 
 OVERHEAD = 16
@@ -54,7 +55,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     sized = without(docs, "size", "text_crc32", "shard", "slot").withColumns({"size": (F.octet_length(text) + F.lit(overhead)).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
     sized = sized if keep_text else sized.drop(text_col)
     schema = T.StructType([*sized.schema.fields, T.StructField(f"{OWN}part", T.IntegerType()), T.StructField(f"{OWN}row", T.LongType()), T.StructField(f"{OWN}before", T.LongType())])
-    placed = written(in_order(sized, F.col(id_col)).mapInArrow(_local_sums(sized.columns.index("size")), schema), "sharding")
+    placed = written(in_order(sized, F.col(id_col)).mapInArrow(memory.batches(_local_sums(sized.columns.index("size"))), schema), "sharding")
 
     sums = placed.groupBy(f"{OWN}part").agg(F.count("*").alias("n"), F.sum("size").alias("b")).orderBy(f"{OWN}part").collect()
     starts, rows, total = [], 0, 0
