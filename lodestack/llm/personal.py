@@ -1,15 +1,20 @@
 """Personal data in texts, and the terms around it that give it away.
 
-Base findings are e-mail addresses, IP addresses, card and phone numbers by fixed patterns. Around them stand terms that
-may disclose what was protected. How strongly is estimated from the whole corpus: with p over word places, the
-information of a kind k is -log p(k), p(k) the share of places near a finding of k, and a term t discloses PMI(t; k) =
-log p(t, k) / (p(t) p(k)) of it. A term that recurs and discloses at least a set share of the kind's information
-is generalised where it stands near such a finding, and removed from a higher share on.
+Base findings are e-mail addresses, IP addresses, card and phone numbers by fixed patterns. Other terms may disclose what
+was protected. How strongly is estimated from the whole corpus: with p over different texts, the information of c, which is
+a protected value or a whole kind, is -log p(c), and a term t discloses PMI(t; c) = log p(t, c) / (p(t) p(c)) of it. For
+p(c | t) stands the lower bound of its 95 % Wilson interval, so what is too seldom seen discloses little, whatever the
+corpus' size. A term that meets c in two texts or more and discloses at least a set share of its information is generalised
+wherever it stands, and removed from a higher share on.
+
+With a given support, the former narrower way is taken instead: words near findings of a kind, over word places, from
+so many on, and spans only there.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm import memory
 from lodestack.llm.subword import slices
 from lodestack.llm.store import OWN, require, without, written
 
@@ -30,18 +36,24 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words and characters on either side of a finding that count as near it.
+#: Words and characters on either side of a finding that count as near it, where a support is given.
 NEAR_WORDS, NEAR_CHARS = 8, 200
-#: Times a term must stand near a kind before its share is trusted.
-SUPPORT = 20
+#: Runs of letters.
+WORD = re.compile(r"[^\W\d_]+")
+#: Normal quantile of the bound on p(c | t): 95 %, two-sided.
+Z = 1.96
 #: Shares of a kind's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: More wanted terms than this are not sent to the counting tasks; then all terms are counted.
+#: More wanted terms than this are not sent to the counting tasks (then all terms are counted), nor more disclosing ones to the
+#: locating tasks (then they are joined).
 BROADCAST_TERMS = 200_000
+#: Hashes of repeated texts, and repeated values, up to this many are broadcast; the count is checked.
+BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 4_000_000
 
 BASE = "array<struct<start:int,kind:int,end:int>>"
 NEAR = "array<struct<term:string,kind:int,start:int,end:int>>"
+TERMS = "array<struct<start:int,kind:int,end:int,share:double>>"
 KEY = [f"{OWN}id", f"{OWN}hash"]
 
 
@@ -149,7 +161,7 @@ def _counting(wanted):
     return run
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int, generalise: float = GENERALISE) -> DataFrame:
     """(term, kind, share): the terms that stand near a kind at least support times and disclose at least the share generalise of it."""
     spark = docs.sparkSession
     near = scanned.select(F.explode("near").alias("w")).groupBy("w.term", "w.kind").agg(F.count("*").alias("n_near"))
@@ -171,21 +183,171 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias(KEY[0]), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(KEY[1])]
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def value_of(text: str, kind: int) -> str:
+    """A finding as the value that it stands for, however it is written."""
+    if kind == 0:
+        return text.lower()
+    if kind == 1:
+        return ".".join(x.lstrip("0") or "0" for x in text.split("."))
+    return "".join(c for c in text if c in "0123456789")
+
+
+def outside_words(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that no finding touches."""
+    out, i, reach = [], 0, 0
+    for m in WORD.finditer(text):
+        while i < len(found) and found[i][0] < m.end():
+            reach = max(reach, found[i][2])
+            i += 1
+        if reach <= m.start():
+            out.append(m.span())
+    return out
+
+
+def terms_of(text: str, found: list[tuple[int, int, int]]) -> set[str]:
+    """The different words that stand somewhere out of findings, in lower case."""
+    words = {text[a:b] for a, b in outside_words(text, found)} if found else set(WORD.findall(text))
+    return {w.lower() for w in words}
+
+
+def _scan_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    value_type = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
+    for batch in batches:
+        base, values, words = [], [], []
+        for text in batch.column(batch.num_columns - 1):
+            text = text.as_py()
+            found = findings(text)
+            base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+            values.append([{"kind": k, "value": v} for k, v in sorted({(k, value_of(text[s:e], k)) for s, k, e in found})])
+            words.append(sorted(terms_of(text, found)) if found else [])
+        own = [pa.array(base, base_type), pa.array(values, value_type), pa.array(words, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "base", "held", "words"])
+
+
+def _texts_with(wanted):
+    """(term, copies, n): texts of so many copies that hold each of the wanted terms (all, if None)."""
+
+    def run(batches):
+        keep = None if wanted is None else frozenset(wanted.value)
+        for batch in batches:
+            seen: dict[int, Counter] = {}
+            for copies, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                words = terms_of(text, findings(text))
+                seen.setdefault(copies, Counter()).update(words if keep is None else words & keep)
+            rows = [(t, c, n) for c, found in seen.items() for t, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["term", "copies", "n"])
+
+    return run
+
+
+def _share(both: Column, n: Column, information: Column) -> Column:
+    """What a term of n texts, both of them with c, discloses at least of c's information, as a share."""
+    p, z2 = both / n, Z * Z
+    lower = (p + z2 / (2 * n) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return 1 + F.log2(F.greatest(lower, F.lit(1e-300))) / information
+
+
+def disclosing_anywhere(keyed: DataFrame, scanned: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """(term, kind, share): the terms that disclose at least the share generalise of a protected value or kind, with the largest share. Equal texts count once."""
+    spark = keyed.sparkSession
+    repeated = scanned.groupBy(KEY[1]).agg(F.count("*").alias("copies")).where("copies > 1")
+    repeated = written(repeated, "personal-repeated")
+    once = written(scanned.where(F.size("base") > 0).select(KEY[1], "held", "words").dropDuplicates([KEY[1]]), "personal-once")
+    total = scanned.select(KEY[1]).distinct().count()
+
+    held = once.select(KEY[1], F.explode("held").alias("v")).select(KEY[1], "v.*")
+    # A value of one text meets every term at most once.
+    values = written(held.groupBy("kind", "value").agg(F.count("*").alias("n_of")).where("n_of > 1"), "personal-values")
+    near = F.broadcast if values.count() <= BROADCAST_ROWS else (lambda df: df)
+    some = held.join(near(values), ["kind", "value"]).groupBy(KEY[1]).agg(F.collect_list(F.struct("kind", "value", "n_of")).alias("known"))
+    of_value = once.select(KEY[1], "words").join(some, KEY[1]).select(F.explode("words").alias("term"), "known").select("term", F.explode("known").alias("v"))
+    of_value = of_value.groupBy("term", "v.kind", "v.value").agg(F.count("*").alias("n_both"), F.max("v.n_of").alias("n_of"))
+    kinds = dict(once.select(F.explode(F.array_distinct("held.kind")).alias("kind")).groupBy("kind").agg(F.count("*")).collect())  # four at most
+    size = F.element_at(F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(kinds.get(k, 1)))]), F.col("kind"))
+    of_kind = once.select(F.explode("words").alias("term"), F.array_distinct("held.kind").alias("kinds")).select("term", F.explode("kinds").alias("kind"))
+    of_kind = of_kind.groupBy("term", "kind").agg(F.count("*").alias("n_both")).withColumn("n_of", size.cast("long"))
+
+    pairs = of_value.drop("value").unionByName(of_kind).withColumn("information", F.log2(F.lit(max(total, 1)) / F.col("n_of"))).where("n_both > 1 AND information > 0")
+    # A share is largest where the term stands in no other text.
+    pairs = written(pairs.where(_share(F.col("n_both"), F.col("n_both"), F.col("information")) >= generalise), "personal-pairs")
+    terms = [r.term for r in pairs.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+    wanted = spark.sparkContext.broadcast(terms) if len(terms) <= BROADCAST_TERMS else None
+    near = F.broadcast if repeated.count() <= BROADCAST_ROWS else (lambda df: df)
+    texts = keyed.join(near(repeated), KEY[1], "left").select(F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text")
+    counts = texts.mapInArrow(memory.batches(_texts_with(wanted)), "term string, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).alias("n"))
+    told = pairs.join(counts, "term").withColumn("share", _share(F.col("n_both"), F.col("n"), F.col("information"))).where(F.col("share") >= generalise)
+    best = F.max(F.struct("share", (-F.col("kind")).alias("kind"))).alias("best")
+    return told.groupBy("term").agg(best).select("term", (-F.col("best.kind")).cast("int").alias("kind"), "best.share")
+
+
+def _locating(held):
+    """The key, and every place of the disclosing terms: those held, or else those of the row."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            keep, found = [], []
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                told = held.value if held is not None else {t["term"]: (t["kind"], t["share"]) for t in batch.column(3)[i].as_py()}
+                if not any(w.lower() in told for w in set(WORD.findall(text))):
+                    continue
+                spots = [(a, b, told[w]) for a, b in outside_words(text, findings(text)) if (w := text[a:b].lower()) in told]
+                if spots:
+                    keep.append(i)
+                    found.append([{"start": a, "kind": k, "end": b, "share": s} for a, b, (k, s) in spots])
+            own = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, kind)], names=[*KEY, "terms"])
+
+    return run
+
+
+def _listing(batches):
+    """The key, and each different word of the text."""
+    for batch in batches:
+        words = [sorted(terms_of(t.as_py(), [])) for t in batch.column(2)]
+        at = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        own = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array([t for w in words for t in w], pa.string())], names=[*KEY, "term"])
+
+
+def _located(keyed: DataFrame, told: DataFrame) -> DataFrame:
+    """Key and terms of the rows that hold disclosing terms."""
+    spark, key, schema = keyed.sparkSession, f"{KEY[0]} string, {KEY[1]} long", f"{KEY[0]} string, {KEY[1]} long, terms {TERMS}"
+    texts = keyed.select(*KEY, "text")
+    rows = told.limit(BROADCAST_TERMS + 1).collect()
+    if len(rows) <= BROADCAST_TERMS:
+        held = spark.sparkContext.broadcast({r.term: (r.kind, r.share) for r in rows})
+        return texts.mapInArrow(memory.batches(_locating(held)), schema).dropDuplicates(KEY)
+    listed = texts.mapInArrow(memory.batches(_listing), f"{key}, term string").join(told, "term").distinct()
+    some = listed.groupBy(*KEY).agg(F.collect_list(F.struct("term", "kind", "share")).alias("told"))
+    return texts.join(some, KEY).select(*KEY, "text", "told").mapInArrow(memory.batches(_locating(None)), schema).dropDuplicates(KEY)
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int | None = None, generalise: float = GENERALISE) -> DataFrame:
     """A row for each row of docs: doc_id, base and terms, sorted arrays of (start, kind, end[, share]), and a key of id and text.
 
-    kind counts from 0 in KINDS. A null text is empty. Where a term is near findings of several kinds its largest share counts.
-    Other columns are not kept. Repeated rows each get a row; they count as often as they stand.
+    kind counts from 0 in KINDS. A null text is empty. Where a term discloses several kinds or values its largest share counts.
+    terms has every place of a disclosing term, in documents without findings too. With a support, only words near findings
+    of a kind count, from so many on, and only there; then repeated rows count as often as they stand, else equal texts once.
+    Other columns are not kept. Repeated rows each get a row.
     """
     require(docs, id_col, text_col)
     keyed = docs.select(*_key(docs, id_col, text_col), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"{KEY[0]} string, {KEY[1]} long, doc_id {docs.schema[id_col].dataType.simpleString()}, base {BASE}, near {NEAR}"
-    scanned = written(keyed.mapInArrow(_scan, schema), "personal-findings")
+    schema = f"{KEY[0]} string, {KEY[1]} long, doc_id {docs.schema[id_col].dataType.simpleString()}, base {BASE}"
+    none = F.array().cast(TERMS)
+    if support is None:
+        scanned = written(keyed.mapInArrow(memory.batches(_scan_whole), f"{schema}, held array<struct<kind:int,value:string>>, words array<string>"), "personal-findings")
+        told = written(disclosing_anywhere(keyed, scanned, generalise), "personal-terms")
+        terms = _located(keyed, told)
+        return scanned.join(terms, KEY, "left").select("doc_id", *KEY, "base", F.coalesce("terms", none).alias("terms"))
+    scanned = written(keyed.mapInArrow(_scan, f"{schema}, near {NEAR}"), "personal-findings")
     told = written(disclosing(docs, scanned, text_col, support, generalise), "personal-terms")
     near = scanned.where(F.size("near") > 0).dropDuplicates(KEY).select(*KEY, F.explode("near").alias("w")).select(*KEY, "w.*")
     spots = near.join(told, ["term", "kind"]).groupBy(*KEY, "start", "end").agg(F.max("share").alias("share"), F.min("kind").alias("kind"))
     terms = spots.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "share"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,share:double>>")
     return scanned.join(terms, KEY, "left").select("doc_id", *KEY, "base", F.coalesce("terms", none).alias("terms"))
 
 

@@ -119,3 +119,49 @@ def test_sanitised_texts(spark, monkeypatch):
     gone = {r.doc_id: r.sanitised for r in sanitise(frame, support=5, remove=0.8).collect()}
     assert gone[504] == " <EMAIL>"
     assert sanitise(frame.limit(0)).collect() == [] and personal_data(frame.limit(0)).collect() == []
+
+
+def people():
+    docs = [(i, f"{'filler ' * 20}lena {'filler ' * 20} asked lena.k@home.example.org number {i}") for i in range(6)]
+    docs += [(100 + i, f"note from user{i}@mail.example.org on daily matters {'abcdefgh'[i % 8] * 3}") for i in range(40)]
+    docs += [(1000 + i, f"daily matters and filler text {i} went on {'abcdefgh'[i % 8] * 3}") for i in range(800)]
+    return [*docs, (5000, "we met Lena there, LENA left"), (5001, None), (5002, "only once@x.example.org hapax"), (5002, "only once@x.example.org hapax")]
+
+
+def shares_by_brute_force(docs):
+    texts = {t or "" for _, t in docs}
+    of, with_term, both = Counter(), Counter(), Counter()
+    for t in texts:
+        found = brute(t)
+        plain = "".join("\0" if any(a <= i < b for a, _, b in found) else c for i, c in enumerate(t))
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", plain)}
+        marks = {(k, None) for _, k, _ in found} | {(k, t[a:b].lower()) for a, k, b in found}
+        of.update(marks)
+        with_term.update(words)
+        both.update((w, c) for w in words for c in marks)
+    out = {}
+    for (w, c), x in both.items():
+        n, p, z = with_term[w], x / with_term[w], 1.96
+        low = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        if x > 1:
+            out[w] = max(out.get(w, 0), 1 + math.log2(low) / math.log2(len(texts) / of[c]))
+    return out
+
+
+def test_defaults_find_a_name_by_its_address_and_everywhere(spark, monkeypatch):
+    docs = people()
+    want = {w for w, s in shares_by_brute_force(docs).items() if s >= 0.8}
+    assert {"lena", "asked"} <= want and not want & {"daily", "matters", "filler", "hapax", "only"}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {d: t or "" for d, t in docs}
+    for limit in (200_000, 0):
+        monkeypatch.setattr(personal, "BROADCAST_TERMS", limit)
+        found = personal_data(frame).collect()
+        assert len(found) == len(docs)
+        for r in found:
+            t = texts[r.doc_id]
+            inside = [(s.start, s.end) for s in r.base]
+            spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m.group().lower() in want and not any(m.start() < b and a < m.end() for a, b in inside)]
+            assert [(s.start, s.end) for s in r.terms] == spots
+    out = {r.doc_id: r.sanitised for r in sanitise(frame, remove=2.0).collect()}
+    assert out[5000] == "we met <TERM> there, <TERM> left" and "lena" not in out[0] and out[5001] is None
