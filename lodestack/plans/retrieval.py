@@ -79,14 +79,18 @@ final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DE
 RARE = 0.05
 
 
-def overlap(spark, sf_dir, k):
-    """Jaccard similarity of the sets of rare words; only documents that share one with a query are scored."""
-    d = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct("words")).alias("term"))
+def overlap(spark, sf_dir, k, rare=RARE):
+    """Jaccard similarity of the sets of rare words (of all words, if rare is None); only documents that share one with a query are scored."""
+    words = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_distinct("words").alias("words"))
+    d = words.select("doc", F.explode("words").alias("term"))
     q = asked(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode(F.array_distinct("words")).alias("term"))
-    total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))  # one row
-    rare = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(F.col("df") <= RARE * F.col("total")).select("term")
-    d, q = d.join(rare, "term", "left_semi"), q.join(rare, "term", "left_semi")
-    dn, qn = d.groupBy("doc").agg(F.count("*").alias("dn")), q.groupBy("query").agg(F.count("*").alias("qn"))
+    dn = words.select("doc", F.size("words").alias("dn"))
+    if rare is not None:
+        total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))  # one row
+        few = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(F.col("df") <= rare * F.col("total")).select("term")
+        d, q = d.join(few, "term", "left_semi"), q.join(few, "term", "left_semi")
+        dn = d.groupBy("doc").agg(F.count("*").alias("dn"))
+    qn = q.groupBy("query").agg(F.count("*").alias("qn"))
     both = d.join(q, "term").groupBy("query", "doc").agg(F.count("*").alias("n")).join(dn, "doc").join(qn, "query")
     scored = both.select("query", "doc", F.round(F.col("n") / (F.col("dn") + F.col("qn") - F.col("n")), 6).alias("score"))
     return R.ranked(scored, ["query"], [F.desc("score"), F.col("doc")], k)
@@ -124,3 +128,37 @@ def trace_lost_documents(spark, sf_dir):
     fused = R.fuse(overlap(spark, sf_dir, 20), sparse(spark, sf_dir, 20), 40, 0.6, 0.4).select("query", "doc", "rank")
     verdict = F.when(F.col("rank") <= 5, "returned").when(F.col("rank").isNotNull(), "fused_too_low").otherwise("not_found")
     return gold(spark, sf_dir).join(fused, ["query", "doc"], "left").select("query", "doc", verdict.alias("verdict"))
+
+
+#: The same queries by whole sets of words, with SQL of their own.
+WHOLE_SQL = BM25_SQL + """, mapped AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), dt AS (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(w) AS term FROM d)), qt AS (SELECT query, term FROM asked),
+dn AS (SELECT doc, count(*) AS n FROM dt GROUP BY 1), qn AS (SELECT query, count(*) AS n FROM qt GROUP BY 1), lexical AS (SELECT query, doc, count(*) AS n FROM dt JOIN qt USING (term) GROUP BY 1, 2),
+overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(l.n / (dn.n + qn.n - l.n), 6) DESC, doc) AS INTEGER) AS rank FROM lexical l JOIN dn USING (doc) JOIN qn USING (query)),
+fused AS (SELECT coalesce(o.query, m.query) AS query, coalesce(o.doc, m.doc) AS doc, o.rank AS dense_rank, m.rank AS sparse_rank, round(coalesce(0.6::DOUBLE / (60 + o.rank), 0) + coalesce(0.4::DOUBLE / (60 + m.rank), 0), 6) AS score
+  FROM (SELECT * FROM overlap WHERE rank <= 20) o FULL JOIN mapped m ON o.query = m.query AND o.doc = m.doc),
+final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, coalesce(dense_rank, 9999), coalesce(sparse_rank, 9999), doc) AS INTEGER) AS rank FROM fused) """
+
+
+def fused_whole(spark, sf_dir, k):
+    return R.fuse(overlap(spark, sf_dir, 20, None), sparse(spark, sf_dir, 20), k, 0.6, 0.4)
+
+
+@query("hybrid_retrieval_all_words", WHOLE_SQL + "SELECT query, doc, dense_rank, sparse_rank, score, rank FROM final WHERE rank <= 5")
+def hybrid_retrieval_all_words(spark, sf_dir):
+    """hybrid_retrieval with the overlap of all words, common ones too."""
+    return fused_whole(spark, sf_dir, 5)
+
+
+@query("recall_mrr_at_k_all_words", WHOLE_SQL + GOLD_SQL + """, h AS (SELECT gold.query, rank FROM gold LEFT JOIN (SELECT * FROM final WHERE rank <= 5) f ON f.query = gold.query AND f.doc = gold.doc)
+SELECT query, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5,
+  round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, round(count(*) FILTER (rank <= 5) / 5, 6) AS precision_5 FROM h GROUP BY 1""")
+def recall_mrr_at_k_all_words(spark, sf_dir):
+    return R.judged(hybrid_retrieval_all_words(spark, sf_dir), gold(spark, sf_dir))
+
+
+@query("trace_lost_documents_all_words", WHOLE_SQL + GOLD_SQL + """SELECT gold.query, gold.doc, CASE WHEN f.rank <= 5 THEN 'returned' WHEN f.rank IS NOT NULL THEN 'fused_too_low' ELSE 'not_found' END AS verdict
+FROM gold LEFT JOIN final f ON f.query = gold.query AND f.doc = gold.doc""")
+def trace_lost_documents_all_words(spark, sf_dir):
+    fused = fused_whole(spark, sf_dir, 40).select("query", "doc", "rank")
+    verdict = F.when(F.col("rank") <= 5, "returned").when(F.col("rank").isNotNull(), "fused_too_low").otherwise("not_found")
+    return gold(spark, sf_dir).join(fused, ["query", "doc"], "left").select("query", "doc", verdict.alias("verdict"))
