@@ -162,6 +162,29 @@ def jaccard_keyword_peers(spark, sf_dir):
     return p.where(share >= 0.72).select("a", "b", F.round(share, 4).alias("similarity"))
 
 
+@query("jaccard_keyword_peers_whole_text")
+def jaccard_keyword_peers_whole_text(spark, sf_dir):
+    """Pairs of documents whose long words agree to 72 %, by all words of their texts. Equal sets are one until the end. Exact: of two sets of
+    which 72 % are common, those words of each that are rarest, as many as could be missing and one more, have one in common."""
+    sets = words(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct(F.filter("w", lambda t: F.length(t) > 5))).alias("terms")).where(F.size("terms") > 0)
+    sets = sets.withColumn("id", F.sha2(F.array_join("terms", " "), 256))
+    own = sets.groupBy("id").agg(F.min("terms").alias("terms"))
+    e = own.select("id", F.explode("terms").alias("term"))
+    ranked = e.join(e.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r"))
+    n = F.size("r")
+    lead = ranked.select("id", F.explode(F.slice("r", F.lit(1), (n - F.floor((72 * n + 99) / 100) + 1).cast("int"))).alias("x"), n.alias("n")).select("id", "x.term", "n")
+    a, b = lead.alias("a"), lead.alias("b")
+    sizes = (100 * F.col("a.n") >= 72 * F.col("b.n")) & (100 * F.col("b.n") >= 72 * F.col("a.n"))
+    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    met = met.join(own.select(F.col("id").alias("x"), F.col("terms").alias("s")), "x").join(own.select(F.col("id").alias("y"), F.col("terms").alias("t")), "y")
+    common = F.size(F.array_intersect("s", "t"))
+    share = common / (F.size("s") + F.size("t") - common)
+    near = met.select("x", "y", share.alias("share")).where("share >= 0.72").union(own.select("id", "id", F.lit(1.0)))
+    pairs = near.join(sets.select(F.col("id").alias("x"), F.col("doc_id").alias("i")), "x").join(sets.select(F.col("id").alias("y"), F.col("doc_id").alias("j")), "y")
+    pairs = pairs.where("x <> y OR i < j")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.round("share", 4).alias("similarity"))
+
+
 EDGES_SQL = """WITH RECURSIVE edges AS (
   SELECT concat('nation:', n_nationkey) AS src, concat('region:', n_regionkey) AS dst, 'part_of' AS type, 0.9::DOUBLE AS confidence FROM nation
   UNION ALL SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey), 'lives_in', 0.5::DOUBLE + (c_custkey % 5) / 10.0 FROM customer
