@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +41,21 @@ def _local_sums(size_at: int):
     return run
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, keep_text: bool = True) -> DataFrame:
+def shard_of(middle: Column, total: int, n_shards: int) -> Column:
+    """The shard of a row from twice the place of its middle byte (a long) and the bytes of all rows.
+
+    Whole numbers of any size: `div` leaves out the fraction, where a quotient of decimals would be rounded up to n_shards near the end.
+    """
+    return F.call_function("div", middle.cast("decimal(38,0)") * F.lit(n_shards).cast("decimal(10,0)"), F.lit(max(1, 2 * total)).cast("decimal(38,0)")).cast("int")
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, keep_text: bool = True, order: tuple[Column, ...] | None = None) -> DataFrame:
     """docs with size, text_crc32, shard (0 to n_shards - 1) and slot (gapless from 0 in a shard).
 
     size: UTF-8 bytes of the text (null: none) plus overhead, which must be positive. text_crc32: of the
     UTF-8 bytes (null: of none). Columns of docs with these four names are replaced. keep_text=False leaves
-    the text out, so that only ids and sizes are shuffled. Only one row per partition is gathered.
+    the text out, so that only ids and sizes are shuffled. Only one row per partition is gathered. Shards are cut from
+    the order of ids, or from another one given by columns.
     """
     if n_shards < 1 or overhead < 1:
         raise ValueError("n_shards and overhead must be at least 1")
@@ -55,7 +64,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     sized = without(docs, "size", "text_crc32", "shard", "slot").withColumns({"size": (F.octet_length(text) + F.lit(overhead)).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
     sized = sized if keep_text else sized.drop(text_col)
     schema = T.StructType([*sized.schema.fields, T.StructField(f"{OWN}part", T.IntegerType()), T.StructField(f"{OWN}row", T.LongType()), T.StructField(f"{OWN}before", T.LongType())])
-    placed = written(in_order(sized, F.col(id_col)).mapInArrow(memory.batches(_local_sums(sized.columns.index("size"))), schema), "sharding")
+    placed = written(in_order(sized, *(order or (F.col(id_col),))).mapInArrow(memory.batches(_local_sums(sized.columns.index("size"))), schema), "sharding")
 
     sums = placed.groupBy(f"{OWN}part").agg(F.count("*").alias("n"), F.sum("size").alias("b")).orderBy(f"{OWN}part").collect()
     starts, rows, total = [], 0, 0
@@ -67,7 +76,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     middle = 2 * (F.col(f"{OWN}before") + F.col(f"{OWN}byte0")) + F.col("size")
     at = placed.join(F.broadcast(offsets), f"{OWN}part").withColumns(
         {
-            "shard": F.floor(middle.cast("decimal(38,0)") * F.lit(n_shards) / F.lit(max(1, 2 * total)).cast("decimal(20,0)")).cast("int"),
+            "shard": shard_of(middle, total, n_shards),
             f"{OWN}row": F.col(f"{OWN}row") + F.col(f"{OWN}row0"),
         }
     )

@@ -1,9 +1,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import op5_sharding
-from lodestack.llm.sharding import shard_by_bytes
+from lodestack.llm.sharding import shard_by_bytes, shard_of
 
 
 def brute(sizes, n):
@@ -54,3 +55,16 @@ def test_empty_table_and_bad_input(spark):
         shard_by_bytes(empty, 0)
     with pytest.raises(ValueError):
         shard_by_bytes(empty.drop("text"), 2)
+
+
+@pytest.mark.parametrize("loss", ["true", "false"])
+def test_last_rows_of_large_tables_stay_in_the_last_shard(spark, loss):
+    spark.conf.set("spark.sql.decimalOperations.allowPrecisionLoss", loss)
+    try:
+        for total in (10**9, 3 * 10**10, 10**14, 10**17):
+            for size in (17, 500):
+                middle = 2 * (total - size) + size
+                row = spark.range(1).select(shard_of(F.lit(middle), total, 40).alias("last"), shard_of(F.lit(size), total, 40).alias("first"), shard_of(F.lit(middle), total, 10**6).alias("many")).first()
+                assert tuple(row) == (39, 0, middle * 10**6 // (2 * total)) and row.many == 10**6 - 1
+    finally:
+        spark.conf.unset("spark.sql.decimalOperations.allowPrecisionLoss")
