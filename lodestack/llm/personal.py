@@ -14,17 +14,16 @@ so many on, and spans only there.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import memory
-from lodestack.llm.subword import slices
 from lodestack.llm.store import OWN, require, without, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,8 +35,8 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words and characters on either side of a finding that count as near it, where a support is given.
-NEAR_WORDS, NEAR_CHARS = 8, 200
+#: Words on either side of a finding that count as near it, where a support is given.
+NEAR_WORDS = 8
 #: Runs of letters.
 WORD = re.compile(r"[^\W\d_]+")
 #: Normal quantile of the bound on p(c | t): 95 %, two-sided.
@@ -49,7 +48,6 @@ GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 200_000
 #: Hashes of repeated texts, and repeated values, up to this many are broadcast; the count is checked.
 BROADCAST_ROWS = 1_000_000
-CHUNK_BYTES = 4_000_000
 
 BASE = "array<struct<start:int,kind:int,end:int>>"
 NEAR = "array<struct<term:string,kind:int,start:int,end:int>>"
@@ -97,37 +95,16 @@ def findings(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _letters(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    """Words of letters that lie whole between begin and end."""
-    out, at = [], begin
-    if begin and text[begin - 1].isalpha():
-        while at < end and text[at].isalpha():
-            at += 1
-    while at < end:
-        if text[at].isalpha():
-            to = at + 1
-            while to < end and text[to].isalpha():
-                to += 1
-            if to < end or to == len(text) or not text[to].isalpha():
-                out.append((at, to))
-            at = to
-        else:
-            at += 1
-    return out
-
-
 def near_words(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(term, kind, start, end) of the words near each finding and in none; a word counts once for a kind."""
+    """(term, kind, start, end) of the NEAR_WORDS words on either side of each finding, however far, that are in none; a word counts once for a kind."""
+    words = [m.span() for m in WORD.finditer(text)]
+    begins, stops = [a for a, _ in words], [b for _, b in words]
     spots: dict[tuple[int, int, int], None] = {}
     for start, kind, end in found:
-        before = _letters(text, max(0, start - NEAR_CHARS), start)[-NEAR_WORDS:]
-        after = _letters(text, end, min(len(text), end + NEAR_CHARS))[:NEAR_WORDS]
-        spots.update(((a, kind, b), None) for a, b in before + after)
-    ends, starts, reach = [], [s for s, _, _ in found], 0
-    for _, _, e in found:
-        ends.append(reach := max(reach, e))
-    inside = lambda a, b: (i := int(np.searchsorted(starts, b))) > 0 and ends[i - 1] > a  # noqa: E731  some finding that starts before b ends behind a
-    return [(text[a:b].lower(), kind, a, b) for a, kind, b in spots if not inside(a, b)]
+        before, after = bisect_right(stops, start), bisect_left(begins, end)
+        spots.update(((a, kind, b), None) for a, b in words[max(0, before - NEAR_WORDS) : before] + words[after : after + NEAR_WORDS])
+    outside = set(outside_words(text, found))
+    return [(text[a:b].lower(), kind, a, b) for a, kind, b in spots if (a, b) in outside]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +124,16 @@ def _counting(wanted):
     """Counts of the wanted words of letters (all, if None) in lower case, and of all under the empty word."""
 
     def run(batches):
+        keep = None if wanted is None else frozenset(wanted.value)
         for batch in batches:
-            texts = batch.column(0)
-            for a, b in slices(texts, CHUNK_BYTES):
-                plain = pc.replace_substring_regex(pc.utf8_lower(texts.slice(a, b - a).cast(pa.large_string())), r"\PL+", " ")
-                words = pc.utf8_split_whitespace(plain).flatten().dictionary_encode()
-                n = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
-                real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)
-                keep = real if wanted is None else real & pc.is_in(words.dictionary, pa.array(wanted.value, pa.large_string())).to_numpy(zero_copy_only=False)
-                terms = [*words.dictionary.filter(pa.array(keep)).to_pylist(), ""]
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([*n[keep].tolist(), int(n[real].sum())], pa.int64())], names=["term", "n"])
+            seen: Counter = Counter()
+            for text in batch.column(0):
+                seen.update(WORD.findall(text.as_py()))
+            own: Counter = Counter()
+            for word, n in seen.items():  # lower case as of the terms near findings, word by word
+                own[word.lower()] += n
+            rows = [(t, n) for t, n in own.items() if keep is None or t in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([*[t for t, _ in rows], ""], pa.string()), pa.array([*[n for _, n in rows], sum(own.values())], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -176,7 +153,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, support: int,
     p_kind = F.element_at(F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(max(places.get(k, 1), 1) / max(total, 1)))]), F.col("kind"))
     information = -F.log2(p_kind)
     share = 1 + F.log2(F.least(F.col("n_near") / F.col("n"), F.lit(1.0))) / information
-    return wanted.join(counts, "term").where(information > 0).select("term", "kind", share.alias("share")).where(F.col("share") >= generalise)
+    told = wanted.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.raise_error(F.concat(F.lit("no count of the term "), F.col("term"))).cast("long")))
+    return told.where(information > 0).select("term", "kind", share.alias("share")).where(F.col("share") >= generalise)
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -277,7 +255,8 @@ def disclosing_anywhere(keyed: DataFrame, scanned: DataFrame, generalise: float
     near = F.broadcast if repeated.count() <= BROADCAST_ROWS else (lambda df: df)
     texts = keyed.join(near(repeated), KEY[1], "left").select(F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text")
     counts = texts.mapInArrow(memory.batches(_texts_with(wanted)), "term string, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).alias("n"))
-    told = pairs.join(counts, "term").withColumn("share", _share(F.col("n_both"), F.col("n"), F.col("information"))).where(F.col("share") >= generalise)
+    counted = pairs.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.raise_error(F.concat(F.lit("no count of the term "), F.col("term"))).cast("double")))
+    told = counted.withColumn("share", _share(F.col("n_both"), F.col("n"), F.col("information"))).where(F.col("share") >= generalise)
     best = F.max(F.struct("share", (-F.col("kind")).alias("kind"))).alias("best")
     return told.groupBy("term").agg(best).select("term", (-F.col("best.kind")).cast("int").alias("kind"), "best.share")
 
@@ -329,9 +308,9 @@ def _located(keyed: DataFrame, told: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int | None = None, generalise: float = GENERALISE) -> DataFrame:
     """A row for each row of docs: doc_id, base and terms, sorted arrays of (start, kind, end[, share]), and a key of id and text.
 
-    kind counts from 0 in KINDS. A null text is empty. Where a term discloses several kinds or values its largest share counts.
+    kind counts from 0 in KINDS. A null text is empty; texts of any length are read whole; an empty table gives no rows. Where a term discloses several kinds or values its largest share counts.
     terms has every place of a disclosing term, in documents without findings too. With a support, only words near findings
-    of a kind count, from so many on, and only there; then repeated rows count as often as they stand, else equal texts once.
+    of a kind count (NEAR_WORDS on either side, at any distance), from so many on, and only there; then repeated rows count as often as they stand, else equal texts once.
     Other columns are not kept. Repeated rows each get a row.
     """
     require(docs, id_col, text_col)

@@ -61,8 +61,8 @@ def test_words_near_findings():
     got = near_words(text, findings(text))
     assert {(t, k) for t, k, _, _ in got} == {(t, k) for t in ("one", "two", "three", "four", "five") for k in (0, 1)}
     assert all(text[a:b].lower() == t for t, _, a, b in got)
-    cut = "x" * 300 + " a@b.c " + "y" * 300
-    assert near_words(cut, findings(cut)) == []
+    far = "born" + " " * 250 + "a@b.c " + "y" * 300 + " - " * 500 + "end"
+    assert [t for t, _, _, _ in near_words(far, findings(far))] == ["born", "y" * 300, "end"]
 
 
 def test_query_agrees_with_brute_force(spark, sf_dir):
@@ -165,3 +165,14 @@ def test_defaults_find_a_name_by_its_address_and_everywhere(spark, monkeypatch):
             assert [(s.start, s.end) for s in r.terms] == spots
     out = {r.doc_id: r.sanitised for r in sanitise(frame, remove=2.0).collect()}
     assert out[5000] == "we met <TERM> there, <TERM> left" and "lena" not in out[0] and out[5001] is None
+
+
+def test_terms_in_other_scripts_are_counted_as_they_are_told(spark):
+    """Lower case of a word depends on its end (sigma), and may have another length (dotted I)."""
+    docs = [(i, f"{w} user{i}@x{i}.gr") for i in range(40) for w in ["ΚΩΔΙΚΟΣ" if i % 2 else "İSTANBUL"]]
+    docs += [(1000 + i, f"plain text number {'abcdefgh'[i % 8] * (1 + i // 8)}") for i in range(2000)] + [(5000, "a ΚΩΔΙΚΟΣ stands here, an İSTANBUL too")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = dict(docs)
+    for how in ({}, {"support": 5}):
+        told = {texts[r.doc_id][s.start : s.end] for r in personal_data(frame, **how).where("doc_id < 1000").collect() for s in r.terms}
+        assert told == {"ΚΩΔΙΚΟΣ", "İSTANBUL"}, how
