@@ -17,11 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: n-grams of longer words start at steps that leave about so many of each length.
-STARTS = 64
+#: Characters of words whose n-grams are made at once; longer words are cut in pieces that overlap, so that no n-gram is lost.
+PIECE = 500_000
 AGAIN = b"a word with itself"
-#: Bytes of text taken apart at once while learning.
-LEARN_BYTES = 500_000
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -48,28 +46,50 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def features(words: pa.Array, buckets: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of all words' features, one word after the other, and how many each has."""
-    listed = words.to_pylist()
-    marked = np.frombuffer("".join([f"<{w}>" for w in listed]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    length = np.fromiter(map(len, listed), np.int64, len(listed)) + 2
-    end = np.cumsum(length)
-    owner = np.repeat(np.arange(len(listed)), length)
-    inside = np.arange(len(marked)) - np.repeat(end - length, length)
-    starts = inside % np.maximum(1, length // STARTS)[owner] == 0
-    rows, owners = [np.fromiter((zlib.crc32(w.encode()) for w in listed), np.int64, len(listed)) % buckets], [np.arange(len(listed))]
-    h = np.zeros(len(marked), np.uint64)
+def features(words: list[str], buckets: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, owners) in turns: the rows of the features of all words, the word itself and all its n-grams, and which word each is of."""
+    if words:
+        yield np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets, np.arange(len(words))
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, w in enumerate(words):
+        marked = f"<{w}>"
+        # Pieces of a long word overlap by high - 1 characters; each makes the n-grams that start in it and not in the next.
+        for at in range(0, len(marked), PIECE):
+            held.append((i, marked[at : at + PIECE + high - 1]))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                yield _ngrams(held, buckets, low, high)
+                held, size = [], 0
+    if held:
+        yield _ngrams(held, buckets, low, high)
+
+
+def _ngrams(held: list[tuple[int, str]], buckets: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the n-grams of some pieces of words, and the words that they are of. The last high - 1 characters of a piece that
+    goes on start none."""
+    letters = np.frombuffer("".join(t for _, t in held).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.array([len(t) for _, t in held], np.int64)
+    owner = np.repeat(np.array([i for i, _ in held], np.int64), length)
+    inside = np.arange(len(letters)) - np.repeat(np.cumsum(length) - length, length)
+    left = np.repeat(length, length) - inside
+    rows, owners = [], []
+    h = np.zeros(len(letters), np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, high + 1):
-            h = h[: max(0, len(marked) - n + 1)] * np.uint64(0x100000001B3) + marked[n - 1 :] + np.uint64(1)
+            h = h[: max(0, len(letters) - n + 1)] * np.uint64(0x100000001B3) + letters[n - 1 :] + np.uint64(1)
             if n >= low:
-                at = np.flatnonzero(starts[: len(h)] & (inside[: len(h)] + n <= length[owner[: len(h)]]))
+                at = np.flatnonzero((left[: len(h)] >= n) & (inside[: len(h)] < PIECE))
                 mixed = (h[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
                 rows.append(((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
                 owners.append(owner[at])
-    own = np.concatenate(owners)
-    order = np.argsort(own, kind="stable")
-    return np.concatenate(rows)[order], np.bincount(own, minlength=len(listed))
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+def n_features(words: list[str], low: int, high: int) -> np.ndarray:
+    """How many features each word has."""
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return 1 + sum(np.maximum(0, length - n + 1) for n in range(low, high + 1))
 
 
 def repeats(place: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,30 +120,28 @@ class SubwordClassifier:
     bias: float = 0.0
     empty: float = 0.5
 
-    def _documents(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's rows and their shares of its features."""
-        words, place, ends = split(texts)
-        flat, size = features(words, self.buckets, self.low, self.high)
-        begin = np.cumsum(size) - size
-        again = repeats(place, ends)
-        out = []
-        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
-            w, c = np.unique(place[a:b], return_counts=True)
-            n = size[w]
-            rows = flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            f, inverse = np.unique(np.r_[rows, zlib.crc32(AGAIN) % self.buckets], return_inverse=True)
-            count = np.bincount(inverse, np.r_[np.repeat(c, n), again[a:b].sum()])
-            out.append((f.astype(np.int32), (count / max(1.0, count.sum())).astype(np.float32)))
-        return out
+    def document(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of a whole text's features and their shares of them; at most `buckets` of either, however long the text."""
+        words, place, ends = split(pa.array([text], pa.string()))
+        times = np.bincount(place, minlength=len(words)).astype(float)
+        count = np.zeros(self.buckets)
+        for rows, owners in features(words.to_pylist(), self.buckets, self.low, self.high):
+            count += np.bincount(rows, times[owners], minlength=self.buckets)
+        count[zlib.crc32(AGAIN) % self.buckets] += repeats(place, ends).sum()
+        found = np.flatnonzero(count)
+        return found.astype(np.int32), (count[found] / max(1.0, count.sum())).astype(np.float32)
 
     def fit(self, texts: pa.Array, labels: np.ndarray) -> SubwordClassifier:
-        """Learn from texts and their labels. Texts without words teach only the score of such texts."""
+        """Learn from texts and their labels."""
+        return self.learn([self.document(t.as_py()) for t in texts], labels)
+
+    def learn(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> SubwordClassifier:
+        """Learn from documents (see document()) and their labels. Texts without words teach only the score of such texts."""
         labels = np.asarray(labels, np.int64)
         rng = np.random.default_rng(self.seed)
-        docs = [d for a, b in slices(texts, LEARN_BYTES) for d in self._documents(texts.slice(a, b - a))]
         vectors = ((rng.random((self.buckets, self.dim)) - 0.5) / self.dim).astype(np.float32)
         out, offset = np.zeros((self.dim, 2), np.float32), np.zeros(2, np.float32)
-        blank = np.array([share.sum() == 0 for _, share in docs], bool)
+        blank = np.array([len(rows) == 0 for rows, _ in docs], bool)
         usable = np.flatnonzero(~blank)
         epochs = -(-self.examples // max(1, len(usable))) if len(usable) else 0
         done, total = 0, max(1, epochs * len(usable))
@@ -157,8 +175,10 @@ class SubwordClassifier:
     def scores(self, texts: pa.Array) -> np.ndarray:
         """How likely class 1 is, from 0 to 1. Texts without words have the share of class 1 among such (smoothed)."""
         words, place, ends = split(texts)
-        flat, size = features(words, self.buckets, self.low, self.high)
-        lean = sums(self.weights[flat].astype(float), np.cumsum(size))
+        words = words.to_pylist()
+        lean, size = np.zeros(len(words)), n_features(words, self.low, self.high)
+        for rows, owners in features(words, self.buckets, self.low, self.high):
+            lean += np.bincount(owners, self.weights[rows].astype(float), minlength=len(words))
         again = repeats(place, ends)
         total = sums(lean[place] + again * float(self.weights[zlib.crc32(AGAIN) % self.buckets]), ends)
         n = sums(size[place] + again, ends)
