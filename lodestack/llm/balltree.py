@@ -29,9 +29,11 @@ def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
 class BallTree:
     """Points of one dimension with ids. Equal points split by their place, so depth is bounded by their number."""
 
-    FIELDS = ("ids", "points", "centre", "radius", "least", "begin", "end", "left", "right")
+    FIELDS = ("ids", "rows", "points", "centre", "radius", "least", "begin", "end", "left", "right")
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None):
+        """rows tell points apart where ids repeat; without them the ids do."""
+        rows = ids if rows is None else rows
         order = np.arange(len(ids))
         nodes: list[list] = []
 
@@ -53,7 +55,7 @@ class BallTree:
 
         if len(ids):
             grow(0, len(ids))
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.rows, self.points = ids[order], rows[order], points[order]
         self.centre = np.array([n[0] for n in nodes]).reshape(len(nodes), points.shape[1])
         self.radius, self.least = np.array([n[1] for n in nodes], float), np.array([n[2] for n in nodes], np.int64)
         self.begin, self.end, self.left, self.right = (np.array([n[i] for n in nodes], np.int64) for i in (3, 4, 5, 6))
@@ -76,8 +78,8 @@ class BallTree:
         most = queries @ self.centre.T + np.linalg.norm(queries, axis=1)[:, None] * self.radius
         return most + 1e-9 * np.abs(most) + 1e-6 * (1 + np.linalg.norm(queries, axis=1))[:, None]
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, best: TopK) -> int:
-        """Offer best every point that can be among a query's k, itself excepted; the number of points scored."""
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, best: TopK) -> int:
+        """Offer best every point that can be among a query's k, the query's own row excepted; the number of points scored."""
         if not len(self.ids) or not len(queries):
             return 0
         bounds = self.bounds(queries)
@@ -95,7 +97,7 @@ class BallTree:
                 part = slice(self.begin[leaf], self.end[leaf])
                 scores = exact_scores(queries[mine], self.points[part])
                 scored += scores.size
-                best.offer(mine, scores, self.ids[part], query_ids[mine])
+                best.offer(mine, scores, self.ids[part], self.rows[part], query_rows[mine])
         return scored
 
     def _descend(self, bounds: np.ndarray, best: TopK) -> np.ndarray:
@@ -109,6 +111,45 @@ class BallTree:
         return alive
 
 
+def spread(points: np.ndarray, leaves: int, least: int = 16) -> dict[str, np.ndarray]:
+    """Cuts of a space into at most so many cells, fitted to some points: each cut halves the points of a part at the median along the
+    line between two far ones, while a part has 2 * least. Arrays by node: line, cut, left, right (cells are -1 - cell) and the cells' centres."""
+    line, cut, left, right, centres = [], [], [], [], []
+
+    def grow(own: np.ndarray, room: int) -> int:
+        if room > 1 and len(own) >= 2 * least:
+            far = own[int(((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax())]
+            other = own[int(((own - far) ** 2).sum(axis=1).argmax())]
+            along = own @ (other - far)
+            middle = float(np.median(along))
+            low = along < middle
+            if 0 < low.sum() < len(own):
+                me = len(line)
+                line.append(other - far)
+                cut.append(middle)
+                left.append(0)
+                right.append(0)
+                left[me] = grow(own[low], room // 2)
+                right[me] = grow(own[~low], room - room // 2)
+                return me
+        centres.append(own.mean(axis=0))
+        return -len(centres)
+
+    grow(points, max(1, leaves))
+    dim = points.shape[1]
+    return {"line": np.array(line).reshape(-1, dim), "cut": np.array(cut), "left": np.array(left, np.int64), "right": np.array(right, np.int64), "centres": np.array(centres).reshape(-1, dim)}
+
+
+def cell_of(cuts: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+    """The cell of each point."""
+    at = np.zeros(len(points), np.int64) if len(cuts["line"]) else np.full(len(points), -1, np.int64)
+    while (todo := np.flatnonzero(at >= 0)).size:
+        node = at[todo]
+        low = np.einsum("ij,ij->i", points[todo], cuts["line"][node]) < cuts["cut"][node]
+        at[todo] = np.where(low, cuts["left"][node], cuts["right"][node])
+    return -1 - at
+
+
 class TopK:
     """The k best (score, id) of each query so far: higher scores first, ties to the smaller id.
 
@@ -125,13 +166,13 @@ class TopK:
         room = (self.count[rows] < self.k) | (bound > kth) | ((bound == kth) & (least < self.ids[rows, -1]))
         return room & (bound >= self.floor[rows].astype(float))
 
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, not_ids: np.ndarray) -> None:
-        """scores[i, j] is of the query in row rows[i] with ids[j]; not_ids[i], its own id, is left out."""
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
+        """scores[i, j] is of the query in row rows[i] with ids[j]; the point whose place is own[i], the query itself, is left out."""
         least = np.maximum(self.floor[rows], np.where(self.count[rows] >= self.k, self.scores[rows, -1], INT_MIN))
         near = scores >= least[:, None]
         for i in np.flatnonzero(near.any(axis=1)):
             row, found = rows[i], np.flatnonzero(near[i])
-            found = found[ids[found] != not_ids[i]]
+            found = found[places[found] != own[i]]
             if len(found) > 4 * self.k:  # of many, first those that can stay
                 cut = np.partition(scores[i][found], -self.k)[-self.k]
                 found = found[scores[i][found] >= cut]
