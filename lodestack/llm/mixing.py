@@ -5,7 +5,8 @@ block_words. A source is due ceil(target / block_words) blocks. Its weight is an
 on a line of 2^m steps, and slot i of the schedule stands at the van der Corput point of i (its bits reversed):
 the source whose interval holds the point owns the slot. Since the first 2^m points meet every step once, each
 source gets exactly its blocks, spread evenly over the schedule at every scale; the k-th slot of a source gives
-its k-th block. The last block of a source is cut at its target.
+its k-th block. The last block of a source is cut at its target. The mix is the table of the blocks' pieces of documents in
+the order of their slots; what a document contributes, and where, is read from that table alone.
 
 Built-in operations only. A hot source is spread over (range partition, source) groups for its order, over pieces of
 its interval for its slots and over (source, block) for the join.
@@ -61,7 +62,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     return slots.withColumn("rank", rank).join(chunks, ["key", "chunk"]).select("key", "slot", (F.col("first") + F.col("rank") - 1).alias("block"))
 
 
-def mix(
+def ordered_mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
@@ -71,14 +72,13 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-) -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target, taken, copies, row key.
+) -> tuple[DataFrame, DataFrame]:
+    """(pieces, stream): the mix itself, and the rows of docs in the order in which their sources are gone through.
 
-    size: words of the text (null: 0). Sources in the order of code points, null last, have the weights in turn
-    and share `share` times all words; a target stops at cap times its source. taken: words of the document in
-    the mix, at most cap times its size. copies: whole times it is taken, the nearest; for a document without words, the
-    passes that come to its place. The order in a source is that of md5(seed|id), then id, size and input order; a
-    rerun on the same input agrees. text_crc32 tells rows apart for callers that join on it. Other columns are not kept.
+    pieces: slot, at (word of its source's stream, by which pieces of a slot are ordered), words, place (the row of stream),
+    pass (from 0), first (word of the document at which the piece begins). A document is cut where a block ends. A document
+    without words has a piece of no words in each pass that comes to it.
+    stream: place, doc_id, source, size, text_crc32, source_size, target for each row of docs, in any order of the table.
     """
     if cap < 1 or share > cap or block_words < 1:
         raise ValueError("cap and block_words must be at least 1, and share at most cap")
@@ -97,16 +97,36 @@ def mix(
     # The stream: words before each document in its source, from all words before it less those before the source.
     placed = numbered(slim, F.col("key"), F.col("shuffled"), F.col("doc_id"), F.col("size"), sums=("size",), row="place", what="mixing-order")
     begins = numbered(sources.select("key", "source_size"), F.col("key"), sums=("source_size",), what="mixing-begins").select("key", F.col("before_source_size").alias("begin"))
-    stream = placed.join(sources.join(begins, "key"), "key").withColumn("at", F.col("before_size") - F.col("begin"))
+    stream = placed.join(sources.join(begins, "key"), "key").withColumn("from", F.col("before_size") - F.col("begin"))
 
     slots = written(schedule(sources), "mixing-schedule")  # a table, so that its true size decides how it is joined
-    passes = stream.withColumn("pass", F.explode(F.expr(f"sequence(0L, {cap - 1}L)"))).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
-    passes = passes.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("due")))
-    pieces = passes.withColumn("block", F.explode_outer(F.expr(f"if(to > from, sequence(from div {block_words}, (to - 1) div {block_words}), null)")))
-    words = F.least("to", (F.col("block") + 1) * block_words) - F.greatest("from", F.col("block") * block_words)
-    joined = pieces.select("place", "doc_id", "source", "size", "text_crc32", "source_size", "target", "key", "block", words.alias("words"), (F.col("from") < F.col("due")).cast("long").alias("reached")).join(
-        slots, ["key", "block"], "left"
-    )
-    found = joined.groupBy("place", "doc_id", "source", "size", "text_crc32", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"), F.sum("reached").alias("reached"))
+    passes = stream.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("from", F.col("from") + F.col("pass") * F.col("source_size"))
+    passes = passes.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("due"))).where(F.col("from") < F.col("due"))
+    begin = F.greatest("from", F.col("block") * block_words)
+    pieces = passes.withColumn("block", F.explode(F.expr(f"sequence(from div {block_words}, greatest(to - 1, from) div {block_words})")))
+    pieces = pieces.select("key", "block", "place", "pass", begin.alias("at"), (F.least("to", (F.col("block") + 1) * block_words) - begin).alias("words"), (begin - F.col("from")).alias("first"))
+    pieces = pieces.join(slots, ["key", "block"]).select("slot", "at", "words", "place", "pass", "first")
+    return written(pieces, "mixing-pieces"), stream.select("place", "doc_id", "source", "size", "text_crc32", "source_size", "target")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, **how) -> DataFrame:
+    """A row for each row of docs: doc_id, source, size, text_crc32, source_size, target, taken, n_pieces, first_slot, copies, spots.
+
+    size: words of the text (null: 0). Sources in the order of code points, null last, have the weights in turn
+    and share `share` times all words; a target stops at cap times its source. taken: words of the document in
+    the mix (see ordered_mix()), at most cap times its size, in n_pieces pieces, the first in first_slot (null where nothing is taken).
+    copies: whole times it is taken, the nearest, so whole copies meet a source's target up to a document; for a document
+    without words, the passes that come to its place. spots: for each copy the (slot, at) of its pass's first piece, the order of copies in the
+    mix. The order in a source is that of md5(seed|id), then id, size and input order; a rerun on the same input agrees.
+    text_crc32 tells rows apart for callers that join on it. Other columns are not kept. An empty table gives no rows; a very long
+    text is a row of many pieces.
+    """
+    pieces, stream = ordered_mix(docs, weights, share, cap, **how)
+    real = F.col("words") > 0
+    spot = F.struct("slot", "at")
+    per_pass = [F.min(F.when(F.col("pass") == p, spot)).alias(f"spot{p}") for p in range(cap)]
+    found = pieces.groupBy("place").agg(F.sum("words").alias("taken"), F.count_if(real).alias("n_pieces"), F.min(F.when(real, F.col("slot"))).alias("first_slot"), F.countDistinct("pass").alias("reached"), *per_pass)
+    own = stream.join(found, "place", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("taken", "n_pieces", "reached")})
     copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.col("reached")).cast("int")
-    return found.select("doc_id", "source", "size", "text_crc32", "source_size", "target", "taken", copies.alias("copies"), F.col("place").alias(f"{OWN}place"))
+    spots = F.slice(F.array(*[F.col(f"spot{p}") for p in range(cap)]), 1, F.col("copies"))
+    return own.withColumn("copies", copies).select("doc_id", "source", "size", "text_crc32", "source_size", "target", "taken", "n_pieces", "first_slot", "copies", spots.alias("spots"), F.col("place").alias(f"{OWN}place"))

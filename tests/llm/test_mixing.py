@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from lodestack.llm import op8_mixing
-from lodestack.llm.mixing import mix, schedule
+from lodestack.llm.mixing import mix, ordered_mix, schedule
 from lodestack.llm.store import numbered, written
 
 
@@ -25,6 +25,35 @@ def test_every_source_gets_its_blocks_evenly(spark):
     assert len({r.slot for r in rows}) == 901
 
 
+def test_the_mix_comes_through_its_schedule(spark, sf_dir):
+    """The pieces in order are the blocks of the schedule, each filled with its source's words in turn."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces, stream = ordered_mix(docs, block_words=64)
+    rows = {r.place: r for r in stream.collect()}
+    by_slot = {}
+    for p in sorted(pieces.collect(), key=lambda p: (p.slot, p.at)):
+        assert 0 <= p.first and p.first + p.words <= rows[p.place].size
+        by_slot.setdefault(p.slot, []).append(p)
+    last, due = {}, {r.source: int(r.target) for r in rows.values()}
+    for slot in sorted(by_slot):
+        own = by_slot[slot]
+        (source,) = {rows[p.place].source for p in own}
+        begin = last.get(source, 0)
+        assert own[0].at == begin and all(a.at + a.words == b.at for a, b in zip(own, own[1:]))
+        last[source] = begin + sum(p.words for p in own)
+        assert last[source] - begin == min(64, due[source] - begin)
+    assert last == {s: d for s, d in due.items() if d}
+    # Any stretch of the mix has the sources in their shares.
+    half = sorted(by_slot)[: len(by_slot) // 2]
+    for source, d in due.items():
+        assert abs(sum(p.words for s in half for p in by_slot[s] if rows[p.place].source == source) - d / 2) <= 64 * 8
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 9, 9), (2, "d", "y", 9, 9)], "doc_id long, text string, source string, slot int, place int")
+    assert sorted((r.doc_id, r.size) for r in mix(docs).collect()) == [(1, 3), (2, 1)]
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x", 0), (1, "a b c", "x", 0), (None, "w " * 500, None, 0), (2, None, "x", 0), (3, "", "é", 0), (4, " \t ", "z", 0), (5, "one two", "Z", 0)] + [(9, "hot row", "x", 0)] * 30
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
@@ -32,7 +61,8 @@ def test_odd_rows(spark):
     assert len(got) == len(rows)
     by = {}
     for r in got:
-        assert 0 <= r.taken <= 2 * r.size and 0 <= r.copies <= 2
+        assert 0 <= r.taken <= 2 * r.size and 0 <= r.copies <= 2 and len(r.spots) == r.copies and None not in r.spots
+        assert (r.n_pieces > 0) == (r.first_slot is not None) == (r.taken > 0)
         by.setdefault((r.source, r.source_size, r.target), []).append(r.taken)
     assert all(sum(v) == int(k[2]) for k, v in by.items())
     sizes = {k[0]: k[1] for k in by}
