@@ -36,7 +36,14 @@ BROADCAST_ROWS = 1_000_000
 #: Shingles of so many sets in a unit are counted by matrix products of about so many cells.
 DENSE, CELLS = 64, 4_000_000
 
-DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("hash", "<i8"), ("n", "<i4"), ("set", "<i8")])
+#: Bytes of text whose signatures make a bucket.
+BUCKET_BYTES = 16_000_000
+#: Sets whose signatures a task remembers to have handed on.
+SIGNED = 200_000
+
+DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("hash", "<i8"), ("n", "<i4"), ("set", "<i8"), ("check", "<i8")])
+#: Part of an id, by which sets meet; and the whole id.
+SET = "struct<set:bigint,check:bigint>"
 NO_ID = -(2**63)
 
 
@@ -46,14 +53,15 @@ def _signing(buckets: int, percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
         docs: list[tuple] = []
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[tuple[int, int], np.ndarray] = {}
+        signed: set[tuple[int, int]] = set()
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, sets, held, turn
+            nonlocal docs, sets, signed, held, turn
             turn += 1
             rows = [(turn % buckets, np.array(docs, DOC).tobytes(), b"", b"", b"")] if docs else []
-            ids = np.fromiter(sets, np.int64, len(sets))
+            ids = np.fromiter((s for s, _ in sets), np.int64, len(sets))
             sig, owner = signatures(list(sets.values()), percent)
             order = np.argsort(sig % np.uint64(buckets), kind="stable")
             sig, owner = sig[order], owner[order]
@@ -62,6 +70,7 @@ def _signing(buckets: int, percent: int, width: int):
                 if y > x:
                     used, at = np.unique(owner[x:y], return_inverse=True)
                     rows.append((b, b"", ids[used].tobytes(), sig[x:y].tobytes(), at.astype("<u4").tobytes()))
+            signed = (set() if len(signed) + len(sets) > SIGNED else signed) | sets.keys()
             docs, sets, held = [], {}, 0
             for k in range(0, len(rows), 64):
                 part = rows[k : k + 64]
@@ -72,8 +81,8 @@ def _signing(buckets: int, percent: int, width: int):
             for a, b in slices(batch.column(2), CHUNK_BYTES):
                 for i, features in enumerate(shingle_sets(batch.column(2).slice(a, b - a), width), a):
                     s = set_id(features)
-                    docs.append((ids[i] or 0, ids[i] is None, hashes[i], len(features), s))
-                    if len(features) and s not in sets:
+                    docs.append((ids[i] or 0, ids[i] is None, hashes[i], len(features), *s))
+                    if len(features) and s not in sets and s not in signed:
                         sets[s] = features
                         held += len(features)
                 if held >= FLUSH or len(docs) >= FLUSH:
@@ -87,7 +96,7 @@ def _meeting(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Documents unpacked, and (set, leader) of the sets that share a signature of this bucket."""
     docs = np.concatenate([np.frombuffer(x, DOC) for x in rows["docs"]])
     some = rows[rows["sigs"].str.len() > 0]
-    own = pd.DataFrame({"id": docs["id"], "null": docs["null"] > 0, "hash": docs["hash"], "n": docs["n"], "set": docs["set"], "leader": np.zeros(len(docs), np.int64), "is_doc": np.ones(len(docs), bool)})
+    own = pd.DataFrame({"id": docs["id"], "null": docs["null"] > 0, "hash": docs["hash"], "n": docs["n"], "set": docs["set"], "check": docs["check"], "leader": np.zeros(len(docs), np.int64), "is_doc": np.ones(len(docs), bool)})
     if not len(some):
         return own
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in some["sigs"]])
@@ -99,7 +108,7 @@ def _meeting(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     pairs = np.stack([sets, leader], axis=1)[sets != leader]
     pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
     n = len(pairs)
-    met = pd.DataFrame({"id": np.zeros(n, np.int64), "null": np.zeros(n, bool), "hash": np.zeros(n, np.int64), "n": np.zeros(n, np.int32), "set": pairs[:, 0], "leader": pairs[:, 1], "is_doc": np.zeros(n, bool)})
+    met = pd.DataFrame({"id": np.zeros(n, np.int64), "null": np.zeros(n, bool), "hash": np.zeros(n, np.int64), "n": np.zeros(n, np.int32), "set": pairs[:, 0], "check": np.zeros(n, np.int64), "leader": pairs[:, 1], "is_doc": np.zeros(n, bool)})
     return pd.concat([own, met])
 
 
@@ -165,17 +174,19 @@ def _comparing(percent: int, width: int, second: bool):
     """For each unit of a bundle the links (a, b) that span its components; in the second round only between its own sets and outsiders."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows.drop_duplicates("set")
-        sets: dict[int, np.ndarray] = {}
+        rows = rows.assign(at=rows.groupby(["set", "check"], sort=False).ngroup())  # a number for each set here
+        texts = rows.drop_duplicates("at").sort_values("at")
+        sets: list[np.ndarray] = []
         for a, b in slices(pa.array(texts["text"], pa.large_string()), CHUNK_BYTES):
-            part = texts.iloc[a:b]
-            sets.update(zip(part["set"].tolist(), shingle_sets(pa.array(part["text"], pa.string()), width), strict=True))
+            sets += shingle_sets(pa.array(texts["text"].iloc[a:b], pa.string()), width)
         spans = []
-        for _, own in rows.groupby(["leader", "unit", "block"], sort=False):
-            own = own.sort_values("outside").drop_duplicates("set")
-            ids = own["set"].to_numpy()
+        for _, own in rows.groupby(["leader", "leader_check", "unit", "block"], sort=False):
+            own = own.sort_values("outside").drop_duplicates("at")
+            ids = own["at"].to_numpy()
             spans += forest(ids, linked([sets[s] for s in ids.tolist()], percent, int((~own["outside"]).sum()) if second else None))
-        return pd.DataFrame(np.array(spans, np.int64).reshape(-1, 2), columns=["a", "b"])
+        a, b = np.array(spans, np.int64).reshape(-1, 2).T
+        id, check = texts["set"].to_numpy(), texts["check"].to_numpy()
+        return pd.DataFrame({"a": id[a], "a_check": check[a], "b": id[b], "b_check": check[b]})
 
     return run
 
@@ -184,8 +195,10 @@ def _bundled(units: DataFrame, texts: DataFrame, compare) -> DataFrame:
     """The links of units: these get their texts, and about a thousand texts go to a task together."""
     bundles = max(1, -(-units.count() // 1000))
     put = F.pmod(F.xxhash64("leader", "unit", "block"), F.lit(bundles)).alias("bundle")
-    held = units.join(texts, "set").select(put, "leader", "unit", "block", "set", "outside", "text")
-    return written(held.groupBy("bundle").applyInPandas(memory.groups(compare), "a long, b long"), "jaccard-links")
+    held = units.join(texts, "set").select(put, F.col("leader.set").alias("leader"), F.col("leader.check").alias("leader_check"), "unit", "block", "set.*", "outside", "text")
+    links = held.groupBy("bundle").applyInPandas(memory.groups(compare), "a long, a_check long, b long, b_check long")
+    whole = lambda x: F.struct(F.col(x).alias("set"), F.col(f"{x}_check").alias("check")).alias(x)
+    return written(links.select(whole("a"), whole("b")), "jaccard-links")
 
 
 def _second_round(units: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -207,21 +220,28 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
     Documents link when 100 * |A & B| >= percent * |A | B| for their sets of shingles. component_id is the smallest id
     that links reach. A document without words (or with a null text) links with nothing and is its own component; rows without an
     id take part, but never name a component unless no other row could. Equal sets always have the same component. Sets are told apart by a
-    63-bit, shingles by a 64-bit hash. Other columns are not kept.
+    127-bit, shingles by a 64-bit hash. Texts are read whole, however long; an empty table gives no rows. Other columns are not kept.
     """
     if not 1 <= percent <= 100 or width < 1:
         raise ValueError("percent must be from 1 to 100 and width at least 1")
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    signed = keyed.mapInArrow(memory.batches(_signing(shuffle_partitions(spark), percent, width)), "bucket int, docs binary, sets binary, sigs binary, at binary")
-    met = written(signed.groupBy("bucket").applyInPandas(memory.groups(_meeting), "id long, null boolean, hash long, n int, set long, leader long, is_doc boolean"), "jaccard-met")
-    rows = met.where("is_doc").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", "set")
-    stars = written(met.where("NOT is_doc").select("set", "leader").distinct(), "jaccard-stars")
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
+    signed = keyed.mapInArrow(memory.batches(_signing(buckets, percent, width)), "bucket int, docs binary, sets binary, sigs binary, at binary")
+    signed = signed.repartition(buckets, "bucket")  # else Spark would put the buckets of large inputs in as few tasks as it has partitions
+    met = written(signed.groupBy("bucket").applyInPandas(memory.groups(_meeting), "id long, null boolean, hash long, n int, set long, check long, leader long, is_doc boolean"), "jaccard-met")
+    rows = met.where("is_doc").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", F.struct("set", "check").alias("set"))
+    met = met.where("NOT is_doc").select("set", "leader").distinct()
 
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "hash")
     known = written(rows.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.min_by(place, order).alias("first"), F.min("doc_id").alias("least")), "jaccard-sets")
+    # Sets met by a part of their ids; where several have it, all of them go on, to be told apart by their shingles.
+    ids = known.select(F.col("set.set").alias("of"), F.col("set").alias("id"))
+    stars = met.join(ids, F.col("set") == F.col("of")).select("leader", F.col("id").alias("member")).join(ids, F.col("leader") == F.col("of"))
+    stars = written(stars.select(F.col("member").alias("set"), F.col("id").alias("leader")), "jaccard-stars")
 
     parts = F.greatest(F.ceil(F.count("*") / UNIT), F.ceil(F.sum("n") / UNIT_SHINGLES)).cast("int")
     sizes = written(stars.join(known.select("set", "n"), "set").groupBy("leader").agg(parts.alias("units")), "jaccard-leaders")
@@ -240,8 +260,8 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = known.join(roots, known["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-least")  # a table, so that a large component's join can be split
     named = named.join(least, "root").select("set", "component_id")
     out = rows.join(named, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("set").alias("set_id"), F.col("hash").alias("text_hash"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.concat_ws("-", "set.set", "set.check").alias("set_id"), F.col("hash").alias("text_hash"))

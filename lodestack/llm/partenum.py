@@ -6,7 +6,9 @@ hashed into n1 parts of three sub-parts each, n1 = k // 2 + 1 + spare: more than
 differing features, so at least spare + 1 parts hold at most one, and in each of them two of the three
 sub-parts are alike. A signature is the content of two of the three sub-parts; all three pairs are enumerated, so such
 sets share a signature in spare + 1 parts at least. A set in which at most spare parts have a pair of empty
-sub-parts can therefore leave the signatures of empty pairs out, and no similar set is lost.
+sub-parts can therefore leave the signatures of empty pairs out, and no similar set is lost. Other sets leave them out too, and are hashed
+anew for more signatures, until a hashing has few empty pairs: of two similar sets, both have the signatures of the first hashing in which
+either has few, and meet there. Only what has many in all LEVELS hashings keeps those of the last.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import xxhash
 
 #: Sizes in a band differ by this factor at most, or by the one that the threshold lets similar sets differ by.
 BAND = 1.5
+#: Hashings that a set may go through.
+LEVELS = 16
 #: Parts in a hundred added to the needed ones, and those added always.
 SPARE_SHARE, SPARE = 3, 2
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -72,9 +76,10 @@ def shingle_sets(texts: pa.Array, width: int = 4) -> list[np.ndarray]:
     return out
 
 
-def set_id(features: np.ndarray) -> int:
-    """One number for equal sets."""
-    return xxhash.xxh3_64_intdigest(features.tobytes()) >> 1
+def set_id(features: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as a number of 63 bits and one of 64 with a sign."""
+    whole = xxhash.xxh3_128_intdigest(features.tobytes())
+    return (whole >> 64) >> 1, ((whole & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
 
 
 @lru_cache(maxsize=None)
@@ -120,22 +125,36 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             spare.append(e)
     if not owner:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    owner, number, parts, spare = (np.array(x, np.int64) for x in (owner, number, parts, spare))
+    now = tuple(np.array(x, np.int64) for x in (owner, number, parts, spare))
+    found, owners = [], []
+    for level in range(LEVELS):
+        sig, of, bare = _hashed(sets, *now, level)
+        found.append(sig)
+        owners.append(of)
+        now = tuple(x[bare] for x in now)
+        if not bare.any():
+            break
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def _hashed(sets: list[np.ndarray], owner: np.ndarray, number: np.ndarray, parts: np.ndarray, spare: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of the set) by one hashing, and which rows have more empty pairs than they may leave out."""
     sizes = np.array([len(sets[i]) for i in owner])
     features = np.concatenate([sets[i] for i in owner])
     begin = np.cumsum(3 * parts) - 3 * parts
+    salt = (number + 1 + (level << 20)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        spread = mixed(features + np.repeat((number + 1).astype(np.uint64) * GOLD, sizes))
+        spread = mixed(features + np.repeat(salt * GOLD, sizes))
         slot = ((spread >> np.uint64(32)) * np.repeat((3 * parts).astype(np.uint64), sizes)) >> np.uint64(32)
         held = np.zeros(int(3 * parts.sum()), np.uint64)
         np.add.at(held, np.repeat(begin, sizes) + slot.astype(np.int64), mixed(features * GOLD + np.uint64(1)))
         a, b, c = held.reshape(-1, 3).T
-        tag = mixed(np.repeat(number.astype(np.uint64) << np.uint64(40), parts) + (np.arange(len(a)) - np.repeat(begin // 3, parts)).astype(np.uint64) * np.uint64(4))
+        tag = mixed(np.repeat(salt << np.uint64(40), parts) + (np.arange(len(a)) - np.repeat(begin // 3, parts)).astype(np.uint64) * np.uint64(4))
         pairs = np.stack([mixed(mixed(x * GOLD + tag + np.uint64(j)) + y) for j, (x, y) in enumerate(((a, b), (a, c), (b, c)))], axis=1)
     empty = np.stack([(a | b) == 0, (a | c) == 0, (b | c) == 0], axis=1)
-    bare = np.add.reduceat(empty.any(axis=1).astype(np.int64), begin // 3)
-    keep = ~empty | np.repeat(bare > spare, parts)[:, None]
-    return pairs[keep], np.repeat(np.repeat(owner, parts), keep.sum(axis=1))
+    bare = np.add.reduceat(empty.any(axis=1).astype(np.int64), begin // 3) > spare
+    keep = ~empty | np.repeat(bare & (level == LEVELS - 1), parts)[:, None]
+    return pairs[keep], np.repeat(np.repeat(owner, parts), keep.sum(axis=1)), bare
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

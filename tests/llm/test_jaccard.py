@@ -91,6 +91,17 @@ def test_similar_sets_share_a_signature(percent):
                 assert len(np.intersect1d(s[o == 0], s[o == 1])), (size, drop, add)
 
 
+@pytest.mark.parametrize("size", [6, 7, 9, 12, 15, 18, 30])
+def test_unrelated_sets_do_not_meet(size):
+    rng = np.random.default_rng(size)
+    sets = list(np.sort(rng.integers(0, 2**63, (20_000, size)).astype(np.uint64), axis=1))
+    for percent in (85, 80):
+        sig, owner = signatures(sets, percent)
+        _, count = np.unique(sig, return_counts=True)
+        assert count.max() <= 2, percent  # below 0.01 % of 20,000 under any key
+        assert len(np.unique(owner)) == len(sets) and len(sig) < 40 * len(sets)
+
+
 def test_bands_cover_all_sizes_and_pairs():
     found = bands(5000, 85)
     assert found[0][0] == 1 and all(a[1] + 1 == b[0] for a, b in zip(found, found[1:]))
