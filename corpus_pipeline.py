@@ -1,81 +1,23 @@
 """The corpus pipeline: five stages from raw documents to balanced shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and
-reads it again as the next stage's documents, so a lost executor repeats one stage at most.
+reads it again as the next stage's documents, so a lost executor repeats one stage at most. What the stages do with nulls, empty
+and long texts, repeated rows and empty tables stands in lodestack/llm/pipeline.py.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestack.llm.jaccard import similar_documents
-from lodestack.llm.mixing import mix
-from lodestack.llm.quality import train, with_scores
-from lodestack.llm.sharding import shard_by_bytes
-from lodestack.llm.store import OWN, written
-from lodestack.llm.winnowing import contamination
+from lodestack.llm.pipeline import decontamination, mixing, near_duplicates, quality, sharding
+from lodestack.llm.store import written
 from lodestack.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays from this score on.
-QUALITY = 0.7
-SHARDS = 40
-#: Lists of keys (16 bytes each) up to this length are broadcast; the length is checked.
-BROADCAST_ROWS = 1_000_000
 
 #: The classifier is learnt, which SQL cannot express; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels")), out=f"{OWN}score")
-    return scored.where(F.col(f"{OWN}score") >= QUALITY).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id (of rows that repeat it, one); documents without words all stay."""
-    found = written(similar_documents(docs).where("n_shingles > 0"), "pipeline-components")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    # Rows without an id meet by the set that they share, all others by their component.
-    group = [F.coalesce("component_id", "set_id").alias("group"), F.col("component_id").isNull().alias("nameless")]
-    kept = found.select("*", *group).groupBy("group", "nameless").agg(first).select("first.doc_id", "first.text_hash")
-    kept = written(kept.withColumn("stays", F.lit(True)), "pipeline-kept")
-    keys = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    same = keys["doc_id"].eqNullSafe(kept["doc_id"]) & (keys["text_hash"] == kept["text_hash"])
-    gone = written(keys.join(kept, same, "left").where("stays IS NULL").select(keys["doc_id"].alias("gone_id"), keys["text_hash"].alias("gone_hash")), "pipeline-gone")
-    near = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda df: df)
-    held = docs.withColumn(f"{OWN}hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = held.join(near(gone), held["doc_id"].eqNullSafe(gone["gone_id"]) & (held[f"{OWN}hash"] == gone["gone_hash"]), "left_anti")
-    if not keys.where("n > 1").isEmpty():  # rows that repeat id and text
-        wordless = out.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-        out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["doc_id", f"{OWN}hash"]).unionByName(wordless)
-    return out.select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    key = ["doc_id", "source", "text_crc32"]
-    taken = written(mix(docs).groupBy(*key).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")), "pipeline-taken")
-    held = docs.withColumn(f"{OWN}crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    if not taken.where("n > 1").isEmpty():  # the copies of rows that repeat a key are those of one of them
-        held = held.dropDuplicates(["doc_id", "source", f"{OWN}crc"])
-    some = taken.where("copies > 0").select(F.col("doc_id").alias(f"{OWN}id"), F.col("source").alias(f"{OWN}source"), "text_crc32", "copies")
-    same = held["doc_id"].eqNullSafe(some[f"{OWN}id"]) & held["source"].eqNullSafe(some[f"{OWN}source"]) & (held[f"{OWN}crc"] == some["text_crc32"])
-    return held.join(some, same).withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size, shard and slot."""
-    return shard_by_bytes(docs, SHARDS)
-
-
 STAGES = [
     ("quality classifier", quality),
     ("n-gram Jaccard join", near_duplicates),
