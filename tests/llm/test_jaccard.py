@@ -17,8 +17,8 @@ def shingles(text, width=4):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(docs, percent=85):
-    sets = [shingles(t) for _, t in docs]
+def brute(docs, percent=85, width=4):
+    sets = [shingles(t, width) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(x):

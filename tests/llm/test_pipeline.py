@@ -46,7 +46,7 @@ def test_classifier_keeps_good_documents(spark, stages):
 def test_one_of_each_group_stays(stages):
     _, docs, found = stages[1]
     every = [(r.doc_id, r.text) for r in docs.collect()]
-    want = {d for d, n, c in brute_components(every) if not n or d == c}
+    want = {d for d, n, c in brute_components(every, 80, 5) if not n or d == c}
     assert set(rows(found)) == want and found.count() == len(want) < len(every)
 
 
@@ -82,6 +82,25 @@ def test_mix_repeats_documents_to_the_weights(stages):
     assert set(copies.values()) <= {1, 2}
 
 
+def test_shards_follow_the_order_of_the_mix(stages):
+    """The mixed table's order, told anew from the mix of the stage's input, is that of shards and slots."""
+    from lodestack.llm.mixing import mix
+
+    _, docs, mixed = stages[3]
+    spots = sorted(((s.slot, s.at, r.doc_id) for r in mix(docs).collect() for s in r.spots), key=lambda x: x[:2])
+    found = sorted(stages[4][2].select("shard", "slot", "doc_id").collect())
+    assert len({x[:2] for x in spots}) > 0.9 * len(spots) and [x[2] for x in spots] != sorted(x[2] for x in spots)
+    at = {}
+    for k, (slot, begin, d) in enumerate(spots):
+        at.setdefault((slot, begin), []).append((k, d))
+    groups = [sorted(d for _, d in own) for own in at.values()]
+    want, k = [r.doc_id for r in found], 0
+    for g in groups:
+        assert sorted(want[k : k + len(g)]) == g
+        k += len(g)
+    assert k == len(want)
+
+
 def test_shards_are_near_equal(stages):
     _, docs, found = stages[4]
     total = {}
