@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed word lists.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
-ENGLISH = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "was", "it", "on", "as", "are")
-
+from lodestack.functions.fixed import ENGLISH, FOLDS, PERIOD, STOPWORDS, SUFFIXES
 
 def folded(x: Column) -> Column:
-    """Lower case with the sharp s as two letters, as case folding has it."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Case folding as far as it touches ASCII: lower case, with ligatures, the sharp s and the like as their letters."""
+    low = F.lower(x)
+    out = low
+    for letter, plain in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.when(low.rlike("[" + "".join(FOLDS) + "]"), out).otherwise(low)
+
+
+def folded_sql(x: str) -> str:
+    """The same in SQL."""
+    out = f"lower({x})"
+    for letter, plain in FOLDS.items():
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return out
 
 
 def tokens(x: Column) -> Column:
@@ -20,6 +29,27 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(folded(x), F.lit("[a-z0-9]+"), 0)
 
 
+def tokens_sql(x: str) -> str:
+    return f"regexp_extract_all({folded_sql(x)}, '[a-z0-9]+')"
+
+
+#: Words that begin with a letter, for keywords and the language.
+NAMED = "[A-Za-z][A-Za-z0-9'_-]{1,}"
+
+
+def named_words(x: Column) -> Column:
+    """Words that begin with an ASCII letter and go on, in lower case."""
+    return F.transform(F.regexp_extract_all(x, F.lit(NAMED), 0), F.lower)
+
+
+def named_words_sql(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{NAMED.replace(chr(39), chr(39) * 2)}'), lambda w: lower(w))"
+
+
+def significant(words: Column, least: int = 3) -> Column:
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*ENGLISH))
+
+
 def without_stopwords(words: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
     """Words that are in no stop list; repeated words stay."""
     return F.filter(words, lambda w: ~w.isin(*stop))
@@ -38,6 +68,11 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
+def clean_sentence(x: Column) -> Column:
+    """Whether a sentence is usable prose: 15 to 600 characters, no rules, a word of three letters."""
+    return F.length(x).between(15, 600) & ~x.rlike("=+|-{4,}|_{4,}") & x.rlike("[a-zA-Z]{3,}")
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks; none where there are fewer words."""
     last = F.size(words) - n
@@ -67,14 +102,14 @@ def readable(filename: Column) -> Column:
 
 
 def suffix_number(x: Column) -> Column:
-    """The whole number behind the last double colon, if it is one."""
-    return F.substring_index(x, "::", -1).try_cast("int")
+    """The whole number behind the last double colon, if there is one and it is a number."""
+    return F.when(F.contains(x, F.lit("::")), F.substring_index(x, "::", -1).try_cast("int"))
 
 
 def language(words: Column) -> Column:
-    """en from a share of 0.12 of common English words; unknown below 20 words; else other."""
+    """en from a share of 0.12 of common English words (see named_words()); unknown below that, or below 20 words."""
     hits = F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
-    return F.when(F.size(words) < 20, "unknown").when(hits / F.size(words) >= 0.12, "en").otherwise("other")
+    return F.when((F.size(words) >= 20) & (hits / F.size(words) >= 0.12), "en").otherwise("unknown")
 
 
 def unit(x: Column) -> Column:
@@ -91,8 +126,23 @@ def soft_ceiling(x: Column, cap: float) -> Column:
 
 
 def stemmed(word: Column) -> Column:
-    """The word without the first of some suffixes that leaves more than three letters."""
+    """The word without the first of the suffixes that leaves more than three letters."""
     out = word
-    for s in reversed(("ational", "ization", "fulness", "ousness", "iveness", "ations", "ments", "ation", "ingly", "ment", "edly", "ing", "ed")):
+    for s in reversed(SUFFIXES):
         out = F.when(word.endswith(s) & (F.length(word) > len(s) + 3), word.substr(F.lit(1), F.length(word) - len(s))).otherwise(out)
     return out
+
+
+def stemmed_sql(x: str) -> str:
+    cases = " ".join(f"WHEN ends_with({x}, '{s}') AND length({x}) > {len(s) + 3} THEN {x}[1:length({x}) - {len(s)}]" for s in SUFFIXES)
+    return f"CASE {cases} ELSE {x} END"
+
+
+def heading_weighted(heading: Column, body: Column, times: int = 2) -> Column:
+    """A text with its heading repeated before it."""
+    return F.when(F.coalesce(heading, F.lit("")) == "", body).otherwise(F.concat(F.repeat(F.concat(heading, F.lit("\n")), times), F.lit("\n"), body))
+
+
+def periods(x: Column) -> Column:
+    """The different periods of time that a text names, in one spelling."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(F.regexp_replace(x, r"\s+", " ")), F.lit(f"(?i){PERIOD}"), 0))

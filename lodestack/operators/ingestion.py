@@ -7,38 +7,41 @@ sentence run a document at a time in Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Fixed replacements of typographic signs and signs without width.
-SIGNS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "•": "-"}
-UNSEEN = "​‌‍⁠﻿­"
+from lodestack.functions.fixed import CLASSIFICATION, COPYRIGHT, NUMBER_LINES, PAGE_NUMBER, SIGNS, UNSEEN, VERSION_NOTE
+
 TOP_LINES, BOTTOM_LINES = 4, 3
 
 
-def normal_form(text: pd.Series) -> pd.Series:
-    """NFKC, plain signs, no control characters but line feeds and tabs; nulls stay."""
-    table = {**{ord(k): v for k, v in SIGNS.items()}, **{ord(c): None for c in UNSEEN}, **{c: None for c in (*range(9), *range(11, 13), *range(14, 32), 127)}}
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x.translate(table)))
+def _normal_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        plain = pc.utf8_normalize(batch.column(batch.num_columns - 1), "NFKC")
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], plain], names=batch.schema.names)
 
 
 def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the text in normal form; the one step that Spark has no built-in for."""
-    nfkc = F.pandas_udf(normal_form, T.StringType())
-    return docs.withColumn(text, nfkc(text))
+    """docs with the text (made the last column) in normal form NFKC, with plain signs, no signs without width and no control characters
+    but line feeds, tabs and carriage returns; nulls stay. Only the normal form, which Spark has no built-in for, leaves the JVM, in Arrow batches."""
+    rest = [c for c in docs.columns if c != text]
+    held = docs.select(*rest, text)
+    done = held.mapInArrow(_normal_form, held.schema)
+    return done.withColumn(text, F.translate(F.translate(text, "".join(SIGNS), "".join(SIGNS.values())), UNSEEN, ""))
 
 
 def ocr_cleaned(text: Column) -> Column:
-    """Words joined over line-end hyphens, long runs of a mark cut to one, lines of one or two marks dropped."""
-    text = F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
-    text = F.regexp_replace(text, r"([^\p{L}\p{N}\s.])\1{2,}", "$1")
-    return F.regexp_replace(text, r"(?m)^[^\p{L}\p{N}\s]{1,2}$\n?", "")
+    """Words joined over line-end hyphens, three or more of a mark cut to one, lines of one or two signs dropped."""
+    text = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
+    text = F.regexp_replace(text, r"([!?.,;:])\1{2,}", "$1")
+    kept = F.filter(F.split(text, "\n"), lambda line: ~F.trim(line).rlike(r"(?U)^[^\w\s]{1,2}$"))
+    return F.array_join(kept, "\n")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,12 +58,24 @@ def boilerplate_key(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\s+", " "), "[0-9]+", "{page}")
 
 
-STRUCTURAL = r"(?i)^\s*(page\s+[0-9]+(\s+of\s+[0-9]+)?|[0-9]+\s*/\s*[0-9]+|-\s*[0-9]+\s*-|(strictly )?confidential|(copyright|©).{0,80}|version\s+[0-9.]+)\s*$"
+def structural(line: Column) -> Column:
+    """Whether a line is furniture by its form: a page number, a classification, a copyright note, or a short note of a version."""
+    x = F.trim(line)
+    return x.rlike(f"(?i){PAGE_NUMBER}") | x.rlike(f"(?i){CLASSIFICATION}") | x.rlike(f"(?i){COPYRIGHT}") | (x.rlike(f"(?i){VERSION_NOTE}") & (F.length(x) < 120))
+
+
+def structural_sql(x: str) -> str:
+    return f"(regexp_matches(trim({x}), '(?i){PAGE_NUMBER}') OR regexp_matches(trim({x}), '(?i){CLASSIFICATION}') OR regexp_matches(trim({x}), '(?i){COPYRIGHT}') OR (regexp_matches(trim({x}), '(?i){VERSION_NOTE}') AND length(trim({x})) < 120))"
+
+
+def number_line(line: Column) -> Column:
+    """Whether a line is nothing but a page number."""
+    return F.trim(line).rlike("(?i)" + "|".join(f"(?:{p})" for p in NUMBER_LINES))
 
 
 def without_boilerplate(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines less headers and footers: those that recur at the top or bottom of at least max(2, 40 %) of a document's pages,
-    or that look like page numbers, classifications or copyright notes. Documents of one page keep all."""
+    and lines anywhere that look like page numbers, classifications or copyright notes. Documents of one page keep all."""
     edge = Window.partitionBy(key, "page")
     placed = rows.withColumns({"from_top": F.row_number().over(edge.orderBy("at")), "from_bottom": F.row_number().over(edge.orderBy(F.desc("at"))), "key": boilerplate_key(F.col("line"))})
     pages = rows.groupBy(key).agg(F.countDistinct("page").alias("pages"))
@@ -68,10 +83,16 @@ def without_boilerplate(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     common = placed.where(at_edge & ~F.col("blank")).groupBy(key, "key").agg(F.countDistinct("page").alias("on"))
     common = common.join(pages, key).where((F.col("pages") >= 2) & (F.col("on") >= F.greatest(F.lit(2), F.floor(F.col("pages") * 0.4)))).select(key, "key", F.lit(True).alias("recurs"))
     judged = placed.join(pages, key).join(common, [key, "key"], "left")
-    drop = (F.col("pages") >= 2) & at_edge & (F.coalesce("recurs", F.lit(False)) | F.col("line").rlike(STRUCTURAL))
+    drop = (F.col("pages") >= 2) & ((at_edge & F.coalesce("recurs", F.lit(False))) | structural(F.col("line")))
     return judged.where(~drop).select(*rows.columns)
 
 
+def capitals(line: Column) -> Column:
+    """Whether a line is in capitals: 85 % of at least three letters, up to twelve words."""
+    letters = F.regexp_replace(line, r"[^\p{L}]", "")
+    return (F.length(letters) >= 3) & (F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) >= F.length(letters) * 0.85) & (F.size(F.split(F.trim(line), r"\s+")) <= 12)
+
+
 def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """rows with heading_level: 1 for sections, roman numbers and capitals, the depth of the number for numbered ones, 2 for short lines
     that stand alone; null for others."""
@@ -79,15 +100,13 @@ def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     before, after = F.coalesce(F.lag("blank").over(w), F.lit(True)), F.coalesce(F.lead("blank").over(w), F.lit(True))
     line = F.trim("line")
     n_words = F.size(F.split(line, r"\s+"))
-    letters = F.regexp_replace(line, r"[^\p{L}]", "")
-    capitals = (F.length(letters) >= 3) & (F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) >= F.length(letters) * 0.85) & (n_words <= 12)
     number = F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)[.)]?\s+\p{Lu}", 1)
     level = (
         F.when(F.col("blank"), None)
         .when(line.rlike(r"(?i)^(section|chapter|article|appendix)\s+[0-9IVXLC]+"), 1)
         .when(line.rlike(r"^[IVXLC]+\.\s+\p{L}"), 1)
         .when((number != "") & (n_words <= 12), F.size(F.split(number, r"\.")))
-        .when(capitals, 1)
+        .when(capitals(line), 1)
         .when(before & after & (n_words <= 8) & ~line.rlike(r"[.!?,;:|]$") & line.rlike(r"^\p{Lu}"), 2)
     )
     return rows.withColumn("heading_level", level)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.functions.fixed import BUCKETS, CONCEPTS, DEPARTMENTS, EXACT_METADATA, INDEX_POINTS, LATEST_VERSION, NAME_STOPWORDS, TYPE_COLLECTIONS, TYPE_NAMES, TYPES, VERSION_SUFFIX, VERSIONS
+
 
 def first_match(text: Column, rules: tuple[tuple[str, str], ...], default: str) -> Column:
     """The label of the first pattern that the text matches."""
@@ -26,9 +28,32 @@ def keyword_route(text: Column, words: dict[str, tuple[str, ...]], default: str)
 
 
 def version_of(name: Column) -> Column:
-    """A number for the version in a name: vN is N, draft 10, final 90, else 1."""
-    n = F.regexp_extract(F.lower(name), r"(?:^|[_ -])v([0-9]+)", 1)
-    return F.when(n != "", n.try_cast("int")).when(F.lower(name).contains("final"), 90).when(F.lower(name).contains("draft"), 10).otherwise(1)
+    """A number for the version in a name: 90 where it says final, 10 where draft, else the first number that a pattern finds, else 1."""
+    out = F.lit(1)
+    for pattern in reversed(VERSIONS):
+        n = F.regexp_extract(name, f"(?i){pattern}", 1)
+        out = F.when(n != "", n.try_cast("int")).otherwise(out)
+    return F.when(F.contains(F.lower(name), F.lit("final")), 90).when(F.contains(F.lower(name), F.lit("draft")), 10).otherwise(out)
+
+
+def version_sql(name: str) -> str:
+    numbers = " ".join(f"WHEN regexp_extract({name}, '(?i){p}', 1) <> '' THEN TRY_CAST(regexp_extract({name}, '(?i){p}', 1) AS INTEGER)" for p in VERSIONS)
+    return f"CASE WHEN contains(lower({name}), 'final') THEN 90 WHEN contains(lower({name}), 'draft') THEN 10 {numbers} ELSE 1 END"
+
+
+def version_group(name: Column) -> Column:
+    """A name without up to three suffixes of versions, its parts joined by underscores."""
+    out = name
+    for _ in range(3):
+        out = F.regexp_replace(out, f"(?i){VERSION_SUFFIX}", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(out, r"[_\-\s]+", "_"), "^_+|_+$", ""))
+
+
+def version_group_sql(name: str) -> str:
+    out = name
+    for _ in range(3):
+        out = f"regexp_replace({out}, '(?i){VERSION_SUFFIX}', '')"
+    return f"lower(regexp_replace(regexp_replace({out}, '[_\\-\\s]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 
 
 def ancestors(df: DataFrame, path: str) -> DataFrame:
@@ -53,3 +78,121 @@ def _named(name: str, terms: Column) -> Column:
 
 def top_terms(postings: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return postings.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def hits(text: Column, phrases: tuple[str, ...], stem: Column | None = None) -> Column:
+    """How many different phrases a lower-case text holds, or a file name with underscores for blanks."""
+    found = [F.contains(text, F.lit(p)) if stem is None else F.contains(text, F.lit(p)) | F.contains(stem, F.lit(p.replace(" ", "_"))) for p in phrases]
+    return sum((f.cast("int") for f in found), F.lit(0))
+
+
+def departments(text: Column, stem: Column, category: Column) -> Column:
+    """(name, score) of up to two departments: the best, and a second of at least 0.7; Unknown with 0.35 where nothing speaks for any.
+
+    The category of the file's name gives 0.9; one phrase 0.55 (unless the name has said so), two or more 0.7 and 0.08 each, at most 0.93.
+    """
+    given = F.when(category.isin("hr", "employee"), "HR").when(category == "finance", "Finance").when(category == "security", "Security")
+    scored = []
+    for i, (name, phrases) in enumerate(DEPARTMENTS):
+        n, own = hits(text, phrases, stem), F.coalesce(given == name, F.lit(False))
+        weight = F.when(n >= 2, F.least(F.lit(0.93), 0.7 + 0.08 * n)).when((n == 1) & ~own, 0.55).otherwise(0.0)
+        score = F.greatest(weight, F.when(own, 0.9).otherwise(0.0))
+        scored.append(F.struct(F.round(score, 3).alias("score"), F.when(own, 1).otherwise(-i).alias("order"), F.lit(name).alias("name")))
+    best = F.slice(F.reverse(F.array_sort(F.filter(F.array(*scored), lambda x: x["score"] > 0))), 1, 2)
+    kept = F.filter(best, lambda x, i: (i == 0) | (x["score"] >= 0.7))
+    none = F.array(F.struct(F.lit("Unknown").alias("name"), F.lit(0.35).alias("score")))
+    return F.when(F.size(kept) == 0, none).otherwise(F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))))
+
+
+def document_type(text: Column, stem: Column) -> Column:
+    """(name, score): what the file's name says, or else the type with the most weight of phrases in name and text; Unknown with 0.35."""
+    locked = F.lit(None).cast("struct<name:string,score:double>")
+    as_pair = lambda name, score: F.struct(F.lit(name).alias("name"), F.lit(score).alias("score"))
+    for name, hints in reversed(TYPE_NAMES):
+        strong = F.lit(False)
+        for h in hints:
+            strong = strong | (stem == h) | stem.endswith(f"_{h}") | stem.startswith(f"{h}_")
+        weak = sum((F.contains(stem, F.lit(h)).cast("int") for h in hints), F.lit(0)) > 0
+        locked = F.when(strong, as_pair(name, 0.94)).when(weak, as_pair(name, 0.9)).otherwise(locked)
+    all_text = F.concat(stem, F.lit("\n"), text)
+    scored = []
+    for i, (name, base, phrases) in enumerate(TYPES):
+        n = hits(all_text, phrases)
+        scored.append(F.struct(F.round(F.when(n > 0, F.least(F.lit(0.98), base + 0.03 * (n - 1))).otherwise(0.0), 3).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(*scored))
+    spoken = F.when(best["score"] > 0.35, F.struct(best["name"].alias("name"), best["score"].alias("score"))).when(all_text.rlike("incident|response|playbook"), as_pair("Manual", 0.7)).otherwise(as_pair("Unknown", 0.35))
+    return F.coalesce(locked, spoken)
+
+
+def collections(names: Column, kind: Column, filename: Column) -> Column:
+    """Up to four collections of a document by its departments, its type and its file's name; unknown where there is none."""
+    of = F.filter(F.transform(names, F.lower), lambda n: n != "unknown")
+    hinted = F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_COLLECTIONS.items() for x in pair]), kind)
+    every = F.array_distinct(F.array_compact(F.concat(of, F.array(hinted), F.array(F.when(F.contains(F.lower(filename), F.lit("research")), "research")))))
+    return F.when(F.size(every) == 0, F.array(F.lit("unknown"))).otherwise(F.slice(every, 1, 4))
+
+
+def concepts(text: Column) -> Column:
+    """The concepts of which a word or phrase stands in a lower-case text, between other signs than letters and digits."""
+    rules = [F.when(text.rlike("(?<![a-z0-9])(?:" + "|".join(a) + ")(?![a-z0-9])"), name) for name, a in CONCEPTS]
+    return F.array_compact(F.array(*rules))
+
+
+def taxonomy(collection: Column, kind: Column, leaf: Column) -> Column:
+    """Collection / part / leaf; collections of two letters in capitals; without a leaf two levels."""
+    name = F.when(collection.isin("hr", "it"), F.upper(collection)).otherwise(F.initcap(collection))
+    part = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair]), kind), F.lit("General"))
+    return F.concat_ws("/", name, part, leaf)
+
+
+def health(name: Column, duplicate: Column, latest: Column, kind: Column, collection: Column, confidence: Column, path: Column) -> Column:
+    """The state of a document's record, by rules in their order."""
+    low = F.lower(name)
+    incomplete = (kind == "Unknown") | (confidence < 0.45) | (collection == "unknown")
+    return (
+        F.when(duplicate >= 0.9, "duplicate").when(F.contains(low, F.lit("archive")), "archived").when(F.contains(low, F.lit("draft")), "draft").when(collection == "external", "external")
+        .when(~latest, "superseded").when(incomplete, "incomplete").when((confidence >= 0.78) & path.isNotNull(), "verified").when(confidence >= 0.6, "healthy").otherwise("unknown")
+    )
+
+
+def name_tokens(name: Column) -> Column:
+    """Distinct telling words of a file's name: over two letters, without versions and common words."""
+    stem = F.regexp_replace(F.regexp_replace(F.lower(name), r"\.[^.]+$", ""), r"(final|draft|copy|v\d+|rev\d+)", " ")
+    return F.array_distinct(F.filter(F.regexp_extract_all(stem, F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) > 2) & ~w.isin(*NAME_STOPWORDS)))
+
+
+def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y, share): pairs x < y of sets (id, terms; ids unique) of which at least percent of all terms are common.
+
+    Exact: of two such sets, those terms of each that are rarest, as many as could be missing and one more, have one in common; sets meet on these.
+    """
+    e = sets.select("id", F.explode("terms").alias("term"))
+    ranked = e.join(e.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r"))
+    n = F.size("r")
+    lead = ranked.select("id", F.explode(F.slice("r", F.lit(1), (n - F.floor((percent * n + 99) / 100) + 1).cast("int"))).alias("x"), n.alias("n")).select("id", "x.term", "n")
+    a, b = lead.alias("a"), lead.alias("b")
+    sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
+    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    met = met.join(sets.select(F.col("id").alias("x"), F.col("terms").alias("s")), "x").join(sets.select(F.col("id").alias("y"), F.col("terms").alias("t")), "y")
+    common = F.size(F.array_intersect("s", "t"))
+    share = common / (F.size("s") + F.size("t") - common)
+    return met.select("x", "y", share.alias("share")).where(100 * F.col("share") >= percent)
+
+
+def candidates(evidence: DataFrame) -> DataFrame:
+    """(document, score, confidence, indexes): evidence (document, index_name, match, latest) weighed: one point for each index up to four, a
+    quarter for each piece up to two, and what its index adds."""
+    points = F.lit(0.0)
+    for name, p in INDEX_POINTS.items():
+        points = F.when(F.col("index_name") == name, p).otherwise(points)
+    points = F.when((F.col("index_name") == "metadata") & (F.col("match") == "exact"), EXACT_METADATA).when((F.col("index_name") == "version") & F.col("latest"), LATEST_VERSION).otherwise(points)
+    per = evidence.groupBy("document").agg(F.countDistinct("index_name").alias("indexes"), F.count("*").alias("n"), F.sum(points).alias("points"))
+    score = F.round(F.least(F.lit(4.0), F.col("indexes").cast("double")) + F.least(F.lit(2.0), 0.25 * F.col("n")) + F.col("points"), 4)
+    return per.select("document", score.alias("score"), F.round(F.least(F.lit(0.99), score / 12), 4).alias("confidence"), "indexes")
+
+
+def merged_evidence(evidence: DataFrame, key: list[str]) -> DataFrame:
+    """evidence without repeats of its key (the best score stays), scores between 0 and 1, and score over the largest of all as normalised."""
+    once = evidence.groupBy(*key).agg(F.max(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("score"))
+    top = F.broadcast(once.agg(F.max("score").alias("top")))  # one row
+    return once.join(top).withColumn("normalised", F.round(F.col("score") / F.col("top"), 4)).drop("top")

@@ -11,11 +11,12 @@ from lodestack.operators import graph as G
 from lodestack.operators import knowledge as K
 from lodestack.plans.registry import query
 from lodestack.session import table
+from lodestack.shared import written
 
-TOKENS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+')"
+NAMED_SQL = X.named_words_sql("text")
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 ENGLISH = ", ".join(f"'{w}'" for w in X.ENGLISH)
-WITH_WORDS = f"WITH {DOCS_SQL}, w AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents) "
+WITH_WORDS = f"WITH {DOCS_SQL}, w AS (SELECT doc_id, {X.tokens_sql('text')} AS w FROM documents) "
 
 
 def words(spark, sf_dir):
@@ -27,18 +28,26 @@ def token_counts(spark, sf_dir):
     return words(spark, sf_dir).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.size(X.without_stopwords(F.col("w"))).cast("long").alias("n_content"))
 
 
-@query("top_keywords", WITH_WORDS + f""", e AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM e WHERE length(term) >= 3 AND term NOT IN ({STOP}) GROUP BY 1, 2)
-SELECT doc_id, term, n, CAST(row_number() OVER k AS INTEGER) AS rank FROM c WINDOW k AS (PARTITION BY doc_id ORDER BY n DESC, first) QUALIFY row_number() OVER k <= 5""")
+@query("stemmed_words", WITH_WORDS + f""", e AS (SELECT unnest(list_distinct(w)) AS t FROM w), d AS (SELECT DISTINCT t FROM e) SELECT t AS word, {X.stemmed_sql('t')} AS stem FROM d WHERE {X.stemmed_sql('t')} <> t""")
+def stemmed_words(spark, sf_dir):
+    """The words of the corpus that the stemmer shortens, and what is left of them."""
+    e = words(spark, sf_dir).select(F.explode(F.array_distinct("w")).alias("word")).distinct()
+    return e.select("word", X.stemmed(F.col("word")).alias("stem")).where("stem <> word")
+
+
+@query("top_keywords", f"""WITH w AS (SELECT doc_id, {NAMED_SQL} AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w), c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM e WHERE length(term) >= 3 AND term NOT IN ({ENGLISH}) GROUP BY 1, 2)
+SELECT doc_id, term, n, CAST(row_number() OVER k AS INTEGER) AS rank FROM c WINDOW k AS (PARTITION BY doc_id ORDER BY n DESC, first) QUALIFY row_number() OVER k <= 15""")
 def top_keywords(spark, sf_dir):
-    e = words(spark, sf_dir).select("doc_id", F.posexplode("w").alias("pos", "term")).where((F.length("term") >= 3) & ~F.col("term").isin(*X.STOPWORDS))
+    """The 15 most frequent significant words of each document, ties by first place."""
+    e = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.significant(X.named_words(F.col("text")))).alias("pos", "term"))
     c = e.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return K.top_terms(c, "doc_id", [F.desc("n"), F.col("first")], 5).select("doc_id", "term", "n", "rank")
+    return K.top_terms(c, "doc_id", [F.desc("n"), F.col("first")], 15).select("doc_id", "term", "n", "rank")
 
 
-@query("language_detect", WITH_WORDS + f"""SELECT CASE WHEN len(w) < 20 THEN 'unknown' WHEN len(list_filter(w, lambda x: x IN ({ENGLISH}))) / len(w) >= 0.12 THEN 'en' ELSE 'other' END AS detected, lang, count(*) AS n FROM w JOIN docs USING (doc_id) GROUP BY 1, 2""")
+@query("language_detect", f"""WITH w AS (SELECT lang, {NAMED_SQL} AS w FROM documents) SELECT CASE WHEN len(w) >= 20 AND len(list_filter(w, lambda x: x IN ({ENGLISH}))) / len(w) >= 0.12 THEN 'en' ELSE 'unknown' END AS detected, lang, count(*) AS n FROM w GROUP BY 1, 2""")
 def language_detect(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.groupBy(X.language(X.tokens(F.col("text"))).alias("detected"), "lang").agg(F.count("*").alias("n"))
+    return d.groupBy(X.language(X.named_words(F.col("text"))).alias("detected"), "lang").agg(F.count("*").alias("n"))
 
 
 @query("sentence_counts", r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: length(s) > 0)) AS n FROM documents")
@@ -80,13 +89,13 @@ def line_statistics(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("n_blank"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
 
 
-@query("boilerplate_lines", r"""WITH l AS (SELECT DISTINCT doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '{page}', 'g') AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) BETWEEN 4 AND 200)
+@query("boilerplate_lines", r"""WITH l AS (SELECT DISTINCT doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '{page}', 'g') AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '')
 SELECT key, count(*) AS n_documents FROM l GROUP BY 1 HAVING count(*) >= 4""")
 def boilerplate_lines(spark, sf_dir):
     """Lines, with numbers made equal, that recur in several documents; repeats inside a document count once."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
     key = F.regexp_replace(F.lower("line"), "[0-9]+", "{page}").alias("key")
-    return d.where(F.length("line").between(4, 200)).select("doc_id", key).distinct().groupBy("key").agg(F.count("*").alias("n_documents")).where("n_documents >= 4")
+    return d.where("line <> ''").select("doc_id", key).distinct().groupBy("key").agg(F.count("*").alias("n_documents")).where("n_documents >= 4")
 
 
 @query("entity_patterns", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS n_dates, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_emails, len(regexp_extract_all(text, 'https?://[^\s]+')) AS n_links, len(list_distinct(regexp_extract_all(text, '[A-Z]{2,}-?[0-9]{2,}'))) AS n_codes FROM documents")
@@ -109,12 +118,19 @@ def keyword_routing(spark, sf_dir):
     return messages(spark, sf_dir).groupBy(route.alias("route")).agg(F.count("*").alias("n"))
 
 
-@query("version_numbers", r"""WITH d AS (SELECT doc_id, concat(source, CASE doc_id % 4 WHEN 0 THEN concat('_v', doc_id % 12) WHEN 1 THEN '_final' WHEN 2 THEN '_draft' ELSE '' END) AS name FROM documents)
-SELECT doc_id, CASE WHEN regexp_extract(lower(name), '(?:^|[_ -])v([0-9]+)', 1) <> '' THEN CAST(regexp_extract(lower(name), '(?:^|[_ -])v([0-9]+)', 1) AS INTEGER) WHEN contains(name, 'final') THEN 90 WHEN contains(name, 'draft') THEN 10 ELSE 1 END AS version FROM d""")
+NAMES_SQL = """WITH d AS (SELECT doc_id, text, concat(source, CASE doc_id % 6 WHEN 0 THEN concat('_v', doc_id % 12) WHEN 1 THEN '_final' WHEN 2 THEN '_draft' WHEN 3 THEN concat('-rev', doc_id % 7, '_v2_final') WHEN 4 THEN concat('_', doc_id % 40) ELSE '' END) AS name FROM documents) """
+
+
+def names(spark, sf_dir):
+    """doc_id, text, name: file names with versions of several kinds."""
+    k, num = F.col("doc_id") % 6, lambda n: (F.col("doc_id") % n).cast("string")
+    tail = F.when(k == 0, F.concat(F.lit("_v"), num(12))).when(k == 1, "_final").when(k == 2, "_draft").when(k == 3, F.concat(F.lit("-rev"), num(7), F.lit("_v2_final"))).when(k == 4, F.concat(F.lit("_"), num(40))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", tail).alias("name"))
+
+
+@query("version_numbers", NAMES_SQL + f"SELECT doc_id, {K.version_sql('name')} AS version, {K.version_group_sql('name')} AS group_key FROM d")
 def version_numbers(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    tail = F.when(k == 0, F.concat(F.lit("_v"), (F.col("doc_id") % 12).cast("string"))).when(k == 1, "_final").when(k == 2, "_draft").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", K.version_of(F.concat("source", tail)).alias("version"))
+    return names(spark, sf_dir).select("doc_id", K.version_of(F.col("name")).alias("version"), K.version_group(F.col("name")).alias("group_key"))
 
 
 @query("taxonomy_ancestors", """WITH p AS (SELECT DISTINCT string_split(concat(lang, '/', source, '/', CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END), '/') AS p FROM documents), e AS (SELECT p, unnest([1, 2, 3]) AS depth FROM p)
@@ -148,38 +164,15 @@ def index_statistics(spark, sf_dir):
     return p.agg(F.count("*").alias("entries"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("term").alias("terms"), F.round(F.avg("n"), 6).alias("mean_tf"))
 
 
-@query("jaccard_keyword_peers", WITH_WORDS + """, e AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(w[1:12]) AS term FROM w) WHERE length(term) > 5), s AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(common / (x.n + y.n - common), 4) AS similarity FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common / (x.n + y.n - common) >= 0.72""")
-def jaccard_keyword_peers(spark, sf_dir):
-    """Pairs of documents whose first long words agree; blocked by the words, so only sharing documents meet."""
-    e = words(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.slice("w", 1, 12))).alias("term")).where("length(term) > 5")
-    s = e.groupBy("doc_id").agg(F.count("*").alias("n"))
-    x, y = e.alias("x"), e.alias("y")
-    p = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.doc_id") < F.col("y.doc_id"))).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("common"))
-    p = p.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return p.where(share >= 0.72).select("a", "b", F.round(share, 4).alias("similarity"))
-
-
+@query("jaccard_keyword_peers")
 @query("jaccard_keyword_peers_whole_text")
-def jaccard_keyword_peers_whole_text(spark, sf_dir):
+def jaccard_keyword_peers(spark, sf_dir):
     """Pairs of documents whose long words agree to 72 %, by all words of their texts. Equal sets are one until the end. Exact: of two sets of
     which 72 % are common, those words of each that are rarest, as many as could be missing and one more, have one in common."""
     sets = words(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct(F.filter("w", lambda t: F.length(t) > 5))).alias("terms")).where(F.size("terms") > 0)
     sets = sets.withColumn("id", F.sha2(F.array_join("terms", " "), 256))
-    own = sets.groupBy("id").agg(F.min("terms").alias("terms"))
-    e = own.select("id", F.explode("terms").alias("term"))
-    ranked = e.join(e.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r"))
-    n = F.size("r")
-    lead = ranked.select("id", F.explode(F.slice("r", F.lit(1), (n - F.floor((72 * n + 99) / 100) + 1).cast("int"))).alias("x"), n.alias("n")).select("id", "x.term", "n")
-    a, b = lead.alias("a"), lead.alias("b")
-    sizes = (100 * F.col("a.n") >= 72 * F.col("b.n")) & (100 * F.col("b.n") >= 72 * F.col("a.n"))
-    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    met = met.join(own.select(F.col("id").alias("x"), F.col("terms").alias("s")), "x").join(own.select(F.col("id").alias("y"), F.col("terms").alias("t")), "y")
-    common = F.size(F.array_intersect("s", "t"))
-    share = common / (F.size("s") + F.size("t") - common)
-    near = met.select("x", "y", share.alias("share")).where("share >= 0.72").union(own.select("id", "id", F.lit(1.0)))
+    own = written(sets.groupBy("id").agg(F.min("terms").alias("terms")), "word-sets")
+    near = K.similar_sets(own, 72).union(own.select("id", "id", F.lit(1.0)))
     pairs = near.join(sets.select(F.col("id").alias("x"), F.col("doc_id").alias("i")), "x").join(sets.select(F.col("id").alias("y"), F.col("doc_id").alias("j")), "y")
     pairs = pairs.where("x <> y OR i < j")
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.round("share", 4).alias("similarity"))
@@ -256,9 +249,9 @@ def run_comparison(spark, sf_dir):
     return r.select("metric", F.round("x", 6).alias("a"), F.round("y", 6).alias("b"), F.round(d, 6).alias("delta"), F.when(F.col("x") != 0, F.round(d / F.col("x") * 100, 4)).alias("delta_pct"))
 
 
-@query("extractive_answers", f"""WITH q AS (SELECT item_id, list_distinct(list_filter({TOKENS.format('text')}, lambda x: length(x) > 5)) AS w FROM benchmark),
+@query("extractive_answers", f"""WITH q AS (SELECT item_id, list_distinct(list_filter({X.tokens_sql('text')}, lambda x: length(x) > 5)) AS w FROM benchmark),
 s AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: length(x) > 0) AS l FROM documents)),
-t AS (SELECT doc_id, pos, unnest(list_distinct({TOKENS.format('sentence')})) AS term FROM s), h AS (SELECT item_id, doc_id, pos, count(*) AS hits FROM (SELECT item_id, unnest(w) AS term FROM q) JOIN t USING (term) GROUP BY 1, 2, 3)
+t AS (SELECT doc_id, pos, unnest(list_distinct({X.tokens_sql('sentence')})) AS term FROM s), h AS (SELECT item_id, doc_id, pos, count(*) AS hits FROM (SELECT item_id, unnest(w) AS term FROM q) JOIN t USING (term) GROUP BY 1, 2, 3)
 SELECT item_id, doc_id, pos, hits FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id, pos) <= 3""")
 def extractive_answers(spark, sf_dir):
     """For each item the three sentences that share most long words with it."""

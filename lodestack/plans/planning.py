@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.bindings import DOCS_SQL, MESSAGES_SQL, documents, messages
+from lodestack.functions.fixed import CATEGORIES, LEGITIMATE, UNSAFE
 from lodestack.operators import planning as P
 from lodestack.operators import relational as R
 from lodestack.operators.retrieval import ranked
 from lodestack.plans.registry import query
 
 #: Questions made from messages by adding one of some fixed openings.
-OPENINGS = ("what is ", "how many ", "compare ", "list ", "and ", "the budget of ", "how to hack into ", "security policy: ", "")
-_VALUES = ", ".join(f"'{o}'" for o in OPENINGS)
+OPENINGS = (
+    "what is ", "how many ", "compare ", "list ", "and ", "the budget of ", "how do i hack someone's email with ", "security policy: ", "which document has ", "compare the security budgets of ",
+    "what is the password policy for ", "the latest version of ", "who is ", "show me the table of ", "is it aml compliance when ", "what are the steps of ", "how many vpn users in hr have ", "",
+)
+_VALUES = ", ".join("'" + o.replace("'", "''") + "'" for o in OPENINGS)
 QUESTIONS_SQL = f"""WITH {MESSAGES_SQL}, questions AS (SELECT conversation_id, turn, concat([{_VALUES}][1 + (conversation_id + turn) % {len(OPENINGS)}], content) AS q FROM messages WHERE role = 'user') """
 
 
-def _case(column: str, rules, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){p}') THEN '{n}'" for n, p in rules) + f" ELSE '{default}' END"
-
-
-CATEGORY_SQL = _case("q", P.CATEGORIES, "general")
-SAFETY_SQL = _case("q", (("safe", P.LEGITIMATE), ("unsafe", P.UNSAFE)), "safe")
+CATEGORY_SQL = P.rules_sql("trim(q)", CATEGORIES, "general")
+SAFETY_SQL = P.rules_sql("q", (("safe", (LEGITIMATE,)), ("unsafe", UNSAFE)), "safe")
 
 
 def questions(spark, sf_dir):
@@ -62,7 +62,7 @@ def scored(spark, sf_dir):
 k AS (SELECT query, CASE WHEN score >= greatest(0.45::DOUBLE, top - 0.22::DOUBLE) OR r = 1 THEN 'primary' WHEN score >= greatest(0.25::DOUBLE, top - 0.45::DOUBLE) THEN 'supporting' ELSE 'optional' END AS tier FROM t)
 SELECT query, tier, count(*) AS n FROM k GROUP BY 1, 2""")
 def evidence_tiers(spark, sf_dir):
-    return P.tiers(scored(spark, sf_dir), "query", "score", [F.desc("score"), F.col("doc")]).groupBy("query", "tier").agg(F.count("*").alias("n"))
+    return P.tiers(scored(spark, sf_dir), "query", "score", "doc").groupBy("query", "tier").agg(F.count("*").alias("n"))
 
 
 @query("merged_variants", SCORED_SQL + """, v AS (SELECT query, variant, doc, row_number() OVER (PARTITION BY query, variant ORDER BY round(score * (1 + variant * (doc % 7) / 10.0::DOUBLE), 6) DESC, doc) AS rank FROM scored, (SELECT unnest([0, 1, 2]) AS variant)),
@@ -81,7 +81,7 @@ n AS (SELECT *, CASE WHEN max(a) OVER w = min(a) OVER w THEN 1.0::DOUBLE ELSE ro
 SELECT lang, doc_id, round(round(0.55::DOUBLE * na + 0.2::DOUBLE * nb + 0.25::DOUBLE * m - 0.18::DOUBLE * toc - 0.55::DOUBLE * stub, 9), 3) AS score FROM n""")
 def rerank_blend(spark, sf_dir):
     s = documents(spark, sf_dir).select("lang", "doc_id", (F.col("file_size") % 997).cast("double").alias("a"), (F.col("updated_s") % 991).cast("double").alias("b"), ((F.col("doc_id") % 10) / 10.0).alias("m"), F.col("text").rlike(r"\|").cast("int").alias("toc"), P.stub(F.col("text")).cast("int").alias("stub"))
-    n = s.withColumns({"na": R.min_max("a", ["lang"]), "nb": R.min_max("b", ["lang"])})
+    n = R.min_max(s, {"a": "na", "b": "nb"}, ["lang"])
     raw = 0.55 * F.col("na") + 0.2 * F.col("nb") + 0.25 * F.col("m") - 0.18 * F.col("toc") - 0.55 * F.col("stub")
     return n.select("lang", "doc_id", F.round(F.round(raw, 9), 3).alias("score"))
 
@@ -105,8 +105,9 @@ def best_run(spark, sf_dir):
 
 
 @query("failure_buckets", f"""WITH {DOCS_SQL}, b AS (SELECT doc_id, CASE WHEN length(text) < 100 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long' WHEN visibility = 'private' THEN 'denied' END AS label FROM docs)
-SELECT label, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM b WHERE label IS NOT NULL GROUP BY 1""")
+SELECT label, doc_id, count(*) OVER (PARTITION BY label) AS n FROM b WHERE label IS NOT NULL""")
 def failure_buckets(spark, sf_dir):
+    """Failed cases by label with the size of their bucket; a row each, as a bucket may be of any size."""
     label = F.when(F.length("text") < 100, "too_short").when(F.length("text") > 20000, "too_long").when(F.col("visibility") == "private", "denied")
     b = documents(spark, sf_dir).select("doc_id", label.alias("label")).where("label IS NOT NULL")
-    return b.groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids"))
+    return b.join(F.broadcast(b.groupBy("label").agg(F.count("*").alias("n"))), "label")  # a row a label
