@@ -1,86 +1,236 @@
-"""Batch retrieval: postings, BM25, exact cosine, rank fusion and evaluation of ranked lists."""
+"""Batch retrieval: a keyword index, BM25, hashed vectors, exact cosine, rank fusion and evaluation of ranked lists."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A block of queries that is sent to all tasks.
-QUERY_BLOCK = 4096
+from lodestack.shared import new_path, sign_of_files, small, written
+
+#: Queries scored together, and bytes of packed queries that are sent to all tasks; more are joined.
+QUERY_BLOCK, BROADCAST_BYTES = 4096, 64_000_000
+#: Tables of at most so many rows are broadcast; the count is checked.
+BROADCAST_ROWS = 300_000
+#: Share of a query's largest possible score that its most common words may have together and still be left to the second pass.
+COMMON = 0.35
+#: Components of hashed vectors: the first byte of a word's MD5.
+HASHED = 256
+POSTING = "doc {}, dl int, term string, tf long"
 
 
 def postings(docs: DataFrame, key: str, words: str) -> DataFrame:
-    """(key, term, tf) of every word of every document."""
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(doc, dl, term, tf) of every word of every document, and a row with the empty term for each document itself."""
+    long = docs.select(F.col(key).alias("doc"), F.size(words).alias("dl"), F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
+    return long.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def ordered_by_term(index: DataFrame) -> DataFrame:
+    """Postings in the order of terms, so that a reader skips what it does not ask for; a common term is spread over partitions."""
+    return index.repartitionByRange("term", "doc").sortWithinPartitions("term")
+
+
+#: Keyword indexes of this session, by session, name and the sign of their files.
+_INDEXES: dict[tuple, str] = {}
+
+
+def keyword_index(source: DataFrame, docs: DataFrame, key: str, words: str, name: str) -> DataFrame:
+    """The postings of docs as a table, which is written once as long as the files of source, from which docs is made, are the same."""
+    spark, sign = source.sparkSession, sign_of_files(source)
+    at = (spark.sparkContext.applicationId, name, sign)
+    if sign is None or at not in _INDEXES:
+        path = new_path(spark, f"index-{name}")
+        ordered_by_term(postings(docs, key, words)).write.parquet(path)
+        _INDEXES[at] = path
+    return spark.read.schema(POSTING.format(docs.schema[key].dataType.simpleString())).parquet(_INDEXES[at])
+
+
+class IndexStore:
+    """A keyword index on storage that documents are added to and removed from.
+
+    Each change is a segment: a folder of postings, or of removed documents, which counts for all segments before it. Spark's committer
+    makes a segment whole or absent. Adding a document that is there replaces it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key_type: str = "bigint"):
+        self.spark, self.path, self.key_type = spark, path, key_type
+        self.segment = 0
+
+    def add(self, docs: DataFrame, key: str, words: str) -> IndexStore:
+        own = written(postings(docs, key, words), "index-segment")
+        self.remove(own.select("doc").distinct())
+        ordered_by_term(own).write.parquet(f"{self.path}/postings/segment={self.segment}")
+        return self
+
+    def remove(self, docs: DataFrame) -> IndexStore:
+        """Remove the documents of a table with a column doc."""
+        self.segment += 1
+        docs.select("doc").distinct().write.parquet(f"{self.path}/gone/segment={self.segment}")
+        return self
+
+    def read(self) -> DataFrame:
+        """The postings of the documents that are in the index now."""
+        if not self.segment:
+            return self.spark.createDataFrame([], POSTING.format(self.key_type))
+        own = self.spark.read.option("basePath", f"{self.path}/postings").schema(POSTING.format(self.key_type) + ", segment int").parquet(f"{self.path}/postings")
+        gone = self.spark.read.option("basePath", f"{self.path}/gone").schema(f"doc {self.key_type}, segment int").parquet(f"{self.path}/gone")
+        gone = written(gone.groupBy("doc").agg(F.max("segment").alias("upto")), "index-gone")
+        kept = own.join(small(gone, BROADCAST_ROWS), "doc", "left").where("upto IS NULL OR segment >= upto")
+        return kept.select("doc", "dl", "term", "tf")
+
 
+def corpus_size(index: DataFrame) -> tuple[int, float]:
+    """Number of documents and their mean length."""
+    n, mean = index.where("term = ''").agg(F.count("*"), F.avg("dl")).first()
+    return n, mean or 0.0
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, words: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) for all documents that share a word with a query; repeated query words count as often.
 
-    idf is ln((N - df + 0.5) / (df + 0.5) + 1), so no word lowers a score. Only postings of words that queries ask for are shuffled.
+def bm25_top_k(index: DataFrame, queries: DataFrame, query_key: str, words: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query; repeated query words count as often. Ties go to the smaller doc.
+
+    idf is ln((N - df + 0.5) / (df + 0.5) + 1), so no word lowers a score, and a word adds less than qtf * idf * (k1 + 1). First only the rarer words of
+    a query are scored. Where the k-th best of that is more than all common words could add, documents without a rarer word are out,
+    and common words are looked up only for documents that can still get in. Other queries are scored by all words at once.
     """
-    asked = queries.select(F.col(query_key).alias("query"), F.explode(words).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    sizes = docs.select(F.col(doc_key).alias("doc"), F.size(words).alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = docs.select(F.col(doc_key).alias("doc"), F.size(words).alias("dl"), F.explode(words).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(F.broadcast(corpus)).join(asked, "term")  # corpus is one row
-    return scored.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    n, mean = corpus_size(index)
+    asked = written(queries.select(F.col(query_key).alias("query"), F.explode(words).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")), "bm25-asked")
+    terms = written(asked.select("term").distinct(), "bm25-terms")
+    own = written(index.join(small(terms, BROADCAST_ROWS), "term", "left_semi"), "bm25-postings")
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    most = asked.join(df, "term").withColumn("most", F.col("qtf") * idf * (k1 + 1))
+    w = Window.partitionBy("query")
+    most = most.withColumns({"upto": F.sum("most").over(w.orderBy(F.desc("df"), "term")), "total": F.sum("most").over(w)}).withColumn("common", F.col("upto") <= COMMON * F.col("total"))
+    most = written(most.select("query", "term", "most", "common", "df"), "bm25-weights")
+    part = F.col("most") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
+    scored = lambda weights: own.join(small(weights, BROADCAST_ROWS), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+
+    partial = written(scored(most.where("NOT common")), "bm25-partial")
+    left = most.groupBy("query").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    kth = ranked(partial, ["query"], [F.desc("score"), F.col("doc")], k).groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
+    state = left.join(kth, "query", "left").withColumn("enough", F.coalesce((F.col("found") >= k) & (F.col("kth") > F.col("rest") + 1e-6), F.lit(False)))
+    state = written(state, "bm25-state")
+
+    near = partial.join(small(state.where("enough"), BROADCAST_ROWS), "query").where(F.col("score") + F.col("rest") >= F.col("kth") - 1e-6).select("query", "doc", "score")
+    near = written(near, "bm25-candidates")
+    common = most.where("common").join(small(state.where("enough"), BROADCAST_ROWS), "query", "left_semi").select("query", "term", "most")
+    wanted = near.select("query", "doc").join(common, "query")
+    rest = wanted.join(own, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(part).alias("more"))
+    done = near.join(rest, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    if not state.where("NOT enough").isEmpty():
+        done = done.unionByName(scored(most.join(small(state.where("NOT enough"), BROADCAST_ROWS), "query", "left_semi")))
+    return ranked(done.withColumn("score", F.round("score", 6)), ["query"], [F.desc("score"), F.col("doc")], k)
 
 
 def ranked(scores: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first k rows of each group with their rank from 1."""
+    """The first k rows of each group with their rank from 1; tasks hand on no more than k rows of a group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return scores.withColumn(name, rank).where(F.col(name) <= k)
 
 
+@lru_cache(maxsize=200_000)
+def _component(word: str) -> int:
+    return hashlib.md5(word.encode()).digest()[0]
+
+
+def hashed_vectors(docs: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, vector): how many words of a document fall on each of 256 components, which is the vector of texts where no model is at hand."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.bincount([_component(w) for w in ws.as_py() or ()], minlength=HASHED) for ws in batch.column(1)]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * HASHED, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["key", "vector"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, words).mapInArrow(run, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Usable vectors by dimension: (dim, ids, vectors)."""
+    good = rows[[v is not None and len(v) > 0 and not any(x is None for x in v) and bool(np.any(v)) for v in rows["v"]]]
+    out = [(dim, own["id"].to_numpy(np.int64).tobytes(), np.stack(own["v"].to_numpy()).astype(float).tobytes()) for dim, own in good.groupby(good["v"].map(len))]
+    return pd.DataFrame(out, columns=["dim", "ids", "vectors"])
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors, float).reshape(-1, row.dim)
+
+
+def _best(queries, docs, k: int) -> pd.DataFrame:
+    """The k best of some documents for some queries of the same dimension."""
+    (ids, q), (names, d) = queries, docs
+    scores = np.round((q @ d.T) / np.sqrt(np.outer((q * q).sum(axis=1), (d * d).sum(axis=1))), 6)
+    out = []
+    for i, query in enumerate(ids):
+        top = np.lexsort((names, -scores[i]))[:k]
+        out.append(pd.DataFrame({"query": query, "doc": names[top], "score": scores[i][top]}))
+    return pd.concat(out) if out else pd.DataFrame({"query": [], "doc": [], "score": []})
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int) -> DataFrame:
     """(query, doc, score, rank): exact cosine, rounded to 6 places, of a stated set of queries with all vectors.
 
-    Queries go to the tasks in blocks; a task scores its rows by matrix products and hands on its own k best per query.
-    Vectors of another length than the query, nulls and zero vectors are left out.
+    Queries are packed in blocks. If all of them are small they are sent to every task; else each pack of vectors meets each block by a join on the block's
+    number. A task scores by matrix products and hands on its own k best per query. Vectors of another length than the query,
+    nulls and zero vectors are left out.
     """
-    total = queries.where(F.col(vector).isNotNull()).count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        part = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block)).select(F.col(query_key).alias("query"), F.col(vector).alias("v"))
-        rows = part.collect()  # about QUERY_BLOCK rows
-        by_dim: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            if len(r.v) and None not in r.v and any(r.v):
-                ids, vs = by_dim.setdefault(len(r.v), ([], []))
-                ids.append(r.query)
-                vs.append(r.v)
-        packed = {d: (np.array(ids), _unit(np.array(vs, float))) for d, (ids, vs) in by_dim.items()}
-        found = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc"), F.col(vector).alias("v")).mapInPandas(_scorer(packed, k), "query long, doc long, score double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, ["query"], [F.desc("score"), F.col("doc")], k)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _scorer(packed: dict, k: int):
-    def run(batches):
-        for rows in batches:
-            good = rows[[len(v) in packed and not any(x is None for x in v) and bool(np.any(v)) for v in rows["v"]]]
-            for dim, own in good.groupby(good["v"].map(len)):
-                ids, q = packed[dim]
-                docs = own["doc"].to_numpy(np.int64)
-                scores = np.round(q @ _unit(np.stack(own["v"].to_numpy()).astype(float)).T, 6)
-                for i, query in enumerate(ids):
-                    top = np.lexsort((docs, -scores[i]))[:k]
-                    yield pd.DataFrame({"query": query, "doc": docs[top], "score": scores[i][top]})
-
-    return run
+    spark = vectors.sparkSession
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = written(asked, "cosine-queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    packs = asked.withColumn("block", block).groupBy("block").applyInPandas(lambda key, rows: _packed(rows).assign(block=key[0]), "dim int, ids binary, vectors binary, block int")
+    packs = written(packs, "cosine-blocks")
+    held = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    size = packs.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
+    out = "query long, doc long, score double"
+    if size <= BROADCAST_BYTES:
+        by_dim: dict[int, list] = {}
+        for row in packs.collect():
+            by_dim.setdefault(row.dim, []).append(_unpacked(row))
+        sent = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches):
+            for rows in batches:
+                for docs in _packed(rows).itertuples():
+                    for own in sent.value.get(docs.dim, ()):
+                        yield _best(own, _unpacked(docs), k)
+
+        found = held.mapInPandas(run, out)
+    else:
+
+        def pack(batches):
+            for rows in batches:
+                yield _packed(rows)
+
+        def score(batches):
+            for rows in batches:
+                for r in rows.itertuples():
+                    yield _best((np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors, float).reshape(-1, r.dim)), _unpacked(r), k)
+
+        docs = held.mapInPandas(pack, "dim int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = docs.join(packs.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "block"])
+        found = pairs.mapInPandas(score, out)
+    return ranked(found, ["query"], [F.desc("score"), F.col("doc")], k)
+
+
+def sharing_windows(docs: DataFrame, items: DataFrame, key: str, item_key: str, words: str, width: int = 10) -> DataFrame:
+    """(query, doc): documents in which any run of width words of an item stands. Items with fewer words have none.
+
+    Hashes of runs meet first, and then the words themselves are compared.
+    """
+    last = F.size(words) - width
+    runs = lambda: F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, width), " "))).otherwise(F.array().cast("array<string>"))
+    asked = written(items.select(F.col(item_key).alias("query"), F.explode(F.array_distinct(runs())).alias("run")), "windows-asked")
+    held = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(runs())).alias("run"))
+    return held.join(small(asked, BROADCAST_ROWS), "run").select("query", "doc").distinct()
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.5, sparse_weight: float = 0.5, damp: int = 60) -> DataFrame:

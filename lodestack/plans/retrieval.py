@@ -1,4 +1,4 @@
-"""Retrieval queries: BM25, cosine, fusion, hybrid search and its evaluation."""
+"""Retrieval queries: keyword index, BM25, cosine, fusion, hybrid search and its evaluation."""
 
 from __future__ import annotations
 
@@ -8,16 +8,21 @@ from lodestack.functions import text as X
 from lodestack.operators import retrieval as R
 from lodestack.plans.registry import query
 from lodestack.session import table
+from lodestack.shared import new_path
 
-TOKENS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+')"
-BM25_SQL = f"""WITH d AS (SELECT doc_id AS doc, {TOKENS.format('text')} AS w FROM documents), q AS (SELECT item_id AS query, {TOKENS.format('text')} AS w FROM benchmark),
-asked AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(w) AS term FROM q) GROUP BY 1, 2), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+WORDS_SQL = f"""WITH d AS (SELECT doc_id AS doc, {X.tokens_sql('text')} AS w FROM documents), q AS (SELECT item_id AS query, {X.tokens_sql('text')} AS w FROM benchmark) """
+BM25_SQL = WORDS_SQL + """, asked AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(w) AS term FROM q) GROUP BY 1, 2), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 tf AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 scored AS (SELECT query, doc, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN asked USING (term), stats GROUP BY 1, 2),
 sparse AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM scored) """
 COSINE_SQL = """, u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 cosine AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM u a, u b WHERE a.vec_id % 25 = 0),
 dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM cosine) """
+#: Vectors of texts: how many of their words fall on each first byte of MD5.
+HASHED_SQL = """, dv AS (SELECT doc, b, count(*) AS n FROM (SELECT doc, substr(md5(unnest(w)), 1, 2) AS b FROM d) GROUP BY 1, 2), qv AS (SELECT query, b, count(*) AS n FROM (SELECT query, substr(md5(unnest(w)), 1, 2) AS b FROM q) GROUP BY 1, 2),
+dn AS (SELECT doc, sum(n * n) AS s FROM dv GROUP BY 1), qn AS (SELECT query, sum(n * n) AS s FROM qv GROUP BY 1), dots AS (SELECT query, doc, sum(dv.n * qv.n) AS dot FROM dv JOIN qv USING (b) GROUP BY 1, 2),
+hashed AS (SELECT query, doc, round(dot / sqrt(CAST(dn.s AS DOUBLE) * CAST(qn.s AS DOUBLE)), 6) AS score FROM dots JOIN dn USING (doc) JOIN qn USING (query)),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM hashed) """
 
 
 def corpus(spark, sf_dir):
@@ -28,8 +33,12 @@ def asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("words"))
 
 
+def index(spark, sf_dir):
+    return R.keyword_index(table(spark, sf_dir, "documents"), corpus(spark, sf_dir), "doc_id", "words", "documents")
+
+
 def sparse(spark, sf_dir, k):
-    return R.ranked(R.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "item_id", "words"), ["query"], [F.desc("score"), F.col("doc")], k)
+    return R.bm25_top_k(index(spark, sf_dir), asked(spark, sf_dir), "item_id", "words", k)
 
 
 def dense(spark, sf_dir, k):
@@ -37,15 +46,46 @@ def dense(spark, sf_dir, k):
     return R.cosine_top_k(v, v.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "q"), "vec_id", "q", "embedding", k)
 
 
+def near(spark, sf_dir, k):
+    d, q = R.hashed_vectors(corpus(spark, sf_dir), "doc_id", "words"), R.hashed_vectors(asked(spark, sf_dir), "item_id", "words")
+    return R.cosine_top_k(d, q, "doc_id", "item_id", "vector", k)
+
+
 @query("postings_statistics", BM25_SQL + "SELECT term, df FROM df WHERE df >= 2")
 def postings_statistics(spark, sf_dir):
-    own = R.postings(corpus(spark, sf_dir), "doc_id", "words").join(asked(spark, sf_dir).select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    own = index(spark, sf_dir).join(asked(spark, sf_dir).select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
     return own.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
 
 
+@query("corpus_statistics", WORDS_SQL + "SELECT count(*) AS documents, round(avg(len(w)), 6) AS mean_length FROM d")
+def corpus_statistics(spark, sf_dir):
+    own = index(spark, sf_dir).where("term = ''")
+    return own.agg(F.count("*").alias("documents"), F.round(F.avg("dl"), 6).alias("mean_length"))
+
+
+@query("index_add_remove", WORDS_SQL + """, kept AS (SELECT doc, CASE WHEN doc % 7 = 0 THEN w[1:20] ELSE w END AS w FROM d WHERE doc % 5 <> 0 OR doc % 7 = 0), e AS (SELECT doc, unnest(w) AS term FROM kept)
+SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM e WHERE term LIKE 'a%' GROUP BY 1""")
+def index_add_remove(spark, sf_dir):
+    """An index that gets two thirds of the documents, then the rest, loses every fifth, and gets every seventh again with its first twenty words."""
+    own = corpus(spark, sf_dir)
+    store = R.IndexStore(spark, new_path(spark, "index-store"))
+    store.add(own.where("doc_id % 3 > 0"), "doc_id", "words").add(own.where("doc_id % 3 = 0"), "doc_id", "words")
+    store.remove(own.where("doc_id % 5 = 0").select(F.col("doc_id").alias("doc")))
+    store.add(own.where("doc_id % 7 = 0").withColumn("words", F.slice("words", 1, 20)), "doc_id", "words")
+    return store.read().where("term LIKE 'a%'").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query("index_sync_check", "SELECT doc_id, CASE WHEN vec_id IS NULL THEN 'no_vector' ELSE 'no_document' END AS lacks FROM documents FULL JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL UNION ALL SELECT vec_id, 'no_document' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def index_sync_check(spark, sf_dir):
+    """Documents that the keyword index has and the vectors lack, and the other way round: what a rebuild must make anew."""
+    words, vectors = index(spark, sf_dir).where("term = ''").select(F.col("doc").alias("doc_id")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    lacks = lambda a, b, what: a.join(b, "doc_id", "left_anti").withColumn("lacks", F.lit(what))
+    return lacks(words, vectors, "no_vector").unionByName(lacks(vectors, words, "no_document"))
+
+
 @query("bm25_topk", BM25_SQL + "SELECT query, doc, score, rank FROM sparse WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return sparse(spark, sf_dir, 10)
+    return sparse(spark, sf_dir, 10).select("query", "doc", "score", "rank")
 
 
 @query("bm25_filtered_after_rank", BM25_SQL + "SELECT query, doc, rank FROM sparse JOIN documents ON doc = doc_id WHERE rank <= 20 AND lang = 'en'")
@@ -65,100 +105,90 @@ def cosine_calibrated(spark, sf_dir):
     return dense(spark, sf_dir, 10).where("score > 0.05").select("query", "doc", X.calibrated(F.greatest("score", F.lit(0.0))).alias("score"))
 
 
-FUSED_SQL = BM25_SQL + """, mapped AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), dt AS (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(w) AS term FROM d)), qt AS (SELECT query, term FROM asked),
-rare AS (SELECT term FROM dt GROUP BY 1 HAVING count(*) <= 0.05::DOUBLE * (SELECT n FROM stats)),
-dn AS (SELECT doc, count(*) AS n FROM dt JOIN rare USING (term) GROUP BY 1), qn AS (SELECT query, count(*) AS n FROM qt JOIN rare USING (term) GROUP BY 1),
-lexical AS (SELECT query, doc, count(*) AS n FROM dt JOIN rare USING (term) JOIN qt USING (term) GROUP BY 1, 2),
-overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(l.n / (dn.n + qn.n - l.n), 6) DESC, doc) AS INTEGER) AS rank FROM lexical l JOIN dn USING (doc) JOIN qn USING (query)),
-fused AS (SELECT coalesce(o.query, m.query) AS query, coalesce(o.doc, m.doc) AS doc, o.rank AS dense_rank, m.rank AS sparse_rank, round(coalesce(0.6::DOUBLE / (60 + o.rank), 0) + coalesce(0.4::DOUBLE / (60 + m.rank), 0), 6) AS score
-  FROM (SELECT * FROM overlap WHERE rank <= 20) o FULL JOIN mapped m ON o.query = m.query AND o.doc = m.doc),
+@query("hashed_vector_topk", WORDS_SQL + HASHED_SQL + "SELECT query, doc, score, rank FROM near WHERE rank <= 20")
+def hashed_vector_topk(spark, sf_dir):
+    """Texts by the cosine of their hashed vectors."""
+    return near(spark, sf_dir, 20)
+
+
+def fused_sql(dense_name: str) -> str:
+    return f""", fused AS (SELECT coalesce(o.query, m.query) AS query, coalesce(o.doc, m.doc) AS doc, o.rank AS dense_rank, m.rank AS sparse_rank, round(coalesce(0.6::DOUBLE / (60 + o.rank), 0) + coalesce(0.4::DOUBLE / (60 + m.rank), 0), 6) AS score
+  FROM (SELECT * FROM {dense_name} WHERE rank <= 20) o FULL JOIN (SELECT query, doc, rank FROM sparse WHERE rank <= 20) m ON o.query = m.query AND o.doc = m.doc),
 final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, coalesce(dense_rank, 9999), coalesce(sparse_rank, 9999), doc) AS INTEGER) AS rank FROM fused) """
 
 
-#: Words in more than this share of the documents say nothing about them.
-RARE = 0.05
+FUSED_SQL = BM25_SQL + HASHED_SQL + fused_sql("near")
+HITS_SQL = """, h AS (SELECT gold.query, rank FROM gold LEFT JOIN (SELECT * FROM final WHERE rank <= 5) f ON f.query = gold.query AND f.doc = gold.doc)
+SELECT query, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5,
+  round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, round(count(*) FILTER (rank <= 5) / 5, 6) AS precision_5 FROM h GROUP BY 1"""
+TRACE_SQL = """SELECT gold.query, gold.doc, CASE WHEN f.rank <= 5 THEN 'returned' WHEN f.rank IS NOT NULL THEN 'fused_too_low' ELSE 'not_found' END AS verdict
+FROM gold LEFT JOIN final f ON f.query = gold.query AND f.doc = gold.doc"""
 
 
-def overlap(spark, sf_dir, k, rare=RARE):
-    """Jaccard similarity of the sets of rare words (of all words, if rare is None); only documents that share one with a query are scored."""
-    words = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_distinct("words").alias("words"))
-    d = words.select("doc", F.explode("words").alias("term"))
-    q = asked(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode(F.array_distinct("words")).alias("term"))
-    dn = words.select("doc", F.size("words").alias("dn"))
-    if rare is not None:
-        total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))  # one row
-        few = d.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where(F.col("df") <= rare * F.col("total")).select("term")
-        d, q = d.join(few, "term", "left_semi"), q.join(few, "term", "left_semi")
-        dn = d.groupBy("doc").agg(F.count("*").alias("dn"))
-    qn = q.groupBy("query").agg(F.count("*").alias("qn"))
-    both = d.join(q, "term").groupBy("query", "doc").agg(F.count("*").alias("n")).join(dn, "doc").join(qn, "query")
-    scored = both.select("query", "doc", F.round(F.col("n") / (F.col("dn") + F.col("qn") - F.col("n")), 6).alias("score"))
-    return R.ranked(scored, ["query"], [F.desc("score"), F.col("doc")], k)
+def fused(spark, sf_dir, k):
+    return R.fuse(near(spark, sf_dir, 20), sparse(spark, sf_dir, 20), k, 0.6, 0.4)
 
 
 @query("hybrid_retrieval", FUSED_SQL + "SELECT query, doc, dense_rank, sparse_rank, score, rank FROM final WHERE rank <= 5")
 def hybrid_retrieval(spark, sf_dir):
-    """Two ranked lists of 20 each, by overlap of rare words and BM25, fused by reciprocal ranks to the best 5."""
-    return R.fuse(overlap(spark, sf_dir, 20), sparse(spark, sf_dir, 20), 5, 0.6, 0.4)
+    """Two ranked lists of 20 each, by hashed vectors and by BM25, fused by reciprocal ranks to the best 5."""
+    return fused(spark, sf_dir, 5)
 
 
-GOLD_SQL = ", gold AS (SELECT item_id AS query, doc_id AS doc FROM benchmark b, documents d WHERE contains(d.text, substr(b.text, 1, 60))) "
+GOLD_SQL = """, runs AS (SELECT query, unnest(list_transform(range(len(w) - 9), lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS run FROM q WHERE len(w) >= 10),
+held AS (SELECT doc, unnest(list_transform(range(len(w) - 9), lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS run FROM d WHERE len(w) >= 10), gold AS (SELECT DISTINCT query, doc FROM runs JOIN held USING (run)) """
 
 
 def gold(spark, sf_dir):
-    """Documents that hold the first 60 characters of an item: found by the hash of every place's 60 characters' first word run, then compared."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("probe"))
-    items = items.withColumn("lead", F.regexp_extract("probe", r"^\S*\s\S*\s", 0))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    leads = docs.select("doc", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\S+\s\S+\s))"), 1))).alias("lead"))
-    near = leads.join(F.broadcast(items), "lead") if items.count() <= 10_000 else leads.join(items, "lead")
-    return near.where(F.contains("text", F.col("probe"))).select("query", "doc").distinct()
+    """Documents that share any ten words in a row with an item."""
+    return R.sharing_windows(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "item_id", "words")
 
 
-@query("recall_mrr_at_k", FUSED_SQL + GOLD_SQL + """, h AS (SELECT gold.query, rank FROM gold LEFT JOIN (SELECT * FROM final WHERE rank <= 5) f ON f.query = gold.query AND f.doc = gold.doc)
-SELECT query, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5,
-  round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, round(count(*) FILTER (rank <= 5) / 5, 6) AS precision_5 FROM h GROUP BY 1""")
+def traced(relevant, ranked):
+    verdict = F.when(F.col("rank") <= 5, "returned").when(F.col("rank").isNotNull(), "fused_too_low").otherwise("not_found")
+    return relevant.join(ranked.select("query", "doc", "rank"), ["query", "doc"], "left").select("query", "doc", verdict.alias("verdict"))
+
+
+@query("recall_mrr_at_k", FUSED_SQL + GOLD_SQL + HITS_SQL)
 def recall_mrr_at_k(spark, sf_dir):
     return R.judged(hybrid_retrieval(spark, sf_dir), gold(spark, sf_dir))
 
 
-@query("trace_lost_documents", FUSED_SQL + GOLD_SQL + """SELECT gold.query, gold.doc, CASE WHEN f.rank <= 5 THEN 'returned' WHEN f.rank IS NOT NULL THEN 'fused_too_low' ELSE 'not_found' END AS verdict
-FROM gold LEFT JOIN final f ON f.query = gold.query AND f.doc = gold.doc""")
+@query("trace_lost_documents", FUSED_SQL + GOLD_SQL + TRACE_SQL)
 def trace_lost_documents(spark, sf_dir):
-    fused = R.fuse(overlap(spark, sf_dir, 20), sparse(spark, sf_dir, 20), 40, 0.6, 0.4).select("query", "doc", "rank")
-    verdict = F.when(F.col("rank") <= 5, "returned").when(F.col("rank").isNotNull(), "fused_too_low").otherwise("not_found")
-    return gold(spark, sf_dir).join(fused, ["query", "doc"], "left").select("query", "doc", verdict.alias("verdict"))
+    return traced(gold(spark, sf_dir), fused(spark, sf_dir, 40))
 
 
-#: The same queries by whole sets of words, with SQL of their own.
-WHOLE_SQL = BM25_SQL + """, mapped AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), dt AS (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(w) AS term FROM d)), qt AS (SELECT query, term FROM asked),
+#: The same with the overlap of whole sets of words in the place of vectors.
+WHOLE_SQL = BM25_SQL + """, dt AS (SELECT DISTINCT doc, term FROM (SELECT doc, unnest(w) AS term FROM d)), qt AS (SELECT query, term FROM asked),
 dn AS (SELECT doc, count(*) AS n FROM dt GROUP BY 1), qn AS (SELECT query, count(*) AS n FROM qt GROUP BY 1), lexical AS (SELECT query, doc, count(*) AS n FROM dt JOIN qt USING (term) GROUP BY 1, 2),
-overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(l.n / (dn.n + qn.n - l.n), 6) DESC, doc) AS INTEGER) AS rank FROM lexical l JOIN dn USING (doc) JOIN qn USING (query)),
-fused AS (SELECT coalesce(o.query, m.query) AS query, coalesce(o.doc, m.doc) AS doc, o.rank AS dense_rank, m.rank AS sparse_rank, round(coalesce(0.6::DOUBLE / (60 + o.rank), 0) + coalesce(0.4::DOUBLE / (60 + m.rank), 0), 6) AS score
-  FROM (SELECT * FROM overlap WHERE rank <= 20) o FULL JOIN mapped m ON o.query = m.query AND o.doc = m.doc),
-final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, coalesce(dense_rank, 9999), coalesce(sparse_rank, 9999), doc) AS INTEGER) AS rank FROM fused) """
+overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY round(l.n / (dn.n + qn.n - l.n), 6) DESC, doc) AS INTEGER) AS rank FROM lexical l JOIN dn USING (doc) JOIN qn USING (query)) """ + fused_sql("overlap")
+
+
+def overlap(spark, sf_dir, k):
+    """Jaccard similarity of the sets of words; only documents that share one with a query are scored."""
+    words = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_distinct("words").alias("words"))
+    q = asked(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode(F.array_distinct("words")).alias("term"))
+    d = words.select("doc", F.size("words").alias("dn"), F.explode("words").alias("term"))
+    both = d.join(q, "term").groupBy("query", "doc", "dn").agg(F.count("*").alias("n")).join(q.groupBy("query").agg(F.count("*").alias("qn")), "query")
+    scored = both.select("query", "doc", F.round(F.col("n") / (F.col("dn") + F.col("qn") - F.col("n")), 6).alias("score"))
+    return R.ranked(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
 def fused_whole(spark, sf_dir, k):
-    return R.fuse(overlap(spark, sf_dir, 20, None), sparse(spark, sf_dir, 20), k, 0.6, 0.4)
+    return R.fuse(overlap(spark, sf_dir, 20), sparse(spark, sf_dir, 20), k, 0.6, 0.4)
 
 
 @query("hybrid_retrieval_all_words", WHOLE_SQL + "SELECT query, doc, dense_rank, sparse_rank, score, rank FROM final WHERE rank <= 5")
 def hybrid_retrieval_all_words(spark, sf_dir):
-    """hybrid_retrieval with the overlap of all words, common ones too."""
     return fused_whole(spark, sf_dir, 5)
 
 
-@query("recall_mrr_at_k_all_words", WHOLE_SQL + GOLD_SQL + """, h AS (SELECT gold.query, rank FROM gold LEFT JOIN (SELECT * FROM final WHERE rank <= 5) f ON f.query = gold.query AND f.doc = gold.doc)
-SELECT query, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5,
-  round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank, round(count(*) FILTER (rank <= 5) / 5, 6) AS precision_5 FROM h GROUP BY 1""")
+@query("recall_mrr_at_k_all_words", WHOLE_SQL + GOLD_SQL + HITS_SQL)
 def recall_mrr_at_k_all_words(spark, sf_dir):
     return R.judged(hybrid_retrieval_all_words(spark, sf_dir), gold(spark, sf_dir))
 
 
-@query("trace_lost_documents_all_words", WHOLE_SQL + GOLD_SQL + """SELECT gold.query, gold.doc, CASE WHEN f.rank <= 5 THEN 'returned' WHEN f.rank IS NOT NULL THEN 'fused_too_low' ELSE 'not_found' END AS verdict
-FROM gold LEFT JOIN final f ON f.query = gold.query AND f.doc = gold.doc""")
+@query("trace_lost_documents_all_words", WHOLE_SQL + GOLD_SQL + TRACE_SQL)
 def trace_lost_documents_all_words(spark, sf_dir):
-    fused = fused_whole(spark, sf_dir, 40).select("query", "doc", "rank")
-    verdict = F.when(F.col("rank") <= 5, "returned").when(F.col("rank").isNotNull(), "fused_too_low").otherwise("not_found")
-    return gold(spark, sf_dir).join(fused, ["query", "doc"], "left").select("query", "doc", verdict.alias("verdict"))
+    return traced(gold(spark, sf_dir), fused_whole(spark, sf_dir, 40))

@@ -12,7 +12,7 @@ def test_documents_that_share_only_common_words_are_scored(spark, tmp_path):
     items = [(1, "the common words b"), (2, "documents of own7")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["query"], r["doc"]): r["score"] for r in retrieval.overlap(spark, str(tmp_path), 100, None).collect()}
+    got = {(r["query"], r["doc"]): r["score"] for r in retrieval.overlap(spark, str(tmp_path), 100).collect()}
     want = {(q, d): round(len(word_set(a) & word_set(b)) / len(word_set(a) | word_set(b)), 6) for q, a in items for d, b in docs if word_set(a) & word_set(b)}
     assert got == want and len(want) == 60
 
@@ -24,7 +24,7 @@ def test_keyword_peers_by_whole_texts(spark, sf_dir, tmp_path):
     docs += [(9001, f"{opening} {tail}"), (9002, tail), (9003, tail), (9004, opening + " " + " ".join(f"another{i}" for i in range(60))), (9005, "a b c"), (9006, "a b c")]
     docs += [(9100 + k, " ".join(f"border{i}" for i in range(k, 25))) for k in (0, 7, 8)]
     spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'src1' AS source", "length(text) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.a, r.b): r.similarity for r in knowledge.jaccard_keyword_peers_whole_text(spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.similarity for r in knowledge.jaccard_keyword_peers(spark, str(tmp_path)).collect()}
     held = {r.doc_id: {w for w in r.w if len(w) > 5} for r in knowledge.words(spark, str(tmp_path)).select("doc_id", "w").collect()}
     want = {}
     for a in held:
@@ -33,5 +33,3 @@ def test_keyword_peers_by_whole_texts(spark, sf_dir, tmp_path):
                 want[a, b] = round(len(held[a] & held[b]) / len(held[a] | held[b]), 4)
     assert got == want
     assert {(9001, 9002), (9002, 9003), (9100, 9107)} <= set(got) and (9001, 9004) not in got and (9100, 9108) not in got
-    narrow = {(r.a, r.b) for r in knowledge.jaccard_keyword_peers(spark, str(tmp_path)).collect()}
-    assert (9001, 9002) not in narrow and (9001, 9004) in narrow
