@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.functions.fixed import FILE_CATEGORIES, MASTHEAD
+from lodestack.shared import small, written
+
 
 def visible(is_admin: Column, user: Column, owner: Column, visibility: Column, roles: Column, allowed: Column) -> Column:
     """Row-level access: admins and owners always; public; restricted where a role matches; all else, and nulls, never."""
@@ -28,23 +31,54 @@ def access_reason(is_admin: Column, user: Column, owner: Column, visibility: Col
     )
 
 
+def granted_sources(named: DataFrame, documents: DataFrame, source: str, name: str, seen: Column) -> DataFrame:
+    """The distinct named sources that are documents which the caller sees; sources that are no document are denied."""
+    return named.select(source).distinct().join(documents.where(seen).select(F.col(name).alias(source)).distinct(), source, "left_semi")
+
+
+def in_allowed(source: Column, allowed: tuple[str, ...] | None) -> Column:
+    """Whether a source is in the allowed set. An empty set allows nothing; None is no restriction."""
+    if allowed is None:
+        return F.lit(True)
+    return source.isin(*allowed) if allowed else F.lit(False)
+
+
+def file_category(name: Column) -> Column:
+    """The category of a file by its name without extension; general for other names."""
+    table = F.create_map(*[F.lit(x) for pair in FILE_CATEGORIES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.regexp_replace(name, r"\.[^.]+$", "")), F.lit("general"))
+
+
+def masthead(passage: Column) -> Column:
+    """Whether a passage of up to 45 words only names a document."""
+    x = F.trim(F.regexp_replace(F.coalesce(passage, F.lit("")), r"\s+", " "))
+    return (x != "") & (F.size(F.split(x, " ")) <= 45) & x.rlike(f"(?i){MASTHEAD}")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def min_max(x: str, keys: list[str]) -> Column:
-    """x scaled to 0..1 in its group, rounded to 4 places; 1 where all are equal."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high == low, 1.0).otherwise(F.round((F.col(x) - low) / (high - low), 4))
+def min_max(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """df with each column x of {x: name} scaled to 0..1 in its group as name, rounded to 4 places; 1 where all are equal.
+
+    Groups may be of any size: their ends are aggregated and joined.
+    """
+    ends = df.groupBy(*keys).agg(*[f(x).alias(f"_{n}_{x}") for x in columns for n, f in (("low", F.min), ("high", F.max))])
+    out = df.join(ends, keys)
+    for x, name in columns.items():
+        low, high = F.col(f"_low_{x}"), F.col(f"_high_{x}")
+        out = out.withColumn(name, F.when(high == low, 1.0).otherwise(F.round((F.col(x) - low) / (high - low), 4)))
+    return out.drop(*[c for c in ends.columns if c not in keys])
 
 
 def diversified(df: DataFrame, keys: list[str], source: str, order: list[Column], limit: int) -> DataFrame:
     """The first row of every source, then the others, in order; at most limit per group of keys; adds position."""
     turn = F.row_number().over(Window.partitionBy(*keys, source).orderBy(*order))
     spot = F.row_number().over(Window.partitionBy(*keys).orderBy((F.col("_turn") > 1).cast("int"), *order))
-    return df.withColumn("_turn", turn).withColumn("position", spot).where(F.col("position") <= limit).drop("_turn")
+    few = df.withColumn("_turn", turn).where(F.col("_turn") <= limit)  # more of a source can't be shown
+    return few.withColumn("position", spot).where(F.col("position") <= limit).drop("_turn")
 
 
 def shared_elements(df: DataFrame, key: str, elements: str, least: int = 1) -> DataFrame:
@@ -57,3 +91,17 @@ def shared_elements(df: DataFrame, key: str, elements: str, least: int = 1) -> D
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """base with its rows replaced by those of changes with the same key, and new ones added."""
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
+
+
+def first_contained(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
+    """(key, name): each name of a table that a text contains anywhere, without regard to case.
+
+    Texts and names meet by the first letters of names, as many as the shortest has; then the whole name is looked for. Empty names count for nothing.
+    """
+    known = written(names.where(F.length(name) > 0).select(F.lower(name).alias("_low"), name).distinct(), "names")
+    short = known.agg(F.min(F.length("_low"))).first()[0] or 1
+    last = F.length("_text") - short
+    starts = F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("_text", i + 1, F.lit(short))))).otherwise(F.array().cast("array<string>"))
+    held = texts.select(*key, F.lower(text).alias("_text")).withColumn("_lead", F.explode(starts))
+    known = known.withColumn("_lead", F.substring("_low", 1, short))
+    return held.join(small(known, 100_000), "_lead").where(F.contains("_text", F.col("_low"))).select(*key, name).distinct()

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestack.operators import ingestion as I
 from lodestack.plans.registry import query
 from lodestack.session import table
+from lodestack.shared import new_path
 from lodestack.streaming import events as E
 
 
@@ -55,11 +53,10 @@ def pages_per_host(spark, sf_dir):
 
 @query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
-    """The event table read as a stream up to its end; daily counts land in a table of the session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-")
+    """The event table read as a stream up to its end. Counts that a batch changes are appended to a table of the shared folder; the newest
+    of a day, which is the largest, holds."""
     live = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counted = E.daily_counts(live, delay="3650 days")
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    path = new_path(spark, "stream")
+    run = E.daily_counts(live).writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}"))
+    run.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/counts").groupBy("day", "event_type").agg(F.max("n").alias("n"))

@@ -9,6 +9,7 @@ from lodestack.functions.bindings import DOCS_SQL, MESSAGES_SQL, documents, mess
 from lodestack.operators import relational as R
 from lodestack.plans.registry import query
 from lodestack.session import table
+from lodestack.shared import with_neighbours
 
 WITH_DOCS = f"WITH {DOCS_SQL} "
 CITED_SQL = f"""WITH {DOCS_SQL}, {MESSAGES_SQL}, cited AS (
@@ -58,11 +59,9 @@ def duplicate_decision(spark, sf_dir):
 @query("version_latest", WITH_DOCS + """SELECT doc_id, collection, lang, row_number() OVER w AS version, row_number() OVER w = count(*) OVER (PARTITION BY collection, lang) AS is_latest,
   lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM docs WINDOW w AS (PARTITION BY collection, lang ORDER BY updated_s, doc_id)""")
 def version_latest(spark, sf_dir):
-    w = Window.partitionBy("collection", "lang").orderBy("updated_s", "doc_id")
-    every = F.count("*").over(Window.partitionBy("collection", "lang"))
-    d = documents(spark, sf_dir).select("doc_id", "collection", "lang", "updated_s")
-    out = d.withColumns({"version": F.row_number().over(w).cast("long"), "previous_id": F.lag("doc_id").over(w), "next_id": F.lead("doc_id").over(w)})
-    return out.withColumn("is_latest", F.col("version") == every).drop("updated_s")
+    """Versions in the order of their time; a group of any size, as neighbours meet by number."""
+    d = with_neighbours(documents(spark, sf_dir).select("doc_id", "collection", "lang", "updated_s"), ["collection", "lang"], ["updated_s", "doc_id"], "doc_id")
+    return d.select("doc_id", "collection", "lang", F.col("place").cast("long").alias("version"), F.col("before").alias("previous_id"), F.col("after").alias("next_id"), F.col("after").isNull().alias("is_latest"))
 
 
 @query("latest_by_max_by", WITH_DOCS + "SELECT collection, arg_max(doc_id, (updated_s, doc_id)) AS newest FROM docs GROUP BY 1")
@@ -140,10 +139,9 @@ def shared_languages(spark, sf_dir):
 @query("adjacent_peers", WITH_DOCS + """, o AS (SELECT doc_id, collection, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pos, lang FROM docs)
 SELECT doc_id, (SELECT count(*) FROM o p WHERE p.lang = o.lang AND p.doc_id <> o.doc_id AND abs(p.pos - o.pos) <= 1 AND p.collection = o.collection) AS same_neighbours FROM o""")
 def adjacent_peers(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    same = lambda c: F.coalesce((c == F.col("collection")).cast("long"), F.lit(0))
-    d = documents(spark, sf_dir).select("doc_id", "lang", "collection").withColumns({"p": F.lag("collection").over(w), "n": F.lead("collection").over(w)})
-    return d.select("doc_id", (same(F.col("p")) + same(F.col("n"))).alias("same_neighbours"))
+    same = lambda c: F.coalesce((F.col(c) == F.col("collection")).cast("long"), F.lit(0))
+    d = with_neighbours(documents(spark, sf_dir).select("doc_id", "lang", "collection"), ["lang"], ["doc_id"], "collection")
+    return d.select("doc_id", (same("before") + same("after")).alias("same_neighbours"))
 
 
 @query("minmax_rerank_blend", WITH_DOCS + """, s AS (SELECT doc_id, lang, CAST(file_size AS DOUBLE) AS a, CAST(updated_s % 1000 AS DOUBLE) AS b FROM docs),
@@ -151,7 +149,7 @@ n AS (SELECT doc_id, lang, CASE WHEN max(a) OVER w = min(a) OVER w THEN 1.0::DOU
 SELECT doc_id, lang, na, nb, round(0.55::DOUBLE * na + 0.45::DOUBLE * nb, 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(0.55::DOUBLE * na + 0.45::DOUBLE * nb, 6) DESC, doc_id) <= 40""")
 def minmax_rerank_blend(spark, sf_dir):
     s = documents(spark, sf_dir).select("doc_id", "lang", F.col("file_size").cast("double").alias("a"), (F.col("updated_s") % 1000).cast("double").alias("b"))
-    n = s.withColumns({"na": R.min_max("a", ["lang"]), "nb": R.min_max("b", ["lang"])}).withColumn("score", F.round(0.55 * F.col("na") + 0.45 * F.col("nb"), 6))
+    n = R.min_max(s, {"a": "na", "b": "nb"}, ["lang"]).withColumn("score", F.round(0.55 * F.col("na") + 0.45 * F.col("nb"), 6))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id"))
     return n.withColumn("r", rank).where("r <= 40").select("doc_id", "lang", "na", "nb", "score")
 
@@ -162,13 +160,45 @@ def upsert_by_key(spark, sf_dir):
     return R.upsert(c, c.where("c_custkey % 4 = 0").withColumn("c_name", F.upper("c_name")), "c_custkey")
 
 
-@query("filename_containment", WITH_DOCS + f", {MESSAGES_SQL}, s AS (SELECT DISTINCT collection FROM docs WHERE collection IN ('src1', 'src12', 'src3')) SELECT conversation_id, turn, min(collection) AS first_match FROM (SELECT conversation_id, turn, concat(content, ' src', conversation_id % 15) AS content FROM messages) m JOIN s ON contains(lower(content), collection) GROUP BY 1, 2")
+MENTIONS_SQL = f"WITH {DOCS_SQL}, {MESSAGES_SQL}, said AS (SELECT conversation_id, turn, lower(concat(content, ' in SRC', conversation_id % 15, ' and file', conversation_id * 2 + turn, '.txt')) AS content FROM messages), files AS (SELECT collection, concat('File', doc_id, '.txt') AS filename FROM docs) "
+
+
+def mentions(spark, sf_dir):
+    """conversation_id, turn, content: messages that name a collection and a file."""
+    c = F.col("conversation_id")
+    return messages(spark, sf_dir).select("conversation_id", "turn", F.concat("content", F.lit(" in SRC"), (c % 15).cast("string"), F.lit(" and file"), (c * 2 + F.col("turn")).cast("string"), F.lit(".txt")).alias("content"))
+
+
+def files(spark, sf_dir):
+    return documents(spark, sf_dir).select("collection", F.concat(F.lit("File"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
+
+
+@query("filename_containment", MENTIONS_SQL + "SELECT conversation_id, turn, min(collection) AS first_match FROM said JOIN (SELECT DISTINCT collection FROM docs) c ON contains(content, lower(collection)) GROUP BY 1, 2")
 def filename_containment(spark, sf_dir):
-    """First of a short stated list of names that a message contains; the list is a literal, so no table is crossed."""
-    m = messages(spark, sf_dir).withColumn("content", F.lower(F.concat("content", F.lit(" src"), (F.col("conversation_id") % 15).cast("string"))))
-    names = sorted(["src1", "src12", "src3"])
-    first = F.coalesce(*[F.when(F.contains("content", F.lit(n)), n) for n in names])
-    return m.withColumn("first_match", first).where("first_match IS NOT NULL").select("conversation_id", "turn", "first_match")
+    """First of all names of collections that a message contains."""
+    found = R.first_contained(mentions(spark, sf_dir), documents(spark, sf_dir).select("collection"), ["conversation_id", "turn"], "content", "collection")
+    return found.groupBy("conversation_id", "turn").agg(F.min("collection").alias("first_match"))
+
+
+@query("never_searched_documents", MENTIONS_SQL + "SELECT filename FROM files f WHERE NOT EXISTS (SELECT 1 FROM said WHERE contains(content, lower(filename)))")
+def never_searched_documents(spark, sf_dir):
+    """Files that no message names."""
+    f = files(spark, sf_dir).select("filename")
+    return f.join(R.first_contained(mentions(spark, sf_dir), f, ["conversation_id", "turn"], "content", "filename").select("filename").distinct(), "filename", "left_anti")
+
+
+@query("searches_by_collection", MENTIONS_SQL + ", m AS (SELECT conversation_id, turn, arg_min(collection, filename) AS collection FROM said JOIN files ON contains(content, lower(filename)) GROUP BY 1, 2) SELECT collection, count(*) AS n FROM m GROUP BY 1")
+def searches_by_collection(spark, sf_dir):
+    """Each message counts for the collection of the first file, by name, that it names."""
+    f = files(spark, sf_dir)
+    found = R.first_contained(mentions(spark, sf_dir), f, ["conversation_id", "turn"], "content", "filename").join(f, "filename")
+    first = found.groupBy("conversation_id", "turn").agg(F.min_by("collection", "filename").alias("collection"))
+    return first.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query("unused_documents_count", CITED_SQL + "SELECT count(*) AS n FROM docs WHERE doc_id NOT IN (SELECT conversation_id * 5 + turn * pos FROM cited)")
+def unused_documents_count(spark, sf_dir):
+    return never_cited_anti(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
 @query("star_schema_rollup", """SELECT r_name, n_name, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 10000) AS BIGINT)) AS BIGINT) AS revenue_e4, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
