@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Numbers of days of the usual ranges, which end with the last day.
+PRESETS = (1, 7, 30, 90)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A range of time and a page; wrong ones are refused before a job is built."""
+
+    start: datetime | None = None
+    end: datetime | None = None
+    limit: int = 50
+    offset: int = 0
+
+    def __post_init__(self):
+        if self.start is not None and self.end is not None and self.start > self.end:
+            raise ValueError("start must not be later than end")
+        if not 1 <= self.limit <= 365 or self.offset < 0:
+            raise ValueError("limit must be from 1 to 365, offset not negative")
+
+    def of(self, ts: str) -> Column:
+        return in_window(ts, self.start, self.end)
+
+
 def in_window(ts: str, start, end) -> Column:
     """Both ends count; a missing end is open."""
     cond = F.lit(True)
@@ -75,3 +101,45 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     if offset < 0 or not 1 <= limit <= 365:
         raise ValueError("offset must not be negative and limit must be from 1 to 365")
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def printed(value: Column, kind: str) -> Column:
+    """A value as reports print it: N/A, Yes or No, two decimals, ISO times."""
+    if kind in ("double", "float"):
+        shown = F.format_string("%.2f", value)
+    elif kind == "boolean":
+        shown = F.when(value, "Yes").otherwise("No")
+    elif kind.startswith("timestamp"):
+        shown = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    else:
+        shown = value.cast("string")
+    return F.when(value.isNull(), "N/A").otherwise(shown)
+
+
+def humanised(key: Column) -> Column:
+    """A key of words joined by underscores as a label."""
+    return F.initcap(F.trim(F.replace(key, F.lit("_"), F.lit(" "))))
+
+
+def json_list(text: Column) -> Column:
+    """A JSON list of strings; an empty one where there is none or it can't be read."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def json_number(text: Column, path: str) -> Column:
+    """A number in JSON; null where there is none, or a boolean or a text in its place."""
+    found = F.try_variant_get(F.try_parse_json(text), path, "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(F.try_parse_json(text), path, "double"))
+
+
+def within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, seconds: int) -> DataFrame:
+    """Pairs of rows of a key of which the right one comes after the left, at most so many seconds later.
+
+    Times are cut in spans of that length, so that a row meets those of two spans of its key only, however many the key has.
+    """
+    span = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    a = left.withColumn("_span", F.explode(F.array(span(left_at), span(left_at) + 1)))
+    b = right.withColumn("_span", span(right_at))
+    gap = F.unix_micros(F.col(right_at).cast("timestamp")) - F.unix_micros(F.col(left_at).cast("timestamp"))
+    return a.join(b, [key, "_span"]).where((gap > 0) & (gap <= seconds * 1_000_000)).drop("_span")
