@@ -21,7 +21,7 @@ def _met(links: DataFrame, side: str, least: DataFrame, n_links: int, how: str)
     hubs = written(links.groupBy(F.col(side).alias("hub")).agg(F.count("*").alias("n")).where(F.col("n") > max(DEGREE, n_links // HUBS)).select("hub"), "components-hubs")
     if hubs.isEmpty():
         return links.join(least, links[side] == least["node"], how).drop("node")
-    own = written(hubs.join(least, hubs["hub"] == least["node"], how).select("hub", "m"), "components-hub-minima")
+    own = hubs.join(least, hubs["hub"] == least["node"], how).select("hub", "m")
     many = links.join(F.broadcast(own), links[side] == own["hub"]).drop("hub")
     few = links.join(F.broadcast(hubs), links[side] == hubs["hub"], "left_anti")
     return many.unionByName(few.join(least, few[side] == least["node"], how).drop("node"))
@@ -29,7 +29,7 @@ def _met(links: DataFrame, side: str, least: DataFrame, n_links: int, how: str)
 
 def _minima(links: DataFrame) -> DataFrame:
     """(node, m): the smallest neighbour of every node that has a smaller one. a is the larger node of a link."""
-    return written(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "components-minima")
+    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
 
 
 def _large_star(links: DataFrame, n_links: int) -> DataFrame:

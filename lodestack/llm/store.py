@@ -14,31 +14,35 @@ OWN = "_ls_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
+    """The cluster's shared folder: spark.checkpoint.dir. Where that is unset: a new folder of this machine, if the master is local; else an error,
+    as other machines could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-#: What this session has put into the shared folder.
-_MADE: list[str] = []
+#: What each application has put into the shared folder.
+_MADE: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark)}/lodestack/{what}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
 def drop_tables(spark: SparkSession) -> int:
-    """Delete all intermediate tables and files of this session, once no result that reads them is needed; how many there were."""
+    """Delete all intermediate tables and files of this application, once no result that reads them is needed; how many there were."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
