@@ -8,6 +8,7 @@ fixed order; a document is never split over frames or files.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+#: How a tokenizer must be set up so that words can be encoded one by one; read from its file.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer lowers case, drops white space and splits there and between letters and marks, before anything else."""
+    said = json.loads(tokenizer.to_str())
+    return all(said.get(k) == v for k, v in BY_WORDS.items()) and not said["model"].get("dropout")
+
+
+class TextEncoder:
+    """Encodes whole texts by any tokenizer file, batch by batch."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+        self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
+        self.kind = f"<u{self.width}"
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (null: those of an empty text), without special tokens, and where each text ends among them."""
+        found = self._tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        ids = [np.array(e.ids, self.kind) for e in found]
+        return np.concatenate(ids) if ids else np.empty(0, self.kind), np.cumsum([len(x) for x in ids])
+
+
 class WordEncoder:
     """Encodes texts by a byte-level tokenizer that never joins what a blank or line feed parts, and lower-cases.
 
@@ -48,10 +83,13 @@ class WordEncoder:
     often, ASCII letters are lowered and marks parted from the letter before them, which the tokenizer does too.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer):
+        """tokenizer: a tokenizer or its file; it must be by_words()."""
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
+        if not by_words(self._tokenizer):
+            raise ValueError("this tokenizer can't encode words one by one")
         self._model = self._tokenizer.model
         self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.kind = f"<u{self.width}"
@@ -109,10 +147,13 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """A worker's encoder, which outlives its tasks."""
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """A worker's encoder, which outlives its tasks: by words where the tokenizer allows that, else by whole texts."""
+    from tokenizers import Tokenizer
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    tokenizer = Tokenizer.from_file(path)
+    return WordEncoder(tokenizer) if by_words(tokenizer) else TextEncoder(tokenizer)
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
@@ -126,7 +167,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 8_000_000, frame_ids: int = 65536) -> None:
-    """Write docs as token files under path. tokenizer: a tokenizer file, present on every worker.
+    """Write docs as token files under path. tokenizer: any tokenizer file, present on every worker.
 
     end_id follows each document unless None. A file ends once it holds file_ids ids, a frame at frame_ids.
     Other columns of docs are not written. An empty table writes no token file.

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from lodestack.llm import op1_tokens
 from lodestack.llm.store import new_path
 from lodestack.llm.tokenfile import Corrupt, Reader, Writer
-from lodestack.llm.tokens import WordEncoder, read_documents, read_token_files, write_token_files
+from lodestack.llm.tokens import WordEncoder, by_words, read_documents, read_token_files, write_token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,19 @@ def test_odd_rows(spark):
     assert some == {11: brute([" "])[0], 21: brute([ODD[11]])[0]}
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    """One that keeps case and joins blanks to words; each file's ids are those of the tokenizer on whole texts."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(other)
+    assert not by_words(tokenizer) and by_words(Tokenizer.from_file(PATH))
+    with pytest.raises(ValueError):
+        WordEncoder(other)
+    path = new_path(spark, "t")
+    write_token_files(spark.createDataFrame(list(enumerate([*ODD, None])), "doc_id long, text string"), path, other, None, file_ids=500)
+    got = {r.doc_id: r.ids for r in read_documents(spark, path, list(range(len(ODD) + 1))).collect()}
+    assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate([*ODD, None])}
+
+
 def test_empty_table(spark):
     path = new_path(spark, "t")
     write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 2)
