@@ -28,19 +28,38 @@ MISS = 1e-4
 #: Shingles of templates that are sent to all tasks; the count is checked.
 BROADCAST_ROWS = 300_000
 
-#: Fixed texts of notices.
+#: Fixed texts of licenses and notices, with the usual wordings of the short ones.
 TEMPLATES = {
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-distributed": "Distributed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-2.0-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsl-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
+    "mit-distributed": "Distributed under the MIT License.",
+    "mit-licensed": "Licensed under the MIT License.",
+    "mit-project": "This project is licensed under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
 
 
@@ -98,14 +117,19 @@ def license_matches(docs: DataFrame, templates: DataFrame, least: float = LEAST,
     least_of = F.array_min(F.transform("grams", lambda g: F.struct(F.xxhash64(g, F.col("band")).alias("low"), g.alias("gram"))))
     signed = written(signed.select("template", "size", "band", least_of.alias("m")).select("template", "size", "band", "m.low", "m.gram"), "license-bands")
     leads = written(signed.select("gram", "size").distinct(), "license-leads")
-    near = F.broadcast if leads.count() <= BROADCAST_ROWS else (lambda df: df)
+    small = leads.count() <= BROADCAST_ROWS
+    near = F.broadcast if small else (lambda df: df)
 
     own = _with_grams(_keyed(docs, id_col, text_col))
-    hits = own.select(*KEY, "words", "grams", F.posexplode(held_still(F.col("grams"))).alias("at", "gram")).join(near(leads), "gram")
+    texts = ["words", "grams"] if small else []  # shuffled leads meet places first, and each text once then
+    hits = own.select(*KEY, *texts, F.posexplode(held_still(F.col("grams"))).alias("at", "gram")).join(near(leads), "gram")
     step, width = F.col("size") / 2, F.col("size") + F.col("size") / 2
     low = F.greatest(F.lit(0), F.ceil((F.col("at") + SHINGLE - width) / step)).cast("int")
     place = F.explode(F.sequence(low, F.floor(F.col("at") / step).cast("int"))).alias("k")
-    windows = hits.select(*KEY, "size", place, "words", "grams")
+    windows = hits.select(*KEY, "size", place, *texts)
+    if not small:
+        spots = written(windows.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("size", "k")).alias("spots")), "license-spots")  # no more than the words of a text
+        windows = own.dropDuplicates(KEY).join(spots, KEY).select(*KEY, "words", "grams", F.explode("spots").alias("s")).select(*KEY, "s.size", "s.k", "words", "grams")
     begin = (F.col("k") * F.col("size") / 2).cast("int")
     windows = windows.select(*KEY, "size", begin.alias("at"), F.slice("words", begin + 1, width.cast("int")).alias("w"), F.slice("grams", begin + 1, (width - SHINGLE + 1).cast("int")).alias("g"))
     windows = written(windows.distinct(), "license-windows")
@@ -125,7 +149,7 @@ def _low_of(grams: str, band: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with licenses: a sorted array of (template, containment, windows, at), empty where there is none.
 
-    A null text has no words. A column of docs by that name is replaced. An empty table gives no rows; without templates nothing matches.
+    A null text has no words; texts are read whole, however long. A column of docs by that name is replaced. An empty table gives no rows; without templates nothing matches.
     """
     found = license_matches(docs, templates, least, id_col, text_col)
     entry = F.struct("template", "containment", "windows", "at")

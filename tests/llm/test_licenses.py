@@ -71,3 +71,9 @@ def test_empty_tables_and_bad_templates(spark):
         scan_licenses(frame, template_table(spark, {"short": "too few words"}))
     with pytest.raises(ValueError):
         scan_licenses(frame, template_table(spark), least=0.0)
+
+
+def test_usual_wordings_are_known(spark):
+    wordings = ["Distributed under the MIT License", "this project is licensed under the MIT license", "Licensed under CC BY 4.0", "x " * 200 + TEMPLATES["isc-text"], "1. " + TEMPLATES["unlicense-text"].lower(), TEMPLATES["lgpl-2.1-header"], "clean text without any notice at all"]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(wordings)), "doc_id long, text string"), template_table(spark)).orderBy("doc_id").collect()
+    assert all(r.licenses for r in rows[:-1]) and not rows[-1].licenses
