@@ -23,5 +23,5 @@ FROM firsts
 def run(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(decide(table(spark, sf_dir, "pages")), path)
-    page = lambda uri: F.regexp_extract(uri, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    page = lambda uri: F.regexp_extract(uri, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     return read_archives(spark, path).select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))

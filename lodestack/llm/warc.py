@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.store import require, written
+from lodestack.llm.store import OWN, require, written
 
 VERSION = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -71,25 +71,31 @@ def decide(pages: DataFrame, min_revisit: int = 100, id_col: str = "page_id", ur
     return plain.unionByName(several.select(columns))
 
 
-def write_archives(decided: DataFrame, path: str, file_records: int = 50_000) -> None:
-    """Write the rows of decide() as WARC files of at most file_records records."""
+def write_archives(decided: DataFrame, path: str, file_records: int = 50_000, min_revisit: int = 100) -> None:
+    """Write the rows of decide() as WARC files of at most file_records records. An empty table writes no record.
+
+    Every record has an id of its own: page, digest, and 0 for a response that others may revisit (there is one of a payload), else a number of
+    this run. min_revisit must be that of decide().
+    """
 
     def line(name: str, value) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     is_response = F.col("record_type") == "response"
+    named = lambda page, tag: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.col("payload_digest"), F.lit(":"), tag, F.lit(">"))
+    own = F.when(is_response & (F.col("payload_bytes") >= min_revisit), "0").otherwise(F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")))
+    decided = decided.withColumn(f"{OWN}tag", own)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block_bytes = F.octet_length(http) + F.when(is_response, F.col("payload_bytes")).otherwise(0)
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     head = F.concat(
         F.lit(VERSION),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        line("WARC-Record-ID", named(F.col("page_id"), F.col(f"{OWN}tag"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", _uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(is_response, "").otherwise(F.concat(line("WARC-Profile", F.lit(profile)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("none")), F.lit(">"))))),
+        F.when(is_response, "").otherwise(F.concat(line("WARC-Profile", F.lit(profile)), line("WARC-Refers-To", named(F.col("refers_to"), F.lit("0"))))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", block_bytes.cast("string")),
         F.lit("\r\n"),

@@ -51,7 +51,10 @@ def brute(pages):
 
 def read(spark, path):
     rows = read_archives(spark, path).collect()
-    page = lambda u: None if u in (None, "<urn:page:none>") else int(u[len("<urn:page:") : -1])
+    page = lambda u: None if u is None or u.split(":")[2] == "none" else int(u.split(":")[2])
+    ids = {r.record_id: r for r in rows}
+    assert len(ids) == len(rows)
+    assert all(ids[r.refers_to].record_type == "response" and ids[r.refers_to].payload_digest == r.payload_digest for r in rows if r.record_type == "revisit")
     assert all(r.intact is (None if r.record_type == "revisit" else True) for r in rows)
     return sorted(((page(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, page(r.refers_to)) for r in rows), key=repr)
 
@@ -66,7 +69,7 @@ def test_query_agrees_with_brute_force(spark, sf_dir):
 def test_magic_inside_payloads_and_odd_rows(spark, split, copies, monkeypatch):
     monkeypatch.setattr("lodestack.llm.warc.BROADCAST_ROWS", copies)
     pages = PAGES + [(1000 + i, "u", f"{i} {INNER} {i}") for i in range(copies)]
-    docs = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload int").coalesce(2)
+    docs = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, record_type int").coalesce(2)
     path = new_path(spark, "t")
     write_archives(decide(docs), path)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
