@@ -41,7 +41,8 @@ def any_of(patterns: tuple[str, ...]) -> str:
 
 
 def rules_sql(column: str, rules, default: str) -> str:
-    """SQL for the label of the first rule (label, patterns) that matches."""
+    """SQL for the label of the first rule (label, patterns) that matches. Word borders there know ASCII only, so accented letters are made plain ones."""
+    column = f"regexp_replace({column}, '[À-ÖØ-öø-žß]', 'x', 'g')"
     quoted = lambda patterns: any_of(patterns).replace("'", "''")
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{quoted(p)}') THEN '{n}'" for n, p in rules) + f" ELSE '{default}' END"
 
