@@ -7,11 +7,11 @@ sentence run a document at a time in Arrow batches, without a shuffle.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +23,8 @@ TOP_LINES, BOTTOM_LINES = 4, 3
 
 def _normal_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        plain = pc.utf8_normalize(batch.column(batch.num_columns - 1), "NFKC")
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], plain], names=batch.schema.names)
+        plain = [t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(plain, pa.string())], names=batch.schema.names)
 
 
 def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
