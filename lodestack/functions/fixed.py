@@ -293,3 +293,18 @@ ANSWERS = (
 REFUSAL = r"\b(could(?:\s*|\s+)not find|couldn't find|no (?:document|documents|information|policy)|not (?:found|available|defined) in|do not have (?:enough|any)|insufficient)\b"
 ENUMERATION = r"(?:according to|per|from)\s+[A-Za-z0-9_\-]+\.pdf|[A-Za-z0-9_\-]+\.pdf\s+(?:states?|says?|notes?|explains?|describes?)|\bdocument\s+[a-c]\s+says\b"
 STAGES = ("creation", "metadata", "classification", "naming", "review", "approval", "publication", "retention", "archive")
+
+# The indexes that the first intent of a plan needs.
+INTENT_INDEXES = {
+    "document_lookup": ("metadata", "keyword"), "metadata_search": ("metadata",), "collection_search": ("collection", "metadata"), "department_search": ("department", "taxonomy"),
+    "entity_search": ("entity", "keyword"), "topic_search": ("topic", "keyword"), "keyword_search": ("keyword", "topic"), "version_lookup": ("version", "metadata", "taxonomy"),
+    "relationship_query": ("relationship", "entity", "metadata"), "navigation": ("taxonomy", "collection"), "count_query": ("metadata", "collection"),
+    "summary_request": ("metadata", "topic", "keyword"), "comparison": ("metadata", "relationship", "version"), "policy_lookup": ("taxonomy", "department", "keyword", "metadata"),
+    "unknown": ("keyword", "metadata"),
+}
+# Constraints that a question sets.
+LATEST, OLDEST = r"\blatest\b|\bmost recent\b|\bcurrent\b", r"\boldest\b|\bearliest\b|\bfirst version\b"
+BEFORE, AFTER = r"\bbefore\s+(\d{4}(?:[-/]\d{1,2}[-/]\d{1,2})?)", r"\bafter\s+(\d{4}(?:[-/]\d{1,2}[-/]\d{1,2})?)"
+LANGUAGE = r"\b(?:in|language)\s+(english|spanish|french|german|hindi)\b"
+# States from which a failed document may be tried again.
+RETRYABLE = ("failed", "retry_pending")

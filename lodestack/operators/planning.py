@@ -12,11 +12,14 @@ from lodestack.functions.fixed import (
     CATEGORIES,
     HEADER_BOOST,
     HEADING_WEIGHT,
+    INTENT_INDEXES,
     INTENTS,
+    LATEST,
     LEGITIMATE,
     LIST_BOOST,
     MOST_BONUS,
     NUMERIC_BOOST,
+    OLDEST,
     PARAGRAPH_BOOST,
     PATH_WEIGHT,
     PLAN_INTENTS,
@@ -71,6 +74,15 @@ def plan_intents(question: Column, most: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, most), lambda x: F.struct(x["intent"].alias("intent"), (-x["less"]).alias("confidence")))
 
 
+def required_indexes(question: Column) -> Column:
+    """The indexes that a plan for a question needs, by its first intent; the newest or oldest need versions besides."""
+    table = F.create_map(*[x for k, v in INTENT_INDEXES.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+    first = F.coalesce(F.get(plan_intents(question, 1), 0)["intent"], F.lit("unknown"))
+    dated = F.lower(question).rlike(LATEST) | F.lower(question).rlike(OLDEST)
+    more = F.when(dated, F.array(F.lit("version"), F.lit("metadata"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.element_at(table, first), more))
+
+
 def acronyms(question: Column) -> Column:
     """What the acronyms in a question stand for, where it does not say so itself."""
     return F.array_compact(F.array(*[F.when(question.rlike(rf"(?i)\b{a}\b") & ~F.contains(F.lower(question), F.lit(x)), x) for a, x in ACRONYMS.items()]))
@@ -141,7 +153,7 @@ def merged_variants(hits: DataFrame, query: str, doc: str, limit: int, damp: int
 
 def blended(rerank: Column, hybrid: Column, metadata: Column, contents: Column, stub: Column, masthead: Column) -> Column:
     """The final score of a result: 0.55, 0.20 and 0.25 of the normalised parts, less penalties."""
-    return F.round(0.55 * rerank + 0.20 * hybrid + 0.25 * metadata - 0.18 * contents - 0.55 * stub - 0.45 * masthead, 4)
+    return F.round(F.round(0.55 * rerank + 0.20 * hybrid + 0.25 * metadata - 0.18 * contents - 0.55 * stub - 0.45 * masthead, 9), 4)
 
 
 def stub(text: Column) -> Column:

@@ -179,3 +179,23 @@ def test_questions_prose_and_claims(spark):
     assert one(spark, P.question_of(F.lit("Loan Terms:"), F.lit("X")), P.question_of(F.lit("Is this so?"), F.lit("X")), P.question_of(F.lit("the KYC Rules"), F.lit("X")), P.question_of(F.lit("."), F.lit("X")), P.prose_of(F.lit("Owner : the board..")), P.prose_of(F.lit("no label"))) == ("Explain the loan terms.", "Is this so?", "Explain the KYC rules.", "What does X cover?", "Owner is the board.", None)
     frame = spark.createDataFrame([(1, "The quick brown fox jumps over dogs. Totally different words without support here! short.", "quick brown fox jumps")], "k int, a string, e string")
     assert [(r.place, r.support) for r in P.claims(frame, ["k"], "a", "e").orderBy("place").collect()] == [(0, "supported"), (1, "unsupported")]
+
+
+def test_life_of_documents(spark):
+    from lodestack.operators import lifecycle as L
+
+    docs = spark.createDataFrame([(1, "failed"), (2, "indexed"), (3, "retry_pending"), (4, None)], "doc_id long, status string")
+    changed, events = L.retried(docs, spark.createDataFrame([(1,), (1,), (2,), (9,)], "doc_id long"))
+    assert dict(tuple(r) for r in changed.collect()) == {1: "retry_pending", 2: "indexed", 3: "retry_pending", 4: None}
+    assert dict(tuple(r) for r in events.collect()) == {1: "scheduled", 2: "not_eligible", 9: "not_found"}
+    assert dict(tuple(r) for r in L.removed(docs, docs.where("doc_id = 2")).collect())[2] == "deleted"
+    turns = spark.createDataFrame([(1, "user", "a"), (1, "assistant", "b"), (2, "user", "a"), (2, "system", "x"), (3, "user", None)], "conv_id int, role string, text string")
+    kept, refused = L.imported(turns)
+    assert kept.count() == 2 and sorted(r.conv_id for r in refused.collect()) == [2, 3]
+    rows = spark.createDataFrame([("t", i, 30) for i in range(10)] + [("u", 0, 500)], "k string, i int, s int")
+    assert sorted(tuple(r) for r in L.batches(rows, ["k"], F.col("i"), F.col("s"), 10, 100).collect()) == [("t", 0, 3, 100), ("t", 1, 3, 100), ("t", 2, 3, 100), ("t", 3, 1, 40), ("u", 0, 1, 510)]
+    with pytest.raises(RuntimeError, match="stage second"):
+        L.through(docs, [("first", lambda d: d.where("doc_id > 0")), ("second", lambda d: d.select("nothing"))])
+    pairs = spark.createDataFrame([("a b", "b c"), ("x", "y")], "l string, r string")
+    model = lambda: lambda a, b: [float(len(set(x.split()) & set(y.split()))) for x, y in zip(a, b)]
+    assert [r.score for r in L.scored_by(pairs, model, "l", "r").collect()] == [1.0, 0.0]
