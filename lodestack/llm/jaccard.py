@@ -1,10 +1,11 @@
 """Documents whose sets of word shingles are similar, and the components that such links form.
 
 1. Every document's shingles become a set with an id; documents with equal sets are one from there on. Tasks pack the
-   PartEnum signatures of their sets by bucket.
+   PartEnum signatures of their sets by bucket, and a sketch of each set.
 2. Sets with a signature in common meet in the signature's bucket; the smallest is the leader of the others.
-3. The sets of a leader, which hold every pair that shares a signature led by it, are compared exactly, in
-   units of bounded size: all pairs in a unit. The links of the units, a spanning forest each, give components.
+3. The sets of a leader, which hold every pair that shares a signature led by it, are dealt to units of bounded size. In a unit, sketches
+   part the sets that cannot be similar; no similar pair is lost by that. What is left together is compared exactly, all pairs. The
+   links of the units, a spanning forest each, give components.
 4. A leader with more sets than fit has several units, each with the leader in it. Its sets that are in another
    component than the leader are then compared with those of all its other units, and the components joined.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import memory
 from lodestack.llm.components import components
-from lodestack.llm.partenum import set_id, shingle_sets, signatures, similar
+from lodestack.llm.partenum import may_be_similar, set_id, shingle_sets, signatures, similar, sketch, sketch_bits
 from lodestack.llm.quality import slices
 from lodestack.llm.store import require, shuffle_partitions, written
 
@@ -42,13 +43,14 @@ BUCKET_BYTES = 16_000_000
 SIGNED = 200_000
 
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("hash", "<i8"), ("n", "<i4"), ("set", "<i8"), ("check", "<i8")])
-#: Part of an id, by which sets meet; and the whole id.
-SET = "struct<set:bigint,check:bigint>"
+#: A set's id (by whose first part sets meet) and size.
+MADE = np.dtype([("set", "<i8"), ("check", "<i8"), ("n", "<i4")])
+PACKED = ("docs", "sets", "sigs", "at", "made", "sketches")
 NO_ID = -(2**63)
 
 
 def _signing(buckets: int, percent: int, width: int):
-    """(bucket, docs, sets, sigs, at): packed document rows; ids of sets, signatures, and each signature's set."""
+    """(bucket, docs, sets, sigs, at, made, sketches): packed document rows; ids of sets, signatures, and each signature's set; sets and their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
@@ -60,7 +62,8 @@ def _signing(buckets: int, percent: int, width: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal docs, sets, signed, held, turn
             turn += 1
-            rows = [(turn % buckets, np.array(docs, DOC).tobytes(), b"", b"", b"")] if docs else []
+            made = np.array([(*s, len(f)) for s, f in sets.items()], MADE).tobytes()
+            rows = [(turn % buckets, np.array(docs, DOC).tobytes(), b"", b"", b"", made, b"".join(map(sketch, sets.values())))] if docs else []
             ids = np.fromiter((s for s, _ in sets), np.int64, len(sets))
             sig, owner = signatures(list(sets.values()), percent)
             order = np.argsort(sig % np.uint64(buckets), kind="stable")
@@ -69,12 +72,12 @@ def _signing(buckets: int, percent: int, width: int):
             for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if y > x:
                     used, at = np.unique(owner[x:y], return_inverse=True)
-                    rows.append((b, b"", ids[used].tobytes(), sig[x:y].tobytes(), at.astype("<u4").tobytes()))
+                    rows.append((b, b"", ids[used].tobytes(), sig[x:y].tobytes(), at.astype("<u4").tobytes(), b"", b""))
             signed = (set() if len(signed) + len(sets) > SIGNED else signed) | sets.keys()
             docs, sets, held = [], {}, 0
             for k in range(0, len(rows), 64):
                 part = rows[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32())] + [pa.array([r[i] for r in part], pa.binary()) for i in (1, 2, 3, 4)], names=["bucket", "docs", "sets", "sigs", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32())] + [pa.array([r[i + 1] for r in part], pa.binary()) for i in range(len(PACKED))], names=["bucket", *PACKED])
 
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -92,13 +95,23 @@ def _signing(buckets: int, percent: int, width: int):
     return run
 
 
+def _rows(kind: int, how_many: int, /, **columns) -> pd.DataFrame:
+    """Rows of one kind (0 documents, 1 sets and leaders, 2 sketches) of the table that _meeting makes."""
+    zeros = {c: np.zeros(how_many, t) for c, t in (("id", np.int64), ("null", bool), ("hash", np.int64), ("n", np.int32), ("set", np.int64), ("check", np.int64), ("leader", np.int64))}
+    return pd.DataFrame({"kind": np.full(how_many, kind, np.int32), **zeros, "sketch": [None] * how_many, **columns})
+
+
 def _meeting(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents unpacked, and (set, leader) of the sets that share a signature of this bucket."""
+    """Documents and sketches unpacked, and (set, leader) of the sets that share a signature of this bucket."""
     docs = np.concatenate([np.frombuffer(x, DOC) for x in rows["docs"]])
+    out = [_rows(0, len(docs), id=docs["id"], null=docs["null"] > 0, hash=docs["hash"], n=docs["n"], set=docs["set"], check=docs["check"])]
+    for made, sketches in zip(rows["made"], rows["sketches"], strict=True):
+        own = np.frombuffer(made, MADE)
+        ends = np.cumsum([sketch_bits(n) // 8 for n in own["n"].tolist()], dtype=np.int64).tolist()
+        out.append(_rows(2, len(own), set=own["set"], check=own["check"], n=own["n"], sketch=[sketches[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
     some = rows[rows["sigs"].str.len() > 0]
-    own = pd.DataFrame({"id": docs["id"], "null": docs["null"] > 0, "hash": docs["hash"], "n": docs["n"], "set": docs["set"], "check": docs["check"], "leader": np.zeros(len(docs), np.int64), "is_doc": np.ones(len(docs), bool)})
     if not len(some):
-        return own
+        return pd.concat(out)
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in some["sigs"]])
     sets = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(a, "<u4")] for s, a in zip(some["sets"], some["at"], strict=True)])
     order = np.lexsort((sets, sig))
@@ -107,9 +120,7 @@ def _meeting(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     leader = np.repeat(sets[first], np.diff(np.r_[first, len(sig)]))
     pairs = np.stack([sets, leader], axis=1)[sets != leader]
     pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    n = len(pairs)
-    met = pd.DataFrame({"id": np.zeros(n, np.int64), "null": np.zeros(n, bool), "hash": np.zeros(n, np.int64), "n": np.zeros(n, np.int32), "set": pairs[:, 0], "check": np.zeros(n, np.int64), "leader": pairs[:, 1], "is_doc": np.zeros(n, bool)})
-    return pd.concat([own, met])
+    return pd.concat([*out, _rows(1, len(pairs), set=pairs[:, 0], leader=pairs[:, 1])])
 
 
 def linked(sets: list[np.ndarray], percent: int, ahead: int | None = None) -> np.ndarray:
@@ -170,19 +181,42 @@ def forest(ids: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+UNIT_KEY = ["leader", "leader_check", "unit", "block"]
+
+
+def _sifting(percent: int, second: bool):
+    """For each unit of a bundle its sets that may be similar to another (in the second round, of the other side), with part: what may hang together."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in rows.groupby(UNIT_KEY, sort=False):
+            own = own.sort_values("outside").drop_duplicates(["set", "check"])
+            near = may_be_similar(own["n"].to_numpy(np.int64), own["sketch"].tolist(), percent)
+            if second:
+                ahead = int((~own["outside"]).sum())
+                near[:ahead, :ahead] = near[ahead:, ahead:] = False
+            part = np.full(len(own), -1)
+            for node, root in forest(np.arange(len(own)), near):
+                part[[node, root]] = root
+            out.append(own.assign(part=part)[part >= 0])
+        return pd.concat(out)[[*UNIT_KEY, "part", "set", "check", "outside"]]
+
+    return run
+
+
 def _comparing(percent: int, width: int, second: bool):
-    """For each unit of a bundle the links (a, b) that span its components; in the second round only between its own sets and outsiders."""
+    """For each part of the units of a bundle the links (a, b) that span its components; in the second round only between its own sets and outsiders."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(at=rows.groupby(["set", "check"], sort=False).ngroup())  # a number for each set here
-        texts = rows.drop_duplicates("at").sort_values("at")
+        rows = rows.assign(number=rows.groupby(["set", "check"], sort=False).ngroup())  # of each set here
+        texts = rows.drop_duplicates("number").sort_values("number")
         sets: list[np.ndarray] = []
         for a, b in slices(pa.array(texts["text"], pa.large_string()), CHUNK_BYTES):
             sets += shingle_sets(pa.array(texts["text"].iloc[a:b], pa.string()), width)
         spans = []
-        for _, own in rows.groupby(["leader", "leader_check", "unit", "block"], sort=False):
-            own = own.sort_values("outside").drop_duplicates("at")
-            ids = own["at"].to_numpy()
+        for _, own in rows.groupby([*UNIT_KEY, "part"], sort=False):
+            own = own.sort_values("outside")
+            ids = own["number"].to_numpy()
             spans += forest(ids, linked([sets[s] for s in ids.tolist()], percent, int((~own["outside"]).sum()) if second else None))
         a, b = np.array(spans, np.int64).reshape(-1, 2).T
         id, check = texts["set"].to_numpy(), texts["check"].to_numpy()
@@ -191,14 +225,27 @@ def _comparing(percent: int, width: int, second: bool):
     return run
 
 
-def _bundled(units: DataFrame, texts: DataFrame, compare) -> DataFrame:
-    """The links of units: these get their texts, and about a thousand texts go to a task together."""
-    bundles = max(1, -(-units.count() // 1000))
-    put = F.pmod(F.xxhash64("leader", "unit", "block"), F.lit(bundles)).alias("bundle")
-    held = units.join(texts, "set").select(put, F.col("leader.set").alias("leader"), F.col("leader.check").alias("leader_check"), "unit", "block", "set.*", "outside", "text")
-    links = held.groupBy("bundle").applyInPandas(memory.groups(compare), "a long, a_check long, b long, b_check long")
-    whole = lambda x: F.struct(F.col(x).alias("set"), F.col(f"{x}_check").alias("check")).alias(x)
-    return written(links.select(whole("a"), whole("b")), "jaccard-links")
+def _bundled(units: DataFrame, *keys: str) -> DataFrame:
+    """units with bundle: about a thousand rows with whole keys go to a task together. units should be a table, as it is counted."""
+    return units.withColumn("bundle", F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-units.count() // 1000)))))
+
+
+def _links(units: DataFrame, sketches: DataFrame, known: DataFrame, keyed: DataFrame, percent: int, width: int, second: bool) -> DataFrame:
+    """The links of units (leader, unit, block, set, outside): sketches sift them first, and only what is left gets its texts."""
+    flat = [F.col("leader.set").alias("leader"), F.col("leader.check").alias("leader_check"), "unit", "block", "set.*", "outside"]
+    held = _bundled(units, "leader", "unit", "block").join(sketches, "set").select("bundle", *flat, "n", "sketch")
+    kinds = "leader long, leader_check long, unit int, block int, part long, set long, check long, outside boolean"
+    sifted = written(held.groupBy("bundle").applyInPandas(memory.groups(_sifting(percent, second)), kinds), "jaccard-sifted")
+    whole = F.struct("set", "check")
+    needed = sifted.select(whole.alias("set")).distinct().join(known, "set").select("set", F.col("first.at").alias("at"), F.col("first.hash").alias("hash"))
+    needed = written(needed, "jaccard-needed")
+    near = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
+    texts = keyed.select(F.coalesce("id", F.lit(NO_ID)).alias("at"), "hash", "text").join(near(needed), ["at", "hash"]).select("set", "text").dropDuplicates(["set"])
+    texts = written(texts.select(F.col("set.set").alias("set"), F.col("set.check").alias("check"), "text"), "jaccard-texts")
+    held = _bundled(sifted, *UNIT_KEY, "part").join(texts, ["set", "check"])
+    links = held.groupBy("bundle").applyInPandas(memory.groups(_comparing(percent, width, second)), "a long, a_check long, b long, b_check long")
+    end = lambda x: F.struct(F.col(x).alias("set"), F.col(f"{x}_check").alias("check")).alias(x)
+    return written(links.select(end("a"), end("b")), "jaccard-links")
 
 
 def _second_round(units: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -229,11 +276,13 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
-    signed = keyed.mapInArrow(memory.batches(_signing(buckets, percent, width)), "bucket int, docs binary, sets binary, sigs binary, at binary")
-    signed = signed.repartition(buckets, "bucket")  # else Spark would put the buckets of large inputs in as few tasks as it has partitions
-    met = written(signed.groupBy("bucket").applyInPandas(memory.groups(_meeting), "id long, null boolean, hash long, n int, set long, check long, leader long, is_doc boolean"), "jaccard-met")
-    rows = met.where("is_doc").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", F.struct("set", "check").alias("set"))
-    met = met.where("NOT is_doc").select("set", "leader").distinct()
+    signed = keyed.mapInArrow(memory.batches(_signing(buckets, percent, width)), "bucket int, " + ", ".join(f"{c} binary" for c in PACKED))
+    signed = signed.repartitionById(buckets, F.col("bucket"))  # a task for each bucket, however many there are
+    met = written(signed.groupBy("bucket").applyInPandas(memory.groups(_meeting), "kind int, id long, null boolean, hash long, n int, set long, check long, leader long, sketch binary"), "jaccard-met")
+    sketches = met.where("kind = 2").groupBy(F.struct("set", "check").alias("set")).agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    sketches = written(sketches, "jaccard-sketches")
+    rows = met.where("kind = 0").select(F.when(~F.col("null"), F.col("id")).alias("doc_id"), "hash", "n", F.struct("set", "check").alias("set"))
+    met = met.where("kind = 1").select("set", "leader").distinct()
 
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), "hash")
@@ -249,14 +298,10 @@ def similar_documents(docs: DataFrame, percent: int = 85, width: int = 4, id_col
     units = units.union(units.select("leader", "unit", F.col("leader").alias("set"), "several").distinct())
     units = written(units.select("leader", "unit", F.lit(0).alias("block"), "set", F.lit(False).alias("outside"), "several"), "jaccard-units")
 
-    needed = written(units.select("set").distinct().join(known, "set").select("set", F.col("first.at").alias("at"), F.col("first.hash").alias("hash")), "jaccard-needed")
-    near = F.broadcast if needed.count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = keyed.select(F.coalesce("id", F.lit(NO_ID)).alias("at"), "hash", "text").join(near(needed), ["at", "hash"]).select("set", "text").dropDuplicates(["set"])
-    texts = written(texts, "jaccard-texts")
-    links = _bundled(units, texts, _comparing(percent, width, False))
+    links = _links(units, sketches, known, keyed, percent, width, False)
     roots = components(links)
     if not sizes.where("units > 1").isEmpty():
-        more = _bundled(_second_round(units, roots, sizes), texts, _comparing(percent, width, True))
+        more = _links(_second_round(units, roots, sizes), sketches, known, keyed, percent, width, True)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = known.join(roots, known["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "least")

@@ -82,6 +82,36 @@ def set_id(features: np.ndarray) -> tuple[int, int]:
     return (whole >> 64) >> 1, ((whole & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set: a power of two, at least 64 and twice its size."""
+    return max(64, 1 << (2 * size - 1).bit_length())
+
+
+def sketch(features: np.ndarray) -> bytes:
+    """How many features fall on each place, odd or even, in bits. Where the sketches of two sets differ, an odd number of the features that
+    only one has falls, so they differ in no more places than the sets in features."""
+    bits = sketch_bits(len(features))
+    return np.packbits(np.bincount((mixed(features ^ GOLD) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of bits, all as short as the shortest: a place is the sum of those equal to it modulo the shorter length."""
+    least = min(map(len, sketches))
+    rows = [np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, least), axis=0) for s in sketches]
+    return np.unpackbits(np.stack(rows), axis=1)
+
+
+def may_be_similar(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Whether each pair of sets can be similar, judged by sizes and sketches; never false for a pair that is."""
+    bits = folded(sketches).astype(np.float32)
+    ones = bits.sum(axis=1)
+    apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+    both, low, high = sizes[:, None] + sizes[None, :], np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    out = (np.rint(apart).astype(np.int64) * (100 + percent) <= both * (100 - percent)) & (100 * low >= percent * high)
+    np.fill_diagonal(out, False)
+    return out
+
+
 @lru_cache(maxsize=None)
 def bands(most: int, percent: int) -> tuple[tuple[int, int], ...]:
     """(least, largest) size of each band up to size most. Similar sets are in one band or in neighbouring ones."""

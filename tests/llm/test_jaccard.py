@@ -9,7 +9,7 @@ import pytest
 from lodestack.llm import jaccard, op10_jaccard
 from lodestack.llm.components import components
 from lodestack.llm.jaccard import forest, linked, similar_documents
-from lodestack.llm.partenum import bands, instances, shingle_sets, signatures, similar
+from lodestack.llm.partenum import bands, instances, may_be_similar, shingle_sets, signatures, similar, sketch, sketch_bits
 
 
 def shingles(text, width=4):
@@ -136,6 +136,24 @@ def test_matrix_counts_as_pairs_do():
     assert sorted(forest(np.array([9, 4, 6, 1]), np.array([[0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]], bool))) == [(9, 4)]
 
 
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_sketches_lose_no_similar_pair(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in (1, 2, 5, 31, 32, 33, 64, 100, 129, 500):
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for _ in range(6):
+            keep = rng.permutation(base)[: max(1, int(size * (1 - rng.random() * 0.4)))]
+            sets.append(np.unique(np.r_[keep, rng.integers(0, 2**63, int(rng.random() * 0.3 * size)).astype(np.uint64)]))
+    assert all(len(sketch(s)) * 8 == sketch_bits(len(s)) for s in sets)
+    near = may_be_similar(np.array([len(s) for s in sets]), [sketch(s) for s in sets], percent)
+    want = np.array([[i != j and similar(a, b, percent) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert not (want & ~near).any() and near.sum() < len(sets) ** 2 / 2
+    by_size = [s for s in sets if len(s) > 90]
+    near = may_be_similar(np.array([len(s) for s in by_size]), [sketch(s) for s in by_size], percent)
+    assert near.sum() <= 3 * sum(similar(a, b, percent) for i, a in enumerate(by_size) for j, b in enumerate(by_size) if i != j) + 20
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(0, 300)]
