@@ -21,8 +21,9 @@ def test_numbers_and_sums_follow_the_order(spark):
 def test_written_rows_stay_and_can_be_dropped(spark):
     df = store.written(spark.range(50).withColumn("r", F.rand()), "t")
     assert sorted(df.collect()) == sorted(df.collect()) and df.count() == 50
-    store._MADE[:] = store._MADE[-1:]
-    assert store.drop_tables(spark) == 1 and store._MADE == []
+    made, others = store._MADE[spark.sparkContext.applicationId], store._MADE.setdefault("another application", ["somewhere/else"])
+    made[:] = made[-1:]
+    assert store.drop_tables(spark) == 1 and made == [] and others == ["somewhere/else"]
     with pytest.raises(Exception):
         df.collect()
 
