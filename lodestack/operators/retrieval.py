@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,9 +27,26 @@ POSTING = "doc {}, dl int, term string, tf long"
 
 
 def postings(docs: DataFrame, key: str, words: str) -> DataFrame:
-    """(doc, dl, term, tf) of every word of every document, and a row with the empty term for each document itself."""
-    long = docs.select(F.col(key).alias("doc"), F.size(words).alias("dl"), F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
-    return long.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    """(doc, dl, term, tf) of every word of every document, and a row with the empty term for each document itself. Words are counted
+    where the document lies, in Arrow batches, so nothing is shuffled. A null list of words has the length 0."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = lists.flatten().dictionary_encode()
+            own = np.repeat(np.arange(batch.num_rows), sizes) * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False)
+            pairs, n = np.unique(own, return_counts=True)
+            row, term = pairs // (len(found.dictionary) + 1), pairs % (len(found.dictionary) + 1)
+            rows = np.concatenate([row, np.arange(batch.num_rows)])
+            terms = pa.concat_arrays([found.dictionary.cast(pa.string()).take(pa.array(term)), pa.array([""] * batch.num_rows, pa.string())])
+            tf = np.concatenate([n, np.ones(batch.num_rows, np.int64)])
+            for k in range(0, len(rows), 100_000):
+                at = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at])), pa.array(sizes[rows[at]], pa.int32()), terms.slice(k, 100_000), pa.array(tf[at])], names=["doc", "dl", "term", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, words).mapInArrow(run, POSTING.format(kind))
 
 
 def ordered_by_term(index: DataFrame) -> DataFrame:
@@ -46,7 +64,7 @@ def keyword_index(source: DataFrame, docs: DataFrame, key: str, words: str, name
     at = (spark.sparkContext.applicationId, name, sign)
     if sign is None or at not in _INDEXES:
         path = new_path(spark, f"index-{name}")
-        ordered_by_term(postings(docs, key, words)).write.parquet(path)
+        postings(docs, key, words).write.parquet(path)
         _INDEXES[at] = path
     return spark.read.schema(POSTING.format(docs.schema[key].dataType.simpleString())).parquet(_INDEXES[at])
 
