@@ -13,7 +13,7 @@ from lodestack.llm.store import written
 
 
 #: A node of more links than this, and than one in HUBS of all, is a hub. There are fewer than HUBS of them, so that they are broadcast.
-DEGREE, HUBS = 128, 500_000
+DEGREE, HUBS = 32, 500_000
 
 
 def _met(links: DataFrame, side: str, least: DataFrame, n_links: int, how: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import memory
 from lodestack.llm.components import components
-from lodestack.llm.partenum import may_be_similar, set_id, shingle_sets, signatures, similar, sketch, sketch_bits
+from lodestack.llm.partenum import may_be_similar, pair_may_be_similar, set_id, shingle_sets, signatures, similar, sketch, sketch_bits
 from lodestack.llm.quality import slices
 from lodestack.llm.store import require, shuffle_partitions, written
 
@@ -72,7 +72,7 @@ def _signing(buckets: int, percent: int, width: int):
             for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if y > x:
                     used, at = np.unique(owner[x:y], return_inverse=True)
-                    rows.append((b, b"", ids[used].tobytes(), sig[x:y].tobytes(), at.astype("<u4").tobytes(), b"", b""))
+                    rows.append((b, b"", ids[used].tobytes(), sig[x:y].tobytes(), at.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), b"", b""))
             signed = (set() if len(signed) + len(sets) > SIGNED else signed) | sets.keys()
             docs, sets, held = [], {}, 0
             for k in range(0, len(rows), 64):
@@ -113,7 +113,7 @@ def _meeting(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if not len(some):
         return pd.concat(out)
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in some["sigs"]])
-    sets = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(a, "<u4")] for s, a in zip(some["sets"], some["at"], strict=True)])
+    sets = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(a, "<u2" if 4 * len(a) == len(x) else "<u4")] for s, a, x in zip(some["sets"], some["at"], some["sigs"], strict=True)])
     order = np.lexsort((sets, sig))
     sig, sets = sig[order], sets[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
@@ -188,22 +188,34 @@ def _sifting(percent: int, second: bool):
     """For each unit of a bundle its sets that may be similar to another (in the second round, of the other side), with part: what may hang together."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in rows.groupby(UNIT_KEY, sort=False):
-            own = own.sort_values("outside").drop_duplicates(["set", "check"])
-            near = may_be_similar(own["n"].to_numpy(np.int64), own["sketch"].tolist(), percent)
-            if second:
-                ahead = int((~own["outside"]).sum())
-                near[:ahead, :ahead] = near[ahead:, ahead:] = False
-            part = np.full(len(own), -1)
-            for node, root in forest(np.arange(len(own)), near):
-                part[[node, root]] = root
-            out.append(own.assign(part=part)[part >= 0])
-        return pd.concat(out)[[*UNIT_KEY, "part", "set", "check", "outside"]]
+        rows = rows.sort_values([*UNIT_KEY, "outside"], kind="stable").drop_duplicates([*UNIT_KEY, "set", "check"])
+        sizes, sketches, outside = rows["n"].to_numpy(np.int64), rows["sketch"].tolist(), rows["outside"].to_numpy(bool)
+        part = np.full(len(rows), -1)
+        for a, b in _stretches(rows, UNIT_KEY):
+            if b - a == 2:
+                if (not second or outside[a] != outside[a + 1]) and pair_may_be_similar((int(sizes[a]), int(sizes[a + 1])), (sketches[a], sketches[a + 1]), percent):
+                    part[a:b] = 0
+            elif b - a > 2:
+                near = may_be_similar(sizes[a:b], sketches[a:b], percent)
+                if second:
+                    ahead = int((~outside[a:b]).sum())
+                    near[:ahead, :ahead] = near[ahead:, ahead:] = False
+                for node, root in forest(np.arange(b - a), near):
+                    part[[a + node, a + root]] = root
+        return rows.assign(part=part)[part >= 0][[*UNIT_KEY, "part", "set", "check", "outside"]]
 
     return run
 
 
+def _stretches(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of rows with equal keys, which must be sorted by them."""
+    if not len(rows):
+        return []
+    held = rows[keys].to_numpy(np.int64)
+    edges = np.flatnonzero(np.r_[True, (held[1:] != held[:-1]).any(axis=1), True]).tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
 def _comparing(percent: int, width: int, second: bool):
     """For each part of the units of a bundle the links (a, b) that span its components; in the second round only between its own sets and outsiders."""
 
@@ -214,10 +226,10 @@ def _comparing(percent: int, width: int, second: bool):
         for a, b in slices(pa.array(texts["text"], pa.large_string()), CHUNK_BYTES):
             sets += shingle_sets(pa.array(texts["text"].iloc[a:b], pa.string()), width)
         spans = []
-        for _, own in rows.groupby([*UNIT_KEY, "part"], sort=False):
-            own = own.sort_values("outside")
-            ids = own["number"].to_numpy()
-            spans += forest(ids, linked([sets[s] for s in ids.tolist()], percent, int((~own["outside"]).sum()) if second else None))
+        rows = rows.sort_values([*UNIT_KEY, "part", "outside"], kind="stable")
+        number, outside = rows["number"].to_numpy(), rows["outside"].to_numpy(bool)
+        for a, b in _stretches(rows, [*UNIT_KEY, "part"]):
+            spans += forest(number[a:b], linked([sets[s] for s in number[a:b].tolist()], percent, int((~outside[a:b]).sum()) if second else None))
         a, b = np.array(spans, np.int64).reshape(-1, 2).T
         id, check = texts["set"].to_numpy(), texts["check"].to_numpy()
         return pd.DataFrame({"a": id[a], "a_check": check[a], "b": id[b], "b_check": check[b]})

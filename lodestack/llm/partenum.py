@@ -101,6 +101,15 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.stack(rows), axis=1)
 
 
+def pair_may_be_similar(sizes: tuple[int, int], sketches: tuple[bytes, bytes], percent: int) -> bool:
+    """may_be_similar() of two sets."""
+    a, b = sorted(sketches, key=len)
+    if len(a) < len(b):
+        b = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, len(a)), axis=0).tobytes()
+    apart = (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    return apart * (100 + percent) <= sum(sizes) * (100 - percent) and 100 * min(sizes) >= percent * max(sizes)
+
+
 def may_be_similar(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
     """Whether each pair of sets can be similar, judged by sizes and sketches; never false for a pair that is."""
     bits = folded(sketches).astype(np.float32)

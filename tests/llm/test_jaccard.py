@@ -9,7 +9,7 @@ import pytest
 from lodestack.llm import jaccard, op10_jaccard
 from lodestack.llm.components import components
 from lodestack.llm.jaccard import forest, linked, similar_documents
-from lodestack.llm.partenum import bands, instances, may_be_similar, shingle_sets, signatures, similar, sketch, sketch_bits
+from lodestack.llm.partenum import bands, instances, may_be_similar, pair_may_be_similar, shingle_sets, signatures, similar, sketch, sketch_bits
 
 
 def shingles(text, width=4):
@@ -149,6 +149,10 @@ def test_sketches_lose_no_similar_pair(percent):
     near = may_be_similar(np.array([len(s) for s in sets]), [sketch(s) for s in sets], percent)
     want = np.array([[i != j and similar(a, b, percent) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
     assert not (want & ~near).any() and near.sum() < len(sets) ** 2 / 2
+    for i in range(0, len(sets), 5):
+        for j in range(i):
+            pair = [sets[i], sets[j]]
+            assert pair_may_be_similar(tuple(map(len, pair)), tuple(map(sketch, pair)), percent) == may_be_similar(np.array([len(s) for s in pair]), [sketch(s) for s in pair], percent)[0, 1]
     by_size = [s for s in sets if len(s) > 90]
     near = may_be_similar(np.array([len(s) for s in by_size]), [sketch(s) for s in by_size], percent)
     assert near.sum() <= 3 * sum(similar(a, b, percent) for i, a in enumerate(by_size) for j, b in enumerate(by_size) if i != j) + 20
