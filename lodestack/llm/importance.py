@@ -6,8 +6,8 @@ a whole number of thousandths. A document's weight is the sum of the gains of it
 the highest scores are a draw without replacement.
 
 Higher-order functions make each document's array of buckets, and its weight is an aggregate over element_at of the gains, an array that stands
-in the plan as a literal: features never become rows. They are counted by maps of bucket to count within tasks, so only
-totals (a row for each bucket and task at most) are shuffled, and the driver gets two totals for each bucket.
+in the plan as a literal: no feature is a row of its own where documents are scored. Only the counts before that take bucket numbers as rows, summed in their tasks, so that
+totals alone (a row for each bucket and task at most) are shuffled; the driver gets two totals for each bucket.
 """
 
 from __future__ import annotations
