@@ -1,11 +1,14 @@
 """Personal data in texts, and the terms around it that give it away.
 
 Base findings are e-mail addresses, IP addresses, card and phone numbers by fixed patterns. Other terms may disclose what
-was protected. How strongly is estimated from the whole corpus: with p over different texts, the information of c, which is
-a protected value or a whole kind, is -log p(c), and a term t discloses PMI(t; c) = log p(t, c) / (p(t) p(c)) of it. For
-p(c | t) stands the lower bound of its 95 % Wilson interval, so what is too seldom seen discloses little, whatever the
-corpus' size. A term that meets c in two texts or more and discloses at least a set share of its information is generalised
-wherever it stands, and removed from a higher share on.
+was protected. How strongly is estimated from the whole corpus, by blocks: the lines of texts, in stretches of at most BLOCK words, equal texts once.
+With p(c) the share of blocks that hold c, which is a protected value or a whole kind, the information of c is -log p(c), and
+a term t discloses PMI(t; c) = log p(c | t) / p(c) of it. For p(c | t) stands q s / (s + a): q is the share of the term's
+blocks that are the value's too; s are its different sightings there, known by the words on either side, so that near copies
+are one sighting; and a is the prior's weight in sightings. A sighting CLOSE words or less from the value, by a word that is written as a name
+or stands in the address itself, is strong, and one of them is enough (a = PRIOR_STRONG); elsewhere in the block it takes three
+that never fail (a = PRIOR). A term that discloses a set share of the information and leaves no more than LEFT bits of it is
+generalised wherever it stands, and removed from a higher share on.
 
 With a given support, the former narrower way is taken instead: words near findings of a kind, over word places, from
 so many on, and spans only there.
@@ -13,6 +16,7 @@ so many on, and spans only there.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -39,8 +43,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NEAR_WORDS = 8
 #: Runs of letters.
 WORD = re.compile(r"[^\W\d_]+")
-#: Normal quantile of the bound on p(c | t): 95 %, two-sided.
-Z = 1.96
+#: Bytes to small letters, and all that are no letters to blanks: the words of texts of ASCII alone.
+PLAIN_LETTERS = bytes(c | 32 if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128
+#: So few wanted terms are looked for as parts of a text before its words are. Letters whose lower case depends on others.
+FEW, BOUND_LETTERS = 64, re.compile("[Σİ]")
+#: Words in a block, at most; words on either side by which a sighting is known; words between a value and a strong sighting, itself included.
+BLOCK, AROUND, CLOSE = 64, 3, 3
+#: Weight of the prior, in sightings, against strong sightings and against others; bits of a value that a term may leave unknown.
+PRIOR_STRONG, PRIOR, LEFT = 0.5, 3.0, 1.0
 #: Shares of a kind's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: More wanted terms than this are not sent to the counting tasks (then all terms are counted), nor more disclosing ones to the
@@ -79,6 +89,8 @@ def luhn(digits: str) -> bool:
 
 def findings(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all base findings, sorted; offsets are code points."""
+    if not any(c in text for c in "@0123456789"):
+        return []
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
         if all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m.group().split("."))):
@@ -183,24 +195,89 @@ def outside_words(text: str, found: list[tuple[int, int, int]]) -> list[tuple[in
 
 
 def terms_of(text: str, found: list[tuple[int, int, int]]) -> set[str]:
-    """The different words that stand somewhere out of findings, in lower case."""
-    words = {text[a:b] for a, b in outside_words(text, found)} if found else set(WORD.findall(text))
-    return {w.lower() for w in words}
+    """The different words that stand somewhere out of findings, in lower case, word by word."""
+    if found:
+        return {text[a:b].lower() for a, b in outside_words(text, found)}
+    return set(text.encode().translate(PLAIN_LETTERS).decode().split()) if text.isascii() else {w.lower() for w in set(WORD.findall(text))}
+
+
+def block_terms(text: str, found: list[tuple[int, int, int]]) -> Iterator[set[str]]:
+    """The different terms of each block of a text, out of findings."""
+    if found:
+        yield from ({t for t, _, _ in words[at : at + BLOCK]} for words, _ in _lines(text, found) for at in range(0, len(words), BLOCK))
+        return
+    for line in text.split("\n"):
+        words = [w.lower() for w in WORD.findall(line)]
+        yield from (set(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK))
+
+
+def _lines(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[int, int, int]]]]:
+    """Each line's (term, start, end) out of findings, and its findings."""
+    words, at, f, begin = outside_words(text, found), 0, 0, 0
+    while begin <= len(text):
+        end = text.find("\n", begin)
+        end = len(text) if end < 0 else end
+        first, first_found = at, f
+        while at < len(words) and words[at][0] < end:
+            at += 1
+        while f < len(found) and found[f][0] < end:
+            f += 1
+        yield [(text[a:b].lower(), a, b) for a, b in words[first:at]], found[first_found:f]
+        begin = end + 1
+
+
+def _sighting(words: list[tuple[str, int, int]], i: int) -> int:
+    """A sighting as the word and those around it in its line."""
+    seen = " ".join(t for t, _, _ in words[max(0, i - AROUND) : i + AROUND + 1]) + f" {min(i, AROUND)}"
+    return int.from_bytes(hashlib.blake2b(seen.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def sighted(text: str, found: list[tuple[int, int, int]]) -> list[dict]:
+    """For each block with findings: held, its different (kind, value); words, each term with its first sighting; strong, (term, kind, value, sighting)."""
+    out = []
+    for words, own in _lines(text, found):
+        blocks: dict[int, dict] = {}
+        stops = [b for _, _, b in words]
+        for start, kind, end in own:
+            i = bisect_right(stops, start)  # words before the finding
+            value, block = value_of(text[start:end], kind), blocks.setdefault(max(0, min(i, len(words) - 1)) // BLOCK, {"held": set(), "strong": set()})
+            block["held"].add((kind, value))
+            local = {w.lower() for w in WORD.findall(text[start:end].partition("@")[0]) if len(w) > 2} if kind == 0 else ()
+            for j in range(max(0, i - CLOSE), min(len(words), i + CLOSE)):
+                term, a, _ = words[j]
+                if text[a].isupper() or term in local:
+                    block["strong"].add((term, kind, value, _sighting(words, j)))
+        for n, block in sorted(blocks.items()):
+            first: dict[str, int] = {}
+            for j in range(n * BLOCK, min(len(words), (n + 1) * BLOCK)):
+                first.setdefault(words[j][0], j)
+            out.append(
+                {
+                    "held": [{"kind": k, "value": v} for k, v in sorted(block["held"])],
+                    "words": [{"term": t, "seen": _sighting(words, j)} for t, j in first.items()],
+                    "strong": [{"term": t, "kind": k, "value": v, "seen": x} for t, k, v, x in sorted(block["strong"])],
+                }
+            )
+    return out
+
+
+BLOCKS = "array<struct<held:array<struct<kind:int,value:string>>,words:array<struct<term:string,seen:long>>,strong:array<struct<term:string,kind:int,value:string,seen:long>>>>"
 
 
 def _scan_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    value_type = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string())]))
+    mark, word = [("kind", pa.int32()), ("value", pa.string())], [("term", pa.string()), ("seen", pa.int64())]
+    block_type = pa.list_(pa.struct([("held", pa.list_(pa.struct(mark))), ("words", pa.list_(pa.struct(word))), ("strong", pa.list_(pa.struct([word[0], *mark, word[1]])))]))
     for batch in batches:
-        base, values, words = [], [], []
+        base, blocks, n_blocks = [], [], []
         for text in batch.column(batch.num_columns - 1):
             text = text.as_py()
             found = findings(text)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            values.append([{"kind": k, "value": v} for k, v in sorted({(k, value_of(text[s:e], k)) for s, k, e in found})])
-            words.append(sorted(terms_of(text, found)) if found else [])
-        own = [pa.array(base, base_type), pa.array(values, value_type), pa.array(words, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "base", "held", "words"])
+            blocks.append(sighted(text, found) if found else [])
+            n_blocks.append(text.count("\n") + 1)
+        own = [pa.array(base, base_type), pa.array(blocks, block_type), pa.array(n_blocks, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "base", "blocks", "n_lines"])
 
 
 def _texts_with(wanted):
@@ -220,65 +297,119 @@ def _texts_with(wanted):
     return run
 
 
-def _share(both: Column, n: Column, information: Column) -> Column:
-    """What a term of n texts, both of them with c, discloses at least of c's information, as a share."""
-    p, z2 = both / n, Z * Z
-    lower = (p + z2 / (2 * n) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    return 1 + F.log2(F.greatest(lower, F.lit(1e-300))) / information
+def _terms_with_texts(wanted):
+    """(term, hash): each text's wanted terms (all, if None)."""
 
+    def run(batches):
+        keep = None if wanted is None else frozenset(wanted.value)
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                words = terms_of(text, findings(text))
+                rows += [(t, key) for t in (words if keep is None else words & keep)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", KEY[1]])
+
+    return run
 
-def disclosing_anywhere(keyed: DataFrame, scanned: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """(term, kind, share): the terms that disclose at least the share generalise of a protected value or kind, with the largest share. Equal texts count once."""
+
+def _text_counts(keyed: DataFrame, scanned: DataFrame, terms: list[str] | None) -> DataFrame:
+    """(term, n): in how many texts each term stands, equal texts once. Few repeated texts are sent to all tasks; with many, what each text counts is shuffled, not the text."""
     spark = keyed.sparkSession
-    repeated = scanned.groupBy(KEY[1]).agg(F.count("*").alias("copies")).where("copies > 1")
-    repeated = written(repeated, "personal-repeated")
-    once = written(scanned.where(F.size("base") > 0).select(KEY[1], "held", "words").dropDuplicates([KEY[1]]), "personal-once")
-    total = scanned.select(KEY[1]).distinct().count()
-
-    held = once.select(KEY[1], F.explode("held").alias("v")).select(KEY[1], "v.*")
-    # A value of one text meets every term at most once.
-    values = written(held.groupBy("kind", "value").agg(F.count("*").alias("n_of")).where("n_of > 1"), "personal-values")
-    near = F.broadcast if values.count() <= BROADCAST_ROWS else (lambda df: df)
-    some = held.join(near(values), ["kind", "value"]).groupBy(KEY[1]).agg(F.collect_list(F.struct("kind", "value", "n_of")).alias("known"))
-    of_value = once.select(KEY[1], "words").join(some, KEY[1]).select(F.explode("words").alias("term"), "known").select("term", F.explode("known").alias("v"))
-    of_value = of_value.groupBy("term", "v.kind", "v.value").agg(F.count("*").alias("n_both"), F.max("v.n_of").alias("n_of"))
-    kinds = dict(once.select(F.explode(F.array_distinct("held.kind")).alias("kind")).groupBy("kind").agg(F.count("*")).collect())  # four at most
-    size = F.element_at(F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(kinds.get(k, 1)))]), F.col("kind"))
-    of_kind = once.select(F.explode("words").alias("term"), F.array_distinct("held.kind").alias("kinds")).select("term", F.explode("kinds").alias("kind"))
-    of_kind = of_kind.groupBy("term", "kind").agg(F.count("*").alias("n_both")).withColumn("n_of", size.cast("long"))
-
-    pairs = of_value.drop("value").unionByName(of_kind).withColumn("information", F.log2(F.lit(max(total, 1)) / F.col("n_of"))).where("n_both > 1 AND information > 0")
-    # A share is largest where the term stands in no other text.
-    pairs = written(pairs.where(_share(F.col("n_both"), F.col("n_both"), F.col("information")) >= generalise), "personal-pairs")
+    repeated = written(scanned.groupBy(KEY[1]).agg(F.count("*").alias("copies")).where("copies > 1"), "personal-repeated")
+    wanted = None if terms is None else spark.sparkContext.broadcast(terms)
+    if repeated.count() <= BROADCAST_ROWS:
+        texts = keyed.join(F.broadcast(repeated), KEY[1], "left").select(F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text")
+        counts = texts.mapInArrow(memory.batches(_texts_with(wanted)), "term string, copies long, n long")
+        return counts.groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).alias("n"))
+    each = keyed.select(KEY[1], "text").mapInArrow(memory.batches(_terms_with_texts(wanted)), f"term string, {KEY[1]} long")
+    return each.distinct().groupBy("term").agg(F.count("*").cast("double").alias("n"))
+
+
+def _pairs(blocks: DataFrame, generalise: float, n_blocks: int) -> DataFrame:
+    """(term, kind, information, n_both, seen, prior): what terms could disclose of values and kinds if they stood nowhere else."""
+    marks = blocks.select(F.explode("held").alias("v")).groupBy("v.kind", "v.value").agg(F.count("*").alias("n_of"))
+    marks = written(marks, "personal-values")
+    kinds = dict(marks.groupBy("kind").agg(F.sum("n_of")).collect())  # four at most
+    of_kind = F.element_at(F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(kinds.get(k, 1)))]), F.col("kind"))
+    near = F.broadcast if marks.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    def counted(rows: DataFrame, prior: float, *by: str) -> DataFrame:
+        return rows.groupBy("term", *by).agg(F.countDistinct("block").alias("n_both"), F.countDistinct("seen").alias("seen")).withColumn("prior", F.lit(prior))
+
+    strong = blocks.select("block", F.explode("strong").alias("w")).select("block", "w.*")
+    # A term must be seen three times with a value for the rest to count, so the value must stand in three blocks.
+    often = marks.where(F.col("n_of") >= PRIOR)
+    with_value = blocks.select("block", "words", F.explode("held").alias("v")).select("block", "words", "v.*").join(near(often.select("kind", "value")), ["kind", "value"])
+    with_value = with_value.select("block", "kind", "value", F.explode("words").alias("w")).select("block", "kind", "value", "w.*")
+    with_kind = blocks.select("block", F.explode("words").alias("w"), F.array_distinct("held.kind").alias("kinds")).select("block", "w.*", F.explode("kinds").alias("kind"))
+    values = counted(strong, PRIOR_STRONG, "kind", "value").unionByName(counted(with_value, PRIOR, "kind", "value")).join(near(marks), ["kind", "value"]).drop("value")
+    whole = counted(strong, PRIOR_STRONG, "kind").unionByName(counted(with_kind, PRIOR, "kind")).withColumn("n_of", of_kind.cast("long"))
+    pairs = values.unionByName(whole).withColumn("information", F.log2(F.lit(max(n_blocks, 1)) / F.col("n_of"))).where("information > 0")
+    return pairs.where(_told(F.col("n_both"), generalise))
+
+
+def _p(n: Column) -> Column:
+    """p(c | t) of a term that stands in n blocks."""
+    return F.col("n_both") / F.greatest(n, F.col("n_both")) * F.col("seen") / (F.col("seen") + F.col("prior"))
+
+
+def _share(n: Column) -> Column:
+    return 1 + F.log2(_p(n)) / F.col("information")
+
+
+def _told(n: Column, generalise: float) -> Column:
+    return (_share(n) >= generalise) & (F.log2(_p(n)) >= -LEFT)
+
+
+def disclosing_anywhere(keyed: DataFrame, scanned: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """(term, kind, share): the terms that disclose at least the share generalise of a protected value or kind, and all but LEFT bits, with the largest share;
+    and the places (key, places, n_blocks by term) of all terms that were looked up for it.
+
+    Texts that hold a term are fewer than its blocks. Their number leaves few terms, whose blocks are counted where they are found.
+    """
+    once = scanned.where(F.size("base") > 0).select(KEY[1], "blocks").dropDuplicates([KEY[1]])
+    blocks = once.select(KEY[1], F.posexplode("blocks").alias("at", "b")).select(F.struct(KEY[1], "at").alias("block"), "b.*")
+    blocks = written(blocks, "personal-blocks")
+    n_blocks = scanned.agg(F.sum("n_lines")).first()[0] or 0
+    pairs = written(_pairs(blocks, generalise, n_blocks), "personal-pairs")
     terms = [r.term for r in pairs.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
-    wanted = spark.sparkContext.broadcast(terms) if len(terms) <= BROADCAST_TERMS else None
-    near = F.broadcast if repeated.count() <= BROADCAST_ROWS else (lambda df: df)
-    texts = keyed.join(near(repeated), KEY[1], "left").select(F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text")
-    counts = texts.mapInArrow(memory.batches(_texts_with(wanted)), "term string, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).alias("n"))
+    counts = _text_counts(keyed, scanned, terms if len(terms) <= BROADCAST_TERMS else None)
     counted = pairs.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.raise_error(F.concat(F.lit("no count of the term "), F.col("term"))).cast("double")))
-    told = counted.withColumn("share", _share(F.col("n_both"), F.col("n"), F.col("information"))).where(F.col("share") >= generalise)
+    left = written(counted.where(_told(F.col("n"), generalise)).drop("n"), "personal-left")
+    places = written(_located(keyed, left.select("term").distinct()), "personal-places")
+    in_blocks = places.dropDuplicates([KEY[1]]).select(F.explode("blocks").alias("b")).groupBy("b.term").agg(F.sum("b.n").cast("double").alias("n"))
+    told = left.join(in_blocks, "term").where(_told(F.col("n"), generalise)).withColumn("share", _share(F.col("n")))
     best = F.max(F.struct("share", (-F.col("kind")).alias("kind"))).alias("best")
-    return told.groupBy("term").agg(best).select("term", (-F.col("best.kind")).cast("int").alias("kind"), "best.share")
+    return told.groupBy("term").agg(best).select("term", (-F.col("best.kind")).cast("int").alias("kind"), "best.share"), places
 
 
 def _locating(held):
-    """The key, and every place of the disclosing terms: those held, or else those of the row."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+    """The key, every place of the wanted terms (those held, or else those of the row), and how many blocks hold each."""
+    place = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    count = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            keep, found = [], []
+            keep, places, blocks = [], [], []
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
-                told = held.value if held is not None else {t["term"]: (t["kind"], t["share"]) for t in batch.column(3)[i].as_py()}
-                if not any(w.lower() in told for w in set(WORD.findall(text))):
+                wanted = held.value if held is not None else frozenset(batch.column(3)[i].as_py())
+                if len(wanted) <= FEW and not BOUND_LETTERS.search(text):
+                    lowered = text.lower()
+                    if not any(t in lowered for t in wanted):
+                        continue
+                found = findings(text)
+                if not (own := terms_of(text, found) & wanted):
                     continue
-                spots = [(a, b, told[w]) for a, b in outside_words(text, findings(text)) if (w := text[a:b].lower()) in told]
-                if spots:
-                    keep.append(i)
-                    found.append([{"start": a, "kind": k, "end": b, "share": s} for a, b, (k, s) in spots])
+                counts: Counter = Counter()
+                for terms in block_terms(text, found):
+                    counts.update(terms & own)
+                keep.append(i)
+                places.append([{"term": w, "start": a, "end": b} for a, b in outside_words(text, found) if (w := text[a:b].lower()) in own])
+                blocks.append([{"term": t, "n": n} for t, n in counts.items()])
             own = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, kind)], names=[*KEY, "terms"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(places, place), pa.array(blocks, count)], names=[*KEY, "places", "blocks"])
 
     return run
 
@@ -292,16 +423,17 @@ def _listing(batches):
         yield pa.RecordBatch.from_arrays([*own.columns, pa.array([t for w in words for t in w], pa.string())], names=[*KEY, "term"])
 
 
-def _located(keyed: DataFrame, told: DataFrame) -> DataFrame:
-    """Key and terms of the rows that hold disclosing terms."""
-    spark, key, schema = keyed.sparkSession, f"{KEY[0]} string, {KEY[1]} long", f"{KEY[0]} string, {KEY[1]} long, terms {TERMS}"
+def _located(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Key, places and blocks of the rows that hold wanted terms; rows of one key once."""
+    spark, key = keyed.sparkSession, f"{KEY[0]} string, {KEY[1]} long"
+    schema = f"{key}, places array<struct<term:string,start:int,end:int>>, blocks array<struct<term:string,n:long>>"
     texts = keyed.select(*KEY, "text")
-    rows = told.limit(BROADCAST_TERMS + 1).collect()
+    rows = [r.term for r in wanted.limit(BROADCAST_TERMS + 1).collect()]
     if len(rows) <= BROADCAST_TERMS:
-        held = spark.sparkContext.broadcast({r.term: (r.kind, r.share) for r in rows})
+        held = spark.sparkContext.broadcast(frozenset(rows))
         return texts.mapInArrow(memory.batches(_locating(held)), schema).dropDuplicates(KEY)
-    listed = texts.mapInArrow(memory.batches(_listing), f"{key}, term string").join(told, "term").distinct()
-    some = listed.groupBy(*KEY).agg(F.collect_list(F.struct("term", "kind", "share")).alias("told"))
+    listed = texts.mapInArrow(memory.batches(_listing), f"{key}, term string").join(wanted, "term").distinct()
+    some = listed.groupBy(*KEY).agg(F.collect_list("term").alias("told"))
     return texts.join(some, KEY).select(*KEY, "text", "told").mapInArrow(memory.batches(_locating(None)), schema).dropDuplicates(KEY)
 
 
@@ -318,9 +450,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"{KEY[0]} string, {KEY[1]} long, doc_id {docs.schema[id_col].dataType.simpleString()}, base {BASE}"
     none = F.array().cast(TERMS)
     if support is None:
-        scanned = written(keyed.mapInArrow(memory.batches(_scan_whole), f"{schema}, held array<struct<kind:int,value:string>>, words array<string>"), "personal-findings")
-        told = written(disclosing_anywhere(keyed, scanned, generalise), "personal-terms")
-        terms = _located(keyed, told)
+        scanned = written(keyed.mapInArrow(memory.batches(_scan_whole), f"{schema}, blocks {BLOCKS}, n_lines long"), "personal-findings")
+        told, places = disclosing_anywhere(keyed, scanned, generalise)
+        told = written(told, "personal-terms")
+        near = F.broadcast if told.count() <= BROADCAST_TERMS else (lambda df: df)
+        spots = places.select(*KEY, F.explode("places").alias("p")).select(*KEY, "p.*").join(near(told), "term")
+        terms = spots.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "share"))).alias("terms"))
         return scanned.join(terms, KEY, "left").select("doc_id", *KEY, "base", F.coalesce("terms", none).alias("terms"))
     scanned = written(keyed.mapInArrow(_scan, f"{schema}, near {NEAR}"), "personal-findings")
     told = written(disclosing(docs, scanned, text_col, support, generalise), "personal-terms")
