@@ -14,12 +14,13 @@ Built-in operations only. Words are those of winnowing.py; documents are known b
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.store import require, without, written
-from lodestack.llm.winnowing import KEY, _grams, _keyed, held_still, words
+from lodestack.llm.winnowing import KEY, LOWER, UPPER, _grams, _keyed, held_still, words
 
 SHINGLE = 5
 LEAST = 0.8
@@ -28,41 +29,103 @@ MISS = 1e-4
 #: Shingles of templates that are sent to all tasks; the count is checked.
 BROADCAST_ROWS = 300_000
 
-#: Fixed texts of licenses and notices, with the usual wordings of the short ones.
-TEMPLATES = {
+#: Fixed texts of notices, headers and titles, with the usual wordings of the short ones.
+NOTICES = {
     "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-distributed": "Distributed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-2.0-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    "bsl-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-4.0-short": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "fsf-verbatim-copies": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "agpl-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "artistic-2.0-title": "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation.",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    "lgpl-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
     "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-distributed": "Distributed under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
     "mit-project": "This project is licensed under the MIT License.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
 }
 
 
+#: Whole license texts, a file each.
+TEXTS = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+TEMPLATES = NOTICES | TEXTS
+
+#: Words before a license that is named, and so many words after them are looked at.
+SAID = "licensed|licenced|released|distributed|available|published|provided|covered"
+SAID_WORDS = 9
+#: Names of licenses in words of small letters and digits, joined by blanks, by SPDX identifier: regular expressions.
+NAMES = {
+    "AGPL-3.0": "(gnu )?affero general public license( version| v)? ?3|(gnu )?agpl ?v? ?3",
+    "Apache-2.0": "apache( software)?( license)?( version| v)? ?2|asl 2",
+    "Artistic-2.0": "artistic license( version)? 2",
+    "BSD-2-Clause": "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd license",
+    "BSD-3-Clause": "bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd",
+    "BSL-1.0": "boost software license",
+    "CC-BY-4.0": "creative commons attribution( 4 0)? international|creative commons attribution 4|cc by 4",
+    "CC-BY-NC-4.0": "creative commons attribution non ?commercial 4|cc by nc 4",
+    "CC-BY-NC-SA-4.0": "creative commons attribution non ?commercial share ?alike 4|cc by nc sa 4",
+    "CC-BY-ND-4.0": "creative commons attribution no ?deriv(ative)?s 4|cc by nd 4",
+    "CC-BY-SA-4.0": "creative commons attribution share ?alike 4|cc by sa 4",
+    "CC0-1.0": "cc0( 1 0)?|creative commons zero",
+    "EPL-2.0": "eclipse public license( version| v)? ?2|epl ?v? ?2",
+    "GPL-2.0": "gnu general public license( version| v)? ?2|(gnu )?gpl ?v? ?2",
+    "GPL-3.0": "gnu general public license( version| v)? ?3|(gnu )?gpl ?v? ?3",
+    "ISC": "isc( license)?",
+    "LGPL-2.1": "gnu (lesser|library) general public license( version| v)? ?2 1|(gnu )?lgpl ?v? ?2 1",
+    "LGPL-3.0": "gnu lesser general public license( version| v)? ?3|(gnu )?lgpl ?v? ?3",
+    "MIT": "mit( license)?|expat license",
+    "MPL-2.0": "mozilla public license( version| v)? ?2|mpl ?v? ?2",
+    "Unlicense": "unlicense",
+    "WTFPL": "wtfpl",
+    "Zlib": "zlib( license)?",
+}
+#: Further identifiers that are known behind SPDX-License-Identifier.
+SPDX = ("0BSD", "Artistic-1.0", "BSD-4-Clause", "CC-BY-3.0", "CC-BY-SA-3.0", "CDDL-1.0", "EPL-1.0", "EUPL-1.2", "GPL-1.0", "LGPL-2.0", "MIT-0", "MPL-1.1", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Ruby", "X11")
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PART = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What follows a word of SAID and under (or by); what stands behind SPDX-License-Identifier; an identifier in it, and what may end one.
+SAID_PATTERN = rf"(?:{SAID}){_BREAK}(?:under|by){_BREAK}((?:{_PART}{_BREAK}){{0,{SAID_WORDS - 1}}}{_PART})"
+SPDX_PATTERN = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+SPDX_NAME, SPDX_END = "[A-Za-z0-9][A-Za-z0-9.+-]*", r"(-only|-or-later|\+)$"
+
+
+def mentions(text: Column) -> Column:
+    """The licenses that a text names, as sorted SPDX identifiers: by an SPDX line, or by name within SAID_WORDS words of a phrase such as "licensed under".
+
+    An exact rule beside the templates, as such a name is too short for shingles. A name must stand in whole words, a version may go on (2.0, 2 or later).
+    Null and empty texts name none.
+    """
+    known = F.coalesce(text, F.lit(""))
+    said = F.regexp_extract_all(F.translate(known, UPPER, LOWER), F.lit(SAID_PATTERN), 1)
+    said = F.transform(said, lambda s: F.concat(F.lit(" "), F.regexp_replace(s, _BREAK, " "), F.lit(" ")))
+    named = F.array(*[F.when(F.exists(said, lambda s: F.rlike(s, F.lit(f" ({pattern}) "))), F.lit(name)) for name, pattern in sorted(NAMES.items())])  # noqa: B023
+    ids = F.create_map(*[F.lit(x) for name in (*NAMES, *SPDX) for x in (name.lower(), name)])
+    lines = F.array_join(F.regexp_extract_all(known, F.lit(SPDX_PATTERN), 1), " ")
+    tagged = F.transform(F.regexp_extract_all(lines, F.lit(SPDX_NAME), 0), lambda x: F.element_at(ids, F.regexp_replace(F.lower(x), SPDX_END, "")))
+    found = F.array_union(F.when(F.size(said) > 0, F.array_compact(named)).otherwise(F.array().cast("array<string>")), F.array_compact(tagged))
+    return F.array_sort(found)
+
+
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, notice string")
 
@@ -147,15 +210,15 @@ def _low_of(grams: str, band: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with licenses: a sorted array of (template, containment, windows, at), empty where there is none.
+    """docs with licenses: a sorted array of (template, containment, windows, at), and mentions: a sorted array of SPDX identifiers; both empty where there is none.
 
-    A null text has no words; texts are read whole, however long. A column of docs by that name is replaced. An empty table gives no rows; without templates nothing matches.
+    A null text has no words; texts are read whole, however long. Columns of docs by these names are replaced. An empty table gives no rows; without templates nothing matches.
     """
     found = license_matches(docs, templates, least, id_col, text_col)
     entry = F.struct("template", "containment", "windows", "at")
     per_doc = written(found.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("licenses")), "license-documents")
-    base = without(docs, "licenses")
+    base = without(docs, "licenses", "mentions")
     own_id = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
     keyed = base.withColumns({KEY[0]: own_id, KEY[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     none = F.array().cast("array<struct<template:string,containment:double,windows:bigint,at:int>>")
-    return keyed.join(per_doc, KEY, "left").select(*base.columns, F.coalesce("licenses", none).alias("licenses"))
+    return keyed.join(per_doc, KEY, "left").select(*base.columns, F.coalesce("licenses", none).alias("licenses"), mentions(F.col(text_col)).alias("mentions"))

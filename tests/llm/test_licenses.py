@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from lodestack.llm import licenses, op3_licenses
-from lodestack.llm.licenses import MISS, TEMPLATES, bands_needed, length_class, scan_licenses, template_table
+from lodestack.llm.licenses import MISS, TEMPLATES, TEXTS, bands_needed, length_class, scan_licenses, template_table
 
 
 def words(text):
@@ -77,3 +77,28 @@ def test_usual_wordings_are_known(spark):
     wordings = ["Distributed under the MIT License", "this project is licensed under the MIT license", "Licensed under CC BY 4.0", "x " * 200 + TEMPLATES["isc-text"], "1. " + TEMPLATES["unlicense-text"].lower(), TEMPLATES["lgpl-2.1-header"], "clean text without any notice at all"]
     rows = scan_licenses(spark.createDataFrame(list(enumerate(wordings)), "doc_id long, text string"), template_table(spark)).orderBy("doc_id").collect()
     assert all(r.licenses for r in rows[:-1]) and not rows[-1].licenses
+
+
+def test_everyday_notices_whole_texts_and_altered_ones(spark):
+    notices = {
+        "gpl2": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.\n59 Temple Place, Boston\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.",
+        "spdx": "// SPDX-License-Identifier: MIT",
+        "bsd": "Licensed under the BSD 3-Clause License.",
+        "apache": "Released under the Apache 2.0 license",
+        "gpl3": "This project is licensed under the GNU GPLv3",
+        "dual": "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR apache-2.0 */\nDual licensed under MIT or Apache-2.0, provided by us",
+        "none": "The GPL is a license; MIT is a school. This was provided by the isccc office.",
+    }
+    docs = list(notices.items()) + [(f"whole {k}", f"x y z\n{v}\nend") for k, v in TEXTS.items()]
+    for k in ("mit-text", "apache-2.0-text", "gpl-3.0-text"):  # every thirtieth word changed: above 0.8 of the shingles left
+        docs.append((f"altered {k}", " ".join("other" if i % 30 == 29 else w for i, w in enumerate(TEXTS[k].split()))))
+    rows = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(docs, "doc_id string, text string"), template_table(spark)).collect()}
+    names = {k: {x.template for x in r.licenses} for k, r in rows.items()}
+    assert names["gpl2"] >= {"gpl-2.0-title", "fsf-verbatim-copies"}
+    assert {k: rows[k].mentions for k in ("spdx", "bsd", "apache", "gpl3", "dual", "none")} == {"spdx": ["MIT"], "bsd": ["BSD-3-Clause"], "apache": ["Apache-2.0"], "gpl3": ["GPL-3.0"], "dual": ["Apache-2.0", "GPL-2.0", "MIT"], "none": []}
+    assert not names["none"]
+    assert len(TEXTS) >= 20
+    for k in TEXTS:
+        assert k in names[f"whole {k}"], k
+    for k in ("mit-text", "apache-2.0-text", "gpl-3.0-text"):
+        assert k in names[f"altered {k}"], k
