@@ -47,6 +47,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PLAIN_LETTERS = bytes(c | 32 if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128
 #: So few wanted terms are looked for as parts of a text before its words are. Letters whose lower case depends on others.
 FEW, BOUND_LETTERS = 64, re.compile("[Σİ]")
+#: One in so many texts is counted first. Terms that a counting task holds before it hands counts on.
+FIRST, HELD_TERMS = 16, 500_000
 #: Words in a block, at most; words on either side by which a sighting is known; words between a value and a strong sighting, itself included.
 BLOCK, AROUND, CLOSE = 64, 3, 3
 #: Weight of the prior, in sightings, against strong sightings and against others; bits of a value that a term may leave unknown.
@@ -280,50 +282,66 @@ def _scan_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "base", "blocks", "n_lines"])
 
 
-def _texts_with(wanted):
-    """(term, copies, n): texts of so many copies that hold each of the wanted terms (all, if None)."""
+def _counted(text: str, keep: frozenset | None, by_block: bool) -> Iterator[set[str]]:
+    """The wanted terms (all, if None) of a text, or of each of its blocks."""
+    found = findings(text)
+    for terms in block_terms(text, found) if by_block else (terms_of(text, found),):
+        yield terms if keep is None else terms & keep
+
+
+def _texts_with(wanted, by_block: bool):
+    """(term, copies, n): texts of so many copies (or their blocks) that hold each wanted term; a row for each such term and number of copies of a task."""
 
     def run(batches):
         keep = None if wanted is None else frozenset(wanted.value)
+        seen: dict[int, Counter] = {}
         for batch in batches:
-            seen: dict[int, Counter] = {}
             for copies, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                words = terms_of(text, findings(text))
-                seen.setdefault(copies, Counter()).update(words if keep is None else words & keep)
-            rows = [(t, c, n) for c, found in seen.items() for t, n in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["term", "copies", "n"])
+                counts = seen.setdefault(copies, Counter())
+                for terms in _counted(text.as_py(), keep, by_block):
+                    counts.update(terms)
+            if sum(map(len, seen.values())) >= HELD_TERMS:
+                yield from _counts_out(seen)
+        yield from _counts_out(seen)
 
     return run
 
 
-def _terms_with_texts(wanted):
-    """(term, hash): each text's wanted terms (all, if None)."""
+def _counts_out(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+    rows = [(t, c, n) for c, found in seen.items() for t, n in found.items()]
+    seen.clear()
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["term", "copies", "n"])
+
+
+def _terms_with_texts(wanted, by_block: bool):
+    """(term, hash, n): each text's wanted terms (all, if None), with 1 or how many of its blocks hold them."""
 
     def run(batches):
         keep = None if wanted is None else frozenset(wanted.value)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                words = terms_of(text, findings(text))
-                rows += [(t, key) for t in (words if keep is None else words & keep)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", KEY[1]])
+                counts: Counter = Counter()
+                for terms in _counted(text.as_py(), keep, by_block):
+                    counts.update(terms)
+                rows += [(t, key, n) for t, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["term", KEY[1], "n"])
 
     return run
 
 
-def _text_counts(keyed: DataFrame, scanned: DataFrame, terms: list[str] | None) -> DataFrame:
-    """(term, n): in how many texts each term stands, equal texts once. Few repeated texts are sent to all tasks; with many, what each text counts is shuffled, not the text."""
+def _counts(keyed: DataFrame, repeated: DataFrame, pairs: DataFrame, by_block: bool) -> DataFrame:
+    """(term, n): in how many of these texts (or blocks) each term of the pairs stands, equal texts once. Few repeated texts are sent to all tasks; with many,
+    what each text counts is shuffled, not the text."""
     spark = keyed.sparkSession
-    repeated = written(scanned.groupBy(KEY[1]).agg(F.count("*").alias("copies")).where("copies > 1"), "personal-repeated")
-    wanted = None if terms is None else spark.sparkContext.broadcast(terms)
+    terms = [r.term for r in pairs.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+    wanted = spark.sparkContext.broadcast(terms) if len(terms) <= BROADCAST_TERMS else None
     if repeated.count() <= BROADCAST_ROWS:
         texts = keyed.join(F.broadcast(repeated), KEY[1], "left").select(F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "text")
-        counts = texts.mapInArrow(memory.batches(_texts_with(wanted)), "term string, copies long, n long")
+        counts = texts.mapInArrow(memory.batches(_texts_with(wanted, by_block)), "term string, copies long, n long")
         return counts.groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).alias("n"))
-    each = keyed.select(KEY[1], "text").mapInArrow(memory.batches(_terms_with_texts(wanted)), f"term string, {KEY[1]} long")
-    return each.distinct().groupBy("term").agg(F.count("*").cast("double").alias("n"))
+    each = keyed.select(KEY[1], "text").mapInArrow(memory.batches(_terms_with_texts(wanted, by_block)), f"term string, {KEY[1]} long, n long")
+    return each.distinct().groupBy("term").agg(F.sum("n").cast("double").alias("n"))
 
 
 def _pairs(blocks: DataFrame, generalise: float, n_blocks: int) -> DataFrame:
@@ -362,21 +380,27 @@ def _told(n: Column, generalise: float) -> Column:
     return (_share(n) >= generalise) & (F.log2(_p(n)) >= -LEFT)
 
 
+def _still_telling(pairs: DataFrame, counts: DataFrame, generalise: float) -> DataFrame:
+    """The pairs that may tell enough if their terms stand in n blocks at least."""
+    return pairs.join(counts, "term", "left").where(_told(F.coalesce("n", F.lit(0.0)), generalise)).drop("n")
+
+
 def disclosing_anywhere(keyed: DataFrame, scanned: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """(term, kind, share): the terms that disclose at least the share generalise of a protected value or kind, and all but LEFT bits, with the largest share;
     and the places (key, places, n_blocks by term) of all terms that were looked up for it.
 
-    Texts that hold a term are fewer than its blocks. Their number leaves few terms, whose blocks are counted where they are found.
+    A term can't tell enough once it is known to stand in too many blocks, so fewer than all will do to leave it out: those of a share of the texts, by
+    hash, leave out the common words; then the number of texts that hold a term, which are no more than its blocks, leaves few terms, whose blocks are counted where they are found.
     """
     once = scanned.where(F.size("base") > 0).select(KEY[1], "blocks").dropDuplicates([KEY[1]])
     blocks = once.select(KEY[1], F.posexplode("blocks").alias("at", "b")).select(F.struct(KEY[1], "at").alias("block"), "b.*")
     blocks = written(blocks, "personal-blocks")
     n_blocks = scanned.agg(F.sum("n_lines")).first()[0] or 0
     pairs = written(_pairs(blocks, generalise, n_blocks), "personal-pairs")
-    terms = [r.term for r in pairs.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
-    counts = _text_counts(keyed, scanned, terms if len(terms) <= BROADCAST_TERMS else None)
-    counted = pairs.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.raise_error(F.concat(F.lit("no count of the term "), F.col("term"))).cast("double")))
-    left = written(counted.where(_told(F.col("n"), generalise)).drop("n"), "personal-left")
+    repeated = written(scanned.groupBy(KEY[1]).agg(F.count("*").alias("copies")).where("copies > 1"), "personal-repeated")
+    some = keyed.where(F.pmod(KEY[1], F.lit(FIRST)) == 0)
+    left = written(_still_telling(pairs, _counts(some, repeated, pairs, True), generalise), "personal-first")
+    left = written(_still_telling(left, _counts(keyed, repeated, left, False), generalise), "personal-left")
     places = written(_located(keyed, left.select("term").distinct()), "personal-places")
     in_blocks = places.dropDuplicates([KEY[1]]).select(F.explode("blocks").alias("b")).groupBy("b.term").agg(F.sum("b.n").cast("double").alias("n"))
     told = left.join(in_blocks, "term").where(_told(F.col("n"), generalise)).withColumn("share", _share(F.col("n")))
