@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.fixed import BUCKETS, CONCEPTS, DEPARTMENTS, EXACT_METADATA, INDEX_POINTS, LATEST_VERSION, NAME_STOPWORDS, TYPE_COLLECTIONS, TYPE_NAMES, TYPES, VERSION_SUFFIX, VERSIONS
+from lodestack.shared import written
 
 
 def first_match(text: Column, rules: tuple[tuple[str, str], ...], default: str) -> Column:
@@ -179,6 +182,73 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     return met.select("x", "y", share.alias("share")).where(100 * F.col("share") >= percent)
 
 
+def similar_classes(sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """(key, class_id, n_peers): for each row of sets (key, terms) the smallest key with the same terms, and how many other rows share at least percent of
+    all terms with it. Rows without terms have no peers and are classes of their own. As many rows come out as go in; links are between classes of equal sets."""
+    named = sets.withColumn("id", F.when(F.size("terms") > 0, F.sha2(F.array_join("terms", " "), 256)))
+    own = written(named.where("id IS NOT NULL").groupBy("id").agg(F.min("terms").alias("terms"), F.min(key).alias("class_id"), F.count("*").alias("n")), "word-sets")
+    near = written(similar_sets(own.select("id", "terms"), percent), "word-links")
+    ways = near.select("x", "y").union(near.select("y", "x"))
+    links = ways.join(own.select(F.col("id").alias("y"), "n"), "y").groupBy(F.col("x").alias("id")).agg(F.sum("n").alias("others"))
+    per = own.join(links, "id", "left").select("id", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_peers"))
+    return named.join(per, "id", "left").select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_peers", F.lit(0)).cast("long").alias("n_peers"))
+
+
+#: Items scored by one matrix.
+ITEM_BLOCK = 512
+
+
+def best_sentences(sentences: DataFrame, asked: DataFrame, k: int, most: int = 300_000) -> DataFrame:
+    """(item, doc_id, pos, hits): for each item the k sentences (doc_id, pos, terms) with most of its terms; ties by doc_id and pos.
+
+    asked: item, term in its first two columns. Up to most of them are sent to all tasks, which count by matrices and hand on k sentences of each item; more are joined.
+    """
+    asked = written(asked.toDF("item", "term").distinct(), "sentences-asked")
+    if asked.count() > most:
+        hits = sentences.select("doc_id", "pos", F.explode(F.array_distinct("terms")).alias("term")).join(asked, "term").groupBy("item", "doc_id", "pos").agg(F.count("*").alias("hits"))
+        return top_terms(hits, "item", [F.desc("hits"), F.col("doc_id"), F.col("pos")], k).select("item", "doc_id", "pos", "hits")
+    by_item: dict = {}
+    for item, term in asked.collect():
+        by_item.setdefault(item, []).append(term)
+    items = sorted(by_item)
+    blocks = []
+    for at in range(0, len(items), ITEM_BLOCK):
+        wanted: dict[str, list[int]] = {}
+        for i, item in enumerate(items[at : at + ITEM_BLOCK]):
+            for term in by_item[item]:
+                wanted.setdefault(term, []).append(i)
+        blocks.append((items[at : at + ITEM_BLOCK], wanted))
+    sent = sentences.sparkSession.sparkContext.broadcast(blocks)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            found = lists.flatten().dictionary_encode()
+            codes = found.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(found.dictionary) + 1))
+            words = found.dictionary.to_pylist()
+            for names, wanted in sent.value:
+                hits = np.zeros((batch.num_rows, len(names)), np.int32)
+                for c, word in enumerate(words):
+                    if word in wanted:
+                        hits[np.ix_(np.unique(row[order[ends[c] : ends[c + 1]]]), wanted[word])] += 1
+                out = [[], [], []]
+                doc, pos = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                for i in range(len(names)):
+                    at = np.flatnonzero(hits[:, i])
+                    at = at[np.lexsort((pos[at], doc[at], -hits[at, i]))[:k]]
+                    out[0] += [names[i]] * len(at)
+                    out[1] += at.tolist()
+                    out[2] += hits[at, i].tolist()
+                at = pa.array(out[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[2], pa.int64())], names=["item", "doc_id", "pos", "hits"])
+
+    best = sentences.select("doc_id", "pos", "terms").mapInArrow(run, "item long, doc_id long, pos long, hits long")
+    return top_terms(best, "item", [F.desc("hits"), F.col("doc_id"), F.col("pos")], k).select("item", "doc_id", "pos", "hits")
+
+
 def candidates(evidence: DataFrame) -> DataFrame:
     """(document, score, confidence, indexes): evidence (document, index_name, match, latest) weighed: one point for each index up to four, a
     quarter for each piece up to two, and what its index adds."""

@@ -149,13 +149,12 @@ def document_health(spark, sf_dir):
 
 
 @query("inverted_index_lookup", WITH_WORDS + """, i AS (SELECT 'language' AS index_name, lower(lang) AS term, doc_id FROM docs UNION SELECT 'collection', lower(collection), doc_id FROM docs UNION SELECT 'word', t, doc_id FROM (SELECT doc_id, unnest(w) AS t FROM w))
-SELECT index_name, term, count(*) AS n, min(doc_id) AS first_id FROM i WHERE (index_name = 'word' AND term LIKE 'un%') OR (index_name = 'collection' AND term = 'src3') OR (index_name = 'language') GROUP BY 1, 2""")
+SELECT index_name, term, count(*) AS n, min(doc_id) AS first_id FROM i GROUP BY 1, 2""")
 def inverted_index_lookup(spark, sf_dir):
+    """What a look-up of every term of every index gives: how many documents, and the first of them."""
     d = documents(spark, sf_dir)
     i = K.inverted(d, "doc_id", language=F.array("lang"), collection=F.array("collection"), word=X.tokens(F.col("text")))
-    name, term = F.col("index_name"), F.col("term")
-    asked = ((name == "word") & term.startswith("un")) | ((name == "collection") & (term == "src3")) | (name == "language")
-    return i.where(asked).groupBy("index_name", "term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return i.groupBy("index_name", "term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 @query("index_statistics", WITH_WORDS + "SELECT count(*) AS entries, count(DISTINCT doc_id) AS documents, count(DISTINCT term) AS terms, round(avg(n), 6) AS mean_tf FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2)")
@@ -165,17 +164,12 @@ def index_statistics(spark, sf_dir):
 
 
 @query("jaccard_keyword_peers")
-@query("jaccard_keyword_peers_whole_text")
 def jaccard_keyword_peers(spark, sf_dir):
-    """Pairs of documents whose long words agree to 72 %, by all words of their texts. Equal sets are one until the end. Exact: of two sets of
-    which 72 % are common, those words of each that are rarest, as many as could be missing and one more, have one in common."""
-    sets = words(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct(F.filter("w", lambda t: F.length(t) > 5))).alias("terms")).where(F.size("terms") > 0)
-    sets = sets.withColumn("id", F.sha2(F.array_join("terms", " "), 256))
-    own = written(sets.groupBy("id").agg(F.min("terms").alias("terms")), "word-sets")
-    near = K.similar_sets(own, 72).union(own.select("id", "id", F.lit(1.0)))
-    pairs = near.join(sets.select(F.col("id").alias("x"), F.col("doc_id").alias("i")), "x").join(sets.select(F.col("id").alias("y"), F.col("doc_id").alias("j")), "y")
-    pairs = pairs.where("x <> y OR i < j")
-    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.round("share", 4).alias("similarity"))
+    """For each document the smallest one of those with the same words of over two letters (its class), and how many other documents agree with it to 72 %.
+    Equal sets are one, and classes are linked, not documents. Exact: of two sets of which 72 % are common, those words of each that are rarest, as many as could be
+    missing and one more, have one in common."""
+    sets = words(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct(F.filter("w", lambda t: F.length(t) > 2))).alias("terms"))
+    return K.similar_classes(sets, "doc_id", 72)
 
 
 EDGES_SQL = """WITH RECURSIVE edges AS (
@@ -249,14 +243,13 @@ def run_comparison(spark, sf_dir):
     return r.select("metric", F.round("x", 6).alias("a"), F.round("y", 6).alias("b"), F.round(d, 6).alias("delta"), F.when(F.col("x") != 0, F.round(d / F.col("x") * 100, 4)).alias("delta_pct"))
 
 
-@query("extractive_answers", f"""WITH q AS (SELECT item_id, list_distinct(list_filter({X.tokens_sql('text')}, lambda x: length(x) > 5)) AS w FROM benchmark),
+@query("extractive_answers", f"""WITH q AS (SELECT item_id, list_distinct(list_filter({X.tokens_sql('text')}, lambda x: length(x) > 2)) AS w FROM benchmark),
 s AS (SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: length(x) > 0) AS l FROM documents)),
 t AS (SELECT doc_id, pos, unnest(list_distinct({X.tokens_sql('sentence')})) AS term FROM s), h AS (SELECT item_id, doc_id, pos, count(*) AS hits FROM (SELECT item_id, unnest(w) AS term FROM q) JOIN t USING (term) GROUP BY 1, 2, 3)
 SELECT item_id, doc_id, pos, hits FROM h QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id, pos) <= 3""")
 def extractive_answers(spark, sf_dir):
-    """For each item the three sentences that share most long words with it."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda w: F.length(w) > 5))).alias("term"))
+    """For each item the three sentences that share most words of over two letters with it."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda w: F.length(w) > 2))).alias("term"))
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
-    t = s.select("doc_id", "pos", F.explode(F.array_distinct(X.tokens(F.col("sentence")))).alias("term"))
-    h = q.join(t, "term").groupBy("item_id", "doc_id", "pos").agg(F.count("*").alias("hits"))
-    return K.top_terms(h, "item_id", [F.desc("hits"), F.col("doc_id"), F.col("pos")], 3).select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"), "hits")
+    h = K.best_sentences(s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_distinct(X.tokens(F.col("sentence"))).alias("terms")), q, 3)
+    return h.select(F.col("item").alias("item_id"), "doc_id", "pos", "hits")

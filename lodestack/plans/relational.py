@@ -129,10 +129,10 @@ def set_operations(spark, sf_dir):
     return tag(c.union(s).distinct(), "either").union(tag(c.intersect(s), "both")).union(tag(c.subtract(s), "customers_only"))
 
 
-@query("shared_languages", WITH_DOCS + """, s AS (SELECT DISTINCT collection, lang FROM docs WHERE file_size > 2000)
+@query("shared_languages", WITH_DOCS + """, s AS (SELECT DISTINCT collection, lang FROM docs)
 SELECT x.collection AS a, y.collection AS b, count(*) AS n FROM s x JOIN s y ON x.lang = y.lang AND x.collection < y.collection GROUP BY 1, 2 HAVING count(*) >= 2""")
 def shared_languages(spark, sf_dir):
-    sets = documents(spark, sf_dir).where("file_size > 2000").groupBy("collection").agg(F.collect_set("lang").alias("langs"))
+    sets = documents(spark, sf_dir).groupBy("collection").agg(F.collect_set("lang").alias("langs"))
     return R.shared_elements(sets, "collection", "langs", 2)
 
 
