@@ -1,4 +1,4 @@
-"""Batch retrieval: a keyword index, BM25, hashed vectors, exact cosine, rank fusion and evaluation of ranked lists."""
+"""Batch retrieval: a keyword index, hashed vectors, exact cosine, rank fusion and evaluation of ranked lists."""
 
 from __future__ import annotations
 
@@ -19,8 +19,6 @@ from lodestack.shared import new_path, sign_of_files, small, written
 QUERY_BLOCK, BROADCAST_BYTES = 4096, 64_000_000
 #: Tables of at most so many rows are broadcast; the count is checked.
 BROADCAST_ROWS = 300_000
-#: Share of a query's largest possible score that its most common words may have together and still be left to the second pass.
-COMMON = 0.35
 #: Components of hashed vectors: the first byte of a word's MD5.
 HASHED = 256
 POSTING = "doc {}, dl int, term string, tf long"
@@ -109,43 +107,6 @@ def corpus_size(index: DataFrame) -> tuple[int, float]:
     return n, mean or 0.0
 
 
-def bm25_top_k(index: DataFrame, queries: DataFrame, query_key: str, words: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query; repeated query words count as often. Ties go to the smaller doc.
-
-    idf is ln((N - df + 0.5) / (df + 0.5) + 1), so no word lowers a score, and a word adds less than qtf * idf * (k1 + 1). First only the rarer words of
-    a query are scored. Where the k-th best of that is more than all common words could add, documents without a rarer word are out,
-    and common words are looked up only for documents that can still get in. Other queries are scored by all words at once.
-    """
-    n, mean = corpus_size(index)
-    asked = written(queries.select(F.col(query_key).alias("query"), F.explode(words).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")), "bm25-asked")
-    terms = written(asked.select("term").distinct(), "bm25-terms")
-    own = written(index.join(small(terms, BROADCAST_ROWS), "term", "left_semi"), "bm25-postings")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    most = asked.join(df, "term").withColumn("most", F.col("qtf") * idf * (k1 + 1))
-    w = Window.partitionBy("query")
-    most = most.withColumns({"upto": F.sum("most").over(w.orderBy(F.desc("df"), "term")), "total": F.sum("most").over(w)}).withColumn("common", F.col("upto") <= COMMON * F.col("total"))
-    most = written(most.select("query", "term", "most", "common", "df"), "bm25-weights")
-    part = F.col("most") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
-    scored = lambda weights: own.join(small(weights, BROADCAST_ROWS), "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
-
-    partial = written(scored(most.where("NOT common")), "bm25-partial")
-    left = most.groupBy("query").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("most"))), F.lit(0.0)).alias("rest"))
-    kth = ranked(partial, ["query"], [F.desc("score"), F.col("doc")], k).groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("found"))
-    state = left.join(kth, "query", "left").withColumn("enough", F.coalesce((F.col("found") >= k) & (F.col("kth") > F.col("rest") + 1e-6), F.lit(False)))
-    state = written(state, "bm25-state")
-
-    near = partial.join(small(state.where("enough"), BROADCAST_ROWS), "query").where(F.col("score") + F.col("rest") >= F.col("kth") - 1e-6).select("query", "doc", "score")
-    near = written(near, "bm25-candidates")
-    common = most.where("common").join(small(state.where("enough"), BROADCAST_ROWS), "query", "left_semi").select("query", "term", "most")
-    wanted = near.select("query", "doc").join(common, "query")
-    rest = wanted.join(own, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(part).alias("more"))
-    done = near.join(rest, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    if not state.where("NOT enough").isEmpty():
-        done = done.unionByName(scored(most.join(small(state.where("NOT enough"), BROADCAST_ROWS), "query", "left_semi")))
-    return ranked(done.withColumn("score", F.round("score", 6)), ["query"], [F.desc("score"), F.col("doc")], k)
-
-
 def ranked(scores: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank from 1; tasks hand on no more than k rows of a group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as X
+from lodestack.operators import blocks as B
 from lodestack.operators import retrieval as R
+from lodestack.operators import textvectors as V
 from lodestack.plans.registry import query
 from lodestack.session import table
 from lodestack.shared import new_path
@@ -37,8 +39,12 @@ def index(spark, sf_dir):
     return R.keyword_index(table(spark, sf_dir, "documents"), corpus(spark, sf_dir), "doc_id", "words", "documents")
 
 
+def blocks(spark, sf_dir):
+    return B.stored_index(table(spark, sf_dir, "documents"), corpus(spark, sf_dir), "doc_id", "words", "documents")
+
+
 def sparse(spark, sf_dir, k):
-    return R.bm25_top_k(index(spark, sf_dir), asked(spark, sf_dir), "item_id", "words", k)
+    return B.bm25_search(blocks(spark, sf_dir), asked(spark, sf_dir), "item_id", "words", k)
 
 
 def dense(spark, sf_dir, k):
@@ -95,6 +101,14 @@ def bm25_filtered_after_rank(spark, sf_dir):
     return sparse(spark, sf_dir, 20).join(english, "doc", "left_semi").select("query", "doc", "rank")
 
 
+@query("bm25_allowed_topk", BM25_SQL + """, fit AS (SELECT query, doc, score, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM sparse JOIN documents ON doc = doc_id WHERE lang = 'es')
+SELECT query, doc, score, rank, CAST(place AS INTEGER) AS place FROM fit WHERE place <= 10""")
+def bm25_allowed_topk(spark, sf_dir):
+    """The ten best Spanish documents of each item, found by fetching more until there are ten."""
+    allowed = table(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("doc_id").alias("doc"))
+    return B.bm25_search_allowed(blocks(spark, sf_dir), asked(spark, sf_dir), "item_id", "words", allowed, 10)
+
+
 @query("cosine_topk", "WITH one AS (SELECT 1) " + COSINE_SQL + "SELECT query, doc, score, rank FROM dense WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
     return dense(spark, sf_dir, 10)
@@ -192,3 +206,28 @@ def recall_mrr_at_k_all_words(spark, sf_dir):
 @query("trace_lost_documents_all_words", WHOLE_SQL + GOLD_SQL + TRACE_SQL)
 def trace_lost_documents_all_words(spark, sf_dir):
     return traced(gold(spark, sf_dir), fused_whole(spark, sf_dir, 40))
+
+
+def text_near(spark, sf_dir, k):
+    """By the cosine of text vectors that are learnt from the documents."""
+    d, q = corpus(spark, sf_dir), asked(spark, sf_dir)
+    basis = V.fit(d, "doc_id", "words")
+    return R.cosine_top_k(V.text_vectors(d, "doc_id", "words", basis), V.text_vectors(q, "item_id", "words", basis), "doc_id", "item_id", "vector", k)
+
+
+@query("text_vector_topk")
+def text_vector_topk(spark, sf_dir):
+    """The twenty nearest documents of each item by learnt text vectors."""
+    return text_near(spark, sf_dir, 20)
+
+
+@query("hybrid_text_vectors")
+def hybrid_text_vectors(spark, sf_dir):
+    """As hybrid_retrieval, with learnt text vectors in the place of hashed counts."""
+    return R.fuse(text_near(spark, sf_dir, 20), sparse(spark, sf_dir, 20), 5, 0.6, 0.4)
+
+
+@query("text_vector_recall")
+def text_vector_recall(spark, sf_dir):
+    """Recall, reciprocal rank and precision of the vectors alone, by documents that share ten words in a row with an item."""
+    return R.judged(text_near(spark, sf_dir, 20), gold(spark, sf_dir), (1, 5, 20))

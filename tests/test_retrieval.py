@@ -31,17 +31,6 @@ def brute(docs, queries, k):
     return out
 
 
-def test_pruned_bm25_agrees_with_plain_loops(spark, monkeypatch):
-    docs, queries = corpus()
-    index = R.postings(spark.createDataFrame(docs, "doc_id long, words array<string>"), "doc_id", "words")
-    asked = spark.createDataFrame(queries, "item_id long, words array<string>")
-    for k, common, rows in ((3, 0.35, 10**6), (10, 0.9, 0), (200, 0.0, 10**6)):
-        monkeypatch.setattr(R, "COMMON", common)
-        monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
-        got = [(r["query"], r.doc, r.score, r["rank"]) for r in R.bm25_top_k(index, asked, "item_id", "words", k).collect()]
-        assert sorted(got) == sorted(brute(docs, queries, k))
-
-
 def test_cosine_in_blocks_and_by_join(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(90)] + [(100, None), (101, [0.0] * 5), (102, [1.0, 2.0]), (103, [None, 1.0, 1.0, 1.0, 1.0]), (104, [3.0, 4.0])]
