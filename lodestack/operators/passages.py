@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.fixed import BOUNDARY, BULLET, LIST_DEPTH, ORDERED
+from lodestack.shared import written
 
 
 def runs(rows: DataFrame, key: str, member: Column, breaks: Column) -> DataFrame:
@@ -80,15 +81,19 @@ def tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     aligned = body.groupBy(key, "run", "col").agg(step(spread("n"), 0.35, 0.7).alias("a")).groupBy(key, "run").agg(F.avg("a").alias("aligned"))
     lines = body.groupBy(key, "run", "at").agg(F.sum("words").alias("words"), F.sum("n").alias("width"))
     lines = lines.groupBy(key, "run").agg(step(spread("words"), 0.45, 0.9).alias("even"), spread("width").alias("uneven"), share(F.col("width") > 220).alias("oversized"))
-    up = lambda x, *steps: _steps(x, steps)
     every = whole.join(cells, [key, "run"]).join(aligned, [key, "run"]).join(lines, [key, "run"])
+    return every.select(key, "start", "end", "columns", "data_rows", table_confidence().alias("confidence"), "headers", "run")
+
+
+def table_confidence() -> Column:
+    """From columns likeness, mean, aligned, even, numbers, long, prose, narrative, marked, uneven and oversized."""
+    up = lambda x, *steps: _steps(x, steps)
     short = F.when(F.col("mean") <= 28, 0.20).when(F.col("mean") <= 45, 0.15).when(F.col("mean") <= 70, 0.08).otherwise(-0.10)
     numbers = F.when(F.col("numbers") >= 0.35, 1.0).when(F.col("numbers") >= 0.15, 0.6).otherwise(0.0)
     reward = 0.22 * F.col("likeness") + short + 0.18 * F.col("aligned") + 0.15 * F.col("even") + 0.10 * numbers + 0.10
     prose = up("long", (0.25, 0.25)) + up("prose", (0.20, 0.30)) + up("prose", (0.40, 0.20))
     penalty = prose + up("narrative", (0.20, 0.35), (0.10, 0.18)) + up("marked", (0.35, 0.25), (0.20, 0.12)) + up("uneven", (1.0, 0.20), (0.7, 0.10)) + up("oversized", (0.30, 0.20))
-    confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), reward - penalty)), 6)
-    return every.select(key, "start", "end", "columns", "data_rows", confidence.alias("confidence"), "headers", "run")
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), reward - penalty)), 6)
 
 
 def _steps(name: str, steps) -> Column:
@@ -99,6 +104,106 @@ def _steps(name: str, steps) -> Column:
     return out
 
 
+#: Columns that a stacked table may have, rows at most, and rows and letters of a line at least and at most.
+STACKED_COLUMNS, STACKED_ROWS, STACKED_LEAST, STACKED_LINE = (2, 6), 25, 2, 120
+
+
+def _stacked_with(base: DataFrame, key: str, c: int) -> DataFrame:
+    """(key, p, c, data, q and what confidence needs) of all stretches that begin at line p with c headings and have whole rows of c lines up to their end.
+
+    Every sum over a stretch, over one of its columns or over its rows is the difference of two running sums, those over columns and rows by steps of c lines.
+    """
+    w, s = Window.partitionBy(key).orderBy("p"), Window.partitionBy(key, F.col("p") % c).orderBy("p")
+    whole, steps = w.rowsBetween(Window.unboundedPreceding, 0), s.rowsBetween(Window.unboundedPreceding, 0)
+    of_row = lambda x: sum((F.coalesce(F.lead(x, j).over(w), F.lit(0)) for j in range(1, c)), F.col(x))
+    counts = ("n", "digit", "long", "prose", "narrative", "marked", "like")
+    t = base.withColumns({"row_words": of_row("words"), "row_width": of_row("n"), "upto": F.struct(*[F.sum(x).over(whole).alias(x) for x in counts])})
+    total = lambda x: F.sum(x).over(steps)
+    t = t.withColumns({
+        "cell": F.struct(total(F.col("n")).alias("x"), total(F.col("n") * F.col("n")).alias("xx")),
+        "row": F.struct(total(F.col("row_words")).alias("x"), total(F.col("row_words") * F.col("row_words")).alias("xx"), total(F.col("row_width")).alias("y"), total(F.col("row_width") * F.col("row_width")).alias("yy"), total((F.col("row_width") > 220).cast("int")).alias("wide")),
+    })
+    none = F.struct(*[F.lit(0).cast(t.schema["upto"].dataType[x].dataType).alias(x) for x in counts])
+    t = t.withColumns({"cells": F.array(*[F.lead("cell", j).over(w) if j else F.col("cell") for j in range(c)]), "before": F.coalesce(F.lag("upto").over(w), none), "through": F.lead("upto", c - 1).over(w), "stop_after": F.lead("stop_at", c).over(w)})
+    data = F.least(F.col("stop_after") - F.col("p") - c, F.lit(c * STACKED_ROWS))
+    found = t.where((F.col("no_head_at") - F.col("p") >= c) & (data >= c * STACKED_LEAST) & (data % c == 0))
+    found = found.select(key, "p", F.lit(c).alias("c"), data.cast("int").alias("data"), (F.col("p") + data).cast("int").alias("q"), "cells", "row", "before", "through")
+    ends = t.select(key, F.col("p").alias("q"), F.col("cells").alias("cells_2"), F.col("row").alias("row_2"), F.col("through").alias("through_2"))
+    both = found.join(ends, [key, "q"]).withColumn("k", F.col("data") / c)
+    spread = lambda x, xx: F.sqrt(F.greatest(F.col("k") * xx - x * x, F.lit(0.0))) / x
+    step = lambda x, a, b: F.when(x <= a, 1.0).when(x <= b, 0.6).otherwise(0.2)
+    columns = F.zip_with("cells", "cells_2", lambda a, b: step(spread(b["x"] - a["x"], b["xx"] - a["xx"]), 0.35, 0.7))
+    rows = lambda x: F.col("row_2")[x] - F.col("row")[x]
+    part = lambda x, a, b, of: (F.col(b)[x] - F.col(a)[x]) / of
+    all_cells = F.col("data") + c
+    return both.select(
+        key, "p", "c", "data", "k",
+        part("like", "before", "through", F.lit(c)).alias("likeness"), part("n", "before", "through_2", all_cells).alias("mean"), part("digit", "through", "through_2", F.col("data")).alias("numbers"),
+        *[part(x, "before", "through_2", all_cells).alias(x) for x in ("long", "prose", "narrative", "marked")],
+        (F.aggregate(columns, F.lit(0.0), lambda a, x: a + x) / c).alias("aligned"), step(spread(rows("x"), rows("xx")), 0.45, 0.9).alias("even"), spread(rows("y"), rows("yy")).alias("uneven"), (rows("wide") / F.col("k")).alias("oversized"),
+    )
+
+
+def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, columns, data_rows, confidence): tables whose cells stand one below the other, a line each: the headings, then row after row up to a
+    blank line, a new section, a long line, or a line that is taken (key, start, end).
+
+    Of a start's numbers of columns the most confident counts, the smaller one of equals; tables below least are none. From the top, a table that is found takes its lines. Lines of a document are in one task, as a document's.
+    """
+    covered = taken.select(key, F.explode(F.sequence("start", "end")).alias("at")).distinct().withColumn("_taken", F.lit(True))
+    x = F.trim("line")
+    n, words, low = F.length(x), F.size(F.split(x, r"\s+")), F.lower(x)
+    marks = F.regexp_count(x, F.lit("[,.;:!?]")) / F.greatest(n, F.lit(1))
+    prose = sentence_like(x)
+    like = F.greatest(F.lit(0.0), 1.0 - F.when(n > 50, 0.4).otherwise(0.0) - F.when(prose, 0.5).otherwise(0.0) - F.when(marks > 0.08, 0.3).otherwise(0.0) - F.when(words > 8, 0.2).otherwise(0.0))
+    narrative = (F.contains(low, F.lit(";")) & (n > 35)) | (F.contains(low, F.lit(" while ")) & (n > 60)) | F.contains(low, F.lit(" reflects "))
+    free = ~F.col("blank") & F.col("_taken").isNull()
+    stop = ~free | x.rlike(f"(?i){BOUNDARY}") | (n > STACKED_LINE) | ((F.regexp_count(x, F.lit(r"\. ")) >= 2) & (words > 18))
+    w = Window.partitionBy(key).orderBy("at")
+    flags = {"digit": x.rlike(r"\d"), "long": n > 80, "prose": prose, "narrative": narrative, "marked": marks > 0.06}
+    marked = rows.join(covered, [key, "at"], "left").select(
+        key, "at", F.row_number().over(w).alias("p"), n.cast("long").alias("n"), words.cast("long").alias("words"), stop.alias("stop"), (free & header_cell(x)).alias("head"),
+        F.when(n > 0, like).otherwise(0.0).alias("like"), *[F.coalesce(f, F.lit(False)).cast("long").alias(name) for name, f in flags.items()],
+    )
+    later = w.rowsBetween(0, Window.unboundedFollowing)
+    end = F.max("p").over(later) + 1
+    base = marked.withColumns({"stop_at": F.coalesce(F.min(F.when(F.col("stop"), F.col("p"))).over(later), end), "no_head_at": F.coalesce(F.min(F.when(~F.col("head"), F.col("p"))).over(later), end)})
+    base = written(base, "stacked-lines")
+    low_c, high_c = STACKED_COLUMNS
+    every = _stacked_with(base, key, low_c)
+    for c in range(low_c + 1, high_c + 1):
+        every = every.unionByName(_stacked_with(base, key, c))
+    scored = every.select(key, "p", "c", "data", table_confidence().alias("confidence"))
+    best = scored.groupBy(key, "p").agg(F.max(F.struct("confidence", (-F.col("c")).alias("c"), "data")).alias("b")).where(F.col("b.confidence") >= least)
+    one = F.struct(F.col("p").alias("p"), (F.col("p") - F.col("b.c") + F.col("b.data") - 1).alias("end"), (-F.col("b.c")).alias("columns"), F.col("b.data").alias("data"), F.col("b.confidence").alias("confidence"))
+    kind = "struct<p:int,end:int,columns:int,data:int,confidence:double>"
+    spans = best.groupBy(key).agg(F.array_sort(F.collect_list(one)).cast(f"array<{kind}>").alias("spans"))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+    fold = lambda a, x: F.when(x["p"] > a["last"], F.struct(x["end"].alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
+    kept = spans.select(key, F.explode(F.aggregate("spans", start, fold, lambda a: a["kept"])).alias("t")).select(key, "t.*")
+    place = base.select(key, "p", "at")
+    kept = kept.join(place.withColumnRenamed("at", "start"), [key, "p"]).join(place.select(key, F.col("p").alias("end"), F.col("at").alias("_last")), [key, "end"])
+    return kept.select(key, "start", F.col("_last").alias("end"), "columns", (F.col("data") / F.col("columns")).cast("long").alias("data_rows"), "confidence")
+
+
+def blocks(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, kind, heading_level, lines): each line that is not blank in exactly one block, in reading order.
+
+    rows: lines with heading_level. tables and lists: (key, start, end). A line in a table is the table's; else, in a list, the list's; else a heading is a block of
+    its own; what is left between these and blank lines are paragraphs.
+    """
+    cover = lambda spans, name: spans.select(key, F.col("start").alias(name), F.explode(F.sequence("start", "end")).alias("at")).groupBy(key, "at").agg(F.min(name).alias(name))
+    own = rows.join(cover(tables, "_table"), [key, "at"], "left").join(cover(lists, "_list"), [key, "at"], "left")
+    kind = F.when(F.col("_table").isNotNull(), "table").when(F.col("_list").isNotNull(), "list").when(F.col("heading_level").isNotNull(), "heading").otherwise("paragraph")
+    span = F.coalesce("_table", "_list", F.when(F.col("heading_level").isNotNull(), F.col("at")), F.lit(-1))
+    w = Window.partitionBy(key).orderBy("at")
+    own = own.withColumns({"kind": F.when(~F.col("blank") | (F.col("_table").isNotNull()), kind), "_span": span})
+    same = F.lag("kind").over(w).eqNullSafe(F.col("kind")) & F.lag("_span").over(w).eqNullSafe(F.col("_span"))
+    numbered = own.withColumn("_new", (~same).cast("int")).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind IS NOT NULL")
+    level = F.when(F.first("kind") == "heading", F.first("heading_level"))
+    return numbered.groupBy(key, "block").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.first("kind").alias("kind"), level.alias("heading_level"), F.count("*").alias("lines")).drop("block")
+
+
 def title_word(w: Column) -> Column:
     """A word with a capital, unless it has digits or inner capitals."""
     return F.when(w.rlike(r"\d|^.+\p{Lu}"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))

@@ -15,6 +15,7 @@ from lodestack.plans import retrieval as S
 from lodestack.plans.planning import QUESTIONS_SQL, questions
 from lodestack.plans.registry import query
 from lodestack.session import table
+from lodestack.shared import written
 
 _Q = lambda s: s.replace("'", "''")
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -198,6 +199,35 @@ def rendered_tables(spark, sf_dir):
     return per.select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.array_join(F.col("rows.t"), "\n\n")).alias("digest"))
 
 
+def stacked(spark, sf_dir):
+    """Lines of documents with two stacked tables at their end, one of two columns and one of three, beside a table with gaps."""
+    nl, d = "\n", table(spark, sf_dir, "documents")
+    parts = ["text", f"{nl}{nl}Owner{nl}Share{nl}Ann Lee{nl}40{nl}Bo Chi{nl}60{nl}", F.concat(F.lit("Cy "), "source"), f"{nl}", (F.col("doc_id") % 90).cast("string"), f"{nl}{nl}Item{nl}Code{nl}Price{nl}Pen{nl}A1{nl}3{nl}Cup{nl}B2{nl}7{nl}{nl}1. one{nl}2. two{nl}{nl}Name  Count{nl}Alpha  1{nl}Beta  2{nl}Gamma  3"]
+    return I.lines(d.select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) and p != "text" else F.coalesce("text", F.lit("")) if isinstance(p, str) else p for p in parts]).alias("text")))
+
+
+def all_tables(rows):
+    """Tables with gaps, then stacked ones in the lines that are left."""
+    gaps = A.tables(rows).where(F.col("confidence") >= V.TABLE_CONFIDENCE).select("doc_id", "start", "end", "columns", "data_rows", "confidence")
+    gaps = written(gaps, "gap-tables")
+    return gaps, A.stacked_tables(rows, gaps, V.TABLE_CONFIDENCE)
+
+
+@query("stacked_tables")
+def stacked_tables(spark, sf_dir):
+    """Tables whose cells stand one below the other."""
+    found = all_tables(stacked(spark, sf_dir))[1]
+    return found.select("doc_id", "start", "end", "columns", "data_rows", F.round("confidence", 4).alias("confidence"))
+
+
+@query("document_blocks")
+def document_blocks(spark, sf_dir):
+    """Headings, tables, lists and paragraphs of documents, each line in one of them."""
+    rows = stacked(spark, sf_dir)
+    gaps, below = all_tables(rows)
+    return A.blocks(I.headings(rows), gaps.select("doc_id", "start", "end").unionByName(below.select("doc_id", "start", "end")), A.lists(rows))
+
+
 @query("structure_kinds", f"WITH {MESSAGES_SQL}, c AS (SELECT conversation_id, turn, CASE WHEN turn % 3 = 0 THEN concat(['approval path ', 'if a then ', 'core values ', 'L2 of ', 'for example '][1 + conversation_id % 5], content) ELSE content END AS content FROM messages) SELECT kind, count(*) AS n FROM (SELECT {P.rules_sql('content', [(n, (p,)) for n, p in V.STRUCTURES], 'general')} AS kind FROM c) GROUP BY 1")
 def structure_kinds(spark, sf_dir):
     """What kind of structure passages have, by the first rule that matches."""
