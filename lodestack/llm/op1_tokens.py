@@ -9,6 +9,8 @@ from lodestack.session import table
 
 NAME, SQL = "op1_tokens", None
 END_ID = 2
+#: Starts of so many files at most are sent to all tasks; the count is checked.
+BROADCAST_FILES = 200_000
 
 
 def run(spark, sf_dir, tokenizer: str | None = None):
@@ -19,13 +21,16 @@ def run(spark, sf_dir, tokenizer: str | None = None):
     path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer, END_ID)
     read = written(read_token_files(spark, path), "tokens-read")
-    # One row a file, of which there are a bounded number per partition, gives every file its start; within a file the rows are summed.
-    files = read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n")).orderBy("part", "number").collect()
+    # The ids of all partitions before (a row each), of the files before in the partition, and of the documents before in the file.
+    files = written(read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n")), "tokens-files")
     starts, total = [], 0
-    for part, number, n in files:
-        starts.append((part, number, total))
+    for part, n in files.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+        starts.append((part, total))
         total += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "part long, number long, file_start long"))
+    parts = F.broadcast(spark.createDataFrame(starts, "part long, part_start long"))
+    earlier = F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(parts, "part").select("part", "number", (F.col("part_start") + F.col("earlier")).alias("file_start"))
+    offsets = F.broadcast(offsets) if files.count() <= BROADCAST_FILES else offsets
     before = F.sum("n_tokens").over(Window.partitionBy("part", "number").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     out = read.withColumn("before", F.coalesce(before, F.lit(0))).join(offsets, ["part", "number"])
     return out.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

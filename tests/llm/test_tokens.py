@@ -100,3 +100,10 @@ def test_frames_are_independent_and_checked():
         bad[at] ^= 0x55
         with pytest.raises(Corrupt):
             list(Reader.of(bytes(bad)).documents())
+
+
+def test_starts_of_many_files_are_joined(spark, sf_dir, monkeypatch):
+    small = sorted(map(tuple, op1_tokens.run(spark, sf_dir).collect()))
+    monkeypatch.setattr(op1_tokens, "BROADCAST_FILES", 0)
+    assert sorted(map(tuple, op1_tokens.run(spark, sf_dir).collect())) == small
+    assert [r[1] for r in small] == [sum(x[2] for x in small[:i]) for i in range(len(small))]
