@@ -9,7 +9,7 @@ bounds are scored first; then those whose bound reaches the k-th score so far; t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,13 +208,15 @@ def _pass(index: DataFrame, weights: DataFrame, k: int, mean: float, k1: float,
     return own.groupBy("shard").applyInArrow(search, "shard long, query long, blocks long, scored long" if counted else "query long, doc long, score double")
 
 
-def bm25_search_allowed(index: DataFrame, queries: DataFrame, query_key: str, words: str, allowed: DataFrame, k: int, more: int = 4) -> DataFrame:
-    """(query, doc, score, rank, place): the k best of the documents in allowed (doc), with their rank among all. Over-fetches: more * k first, and for queries that
-    have fewer than k allowed among them, though more were to be had, more times as many again, until none is left."""
+def overfetched(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, query_key: str, allowed: DataFrame, k: int, more: int = 4) -> DataFrame:
+    """(query, doc, score, rank, place): the k best of the documents in allowed (doc), with their rank among all. search(queries, k) gives (query, doc, score, rank).
+
+    Over-fetches: more * k first, and for queries that have fewer than k allowed among them, though more were to be had, more times as many again, until none is left.
+    """
     keep = allowed.select("doc").distinct()
     left, fetch, done = queries, k * more, []
     while True:
-        found = written(bm25_search(index, left, query_key, words, fetch), "overfetch")
+        found = written(search(left, fetch), "overfetch")
         fit = written(ranked(found.join(keep, "doc", "left_semi"), ["query"], [F.col("rank")], k, "place"), "overfetch-allowed")
         full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") == fetch)
         short = full.join(fit.groupBy("query").agg(F.count("*").alias("fit")), "query", "left").where(F.coalesce("fit", F.lit(0)) < k).select("query")
@@ -227,3 +229,8 @@ def bm25_search_allowed(index: DataFrame, queries: DataFrame, query_key: str, wo
     for d in done[1:]:
         every = every.unionByName(d)
     return every.select("query", "doc", "score", "rank", "place")
+
+
+def bm25_search_allowed(index: DataFrame, queries: DataFrame, query_key: str, words: str, allowed: DataFrame, k: int, more: int = 4) -> DataFrame:
+    """overfetched() by BM25."""
+    return overfetched(lambda asked, n: bm25_search(index, asked, query_key, words, n), queries, query_key, allowed, k, more)

@@ -204,6 +204,21 @@ def blocks(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc
     return numbered.groupBy(key, "block").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.first("kind").alias("kind"), level.alias("heading_level"), F.count("*").alias("lines")).drop("block")
 
 
+def links(pieces: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
+    """pieces with parent, the start of the last heading above a piece (of a heading: the last one of a smaller level), and next, the start of the piece after
+    it; null where there is none. pieces: key, start, kind, heading_level; levels beyond depth count as depth. A source's pieces are linked in one task."""
+    w = Window.partitionBy(key).orderBy("start")
+    above = w.rowsBetween(Window.unboundedPreceding, -1)
+    level = F.least("heading_level", F.lit(depth))
+    last = [F.last(F.when((F.col("kind") == "heading") & (level == d), F.col("start")), ignorenulls=True).over(above) for d in range(1, depth + 1)]
+    none = F.lit(None).cast("int")
+    upto = [F.greatest(*last[:d]) if d > 1 else last[0] if d else none for d in range(depth + 1)]
+    parent = upto[depth]
+    for d in range(1, depth + 1):
+        parent = F.when((F.col("kind") == "heading") & (level == d), upto[d - 1]).otherwise(parent)
+    return pieces.withColumns({"parent": parent, "next": F.lead("start").over(w)})
+
+
 def title_word(w: Column) -> Column:
     """A word with a capital, unless it has digits or inner capitals."""
     return F.when(w.rlike(r"\d|^.+\p{Lu}"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))

@@ -74,6 +74,8 @@ class IndexStore:
     makes a segment whole or absent. Adding a document that is there replaces it.
     """
 
+    rows, columns = "postings", POSTING
+
     def __init__(self, spark: SparkSession, path: str, key_type: str = "bigint"):
         self.spark, self.path, self.key_type = spark, path, key_type
         self.segment = 0
@@ -91,14 +93,31 @@ class IndexStore:
         return self
 
     def read(self) -> DataFrame:
-        """The postings of the documents that are in the index now."""
+        """What belongs to the documents that are in the store now."""
+        columns = self.columns.format(self.key_type)
         if not self.segment:
-            return self.spark.createDataFrame([], POSTING.format(self.key_type))
-        own = self.spark.read.option("basePath", f"{self.path}/postings").schema(POSTING.format(self.key_type) + ", segment int").parquet(f"{self.path}/postings")
+            return self.spark.createDataFrame([], columns)
+        own = self.spark.read.option("basePath", f"{self.path}/{self.rows}").schema(columns + ", segment int").parquet(f"{self.path}/{self.rows}")
         gone = self.spark.read.option("basePath", f"{self.path}/gone").schema(f"doc {self.key_type}, segment int").parquet(f"{self.path}/gone")
         gone = written(gone.groupBy("doc").agg(F.max("segment").alias("upto")), "index-gone")
         kept = own.join(small(gone, BROADCAST_ROWS), "doc", "left").where("upto IS NULL OR segment >= upto")
-        return kept.select("doc", "dl", "term", "tf")
+        return kept.drop("upto", "segment")
+
+
+class VectorStore(IndexStore):
+    """Vectors on storage, in segments as the keyword index; a removed document is a mark that is heeded on reading. A document without a usable vector may be added; no search finds it."""
+
+    rows, columns = "vectors", "doc {}, vector array<double>"
+
+    def add(self, docs: DataFrame, key: str, vector: str) -> VectorStore:
+        own = written(docs.select(F.col(key).alias("doc"), F.col(vector).cast("array<double>").alias("vector")), "vector-segment")
+        self.remove(own.select("doc").distinct())
+        own.write.parquet(f"{self.path}/{self.rows}/segment={self.segment}")
+        return self
+
+    def search(self, queries: DataFrame, query_key: str, vector: str, k: int) -> DataFrame:
+        """(query, doc, score, rank): the k nearest documents that are in the store now, by exact cosine."""
+        return cosine_top_k(self.read(), queries.withColumnRenamed(vector, "vector"), "doc", query_key, "vector", k)
 
 
 def corpus_size(index: DataFrame) -> tuple[int, float]:

@@ -228,6 +228,12 @@ def document_blocks(spark, sf_dir):
     return A.blocks(I.headings(rows), gaps.select("doc_id", "start", "end").unionByName(below.select("doc_id", "start", "end")), A.lists(rows))
 
 
+@query("evidence_links")
+def evidence_links(spark, sf_dir):
+    """Each block's heading above it, and the block after it."""
+    return A.links(document_blocks(spark, sf_dir)).select("doc_id", "start", "kind", "parent", "next")
+
+
 @query("structure_kinds", f"WITH {MESSAGES_SQL}, c AS (SELECT conversation_id, turn, CASE WHEN turn % 3 = 0 THEN concat(['approval path ', 'if a then ', 'core values ', 'L2 of ', 'for example '][1 + conversation_id % 5], content) ELSE content END AS content FROM messages) SELECT kind, count(*) AS n FROM (SELECT {P.rules_sql('content', [(n, (p,)) for n, p in V.STRUCTURES], 'general')} AS kind FROM c) GROUP BY 1")
 def structure_kinds(spark, sf_dir):
     """What kind of structure passages have, by the first rule that matches."""

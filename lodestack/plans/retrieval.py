@@ -119,6 +119,36 @@ def cosine_calibrated(spark, sf_dir):
     return dense(spark, sf_dir, 10).where("score > 0.05").select("query", "doc", X.calibrated(F.greatest("score", F.lit(0.0))).alias("score"))
 
 
+STORE_SQL = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+now AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM u WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0),
+scored AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM u a, now b WHERE a.vec_id % 25 = 0),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM scored) """
+
+
+def changed_vectors(spark, sf_dir):
+    """A store that gets two thirds of the vectors, then the rest, loses every fifth, and gets every seventh again with the other sign; and the queries."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    store = R.VectorStore(spark, new_path(spark, "vector-store"))
+    store.add(own.where("vec_id % 3 > 0"), "vec_id", "v").add(own.where("vec_id % 3 = 0"), "vec_id", "v")
+    store.remove(own.where("vec_id % 5 = 0").select(F.col("vec_id").alias("doc")))
+    store.add(own.where("vec_id % 7 = 0").withColumn("v", F.transform("v", lambda x: -x)), "vec_id", "v")
+    return store, own.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), "v")
+
+
+@query("vector_add_remove", STORE_SQL + "SELECT query, doc, score, rank FROM ranks WHERE rank <= 10")
+def vector_add_remove(spark, sf_dir):
+    store, asked = changed_vectors(spark, sf_dir)
+    return store.search(asked, "q", "v", 10)
+
+
+@query("vector_overfetch", STORE_SQL + ", fit AS (SELECT ranks.*, CAST(row_number() OVER (PARTITION BY query ORDER BY rank) AS INTEGER) AS place FROM ranks JOIN embeddings ON doc = vec_id WHERE label = 3) SELECT query, doc, score, rank, place FROM fit WHERE place <= 5")
+def vector_overfetch(spark, sf_dir):
+    """The five nearest vectors of one label, with their rank among all."""
+    store, asked = changed_vectors(spark, sf_dir)
+    allowed = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc"))
+    return B.overfetched(lambda left, n: store.search(left, "q", "v", n), asked, "q", allowed, 5)
+
+
 @query("hashed_vector_topk", WORDS_SQL + HASHED_SQL + "SELECT query, doc, score, rank FROM near WHERE rank <= 20")
 def hashed_vector_topk(spark, sf_dir):
     """Texts by the cosine of their hashed vectors."""

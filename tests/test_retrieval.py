@@ -60,6 +60,19 @@ def test_index_store_keeps_what_is_there(spark, tmp_path):
     assert R.corpus_size(store.read())[0] == 3
 
 
+def test_vector_store_keeps_what_is_there(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
+    store = R.VectorStore(spark, str(tmp_path / "vectors"))
+    asked = frame([(1, [1.0, 0.0])])
+    assert store.read().collect() == [] and store.search(asked, "id", "v", 3).collect() == []
+    store.add(frame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None)]), "id", "v")
+    store.remove(spark.createDataFrame([(1,)], "doc long")).add(frame([(2, [2.0, 0.1])]), "id", "v")
+    assert sorted((r.doc, r.vector) for r in store.read().collect() if r.vector) == [(2, [2.0, 0.1]), (3, [1.0, 1.0])]
+    assert [(r.doc, r["rank"]) for r in store.search(asked, "id", "v", 3).orderBy("rank").collect()] == [(2, 1), (3, 2)]
+    store.add(frame([(1, [1.0, 0.0])]), "id", "v")
+    assert store.search(asked, "id", "v", 1).first().doc == 1
+
+
 def test_shared_windows(spark):
     words = [f"w{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, words), (2, words[5:15]), (3, words[:9]), (4, words[20:28] + words[5:14]), (5, None)], "id long, words array<string>")

@@ -1,5 +1,6 @@
 """Stacked tables and blocks of documents, against plain loops over all lines of all documents."""
 
+import random
 import re
 import statistics
 
@@ -146,3 +147,14 @@ def test_covering_and_gaps(spark):
     assert [b for b in blocks if b[2] == "table"] == [(t[0], t[1], "table", t[1] - t[0] + 1) for t in plain(text.split("\n"))]
     assert blocks[0] == (0, 0, "heading", 1) and (1, 2, "paragraph", 2) in blocks
     assert sum(b[3] for b in blocks) == sum(x != "" for x in text.split("\n"))
+
+
+def test_links_are_the_plain_ones(spark):
+    rng = random.Random(6)
+    pieces = [(d, 3 * i, *rng.choice([("paragraph", None), ("table", None), ("heading", 1), ("heading", 2), ("heading", 3), ("heading", 9)])) for d in range(12) for i in range(rng.randrange(1, 30))]
+    want = []
+    for d, start, kind, level in pieces:
+        above = [(s, min(x, 6)) for e, s, k, x in pieces if e == d and s < start and k == "heading" and (kind != "heading" or min(x, 6) < min(level, 6))]
+        want.append((d, start, max((s for s, _ in above), default=None), min((s for e, s, *_ in pieces if e == d and s > start), default=None)))
+    out = A.links(spark.createDataFrame(pieces, "doc_id long, start int, kind string, heading_level int")).collect()
+    assert sorted(((r.doc_id, r.start, r.parent, r.next) for r in out), key=repr) == sorted(want, key=repr)
