@@ -124,7 +124,7 @@ def _stacked_with(base: DataFrame, key: str, c: int) -> DataFrame:
         "row": F.struct(total(F.col("row_words")).alias("x"), total(F.col("row_words") * F.col("row_words")).alias("xx"), total(F.col("row_width")).alias("y"), total(F.col("row_width") * F.col("row_width")).alias("yy"), total((F.col("row_width") > 220).cast("int")).alias("wide")),
     })
     none = F.struct(*[F.lit(0).cast(t.schema["upto"].dataType[x].dataType).alias(x) for x in counts])
-    t = t.withColumns({"cells": F.array(*[F.lead("cell", j).over(w) if j else F.col("cell") for j in range(c)]), "before": F.coalesce(F.lag("upto").over(w), none), "through": F.lead("upto", c - 1).over(w), "stop_after": F.lead("stop_at", c).over(w)})
+    t = t.withColumns({"cells": F.array(*[F.lead("cell", j).over(w) if j else F.col("cell") for j in range(c)]), "before": F.coalesce(F.lag("upto").over(w), none), "through": F.lead("upto", c - 1).over(w), "stop_after": F.when(F.lead("p", c).over(w) == F.col("p") + c, F.lead("stop_at", c).over(w))})
     data = F.least(F.col("stop_after") - F.col("p") - c, F.lit(c * STACKED_ROWS))
     found = t.where((F.col("no_head_at") - F.col("p") >= c) & (data >= c * STACKED_LEAST) & (data % c == 0))
     found = found.select(key, "p", F.lit(c).alias("c"), data.cast("int").alias("data"), (F.col("p") + data).cast("int").alias("q"), "cells", "row", "before", "through")
@@ -148,7 +148,7 @@ def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "
     """(key, start, end, columns, data_rows, confidence): tables whose cells stand one below the other, a line each: the headings, then row after row up to a
     blank line, a new section, a long line, or a line that is taken (key, start, end).
 
-    Of a start's numbers of columns the most confident counts, the smaller one of equals; tables below least are none. From the top, a table that is found takes its lines. Lines of a document are in one task, as a document's.
+    Of a start's numbers of columns the most confident counts, the smaller one of equals; tables below least are none. From the top, a table that is found takes its lines. A document's lines are in one task.
     """
     covered = taken.select(key, F.explode(F.sequence("start", "end")).alias("at")).distinct().withColumn("_taken", F.lit(True))
     x = F.trim("line")
@@ -157,17 +157,21 @@ def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "
     prose = sentence_like(x)
     like = F.greatest(F.lit(0.0), 1.0 - F.when(n > 50, 0.4).otherwise(0.0) - F.when(prose, 0.5).otherwise(0.0) - F.when(marks > 0.08, 0.3).otherwise(0.0) - F.when(words > 8, 0.2).otherwise(0.0))
     narrative = (F.contains(low, F.lit(";")) & (n > 35)) | (F.contains(low, F.lit(" while ")) & (n > 60)) | F.contains(low, F.lit(" reflects "))
-    free = ~F.col("blank") & F.col("_taken").isNull()
-    stop = ~free | x.rlike(f"(?i){BOUNDARY}") | (n > STACKED_LINE) | ((F.regexp_count(x, F.lit(r"\. ")) >= 2) & (words > 18))
     w = Window.partitionBy(key).orderBy("at")
     flags = {"digit": x.rlike(r"\d"), "long": n > 80, "prose": prose, "narrative": narrative, "marked": marks > 0.06}
-    marked = rows.join(covered, [key, "at"], "left").select(
-        key, "at", F.row_number().over(w).alias("p"), n.cast("long").alias("n"), words.cast("long").alias("words"), stop.alias("stop"), (free & header_cell(x)).alias("head"),
-        F.when(n > 0, like).otherwise(0.0).alias("like"), *[F.coalesce(f, F.lit(False)).cast("long").alias(name) for name, f in flags.items()],
+    slim = rows.select(
+        key, "at", "blank", n.cast("long").alias("n"), words.cast("long").alias("words"), header_cell(x).alias("head"), F.when(n > 0, like).otherwise(0.0).alias("like"),
+        (x.rlike(f"(?i){BOUNDARY}") | (n > STACKED_LINE) | ((F.regexp_count(x, F.lit(r"\. ")) >= 2) & (words > 18))).alias("stop"), *[F.coalesce(f, F.lit(False)).cast("long").alias(name) for name, f in flags.items()],
     )
+    free = ~F.col("blank") & F.col("_taken").isNull()
+    marked = slim.join(covered, [key, "at"], "left").withColumns({"p": F.row_number().over(w), "stop": ~free | F.col("stop"), "head": free & F.col("head")}).drop("blank", "_taken")
     later = w.rowsBetween(0, Window.unboundedFollowing)
     end = F.max("p").over(later) + 1
     base = marked.withColumns({"stop_at": F.coalesce(F.min(F.when(F.col("stop"), F.col("p"))).over(later), end), "no_head_at": F.coalesce(F.min(F.when(~F.col("head"), F.col("p"))).over(later), end)})
+    # A table lies in a run of lines that are headings or data; the others, and runs too short for one, are left out before the sums.
+    fit = F.col("head") | ~F.col("stop")
+    base = base.withColumns({"_fit": fit, "_run": F.sum((~fit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("_fit")
+    base = base.withColumn("_lines", F.count("*").over(Window.partitionBy(key, "_run"))).where(F.col("_lines") >= STACKED_COLUMNS[0] * (1 + STACKED_LEAST)).drop("_fit", "_run", "_lines", "stop", "head")
     base = written(base, "stacked-lines")
     low_c, high_c = STACKED_COLUMNS
     every = _stacked_with(base, key, low_c)
@@ -193,7 +197,8 @@ def blocks(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc
     its own; what is left between these and blank lines are paragraphs.
     """
     cover = lambda spans, name: spans.select(key, F.col("start").alias(name), F.explode(F.sequence("start", "end")).alias("at")).groupBy(key, "at").agg(F.min(name).alias(name))
-    own = rows.join(cover(tables, "_table"), [key, "at"], "left").join(cover(lists, "_list"), [key, "at"], "left")
+    slim = written(rows.select(key, "at", "blank", "heading_level"), "block-lines")
+    own = slim.join(cover(tables, "_table"), [key, "at"], "left").join(cover(lists, "_list"), [key, "at"], "left")
     kind = F.when(F.col("_table").isNotNull(), "table").when(F.col("_list").isNotNull(), "list").when(F.col("heading_level").isNotNull(), "heading").otherwise("paragraph")
     span = F.coalesce("_table", "_list", F.when(F.col("heading_level").isNotNull(), F.col("at")), F.lit(-1))
     w = Window.partitionBy(key).orderBy("at")
