@@ -190,23 +190,30 @@ def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "
     return kept.select(key, "start", F.col("_last").alias("end"), "columns", (F.col("data") / F.col("columns")).cast("long").alias("data_rows"), "confidence")
 
 
-def blocks(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, end, kind, heading_level, lines): each line that is not blank in exactly one block, in reading order.
+def placed(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that are not blank, or in a table, with block (its number in the document), kind, _table (the start of the line's table) and the carried columns.
 
-    rows: lines with heading_level. tables and lists: (key, start, end). A line in a table is the table's; else, in a list, the list's; else a heading is a block of
-    its own; what is left between these and blank lines are paragraphs.
+    rows: lines with heading_level. tables and lists: (key, start, end). A line in a table is the table's; else, in a list, the list's, unless it is a heading and the
+    only item; else a heading is a block of its own; what is left between these and blank lines are paragraphs.
     """
     cover = lambda spans, name: spans.select(key, F.col("start").alias(name), F.explode(F.sequence("start", "end")).alias("at")).groupBy(key, "at").agg(F.min(name).alias(name))
-    slim = written(rows.select(key, "at", "blank", "heading_level"), "block-lines")
+    slim = written(rows.select(key, "at", "blank", "heading_level", *carried), "block-lines")
     own = slim.join(cover(tables, "_table"), [key, "at"], "left").join(cover(lists, "_list"), [key, "at"], "left")
+    own = own.join(lists.where("start = end").select(key, F.col("start").alias("at"), F.lit(True).alias("_single")).distinct(), [key, "at"], "left")
+    own = own.withColumn("_list", F.when(F.col("_single").isNull() | F.col("heading_level").isNull(), F.col("_list")))
     kind = F.when(F.col("_table").isNotNull(), "table").when(F.col("_list").isNotNull(), "list").when(F.col("heading_level").isNotNull(), "heading").otherwise("paragraph")
     span = F.coalesce("_table", "_list", F.when(F.col("heading_level").isNotNull(), F.col("at")), F.lit(-1))
     w = Window.partitionBy(key).orderBy("at")
     own = own.withColumns({"kind": F.when(~F.col("blank") | (F.col("_table").isNotNull()), kind), "_span": span})
     same = F.lag("kind").over(w).eqNullSafe(F.col("kind")) & F.lag("_span").over(w).eqNullSafe(F.col("_span"))
-    numbered = own.withColumn("_new", (~same).cast("int")).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind IS NOT NULL")
+    return own.withColumn("_new", (~same).cast("int")).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind IS NOT NULL")
+
+
+def blocks(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, kind, heading_level, lines): each line that is not blank in exactly one block, in reading order; see placed()."""
     level = F.when(F.first("kind") == "heading", F.first("heading_level"))
-    return numbered.groupBy(key, "block").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.first("kind").alias("kind"), level.alias("heading_level"), F.count("*").alias("lines")).drop("block")
+    per = placed(rows, tables, lists, key).groupBy(key, "block")
+    return per.agg(F.min("at").alias("start"), F.max("at").alias("end"), F.first("kind").alias("kind"), level.alias("heading_level"), F.count("*").alias("lines")).drop("block")
 
 
 def links(pieces: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import fixed as V
 from lodestack.functions import text as X
 from lodestack.functions.bindings import DOCS_SQL, MESSAGES_SQL, documents, messages
+from lodestack.operators import chunks as C
 from lodestack.operators import ingestion as I
 from lodestack.operators import passages as A
 from lodestack.operators import planning as P
@@ -228,6 +229,39 @@ def document_blocks(spark, sf_dir):
     return A.blocks(I.headings(rows), gaps.select("doc_id", "start", "end").unionByName(below.select("doc_id", "start", "end")), A.lists(rows))
 
 
+def document_units(rows):
+    """Headings, paragraphs, items and rows of tables of lines of documents."""
+    gaps, below = all_tables(rows)
+    spans = gaps.select("doc_id", "start", "end", "columns", F.lit(False).alias("stacked")).unionByName(below.select("doc_id", "start", "end", "columns", F.lit(True).alias("stacked")))
+    return C.units(I.headings(rows), written(spans, "tables"), A.lists(rows))
+
+
+@query("semantic_chunks")
+def semantic_chunks(spark, sf_dir):
+    """Chunks of documents with headings beside what they head, and tables and lists whole or cut between rows and items."""
+    return C.semantic_chunks(document_units(stacked(spark, sf_dir)))
+
+
+@query("chunk_sizes")
+def chunk_sizes(spark, sf_dir):
+    """How long chunks of each kind are."""
+    n = F.length("content")
+    return semantic_chunks(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 4).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"))
+
+
+@query("block_faults")
+def block_faults(spark, sf_dir):
+    """For each document, what is wrong with its blocks and chunks: overlaps, disorder, repeats, and words that got lost."""
+    rows = stacked(spark, sf_dir)
+    units = written(document_units(rows), "units")
+    chunks = written(C.semantic_chunks(units), "chunks")
+    spans = chunks.select("doc_id", "start", "end", F.col("chunk").alias("order"), F.col("chunk_id").alias("name"))
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "line")))["line"], "\n").alias("text"))
+    lost = lambda parts, name, text="text": C.missing_words(whole, parts.withColumnRenamed(text, "text"), "doc_id").withColumnRenamed("missing", name)
+    found = whole.select("doc_id").join(C.span_faults(spans), "doc_id", "left").join(lost(units, "blocks_miss"), "doc_id").join(lost(chunks, "chunks_miss", "content"), "doc_id")
+    return found.na.fill(0).withColumn("lossy", (F.col("blocks_miss") > C.BLOCK_LOSS) | (F.col("chunks_miss") > C.CHUNK_LOSS))
+
+
 @query("evidence_links")
 def evidence_links(spark, sf_dir):
     """Each block's heading above it, and the block after it."""
