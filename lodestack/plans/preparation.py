@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import text as X
 from lodestack.operators import ingestion as I
+from lodestack.operators import retrieval as R
 from lodestack.plans.registry import query
 from lodestack.session import table
 from lodestack.shared import new_path
+from lodestack.streaming import changes as L
 from lodestack.streaming import events as E
 
 
@@ -60,3 +63,34 @@ def stream_daily_counts(spark, sf_dir):
     run = E.daily_counts(live).writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/counts/batch={number}"))
     run.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/counts").groupBy("day", "event_type").agg(F.max("n").alias("n"))
+
+
+def replayed(spark, sf_dir):
+    """Stores filled from three quarters of the documents, then kept by a log: the rest comes; every fifth goes and every seventh gets other words; every third is made anew,
+    every eleventh goes, and every thirty-fifth comes again as it was."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    path = new_path(spark, "replay")
+    words = lambda d: d.select("doc", X.tokens(F.col("text")).alias("words"))
+    stores = L.Stores(spark, f"{path}/stores", {"postings": lambda d: R.postings(words(d), "doc", "words"), "vectors": lambda d: R.hashed_vectors(words(d), "doc", "words"), "chunks": lambda d: I.chunks(d, "doc")})
+    log = L.ChangeLog(spark, f"{path}/log")
+    change = lambda d, operation, step=0: d.select("doc", F.lit(operation).alias("operation"), "text", F.lit(step).alias("step"))
+    stores.bootstrap(own.where("doc % 4 > 0"))
+    stores.keep(log.append(change(own.where("doc % 4 = 0"), "uploaded"), 0))
+    log.append(change(own.where("doc % 5 = 0"), "deleted").union(change(own.where("doc % 7 = 0").withColumn("text", F.concat(F.lit("Another beginning. "), F.coalesce("text", F.lit("")))), "uploaded", 1)), 1, "step", "doc")
+    log.append(change(own.where("doc % 3 = 0"), "reindexed").union(change(own.where("doc % 11 = 0"), "deleted", 1)).union(change(own.where("doc % 35 = 0"), "uploaded", 2)), 2, "step", "doc")
+    return stores.keep(log)
+
+
+@query("replayed_stores", f"""WITH t AS (SELECT doc_id AS doc, CASE WHEN doc_id % 35 = 0 OR doc_id % 7 > 0 THEN text ELSE concat('Another beginning. ', text) END AS text FROM documents WHERE doc_id % 35 = 0 OR (doc_id % 11 > 0 AND (doc_id % 7 = 0 OR doc_id % 5 > 0))),
+w AS (SELECT doc, {X.tokens_sql('text')} AS w FROM t) SELECT doc, len(w) AS n_words, len(list_distinct(w)) AS n_terms, CAST(len(w) AS DOUBLE) AS vector_total FROM w""")
+def replayed_stores(spark, sf_dir):
+    """What postings and vectors say of each document after a log of changes was read as a stream."""
+    stores = replayed(spark, sf_dir)
+    terms = stores.read("postings").groupBy("doc").agg(F.max("dl").cast("long").alias("n_words"), (F.count("*") - 1).alias("n_terms"))
+    return terms.join(stores.read("vectors").select("doc", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("vector_total")), "doc")
+
+
+@query("replayed_chunks")
+def replayed_chunks(spark, sf_dir):
+    """Chunks of the documents that the same log leaves."""
+    return replayed(spark, sf_dir).read("chunks")
