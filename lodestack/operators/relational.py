@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 from pyspark.sql.window import Window
 
 from lodestack.functions.fixed import FILE_CATEGORIES, MASTHEAD
-from lodestack.shared import small, written
+from lodestack.shared import written
 
 
 def visible(is_admin: Column, user: Column, owner: Column, visibility: Column, roles: Column, allowed: Column) -> Column:
@@ -93,15 +97,49 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
-def first_contained(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
+#: Names of at most so many rows and bytes are sent to all tasks; both are counted.
+NAMES, NAME_BYTES = 100_000, 8_000_000
+
+
+def first_contained(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, most: int = NAMES) -> DataFrame:
     """(key, name): each name of a table that a text contains anywhere, without regard to case.
 
-    Texts and names meet by the first letters of names, as many as the shortest has; then the whole name is looked for. Empty names count for nothing.
+    Few names go to all tasks, which read each text once with an automaton of all names. More of them than most meet texts by the first letters of names, as many as the
+    shortest has; only those letters are shuffled, and the whole name is looked for in the texts of keys that met some. Null texts, and null and empty names, count for nothing.
     """
     known = written(names.where(F.length(name) > 0).select(F.lower(name).alias("_low"), name).distinct(), "names")
-    short = known.agg(F.min(F.length("_low"))).first()[0] or 1
-    last = F.length("_text") - short
-    starts = F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("_text", i + 1, F.lit(short))))).otherwise(F.array().cast("array<string>"))
-    held = texts.select(*key, F.lower(text).alias("_text")).withColumn("_lead", F.explode(starts))
-    known = known.withColumn("_lead", F.substring("_low", 1, short))
-    return held.join(small(known, 100_000), "_lead").where(F.contains("_text", F.col("_low"))).select(*key, name).distinct()
+    n, size, short = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_low") + F.octet_length(name)), F.lit(0)), F.min(F.length("_low"))).first()
+    held = texts.where(F.col(text).isNotNull()).select(*key, F.lower(text).alias("_text"))
+    if n <= most and size <= NAME_BYTES:
+        return _read_for_names(held, known, key, name).distinct()
+    letters = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{short}}}))"), 1))
+    met = held.select(*key, F.explode(letters).alias("_lead")).join(known.withColumn("_lead", F.substring("_low", 1, short)), "_lead").drop("_lead")
+    met = written(met, "names-met")
+    return held.join(met, key).where(F.contains("_text", F.col("_low"))).select(*key, name).distinct()
+
+
+def _read_for_names(held: DataFrame, known: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key, name) of the names that stand in texts (key, _text), a row for each text and name."""
+    spelt: dict[str, list[str]] = {}
+    for row in known.collect():  # of a checked size
+        spelt.setdefault(row["_low"], []).append(row[name])
+    sent = held.sparkSession.sparkContext.broadcast(spelt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for low, own in sent.value.items():
+            automaton.add_word(low, own)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            if len(automaton):
+                for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    own = {n for _, spellings in automaton.iter(x) for n in spellings}
+                    at += [i] * len(own)
+                    found += own
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]), pa.array(found, pa.string())], names=[*key, name])
+
+    schema = StructType([*held.select(*key).schema.fields]).add(name, StringType())
+    return held.mapInArrow(run, schema)

@@ -199,3 +199,20 @@ def test_life_of_documents(spark):
     pairs = spark.createDataFrame([("a b", "b c"), ("x", "y")], "l string, r string")
     model = lambda: lambda a, b: [float(len(set(x.split()) & set(y.split()))) for x, y in zip(a, b)]
     assert [r.score for r in L.scored_by(pairs, model, "l", "r").collect()] == [1.0, 0.0]
+
+
+def test_names_in_texts_are_the_plain_ones(spark):
+    import random
+
+    from lodestack.operators import relational as R
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aAbB \n.") for _ in range(n))
+    texts = [(i, word(rng.randrange(40))) for i in range(60)] + [(90, None), (91, ""), (92, "x😀abba"), (92, "aba")]
+    names = [word(rng.randrange(1, 5)) for _ in range(40)] + ["", None, "😀a", "AB", "ab", "aB"]
+    want = sorted({(k, n) for k, t in texts for n in names if n and t is not None and n.lower() in t.lower()})
+    t, n = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(x,) for x in names], "n string")
+    for most in (100_000, 3):
+        assert sorted((r.k, r.n) for r in R.first_contained(t, n, ["k"], "t", "n", most).collect()) == want
+        assert R.first_contained(t, n.limit(0), ["k"], "t", "n", most).count() == 0
+        assert R.first_contained(t.limit(0), n, ["k"], "t", "n", most).count() == 0
