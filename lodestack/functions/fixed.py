@@ -308,3 +308,39 @@ BEFORE, AFTER = r"\bbefore\s+(\d{4}(?:[-/]\d{1,2}[-/]\d{1,2})?)", r"\bafter\s+(\
 LANGUAGE = r"\b(?:in|language)\s+(english|spanish|french|german|hindi)\b"
 # States from which a failed document may be tried again.
 RETRYABLE = ("failed", "retry_pending")
+
+# Words that show that evidence bears on a type of answer, and the kinds of structure that suit it.
+PRIMARY_WORDS = {
+    "definition": ("mission", "vision", "core values", "values", "definition", "purpose", "meaning"),
+    "list_extraction": ("categor", "types", "list", "levels", "connections", "metadata", "taxonomy"),
+    "workflow": ("lifecycle", "creation", "draft", "approval", "publication", "retention", "archive", "version", "workflow", "journey", "process"),
+    "relationship": ("relationship", "identifier", "filename", "version", "naming", "hierarchy", "supports", "mapping"),
+    "governance": ("governance", "committee", "charter", "mandate", "oversight", "escalat"),
+    "decision_guidance": ("committee", "approv", "authority", "decision", "who should", "escalat"),
+    "policy_lookup": ("policy", "require", "scope", "exception", "retention", "must", "shall"),
+    "compliance": ("compliance", "obligation", "regulatory", "control"),
+    "comparison": ("compar", "difference", "versus", "similar"),
+    "explanation": ("how", "explain", "process", "component"),
+    "summary": ("overview", "summary"),
+    "reference_lookup": ("document id", "filename", "identifier", "where"),
+    "troubleshooting": ("error", "issue", "cause", "fix"),
+}
+SUITED_KINDS = {
+    "definition": ("definition", "list"),
+    "list_extraction": ("list", "table", "metadata_schema", "taxonomy"),
+    "workflow": ("workflow", "lifecycle", "approval_flow", "timeline"),
+    "relationship": ("relationship", "hierarchy", "taxonomy"),
+    "governance": ("governance", "committee", "escalation"),
+    "decision_guidance": ("approval_flow", "committee", "decision_tree", "escalation"),
+    "policy_lookup": ("policy",),
+    "compliance": ("policy", "governance"),
+}
+# What makes evidence support an answer, and what is beside the point unless the question asks for it.
+SUPPORTING = (r"\b(example|for example|e\.g\.)\b", r"\b(responsib|raci|owner|accountable)\b", r"\b(exception|note|notes|context)\b", r"\b(naming|metadata)\b")
+ASIDES = (
+    r"\b(history|historical|background)\b",
+    r"\b(headquarters|hq|geographic presence|branches?)\b",
+    r"\b(appendix|abbreviations?|acronyms?)\b",
+    r"\b(related documents?|references?|see also)\b",
+    r"\b(employee structure|job levels|titles by function)\b",
+)

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestack.plans import analytics, enrichment, knowledge, lifecycle, passages, planning, preparation, relational, reporting, retrieval  # noqa: F401
+    from lodestack.plans import analytics, enrichment, evidence, knowledge, lifecycle, passages, planning, preparation, relational, reporting, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
