@@ -68,11 +68,12 @@ class Stores:
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         """Take in a batch of changes; the foreachBatch function of keep(). A document made anew keeps the seq of its text, so changes may come in any order."""
-        place = f"segment={batch:012d}"
-        last = written(newest(changes), "changes")
+        place, last = f"segment={batch:012d}", newest(changes)
         held = self._held("documents", batch).join(last.where("operation = 'reindexed'").select("doc"), "doc", "left_semi").select("doc", "seq", "text")
-        docs = written(last.where("operation = 'uploaded'").select("doc", "seq", "text").unionByName(held), "changed-documents")
-        for name, make in {"documents": lambda d: d, **self.derived}.items():
+        path = f"{self.path}/documents/{place}"
+        last.where("operation = 'uploaded'").select("doc", "seq", "text").unionByName(held).write.mode("overwrite").parquet(path)
+        docs = self.spark.read.schema(f"{self.key}, seq bigint, text string").parquet(path)
+        for name, make in self.derived.items():
             make(docs.select("doc", "text")).write.mode("overwrite").parquet(f"{self.path}/{name}/{place}")
         touched = docs.select("doc", "seq").unionByName(last.where("operation = 'deleted'").select("doc", "seq"))
         touched.write.mode("overwrite").parquet(f"{self.path}/changed/{place}")
@@ -103,9 +104,8 @@ class Stores:
         """Fill empty stores from a table of documents (doc, text), before all changes; stores that have any stay as they are. Gives the number of documents taken in."""
         if self._exists("changed"):
             return 0
-        own = written(docs.select("doc", "text"), "bootstrap")
-        self.apply(own.select(F.lit(-1).cast("bigint").alias("seq"), "doc", F.lit("uploaded").alias("operation"), "text"), -1)
-        return own.count()
+        self.apply(docs.select(F.lit(-1).cast("bigint").alias("seq"), "doc", F.lit("uploaded").alias("operation"), "text"), -1)
+        return self.read("documents").count()
 
     def _exists(self, name: str) -> bool:
         context = self.spark.sparkContext
