@@ -287,8 +287,10 @@ def query_intent(spark, sf_dir):
     return questions(spark, sf_dir).select("conversation_id", "turn", P.intent(F.col("q")).alias("intent"))
 
 
-_HITS = lambda ps: " + ".join(f"CASE WHEN regexp_matches(q, '(?i){_Q(p)}') THEN 1 ELSE 0 END" for p in ps)
-PLAN_SQL = QUESTIONS_SQL + ", hit AS (" + " UNION ALL ".join(f"SELECT conversation_id, turn, {i} AS ord, '{n}' AS intent, {b}::DOUBLE AS base, {_HITS(ps)} AS n FROM questions" for i, (n, b, ps) in enumerate(V.PLAN_INTENTS)) + "), s AS (SELECT *, round(least(0.99::DOUBLE, base + 0.03::DOUBLE * (n - 1)), 3) AS confidence FROM hit WHERE n > 0) "
+# Word borders there know ASCII only, so letters and digits beyond it are made plain ones.
+_PLAIN = r"regexp_replace(q, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{Nd}]', 'x', 'g')"
+_HITS = lambda ps: " + ".join(f"CASE WHEN regexp_matches(p, '(?i){_Q(p)}') THEN 1 ELSE 0 END" for p in ps)
+PLAN_SQL = QUESTIONS_SQL + ", hit AS (" + " UNION ALL ".join(f"SELECT conversation_id, turn, {i} AS ord, '{n}' AS intent, {b}::DOUBLE AS base, {_HITS(ps)} AS n FROM (SELECT *, {_PLAIN} AS p FROM questions)" for i, (n, b, ps) in enumerate(V.PLAN_INTENTS)) + "), s AS (SELECT *, round(least(0.99::DOUBLE, base + 0.03::DOUBLE * (n - 1)), 3) AS confidence FROM hit WHERE n > 0) "
 
 
 @query("plan_intents", PLAN_SQL + "SELECT conversation_id, turn, intent, confidence, CAST(row_number() OVER w AS INTEGER) AS place FROM s QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY conversation_id, turn ORDER BY confidence DESC, ord)".replace("QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY conversation_id, turn ORDER BY confidence DESC, ord)", "WINDOW w AS (PARTITION BY conversation_id, turn ORDER BY confidence DESC, ord) QUALIFY row_number() OVER w <= 5"))

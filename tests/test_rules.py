@@ -16,7 +16,7 @@ from lodestack.operators import knowledge as K
 from lodestack.operators import passages as P
 from lodestack.operators import planning as Q
 from lodestack.operators import relational as R
-from lodestack.plans import preparation
+from lodestack.plans import passages, preparation, registry
 from lodestack.shared import numbered, shared_dir, with_neighbours
 
 
@@ -216,3 +216,16 @@ def test_names_in_texts_are_the_plain_ones(spark):
         assert sorted((r.k, r.n) for r in R.first_contained(t, n, ["k"], "t", "n", most).collect()) == want
         assert R.first_contained(t, n.limit(0), ["k"], "t", "n", most).count() == 0
         assert R.first_contained(t.limit(0), n, ["k"], "t", "n", most).count() == 0
+
+
+def test_plan_intents_beside_letters_beyond_ascii(spark, tmp_path):
+    """A letter with marks, or of another script, is no border of a word, in the query and in its SQL."""
+    import duckdb
+
+    texts = ["Under\u00fcau it\u00df hr", "\u00e9it under", "\u0436it it\u0436", "\u0663it v2", "it. \u00fc it \u2014hr\u2014", "\u212aeyword keyword"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in passages.plan_intents(spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        assert got == sorted(c.sql(registry.oracle_sql()["plan_intents"]).fetchall())
+    assert {(r[0], r[2]) for r in got} >= {(1, "navigation"), (4, "department_search"), (5, "keyword_search")} and not [r for r in got if r[0] == 2 and r[2] == "department_search"]
