@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,7 +65,7 @@ def tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     confidence is weighed from the cells in long form: likeness of headings, length of cells, evenness of columns and rows and numbers speak
     for a table; prose, narrative, marks and uneven widths against it. A run counts as a whole or not at all.
     """
-    own = gap_rows(rows, key)
+    own = written(gap_rows(rows, key), "gap-rows")
     whole = own.groupBy(key, "run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.min("page").alias("page"), F.min_by("cells", "at").alias("headers"), (F.count("*") - 1).alias("data_rows"))
     whole = whole.where((F.col("data_rows") >= 2) & F.forall("headers", header_cell))
     long = own.join(whole.select(key, "run", "start"), [key, "run"]).select(key, "run", "at", (F.col("at") == F.col("start")).alias("head"), F.posexplode("cells").alias("col", "cell"))
@@ -108,86 +113,112 @@ def _steps(name: str, steps) -> Column:
 STACKED_COLUMNS, STACKED_ROWS, STACKED_LEAST, STACKED_LINE = (2, 6), 25, 2, 120
 
 
-def _stacked_with(base: DataFrame, key: str, c: int) -> DataFrame:
-    """(key, p, c, data, q and what confidence needs) of all stretches that begin at line p with c headings and have whole rows of c lines up to their end.
+#: What is summed over the lines of a stretch, of which like over the headings only and digit over the data only.
+STACKED_SUMS = ("n", "digit", "long", "prose", "narrative", "marked", "like")
+#: What stacked_stretches() finds: lines at start and end, columns, lines of data, and what confidence needs.
+STACKED_FOUND = "start int, end int, columns int, data int, likeness double, mean double, numbers double, long double, prose double, narrative double, marked double, aligned double, even double, uneven double, oversized double"
+
+
+def _stretches(at: np.ndarray, head: np.ndarray, stop: np.ndarray, x: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The columns of STACKED_FOUND for all stretches of a run of lines that begin with c headings and have whole rows of c lines up to their end, for each c.
 
     Every sum over a stretch, over one of its columns or over its rows is the difference of two running sums, those over columns and rows by steps of c lines.
     """
-    w, s = Window.partitionBy(key).orderBy("p"), Window.partitionBy(key, F.col("p") % c).orderBy("p")
-    whole, steps = w.rowsBetween(Window.unboundedPreceding, 0), s.rowsBetween(Window.unboundedPreceding, 0)
-    of_row = lambda x: sum((F.coalesce(F.lead(x, j).over(w), F.lit(0)) for j in range(1, c)), F.col(x))
-    counts = ("n", "digit", "long", "prose", "narrative", "marked", "like")
-    t = base.withColumns({"row_words": of_row("words"), "row_width": of_row("n"), "upto": F.struct(*[F.sum(x).over(whole).alias(x) for x in counts])})
-    total = lambda x: F.sum(x).over(steps)
-    t = t.withColumns({
-        "cell": F.struct(total(F.col("n")).alias("x"), total(F.col("n") * F.col("n")).alias("xx")),
-        "row": F.struct(total(F.col("row_words")).alias("x"), total(F.col("row_words") * F.col("row_words")).alias("xx"), total(F.col("row_width")).alias("y"), total(F.col("row_width") * F.col("row_width")).alias("yy"), total((F.col("row_width") > 220).cast("int")).alias("wide")),
-    })
-    none = F.struct(*[F.lit(0).cast(t.schema["upto"].dataType[x].dataType).alias(x) for x in counts])
-    t = t.withColumns({"cells": F.array(*[F.lead("cell", j).over(w) if j else F.col("cell") for j in range(c)]), "before": F.coalesce(F.lag("upto").over(w), none), "through": F.lead("upto", c - 1).over(w), "stop_after": F.when(F.lead("p", c).over(w) == F.col("p") + c, F.lead("stop_at", c).over(w))})
-    data = F.least(F.col("stop_after") - F.col("p") - c, F.lit(c * STACKED_ROWS))
-    found = t.where((F.col("no_head_at") - F.col("p") >= c) & (data >= c * STACKED_LEAST) & (data % c == 0))
-    found = found.select(key, "p", F.lit(c).alias("c"), data.cast("int").alias("data"), (F.col("p") + data).cast("int").alias("q"), "cells", "row", "before", "through")
-    ends = t.select(key, F.col("p").alias("q"), F.col("cells").alias("cells_2"), F.col("row").alias("row_2"), F.col("through").alias("through_2"))
-    both = found.join(ends, [key, "q"]).withColumn("k", F.col("data") / c)
-    spread = lambda x, xx: F.sqrt(F.greatest(F.col("k") * xx - x * x, F.lit(0.0))) / x
-    step = lambda x, a, b: F.when(x <= a, 1.0).when(x <= b, 0.6).otherwise(0.2)
-    columns = F.zip_with("cells", "cells_2", lambda a, b: step(spread(b["x"] - a["x"], b["xx"] - a["xx"]), 0.35, 0.7))
-    rows = lambda x: F.col("row_2")[x] - F.col("row")[x]
-    part = lambda x, a, b, of: (F.col(b)[x] - F.col(a)[x]) / of
-    all_cells = F.col("data") + c
-    return both.select(
-        key, "p", "c", "data", "k",
-        part("like", "before", "through", F.lit(c)).alias("likeness"), part("n", "before", "through_2", all_cells).alias("mean"), part("digit", "through", "through_2", F.col("data")).alias("numbers"),
-        *[part(x, "before", "through_2", all_cells).alias(x) for x in ("long", "prose", "narrative", "marked")],
-        (F.aggregate(columns, F.lit(0.0), lambda a, x: a + x) / c).alias("aligned"), step(spread(rows("x"), rows("xx")), 0.45, 0.9).alias("even"), spread(rows("y"), rows("yy")).alias("uneven"), (rows("wide") / F.col("k")).alias("oversized"),
-    )
+    lines = len(at)
+    place = np.arange(lines + 1)
+    first = lambda flag: np.minimum.accumulate(np.append(np.where(flag, place[:-1], lines), lines)[::-1])[::-1]
+    stop_at, no_head_at = first(stop), first(~head)
+    upto = {name: np.concatenate([[0], np.cumsum(x[name])]) for name in STACKED_SUMS}
+    words = np.concatenate([[0], np.cumsum(x["words"])])
+
+    def by_steps(y: np.ndarray, c: int) -> np.ndarray:
+        """At each place, the sum of y there and c, 2c... places before, after c zeros."""
+        full = np.zeros((-(-len(y) // c) + 1) * c, y.dtype)
+        full[c : c + len(y)] = y
+        return np.cumsum(full.reshape(-1, c), axis=0).reshape(-1)[: c + len(y)]
+
+    step = lambda v, a, b: np.where(v <= a, 1.0, np.where(v <= b, 0.6, 0.2))
+    for c in range(STACKED_COLUMNS[0], min(STACKED_COLUMNS[1], lines // (1 + STACKED_LEAST)) + 1):
+        p = place[: lines - c]
+        data = np.minimum(stop_at[p + c] - p - c, c * STACKED_ROWS)
+        p = p[fit := (no_head_at[p] - p >= c) & (data >= c * STACKED_LEAST) & (data % c == 0)]
+        if not len(p):
+            continue
+        data = data[fit]
+        q, end, k = p + c, p + c + data, data // c
+        spread = lambda y, yy, k=k: np.sqrt(np.maximum((k * yy - y * y).astype(float), 0.0)) / y
+        of = lambda sums, a, b, c=c: sums[b] - sums[a]
+        between = lambda y, a, b, c=c: (s := by_steps(y, c))[b] - s[a]
+        n, nn = by_steps(x["n"], c), by_steps(x["n"] * x["n"], c)
+        column = lambda sums, j, q=q, end=end: sums[end + j] - sums[q + j]
+        aligned = sum((step(spread(column(n, j), column(nn, j)), 0.35, 0.7) for j in range(c)), 0.0) / c
+        row_words, row_width = words[c:] - words[:-c], upto["n"][c:] - upto["n"][:-c]
+        every = lambda name, a=p, end=end, data=data, c=c: of(upto[name], a, end) / (data + c)
+        yield [
+            at[p], at[end - 1], np.full(len(p), c), data,
+            of(upto["like"], p, q) / c, every("n"), of(upto["digit"], q, end) / data, *[every(name) for name in ("long", "prose", "narrative", "marked")],
+            aligned, step(spread(between(row_words, q, end), between(row_words * row_words, q, end)), 0.45, 0.9), spread(between(row_width, q, end), between(row_width * row_width, q, end)), between((row_width > 220).astype(np.int64), q, end) / k,
+        ]
+
+
+def stacked_stretches(runs: DataFrame, key: str) -> DataFrame:
+    """(key, _run, and STACKED_FOUND): what may be a table in runs of lines (key, _run, u: an array of the lines' at, head, stop, words and STACKED_SUMS, in order)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.select(key, "_run").schema) + ", " + STACKED_FOUND
+    kinds = [pa.int32()] * 4 + [pa.float64()] * 11
+    names = [key, "_run", *[c.split()[0] for c in STACKED_FOUND.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            x = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+                own = {name: v[a:b] for name, v in x.items()}
+                for found in _stretches(own["at"], own["head"], own["stop"], own):
+                    which = pa.array(np.full(len(found[0]), i))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(v, kind) for v, kind in zip(found, kinds, strict=True)]], names=names)
+
+    return runs.select(key, "_run", "u").mapInArrow(run, schema)
 
 
 def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "doc_id") -> DataFrame:
     """(key, start, end, columns, data_rows, confidence): tables whose cells stand one below the other, a line each: the headings, then row after row up to a
     blank line, a new section, a long line, or a line that is taken (key, start, end).
 
-    Of a start's numbers of columns the most confident counts, the smaller one of equals; tables below least are none. From the top, a table that is found takes its lines. A document's lines are in one task.
+    Of a start's numbers of columns the most confident counts, the smaller one of equals; tables below least are none. From the top, a table that is found takes its lines.
+    A document's lines are in one task; what is known of a run of lines that may hold tables is in one row.
     """
-    covered = taken.select(key, F.explode(F.sequence("start", "end")).alias("at")).distinct().withColumn("_taken", F.lit(True))
     x = F.trim("line")
     n, words, low = F.length(x), F.size(F.split(x, r"\s+")), F.lower(x)
     marks = F.regexp_count(x, F.lit("[,.;:!?]")) / F.greatest(n, F.lit(1))
     prose = sentence_like(x)
     like = F.greatest(F.lit(0.0), 1.0 - F.when(n > 50, 0.4).otherwise(0.0) - F.when(prose, 0.5).otherwise(0.0) - F.when(marks > 0.08, 0.3).otherwise(0.0) - F.when(words > 8, 0.2).otherwise(0.0))
     narrative = (F.contains(low, F.lit(";")) & (n > 35)) | (F.contains(low, F.lit(" while ")) & (n > 60)) | F.contains(low, F.lit(" reflects "))
-    w = Window.partitionBy(key).orderBy("at")
     flags = {"digit": x.rlike(r"\d"), "long": n > 80, "prose": prose, "narrative": narrative, "marked": marks > 0.06}
     slim = rows.select(
         key, "at", "blank", n.cast("long").alias("n"), words.cast("long").alias("words"), header_cell(x).alias("head"), F.when(n > 0, like).otherwise(0.0).alias("like"),
         (x.rlike(f"(?i){BOUNDARY}") | (n > STACKED_LINE) | ((F.regexp_count(x, F.lit(r"\. ")) >= 2) & (words > 18))).alias("stop"), *[F.coalesce(f, F.lit(False)).cast("long").alias(name) for name, f in flags.items()],
     )
-    free = ~F.col("blank") & F.col("_taken").isNull()
-    marked = slim.join(covered, [key, "at"], "left").withColumns({"p": F.row_number().over(w), "stop": ~free | F.col("stop"), "head": free & F.col("head")}).drop("blank", "_taken")
-    later = w.rowsBetween(0, Window.unboundedFollowing)
-    end = F.max("p").over(later) + 1
-    base = marked.withColumns({"stop_at": F.coalesce(F.min(F.when(F.col("stop"), F.col("p"))).over(later), end), "no_head_at": F.coalesce(F.min(F.when(~F.col("head"), F.col("p"))).over(later), end)})
-    # A table lies in a run of lines that are headings or data; the others, and runs too short for one, are left out before the sums.
+    # A taken stretch comes as a row before its first line and hands its end down.
+    begins = taken.select(key, F.col("start").alias("at"), F.col("end").alias("_end"))
+    marked = slim.withColumn("_end", F.lit(None).cast("int")).unionByName(begins, allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("at", F.col("_end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_taken", F.coalesce(F.max("_end").over(upto) >= F.col("at"), F.lit(False))).where("_end IS NULL")
+    free = ~F.col("blank") & ~F.col("_taken")
+    marked = marked.withColumns({"stop": ~free | F.col("stop"), "head": free & F.col("head")})
+    # A table lies in a run of lines that are headings or data; the others, and runs too short for one, are left out.
     fit = F.col("head") | ~F.col("stop")
-    base = base.withColumns({"_fit": fit, "_run": F.sum((~fit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("_fit")
-    base = base.withColumn("_lines", F.count("*").over(Window.partitionBy(key, "_run"))).where(F.col("_lines") >= STACKED_COLUMNS[0] * (1 + STACKED_LEAST)).drop("_fit", "_run", "_lines", "stop", "head")
-    base = written(base, "stacked-lines")
-    low_c, high_c = STACKED_COLUMNS
-    every = _stacked_with(base, key, low_c)
-    for c in range(low_c + 1, high_c + 1):
-        every = every.unionByName(_stacked_with(base, key, c))
-    scored = every.select(key, "p", "c", "data", table_confidence().alias("confidence"))
-    best = scored.groupBy(key, "p").agg(F.max(F.struct("confidence", (-F.col("c")).alias("c"), "data")).alias("b")).where(F.col("b.confidence") >= least)
-    one = F.struct(F.col("p").alias("p"), (F.col("p") - F.col("b.c") + F.col("b.data") - 1).alias("end"), (-F.col("b.c")).alias("columns"), F.col("b.data").alias("data"), F.col("b.confidence").alias("confidence"))
-    kind = "struct<p:int,end:int,columns:int,data:int,confidence:double>"
-    spans = best.groupBy(key).agg(F.array_sort(F.collect_list(one)).cast(f"array<{kind}>").alias("spans"))
-    start = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-    fold = lambda a, x: F.when(x["p"] > a["last"], F.struct(x["end"].alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
+    runs = marked.withColumns({"_fit": fit, "_run": F.sum((~fit).cast("int")).over(upto)}).where("_fit")
+    held = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("at", "head", "stop", "words", *STACKED_SUMS))).alias("u")).where(F.size("u") >= STACKED_COLUMNS[0] * (1 + STACKED_LEAST))
+    scored = stacked_stretches(held, key).withColumn("confidence", table_confidence()).where(F.col("confidence") >= least)
+    kind = "struct<start:int,worse:double,columns:int,end:int,data:int,confidence:double>"
+    one = F.struct("start", -F.col("confidence"), "columns", "end", "data", "confidence").cast(kind)
+    spans = scored.groupBy(key, "_run").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+    fold = lambda a, x: F.when(x["start"] > a["last"], F.struct(x["end"].alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
     kept = spans.select(key, F.explode(F.aggregate("spans", start, fold, lambda a: a["kept"])).alias("t")).select(key, "t.*")
-    place = base.select(key, "p", "at")
-    kept = kept.join(place.withColumnRenamed("at", "start"), [key, "p"]).join(place.select(key, F.col("p").alias("end"), F.col("at").alias("_last")), [key, "end"])
-    return kept.select(key, "start", F.col("_last").alias("end"), "columns", (F.col("data") / F.col("columns")).cast("long").alias("data_rows"), "confidence")
+    return kept.select(key, "start", "end", "columns", (F.col("data") / F.col("columns")).cast("long").alias("data_rows"), "confidence")
 
 
 def placed(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:

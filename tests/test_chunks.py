@@ -156,3 +156,23 @@ def test_planted_faults(spark):
 def test_empty_tables(spark):
     assert chunks_of(spark, [], C.Limits()).count() == 0
     assert A.blocks(I.headings(I.lines(spark.createDataFrame([], "doc_id long, text string"))), spark.createDataFrame([], "doc_id long, start int, end int"), spark.createDataFrame([], "doc_id long, start int, end int")).count() == 0
+
+
+def test_stacked_tables_have_a_short_plan(spark):
+    """The driver's memory goes with the plan; a set of windows for each number of columns had it at over 500,000 signs."""
+    text = "Name\nCity\nAnn\nRome\nBo\nOslo\n\nText that goes on. " + "And on. " * 20 + "\n<<<PAGE:2>>>\nKey\nTall\nWide\n1\n2\n3\n4\n5\n6"
+    rows = I.lines(spark.createDataFrame([(1, text), (2, text.replace("Bo\n", "")), (3, "\n".join(f"c{i}" for i in range(80)))], "doc_id long, text string"))
+    taken = spark.createDataFrame([(1, 15, 17)], "doc_id long, start int, end int")
+    found = A.stacked_tables(rows, taken, 0.55)
+    got = sorted((r.doc_id, r.start, r.end, r.columns, r.data_rows) for r in found.collect())
+    assert got == [(1, 0, 5, 2, 2), (1, 9, 14, 2, 2), (2, 8, 16, 3, 2), (3, 0, 51, 2, 25), (3, 52, 79, 2, 13)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 6 and len(plan) < 100_000
+
+
+def test_stacked_tables_end_at_blank_lines(spark):
+    """Headings just before a blank line begin no table of what comes behind it; they had 25 rows, whatever stood there."""
+    lines = [*[f"Section {i}" for i in range(1, 6)], "Item", "Code", "", "Cost", *[f"v{i}" for i in range(60)]]
+    rows = I.lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    found = A.stacked_tables(rows, spark.createDataFrame([], "doc_id long, start int, end int"), 0.55).collect()
+    assert found and all("" not in lines[r.start : r.end + 1] for r in found)
