@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators.retrieval import BROADCAST_ROWS, ranked
+from lodestack.operators.retrieval import BROADCAST_ROWS, by_words, ranked
 from lodestack.shared import new_path, sign_of_files, small, written
 
-#: Documents of a shard and places of a block, at most.
+#: Documents of a shard and places of a block, at most; and words from which a shard gets no more documents.
 SHARD, BLOCK = 8192, 16
+SHARD_WORDS = 1_500_000
 #: Blocks of a query that are scored before any is skipped.
 FIRST_BLOCKS = 4
 #: Words of queries (a row for each query and word) that are scored in one pass over the index.
@@ -69,17 +70,18 @@ def block_index(docs: DataFrame, key: str, words: str) -> DataFrame:
 def _sharded(docs: DataFrame, key: str, words: str) -> DataFrame:
 
     def run(batches):
-        number, keys, lists, n = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
+        number, keys, lists, n, held = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        for batch in by_words(batches, -(-SHARD_WORDS // 8)):
             at = 0
             while at < batch.num_rows:
                 some = batch.slice(at, SHARD - n)
                 keys.append(some.column(0))
                 lists.append(some.column(1))
                 n, at = n + some.num_rows, at + some.num_rows
-                if n == SHARD:
+                held += pc.sum(pc.list_value_length(some.column(1))).as_py() or 0
+                if n == SHARD or held >= SHARD_WORDS:
                     yield from _shard(number, pa.concat_arrays(keys), pa.concat_arrays(lists))
-                    number, keys, lists, n = number + 1, [], [], 0
+                    number, keys, lists, n, held = number + 1, [], [], 0, 0
         if n:
             yield from _shard(number, pa.concat_arrays(keys), pa.concat_arrays(lists))
 
@@ -112,7 +114,7 @@ class _Shard:
         norm = k1 * (1 - b + b * table["dl"][at].values.to_numpy() / mean)
         self.blocks = -(-len(self.keys) // BLOCK)
         self.rows, self.postings = {}, []
-        most = []
+        self.most = np.zeros((len(names) - 1, self.blocks), np.float32)
         for i, name in enumerate(names):
             if i == at:
                 continue
@@ -121,10 +123,8 @@ class _Shard:
             self.rows[name] = len(self.postings)
             self.postings.append((d, block, part))
             begins = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
-            bound = np.zeros(self.blocks)
-            bound[block[begins]] = np.maximum.reduceat(part, begins)
-            most.append(bound)
-        self.most = np.array(most) if most else np.zeros((0, self.blocks))
+            # Half as long, and rounded up, so that it stays a bound.
+            self.most[len(self.postings) - 1, block[begins]] = np.nextafter(np.maximum.reduceat(part, begins).astype(np.float32), np.float32(np.inf))
 
     def _scores(self, known: list[tuple[int, float]], active: np.ndarray) -> np.ndarray:
         scores = np.zeros(len(self.keys))
@@ -139,7 +139,7 @@ class _Shard:
         known = [(self.rows[t], w) for t, w in weights.items() if t in self.rows]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0), 0, 0
-        bounds = np.array([w for _, w in known]) @ self.most[[i for i, _ in known]]
+        bounds = np.array([w for _, w in known]) @ self.most[[i for i, _ in known]].astype(float)
         active = np.zeros(self.blocks, bool)
         active[np.argsort(-bounds, kind="stable")[: max(FIRST_BLOCKS, -(-k // BLOCK))]] = True
         active &= bounds > 0

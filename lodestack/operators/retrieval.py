@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ from lodestack.shared import new_path, sign_of_files, small, written
 
 #: Queries scored together, and bytes of packed queries that are sent to all tasks; more are joined.
 QUERY_BLOCK, BROADCAST_BYTES = 4096, 64_000_000
+#: Scores of a matrix of queries and documents, and words that are counted at once, so that a task's memory is the same however many rows there are.
+SCORES, WORDS = 1_000_000, 500_000
 #: Tables of at most so many rows are broadcast; the count is checked.
 BROADCAST_ROWS = 300_000
 #: Components of hashed vectors: the first byte of a word's MD5.
@@ -24,12 +26,23 @@ HASHED = 256
 POSTING = "doc {}, dl int, term string, tf long"
 
 
+def by_words(batches: Iterator[pa.RecordBatch], most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches, of which a column is lists, in slices of at most so many items; a longer list is a slice of its own."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def postings(docs: DataFrame, key: str, words: str) -> DataFrame:
     """(doc, dl, term, tf) of every word of every document, and a row with the empty term for each document itself. Words are counted
     where the document lies, in Arrow batches, so nothing is shuffled. A null list of words has the length 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_words(batches, WORDS):
             lists = batch.column(1)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             found = lists.flatten().dictionary_encode()
@@ -141,7 +154,7 @@ def hashed_vectors(docs: DataFrame, key: str, words: str) -> DataFrame:
     """(key, vector): how many words of a document fall on each of 256 components, which is the vector of texts where no model is at hand."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_words(batches, WORDS):
             found = [np.bincount([_component(w) for w in ws.as_py() or ()], minlength=HASHED) for ws in batch.column(1)]
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * HASHED, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["key", "vector"])
@@ -150,26 +163,56 @@ def hashed_vectors(docs: DataFrame, key: str, words: str) -> DataFrame:
     return docs.select(key, words).mapInArrow(run, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
 
 
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Usable vectors by dimension: (dim, ids, vectors)."""
-    good = rows[[v is not None and len(v) > 0 and not any(x is None for x in v) and bool(np.any(v)) for v in rows["v"]]]
-    out = [(dim, own["id"].to_numpy(np.int64).tobytes(), np.stack(own["v"].to_numpy()).astype(float).tobytes()) for dim, own in good.groupby(good["v"].map(len))]
-    return pd.DataFrame(out, columns=["dim", "ids", "vectors"])
+def _packed(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Usable vectors of rows (id, v) by dimension: (dim, ids, vectors)."""
+    lists = rows.column(1).cast(pa.list_(pa.float64()))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ids = lists.flatten(), rows.column(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    good = sizes > 0
+    if flat.null_count:
+        good[row[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    values, starts = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    some = np.zeros(len(sizes), bool)
+    some[row[values != 0]] = True
+    good &= some
+    for dim in np.unique(sizes[good]):
+        own = np.flatnonzero(good & (sizes == dim))
+        yield int(dim), ids[own].astype(np.int64), values[starts[own][:, None] + np.arange(dim)]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v) as rows (dim, ids, vectors)."""
+    for batch in batches:
+        for dim, ids, vectors in _packed(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], names=["dim", "ids", "vectors"])
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors, float).reshape(-1, row.dim)
 
 
-def _best(queries, docs, k: int) -> pd.DataFrame:
-    """The k best of some documents for some queries of the same dimension."""
+def _best(queries, docs, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of some documents for some queries of the same dimension, by matrices of SCORES scores."""
     (ids, q), (names, d) = queries, docs
-    scores = np.round((q @ d.T) / np.sqrt(np.outer((q * q).sum(axis=1), (d * d).sum(axis=1))), 6)
-    out = []
-    for i, query in enumerate(ids):
-        top = np.lexsort((names, -scores[i]))[:k]
-        out.append(pd.DataFrame({"query": query, "doc": names[top], "score": scores[i][top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "doc": [], "score": []})
+    if not len(names):
+        return
+    qq, dd = (q * q).sum(axis=1), (d * d).sum(axis=1)
+    step = max(1, SCORES // len(names))
+    for at in range(0, len(ids), step):
+        part = slice(at, at + step)
+        scores = np.round((q[part] @ d.T) / np.sqrt(np.outer(qq[part], dd)), 6)
+        if len(names) > k:
+            least = np.partition(np.where(np.isnan(scores), -np.inf, scores), -k, axis=1)[:, -k]
+            row, doc = np.nonzero(~(scores < least[:, None]))
+        else:
+            row, doc = (x.reshape(-1) for x in np.indices(scores.shape))
+        order = np.lexsort((names[doc], -scores[row, doc], row))
+        row, doc = row[order], doc[order]
+        first = np.searchsorted(row, np.arange(len(scores)))
+        kept = np.arange(len(row)) - first[row] < k
+        row, doc = row[kept], doc[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part][row]), pa.array(names[doc]), pa.array(scores[row, doc])], names=["query", "doc", "score"])
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int) -> DataFrame:
@@ -184,7 +227,13 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
     asked = written(asked, "cosine-queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    packs = asked.withColumn("block", block).groupBy("block").applyInPandas(lambda key, rows: _packed(rows).assign(block=key[0]), "dim int, ids binary, vectors binary, block int")
+
+
+    def blocked(key, rows):
+        found = list(_packed(rows.select(["id", "v"]).combine_chunks().to_batches()[0]))
+        return pa.table({"dim": pa.array([dim for dim, _, _ in found], pa.int32()), "ids": pa.array([ids.tobytes() for _, ids, _ in found], pa.binary()), "vectors": pa.array([v.tobytes() for _, _, v in found], pa.binary()), "block": pa.array([key[0].as_py()] * len(found), pa.int32())})
+
+    packs = asked.withColumn("block", block).groupBy("block").applyInArrow(blocked, "dim int, ids binary, vectors binary, block int")
     packs = written(packs, "cosine-blocks")
     held = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     size = packs.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
@@ -197,25 +246,23 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
 
         def run(batches):
             for rows in batches:
-                for docs in _packed(rows).itertuples():
-                    for own in sent.value.get(docs.dim, ()):
-                        yield _best(own, _unpacked(docs), k)
+                for dim, ids, vectors in _packed(rows):
+                    for own in sent.value.get(dim, ()):
+                        yield from _best(own, (ids, vectors), k)
 
-        found = held.mapInPandas(run, out)
+        found = held.mapInArrow(run, out)
     else:
 
-        def pack(batches):
-            for rows in batches:
-                yield _packed(rows)
-
         def score(batches):
             for rows in batches:
-                for r in rows.itertuples():
-                    yield _best((np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors, float).reshape(-1, r.dim)), _unpacked(r), k)
+                for i in range(rows.num_rows):
+                    r = {name: rows.column(name)[i] for name in ("dim", "ids", "vectors", "q_ids", "q_vectors")}
+                    pair = lambda ids, v, r=r: (np.frombuffer(r[ids].as_buffer(), np.int64), np.frombuffer(r[v].as_buffer(), float).reshape(-1, r["dim"].as_py()))
+                    yield from _best(pair("q_ids", "q_vectors"), pair("ids", "vectors"), k)
 
-        docs = held.mapInPandas(pack, "dim int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        docs = held.mapInArrow(_pack, "dim int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = docs.join(packs.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "block"])
-        found = pairs.mapInPandas(score, out)
+        found = pairs.mapInArrow(score, out)
     return ranked(found, ["query"], [F.desc("score"), F.col("doc")], k)
 
 

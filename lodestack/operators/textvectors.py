@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.retrieval import WORDS, by_words
 from lodestack.shared import written
 
 COLUMNS, DIMS, EXTRA, ROUNDS, SEED = 16_384, 256, 16, 3, 7
@@ -58,7 +59,7 @@ def _rows(lists: pa.Array, idf: np.ndarray):
 def _idf(docs: DataFrame, columns: int) -> np.ndarray:
     def run(batches):
         df, n = np.zeros(columns, np.int64), 0
-        for batch in batches:
+        for batch in by_words(batches, WORDS, 0):
             df += np.bincount(_counted(batch.column(0), columns)[1], minlength=columns)
             n += batch.num_rows
         at = np.append(np.flatnonzero(df), -1)
@@ -77,7 +78,7 @@ def _pass(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     def run(batches):
         idf, q = sent.value
         total = np.zeros_like(q)
-        for batch in batches:
+        for batch in by_words(batches, WORDS, 0):
             for _, at, w in _rows(batch.column(0), idf):
                 total[at] += np.outer(w, w @ q[at])
         blocks = [total[i : i + BLOCK] for i in range(0, len(total), BLOCK)]
@@ -122,7 +123,7 @@ def text_vectors(docs: DataFrame, key: str, words: str, basis: Basis) -> DataFra
 
     def run(batches):
         idf, vectors = sent.value
-        for batch in batches:
+        for batch in by_words(batches, WORDS):
             out = np.zeros((batch.num_rows, vectors.shape[1]))
             for i, at, w in _rows(batch.column(1), idf):
                 out[i] = w @ vectors[at]

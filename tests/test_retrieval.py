@@ -4,8 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestack.operators import blocks as B
 from lodestack.operators import retrieval as R
 
 
@@ -85,3 +88,29 @@ def test_index_is_written_once_for_the_same_files(spark, sf_dir):
     own = docs.select("doc_id", F.split("text", " ").alias("words"))
     a, b = (R.keyword_index(docs, own, "doc_id", "words", "once") for _ in range(2))
     assert a.inputFiles() == b.inputFiles() and R.keyword_index(docs, own, "doc_id", "words", "other").inputFiles() != a.inputFiles()
+
+
+def test_matrices_and_counts_are_of_one_size(monkeypatch):
+    """A task's memory must not go with the number of queries and of long texts; scores were a matrix of all of both."""
+    rng = np.random.default_rng(3)
+    q, d = rng.integers(-2, 3, (50, 4)) + 0.5, rng.integers(-2, 3, (400, 4)) + 0.5
+    q[7], d[9] = np.nan, np.inf
+    held = []
+    monkeypatch.setattr(R, "SCORES", 1200)
+    monkeypatch.setattr(R.np, "outer", lambda a, b, f=np.outer: (held.append(len(a) * len(b)), f(a, b))[1])
+    with np.errstate(invalid="ignore"):
+        got = [r for b in R._best((np.arange(50), q), (np.arange(400)[::-1], d), 5) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        scores = np.round((q @ d.T) / np.sqrt(((q * q).sum(axis=1))[:, None] * (d * d).sum(axis=1)), 6)
+    assert max(held) <= 1200
+    want = [(i, 399 - j) for i in range(50) for j in np.lexsort((np.arange(400)[::-1], -scores[i]))[:5]]
+    assert [(a, b) for a, b, _ in got] == want
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * 4, None, [], ["b"] * 9, ["c"], ["d"] * 3])], names=["k", "w"])
+    assert [b.column(0).to_pylist() for b in R.by_words([batch, batch.slice(0, 0)], 4)] == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_shards_are_bounded_by_words_too(spark, monkeypatch):
+    """8192 texts of 20,000 words are 160 million words for one task."""
+    monkeypatch.setattr(B, "SHARD_WORDS", 100)
+    docs = spark.createDataFrame([(i, [f"w{i % 7}"] * 30) for i in range(40)], "id long, words array<string>").coalesce(1)
+    lengths = [sum(r.dl) for r in B.block_index(docs, "id", "words").where("term = ''").collect()]
+    assert sum(lengths) == 1200 and max(lengths) < 130
