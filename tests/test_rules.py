@@ -229,3 +229,9 @@ def test_plan_intents_beside_letters_beyond_ascii(spark, tmp_path):
         c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
         assert got == sorted(c.sql(registry.oracle_sql()["plan_intents"]).fetchall())
     assert {(r[0], r[2]) for r in got} >= {(1, "navigation"), (4, "department_search"), (5, "keyword_search")} and not [r for r in got if r[0] == 2 and r[2] == "department_search"]
+
+
+def test_collections_have_a_short_plan(spark, sf_dir):
+    """Rules of departments and types stand in a plan once; copies of them in each other had it at 17 million signs."""
+    for name in ("registry_statistics", "collection_assignment"):
+        assert len(registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()) < 300_000
