@@ -36,8 +36,7 @@ def units(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_
     rows: lines with heading_level; tables: (key, start, end, columns, stacked); lists: (key, start, end). A table's row is each heading with its cell; its heading
     lines belong to the first row, and head is how long they are in one line. Items keep their marks and indents.
     """
-    lined = A.placed(rows, tables, lists, key, ("line", "page"))
-    lined = lined.join(tables.select(key, F.col("start").alias("_table"), "columns", "stacked"), [key, "_table"], "left").where("NOT blank")
+    lined = A.placed(rows, tables, lists, key, ("line", "page")).where("NOT blank")
     n = F.row_number().over(Window.partitionBy(key, "block").orderBy("at")) - 1
     row = F.when(F.col("kind") == "list", n).when(F.col("stacked"), F.floor(n / F.col("columns"))).when(F.col("kind") == "table", n).otherwise(0)
     cells = F.when((F.col("kind") == "table") & ~F.col("stacked"), F.split(F.trim("line"), r"\s{2,}")).otherwise(F.array(F.when(F.col("kind") == "list", F.rtrim("line")).otherwise(F.trim("line"))))

@@ -68,7 +68,9 @@ def tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     own = written(gap_rows(rows, key), "gap-rows")
     whole = own.groupBy(key, "run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.min("page").alias("page"), F.min_by("cells", "at").alias("headers"), (F.count("*") - 1).alias("data_rows"))
     whole = whole.where((F.col("data_rows") >= 2) & F.forall("headers", header_cell))
-    long = own.join(whole.select(key, "run", "start"), [key, "run"]).select(key, "run", "at", (F.col("at") == F.col("start")).alias("head"), F.posexplode("cells").alias("col", "cell"))
+    # A row or more for each document, which look small in a file: never sent through the driver.
+    apart = lambda df: df.hint("merge")
+    long = own.join(apart(whole.select(key, "run", "start")), [key, "run"]).select(key, "run", "at", (F.col("at") == F.col("start")).alias("head"), F.posexplode("cells").alias("col", "cell"))
     n, words = F.length("cell"), F.size(F.split("cell", r"\s+"))
     marks = F.regexp_count("cell", F.lit("[,.;:!?]")) / n
     long = long.withColumns({"n": n, "words": words, "marks": marks, "prose": sentence_like(F.col("cell")), "digit": F.col("cell").rlike(r"\d")})
@@ -86,7 +88,7 @@ def tables(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     aligned = body.groupBy(key, "run", "col").agg(step(spread("n"), 0.35, 0.7).alias("a")).groupBy(key, "run").agg(F.avg("a").alias("aligned"))
     lines = body.groupBy(key, "run", "at").agg(F.sum("words").alias("words"), F.sum("n").alias("width"))
     lines = lines.groupBy(key, "run").agg(step(spread("words"), 0.45, 0.9).alias("even"), spread("width").alias("uneven"), share(F.col("width") > 220).alias("oversized"))
-    every = whole.join(cells, [key, "run"]).join(aligned, [key, "run"]).join(lines, [key, "run"])
+    every = whole.join(apart(cells), [key, "run"]).join(apart(aligned), [key, "run"]).join(apart(lines), [key, "run"])
     return every.select(key, "start", "end", "columns", "data_rows", table_confidence().alias("confidence"), "headers", "run")
 
 
@@ -221,17 +223,34 @@ def stacked_tables(rows: DataFrame, taken: DataFrame, least: float, key: str = "
     return kept.select(key, "start", "end", "columns", (F.col("data") / F.col("columns")).cast("long").alias("data_rows"), "confidence")
 
 
+def _handed_down(spans: DataFrame, key: str, name: str, at: str) -> DataFrame:
+    """(key, at, name, name_one): each span (key, start, end and what else it has) at the first line that no span with an earlier start covers, and the place of spans of one line."""
+    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest("start", F.max("end").over(before) + 1)
+    span = F.struct(*[c for c in spans.columns if c != key])
+    one = F.struct(first.cast(at).alias("at"), span.alias(name), F.lit(None).cast(at).alias(f"{name}_one"))
+    own = F.struct(F.col("start").cast(at).alias("at"), F.lit(None).alias(name), F.col("start").cast(at).alias(f"{name}_one"))
+    found = F.array_compact(F.array(F.when(first <= F.col("end"), one), F.when(F.col("start") == F.col("end"), own)))
+    return spans.select(key, found.alias("_x")).select(key, F.explode("_x").alias("_x")).select(key, "_x.*")
+
+
 def placed(rows: DataFrame, tables: DataFrame, lists: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
-    """Lines that are not blank, or in a table, with block (its number in the document), kind, _table (the start of the line's table) and the carried columns.
+    """Lines that are not blank, or in a table, with block (its number in the document), kind, _table (the start of the line's table), what else tables has, and the carried columns.
 
     rows: lines with heading_level. tables and lists: (key, start, end). A line in a table is the table's; else, in a list, the list's, unless it is a heading and the
     only item; else a heading is a block of its own; what is left between these and blank lines are paragraphs.
+    Tables and lists come as rows before their first line and hand themselves down, so nothing is joined: to the planner they look small, and the driver would get all of them.
     """
-    cover = lambda spans, name: spans.select(key, F.col("start").alias(name), F.explode(F.sequence("start", "end")).alias("at")).groupBy(key, "at").agg(F.min(name).alias(name))
-    slim = written(rows.select(key, "at", "blank", "heading_level", *carried), "block-lines")
-    own = slim.join(cover(tables, "_table"), [key, "at"], "left").join(cover(lists, "_list"), [key, "at"], "left")
-    own = own.join(lists.where("start = end").select(key, F.col("start").alias("at"), F.lit(True).alias("_single")).distinct(), [key, "at"], "left")
-    own = own.withColumn("_list", F.when(F.col("_single").isNull() | F.col("heading_level").isNull(), F.col("_list")))
+    at = rows.schema["at"].dataType.simpleString()
+    marked = rows.select(key, "at", "blank", "heading_level", *carried, F.lit(True).alias("_line"))
+    for spans, name in ((tables, "_t"), (lists.select(key, "start", "end"), "_l")):
+        marked = marked.unionByName(_handed_down(spans, key, name, at), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("at", F.col("_line").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("_t", "_l", "_l_one")}).where("_line")
+    own = own.withColumns({"_t": F.when(F.col("_t.end") >= F.col("at"), F.col("_t")), "_l": F.when(F.col("_l.end") >= F.col("at"), F.col("_l"))})
+    alone = F.col("_l_one").eqNullSafe(F.col("at")) & F.col("heading_level").isNotNull()
+    own = own.withColumns({"_table": F.col("_t.start"), "_list": F.when(~alone, F.col("_l.start")), **{c: F.col("_t")[c] for c in tables.columns if c not in (key, "start", "end")}})
+    own = own.drop("_line", "_t", "_t_one", "_l", "_l_one")
     kind = F.when(F.col("_table").isNotNull(), "table").when(F.col("_list").isNotNull(), "list").when(F.col("heading_level").isNotNull(), "heading").otherwise("paragraph")
     span = F.coalesce("_table", "_list", F.when(F.col("heading_level").isNotNull(), F.col("at")), F.lit(-1))
     w = Window.partitionBy(key).orderBy("at")

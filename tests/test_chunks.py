@@ -176,3 +176,18 @@ def test_stacked_tables_end_at_blank_lines(spark):
     rows = I.lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
     found = A.stacked_tables(rows, spark.createDataFrame([], "doc_id long, start int, end int"), 0.55).collect()
     assert found and all("" not in lines[r.start : r.end + 1] for r in found)
+
+
+def test_blocks_are_placed_without_broadcasts(spark):
+    """Spans and runs look small in a file and are a row or more for each document: joined, all of them went through the driver."""
+    rows = I.headings(I.lines(spark.createDataFrame([(1, "Alone\n\nName  Count\nAlpha  1\nBeta  2\n\n- a\n- b\n\nend of all"), (2, "x\ny")], "doc_id long, text string")))
+    spans = spark.createDataFrame([(1, 2, 4, 2, False), (1, 3, 7, 9, True)], "doc_id long, start int, end int, columns int, stacked boolean")
+    lists = spark.createDataFrame([(1, 0, 0), (1, 6, 7), (1, 7, 9)], "doc_id long, start int, end int")
+    placed = A.placed(rows, spans, lists, carried=("line",))
+    got = sorted((r.doc_id, r["at"], r.block, r.kind, r["_table"], r.columns) for r in placed.collect())
+    assert got == [
+        (1, 0, 1, "heading", None, None), (1, 2, 3, "table", 2, 2), (1, 3, 3, "table", 2, 2), (1, 4, 3, "table", 2, 2), (1, 5, 4, "table", 3, 9), (1, 6, 4, "table", 3, 9),
+        (1, 7, 4, "table", 3, 9), (1, 9, 6, "list", None, None), (2, 0, 1, "paragraph", None, None), (2, 1, 1, "paragraph", None, None),
+    ]
+    for df in (C.units(rows, spans, lists), A.blocks(rows, spans.select("doc_id", "start", "end"), lists), A.tables(rows)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
