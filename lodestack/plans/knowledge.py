@@ -9,9 +9,10 @@ from lodestack.functions import text as X
 from lodestack.functions.bindings import DOCS_SQL, MESSAGES_SQL, documents, messages
 from lodestack.operators import graph as G
 from lodestack.operators import knowledge as K
+from lodestack.operators import retrieval as R
 from lodestack.plans.registry import query
 from lodestack.session import table
-from lodestack.shared import written
+from lodestack.shared import small, written
 
 NAMED_SQL = X.named_words_sql("text")
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -63,7 +64,16 @@ def whitespace_collapse(spark, sf_dir):
 @query("repeated_ngrams", WITH_WORDS + """, g AS (SELECT doc_id, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS gram FROM w WHERE len(w) >= 5)
 SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 3""")
 def repeated_ngrams(spark, sf_dir):
-    g = words(spark, sf_dir).select("doc_id", F.explode(X.ngrams(F.col("w"), 5)).alias("gram"))
+    """Runs of five words that a document has three times or more. A row's runs are sorted where it lies, and only those that stand there three times are counted; rows that share their
+    doc_id with others hand on all of theirs."""
+    own = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = small(written(own.select(F.col("doc_id").alias("_id"), F.lit(True).alias("shared")), "shared-ids"), R.BROADCAST_ROWS)
+    w = words(spark, sf_dir).join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    runs = w.select("doc_id", "shared", F.array_sort(X.ngrams(F.col("w"), 5)).alias("s"))
+    at = lambda i: F.get("s", i)
+    near = lambda g, i: ((at(i - 2) == g) & (at(i - 1) == g)) | ((at(i - 1) == g) & (at(i + 1) == g)) | ((at(i + 1) == g) & (at(i + 2) == g))
+    kept = F.filter("s", lambda g, i: F.col("shared").isNotNull() | F.coalesce(near(g, i), F.lit(False)))
+    g = runs.select("doc_id", F.explode(kept).alias("gram"))
     return g.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n >= 3")
 
 
