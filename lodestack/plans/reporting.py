@@ -410,8 +410,12 @@ def purchases_before_errors(spark, sf_dir):
 @query("approximate_users", WITH_AUDIT + "SELECT event_type, true AS near FROM audit GROUP BY 1")
 def approximate_users(spark, sf_dir):
     """Whether approximate numbers of users are within ten percent of the exact ones."""
-    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.countDistinct("user_id")) <= 0.1 * F.countDistinct("user_id")
-    return audit_logs(spark, sf_dir).groupBy("event_type").agg(near.alias("near"))
+    log = audit_logs(spark, sf_dir)
+    # Apart: beside an exact number, Spark keeps a sketch for each user, not for each type.
+    about = log.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"))
+    exact = log.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    both = about.join(exact.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")))
+    return both.select("event_type", (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
 @query("local_days", "SELECT CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")

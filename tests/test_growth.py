@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from lodestack.plans import knowledge
+from lodestack.plans import knowledge, reporting
 
 
 def test_repeated_ngrams_counts_only_what_may_repeat(spark, tmp_path):
@@ -17,3 +17,10 @@ def test_repeated_ngrams_counts_only_what_may_repeat(spark, tmp_path):
         want.update((key, " ".join(w[i : i + 5])) for i in range(len(w) - 4))
     assert {(r.doc_id, r.gram): r.n for r in df.collect()} == {k: n for k, n in want.items() if n >= 3} and want[5, "k l m n o"] == 3
     assert "array_sort" in df._jdf.queryExecution().optimizedPlan().toString(), "runs are not handed on one by one"
+
+
+def test_approximate_users_keeps_a_sketch_for_each_type(spark, sf_dir):
+    df = reporting.approximate_users(spark, sf_dir)
+    steps = re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(.*?)\]", df._jdf.queryExecution().executedPlan().toString())
+    assert steps and not [keys for keys, functions in steps if "user_id" in keys and "approx_count_distinct" in functions]
+    assert df.count() > 1 and df.where("NOT near").isEmpty()
