@@ -18,7 +18,7 @@ from lodestack.plans.planning import QUESTIONS_SQL, questions
 from lodestack.plans.registry import query
 from lodestack.plans.reporting import STATUS_SQL, status
 from lodestack.session import table
-from lodestack.shared import new_path, small
+from lodestack.shared import new_path, small, written
 
 WITH_DOCS = f"WITH {DOCS_SQL} "
 
@@ -167,8 +167,9 @@ def semantic_match(spark, sf_dir):
 @query("taxonomy_prefix_pairs", E.PATHS_SQL + ", p AS (SELECT path, count(*) AS n FROM (SELECT path FROM paths UNION ALL SELECT array_to_string(string_split(path, '/')[1:2], '/') FROM paths) GROUP BY 1) SELECT a.path AS path, b.path AS below, b.n FROM p a JOIN p b ON starts_with(b.path, concat(a.path, '/'))")
 def taxonomy_prefix_pairs(spark, sf_dir):
     """Paths and the paths below them: each path meets its own prefixes, so no pair is tried that does not match."""
-    paths = E.described(spark, sf_dir).select("path")
-    p = paths.unionByName(paths.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("path"))).groupBy("path").agg(F.count("*").alias("n"))
+    # Texts are searched once; each path with its number stands for its documents from here on.
+    paths = written(E.described(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n")), "paths")
+    p = paths.unionByName(paths.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("path"), "n")).groupBy("path").agg(F.sum("n").alias("n"))
     parts = F.split("path", "/")
     above = p.select(F.col("path").alias("below"), "n", F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda x: x != F.col("path"))).alias("path"))
     return above.join(p.select("path"), "path").select("path", "below", "n")

@@ -3,7 +3,11 @@
 import re
 from collections import Counter
 
-from lodestack.plans import knowledge, reporting
+from pyspark.sql import functions as F
+
+from lodestack.functions.fixed import CONCEPTS
+from lodestack.operators import knowledge as K
+from lodestack.plans import knowledge, lifecycle, reporting
 
 
 def test_repeated_ngrams_counts_only_what_may_repeat(spark, tmp_path):
@@ -24,3 +28,15 @@ def test_approximate_users_keeps_a_sketch_for_each_type(spark, sf_dir):
     steps = re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(.*?)\]", df._jdf.queryExecution().executedPlan().toString())
     assert steps and not [keys for keys, functions in steps if "user_id" in keys and "approx_count_distinct" in functions]
     assert df.count() > 1 and df.where("NOT near").isEmpty()
+
+
+def test_taxonomy_paths_search_each_text_once(spark, sf_dir):
+    plan = lifecycle.taxonomy_prefix_pairs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and len(plan) < 50_000
+
+
+def test_concepts_are_those_of_the_patterns(spark):
+    texts = ["budgets", "xbudget", "budgetx of budgeting.", "multi-factor authentication, 2fa", "the leaves", "sleave", "paid leave2", "expenses; wfh", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", K.concepts(F.col("t")).alias("c"))
+    want = {i: [n for n, a in CONCEPTS if re.search("(?<![a-z0-9])(?:" + "|".join(a) + ")(?![a-z0-9])", t or "")] for i, t in enumerate(texts)}
+    assert {r.i: r.c for r in rows.collect()} == want
