@@ -1,5 +1,6 @@
 """Queries whose shuffles or memory grew faster than their input."""
 
+import random
 import re
 from collections import Counter
 
@@ -40,3 +41,17 @@ def test_concepts_are_those_of_the_patterns(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", K.concepts(F.col("t")).alias("c"))
     want = {i: [n for n, a in CONCEPTS if re.search("(?<![a-z0-9])(?:" + "|".join(a) + ")(?![a-z0-9])", t or "")] for i, t in enumerate(texts)}
     assert {r.i: r.c for r in rows.collect()} == want
+
+
+def test_sets_that_share_rare_words_only_do_not_meet(spark):
+    """All pairs that share a rare word went on to a comparison of whole sets."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    sets = [set(rng.sample(words, rng.randrange(1, 60))) for _ in range(150)]
+    for s in list(sets[:60]):
+        sets.append((s - set(rng.sample(sorted(s), len(s) // 8))) | set(rng.sample(words, len(s) // 8)))
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, terms array<string>")
+    close = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 72 * len(sets[i] | sets[j])}
+    met = {(r.x, r.y) for r in K.meetings(table, 72).collect()}
+    assert len(close) > 40 and close <= met and len(met) < len(close) + 60
+    assert {(r.x, r.y) for r in K.similar_sets(table, 72).collect()} == close
