@@ -1,5 +1,6 @@
 """Query op1_tokens: all documents as token files, read back and digested."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,11 +24,12 @@ def run(spark, sf_dir, tokenizer: str | None = None):
     read = written(read_token_files(spark, path), "tokens-read")
     # The ids of all partitions before (a row each), of the files before in the partition, and of the documents before in the file.
     files = written(read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n")), "tokens-files")
-    starts, total = [], 0
+    starts, total = {}, 0
     for part, n in files.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
-        starts.append((part, total))
+        starts[part] = total
         total += n
-    parts = F.broadcast(spark.createDataFrame(starts, "part long, part_start long"))
+    # From Arrow, as lists of rows would go through Python workers.
+    parts = F.broadcast(spark.createDataFrame(pa.table({"part": pa.array(starts.keys(), pa.int64()), "part_start": pa.array(starts.values(), pa.int64())})))
     earlier = F.sum("n").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
     offsets = files.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(parts, "part").select("part", "number", (F.col("part_start") + F.col("earlier")).alias("file_start"))
     offsets = F.broadcast(offsets) if files.count() <= BROADCAST_FILES else offsets

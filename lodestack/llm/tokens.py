@@ -21,13 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.llm import memory
 from lodestack.llm.store import in_order, require
 from lodestack.llm.tokenfile import FOOTER_MAGIC, Reader, Writer
 
 #: Words that a worker remembers twice over (a new and an old generation), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
-#: Bytes of text encoded together.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text encoded together; a worker holds some twenty times as many.
+CHUNK_BYTES = 1_000_000
 #: A letter, then marks up to the end of the word: the tokenizer always parts them.
 TAIL = r"([a-zß-öø-ÿ])([.,;:!?&%*#$]+)( |$)"
 #: What opens a special token; texts with it are left as they are.
@@ -192,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             yield pa.RecordBatch.from_arrays([pa.array([out.bytes()], pa.binary())], names=["content"])
 
     ordered = in_order(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), F.col("id"))
-    files = ordered.mapInArrow(run, "content binary")
+    files = ordered.mapInArrow(memory.batches(run), "content binary")
     # The text writer puts bytes as they are and a separator after each row: here the last four bytes of a file,
     # its magic number, are that separator, and each row becomes a file.
     magic = FOOTER_MAGIC.to_bytes(4, "little").decode("latin-1")
@@ -223,7 +224,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").load(path).select("content").where(F.length("content") > 0)
-    return files.mapInArrow(run, "part long, number long, at long, doc_id long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(memory.batches(run), "part long, number long, at long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:

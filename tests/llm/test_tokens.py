@@ -107,3 +107,17 @@ def test_starts_of_many_files_are_joined(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(op1_tokens, "BROADCAST_FILES", 0)
     assert sorted(map(tuple, op1_tokens.run(spark, sf_dir).collect())) == small
     assert [r[1] for r in small] == [sum(x[2] for x in small[:i]) for i in range(len(small))]
+
+
+def test_workers_encode_a_million_bytes_at_a_time():
+    """Four million took a worker beyond 320 MB, two of them and a full heap beyond an executor's 3000 MB."""
+    import lodestack.llm.tokens as m
+
+    texts = ["ab cd. " * 30_000, None, "", "x" * 3_000_000, *["ef gh " * 1000] * 500]
+    parts = list(m._chunks(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])))
+    assert [i for ids, _ in parts for i in ids] == list(range(len(texts))) and [x for _, own in parts for x in own.to_pylist()] == texts
+    assert all(len(ids) == 1 or sum(map(len, filter(None, own.to_pylist()))) <= 1_000_000 for ids, own in parts) and len(parts) < 10
+
+
+def test_query_starts_no_workers_for_rows_of_the_driver(spark, sf_dir):
+    assert "ExistingRDD" not in op1_tokens.run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
