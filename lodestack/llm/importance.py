@@ -5,7 +5,7 @@ A bucket's gain is how much likelier it is in the target than in the documents (
 a whole number of thousandths. A document's weight is the sum of the gains of its features; with Gumbel noise from a hash of seed and id added,
 the highest scores are a draw without replacement.
 
-Higher-order functions make each document's array of buckets, and its weight is an aggregate over element_at of the gains, an array that stands
+Higher-order functions make each document's array of buckets, once, in a table of the shared folder (of 10,000 buckets, two bytes a feature). Its weight is an aggregate over element_at of the gains, an array that stands
 in the plan as a literal: no feature is a row of its own where documents are scored. Only the counts before that take bucket numbers as rows, summed in their tasks, so that
 totals alone (a row for each bucket and task at most) are shuffled; the driver gets two totals for each bucket.
 """
@@ -76,12 +76,14 @@ def importance_resample(
     require(target, target_col)
     held, buckets = f"{OWN}words", "buckets"
     kept = without(docs, *ADDED, text_col)
+    at = f"{OWN}buckets"
     split = without(docs, *(a for a in ADDED if a not in (id_col, text_col))).withColumn(held, words(F.col(text_col)))
+    weighed = split.withColumns({"n_words": F.size(held).cast("long"), at: bucket_arrays(F.col(held), n_buckets, longest)})
+    own = kept.columns if id_col.lower() in {c.lower() for c in kept.columns} else [*kept.columns, id_col]
+    weighed = written(weighed.select(*[F.col(f"`{c}`") for c in own], "n_words", at), "importance-buckets")
     wanted = target.select(words(F.col(target_col)).alias(held)).select(bucket_arrays(F.col(held), n_buckets, longest).alias(buckets))
-    gain = _literal(gains(bucket_totals(split.select(bucket_arrays(F.col(held), n_buckets, longest).alias(buckets)), n_buckets), bucket_totals(wanted, n_buckets)))
+    gain = _literal(gains(bucket_totals(weighed.select(F.col(at).alias(buckets)), n_buckets), bucket_totals(wanted, n_buckets)))
 
-    at = f"{OWN}buckets"
-    weighed = split.withColumns({"n_words": F.size(held).cast("long"), at: bucket_arrays(F.col(held), n_buckets, longest)})
     weight = F.aggregate(F.col(at), F.lit(0).cast("long"), lambda total, b: total + F.element_at(gain, b + 1))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + F.lit(0.5)) / F.lit(4294967296.0))))

@@ -73,3 +73,15 @@ def test_draw_moves_towards_the_target(spark):
     frame = spark.createDataFrame(alike + other, "doc_id long, text string")
     drawn = importance_resample(frame, spark.createDataFrame([("alpha beta gamma beta",)] * 20, "text string"), percent=10).where("rank IS NOT NULL")
     assert {r.doc_id for r in drawn.collect()} == set(range(50))
+
+
+def test_buckets_of_documents_are_made_once(spark, monkeypatch):
+    """Documents were taken apart for the counts and again for the scores."""
+    import lodestack.llm.importance as m
+
+    made, plain = [], m.bucket_arrays
+    monkeypatch.setattr(m, "bucket_arrays", lambda *a: made.append(a) or plain(*a))
+    docs = [(i, f"a b c d{i} e f") for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(importance_resample(frame, spark.createDataFrame([("b c e",)], "text string"), least_words=2, id_col="DOC_ID")) == brute(docs, ["b c e"], least=2)
+    assert len(made) == 2, "once for the documents and once for the target"
