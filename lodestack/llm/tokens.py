@@ -27,7 +27,7 @@ from lodestack.llm.tokenfile import FOOTER_MAGIC, Reader, Writer
 
 #: Words that a worker remembers twice over (a new and an old generation), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
-#: Bytes of text encoded together; a worker holds some twenty times as many.
+#: Bytes of text encoded together, at most, unless one text is longer.
 CHUNK_BYTES = 1_000_000
 #: A letter, then marks up to the end of the word: the tokenizer always parts them.
 TAIL = r"([a-zß-öø-ÿ])([.,;:!?&%*#$]+)( |$)"
