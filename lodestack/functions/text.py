@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.fixed import ENGLISH, FOLDS, PERIOD, STOPWORDS, SUFFIXES
 
+
+def _any_of(letters) -> str:
+    """A pattern for any of some letters. A long class is tried letter by letter at each place of a text; behind a range most places are done with at once."""
+    first, *others = sorted(letters)
+    return f"{first}|[{others[0]}-{others[-1]}&&[{''.join(others)}]]"
+
+
+FOLDED = _any_of(FOLDS)
+
+
 def folded(x: Column) -> Column:
     """Case folding as far as it touches ASCII: lower case, with ligatures, the sharp s and the like as their letters."""
     low = F.lower(x)
@@ -14,7 +24,7 @@ def folded(x: Column) -> Column:
     for letter, plain in FOLDS.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
     plain_text = F.octet_length(x) == F.char_length(x)  # ASCII alone has none of these letters
-    return F.when(plain_text | ~low.rlike("[" + "".join(FOLDS) + "]"), low).otherwise(out)
+    return F.when(plain_text | ~low.rlike(FOLDED), low).otherwise(out)
 
 
 def folded_sql(x: str) -> str:

@@ -10,7 +10,7 @@ from lodestack.operators import retrieval as R
 from lodestack.operators import textvectors as V
 from lodestack.plans.registry import query
 from lodestack.session import table
-from lodestack.shared import new_path
+from lodestack.shared import new_path, written
 
 WORDS_SQL = f"""WITH d AS (SELECT doc_id AS doc, {X.tokens_sql('text')} AS w FROM documents), q AS (SELECT item_id AS query, {X.tokens_sql('text')} AS w FROM benchmark) """
 BM25_SQL = WORDS_SQL + """, asked AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(w) AS term FROM q) GROUP BY 1, 2), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -240,9 +240,9 @@ def trace_lost_documents_all_words(spark, sf_dir):
 
 def text_near(spark, sf_dir, k):
     """By the cosine of text vectors that are learnt from the documents."""
-    d, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    basis = V.fit(d, "doc_id", "words")
-    return R.cosine_top_k(V.text_vectors(d, "doc_id", "words", basis), V.text_vectors(q, "item_id", "words", basis), "doc_id", "item_id", "vector", k)
+    held, q = written(V.counts(corpus(spark, sf_dir), "doc_id", "words"), "text-counts"), asked(spark, sf_dir)
+    basis = V.fit_counts(held, "doc_id")
+    return R.cosine_top_k(V.vectors_of_counts(held, "doc_id", basis), V.text_vectors(q, "item_id", "words", basis), "doc_id", "item_id", "vector", k)
 
 
 @query("text_vector_topk")

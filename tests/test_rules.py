@@ -235,3 +235,14 @@ def test_collections_have_a_short_plan(spark, sf_dir):
     """Rules of departments and types stand in a plan once; copies of them in each other had it at 17 million signs."""
     for name in ("registry_statistics", "collection_assignment"):
         assert len(registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()) < 300_000
+
+
+def test_letters_to_be_folded_are_looked_for_behind_a_range(spark):
+    """Of texts with other letters than ASCII, each place was tried with all sixteen letters, and texts took four times as long to become words."""
+    assert re.match(r".\|\[.-.&&\[", X.FOLDED)
+    letters = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(i, f"a{c}B") for i, c in enumerate(letters)], "i int, t string")
+    found = {r.i for r in rows.where(F.col("t").rlike(X.FOLDED)).collect()}
+    assert found == {i for i, c in enumerate(letters) if c in V.FOLDS}
+    both = rows.select(X.folded(F.col("t")).alias("new"), F.expr(X.folded_sql("t")).alias("sql"))
+    assert both.where("new <> sql").isEmpty()

@@ -79,3 +79,24 @@ def test_queries(spark, sf_dir):
     fused = P.hybrid_text_vectors(spark, sf_dir)
     assert fused.where("rank > 5").count() == 0
     assert set(P.text_vector_recall(spark, sf_dir).columns) == {"query", "recall_1", "recall_5", "recall_20", "reciprocal_rank", "precision_20"}
+
+
+def test_texts_are_counted_once_and_products_are_those_of_plain_rows(spark, monkeypatch):
+    """Each round of the fit, idf and the vectors took the words of all texts apart again, and went through a text at a time."""
+    lists = texts(n=40)
+    docs = spark.createDataFrame(list(enumerate(lists)), "id long, words array<string>").repartition(3)
+    held = V.counts(docs, "id", "words", COLUMNS)
+    got = {r.id: dict(zip(np.frombuffer(r.at, np.int32).tolist(), np.frombuffer(r.tf, np.int32).tolist())) for r in held.collect()}
+    assert got == {i: dict(Counter(zlib.crc32(w.encode()) % COLUMNS for w in ws or [])) for i, ws in enumerate(lists)}
+    idf = np.random.default_rng(1).uniform(1, 8, COLUMNS)  # columns on both sides of COMMON
+    a, q = matrix(lists, idf), np.random.default_rng(2).standard_normal((COLUMNS, 4))
+    monkeypatch.setattr(V, "DENSE_ROWS", 7)
+    rows, products = held.orderBy("id").toArrow().combine_chunks().to_batches()[0], V._Products(idf, q)
+    assert 0 < len(products.common) < COLUMNS
+    total, dense, outs = np.zeros_like(q), np.zeros_like(products.dense), []
+    for part, row, column, tf in V._runs([rows.slice(0, 5), rows.slice(5)], 60):
+        for _, some, others, out in products.of(part.num_rows, row, column, tf):
+            products.add(total, dense, some, others, out)
+            outs.append(out)
+    total[products.common] += dense
+    assert np.allclose(np.concatenate(outs), a @ q) and np.allclose(total, a.T @ (a @ q))
