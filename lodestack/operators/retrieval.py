@@ -19,6 +19,8 @@ from lodestack.shared import new_path, sign_of_files, small, written
 QUERY_BLOCK, BROADCAST_BYTES = 4096, 64_000_000
 #: Scores of a matrix of queries and documents, and words that are counted at once, so that a task's memory is the same however many rows there are.
 SCORES, WORDS = 1_000_000, 500_000
+#: Words of queries that meet all texts in one pass, and cells of a matrix of words and queries.
+OVERLAP_ROWS, OVERLAP_CELLS = 200_000, 4_000_000
 #: Tables of at most so many rows are broadcast; the count is checked.
 BROADCAST_ROWS = 300_000
 #: Components of hashed vectors: the first byte of a word's MD5.
@@ -266,6 +268,102 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
     return ranked(found, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
+def overlap_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str, words: str, k: int) -> DataFrame:
+    """(query, doc, score, rank): Jaccard similarity of the sets of words, rounded half up to 6 places, of all queries with all texts; only pairs that share a word
+    are scored. Ties go to the smaller doc. Keys are whole numbers; rows without a key are left out, equal keys of queries are one query.
+
+    Queries are sent to all tasks, OVERLAP_ROWS words at a time, as matrices of words and queries. A task counts common words by matrix products and
+    hands on its own k best of each query, so pairs are never rows.
+    """
+    asked = queries.where(F.col(query_key).isNotNull()).select(F.col(query_key).cast("long").alias("query"), F.explode(words).alias("term")).distinct()
+    asked = written(asked, "overlap-asked")
+    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), words)
+    passes = max(1, -(-asked.count() // OVERLAP_ROWS))
+    every = None
+    for i in range(passes):
+        found = _overlaps(held, asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == i), k)
+        every = found if every is None else every.unionByName(found)
+    return ranked(every, ["query"], [F.desc("score"), F.col("doc")], k)
+
+
+def _overlaps(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    by_query: dict[int, list[str]] = {}
+    for query, term in asked.collect():  # about OVERLAP_ROWS
+        by_query.setdefault(query, []).append(term)
+    parts, ids, known = [], [], set()
+    for query in sorted(by_query):
+        if ids and (len(ids) + 1) * len(known.union(by_query[query])) > OVERLAP_CELLS:
+            parts, ids, known = [*parts, ids], [], set()
+        ids.append(query)
+        known.update(by_query[query])
+    parts.append(ids)
+    sent = held.sparkSession.sparkContext.broadcast([[(query, by_query[query]) for query in ids] for ids in parts if ids])
+
+    def run(batches):
+        asked, best = [_asked_matrix(part) for part in sent.value], _Best(k)
+        for batch in by_words(batches, WORDS):
+            lists, names = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = lists.flatten().dictionary_encode()
+            several = max(1, len(found.dictionary))
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * several + found.indices.to_numpy(zero_copy_only=False))
+            row, term = pairs // several, pairs % several
+            n_words = np.bincount(row, minlength=len(sizes))
+            for ids, terms, at, of in asked:
+                place = pc.fill_null(pc.index_in(found.dictionary.cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False)[term]
+                r, c = row[place >= 0], place[place >= 0]
+                matrix = np.zeros((len(terms), len(ids)), np.float32)
+                matrix[at, of] = 1
+                n_asked = np.bincount(of, minlength=len(ids))
+                step = max(1, SCORES // max(len(terms), len(ids)))
+                for first in range(0, len(sizes), step):
+                    own, n = slice(*np.searchsorted(r, [first, first + step])), min(step, len(sizes) - first)
+                    has = np.zeros((n, len(terms)), np.float32)
+                    has[r[own] - first, c[own]] = 1
+                    common = (has @ matrix).astype(np.int64)
+                    union = n_words[first : first + n, None] + n_asked - common
+                    best.add(ids, names[first : first + n], np.where(common > 0, (2_000_000 * common + union) // np.maximum(1, 2 * union), -1).T)
+        yield best.rows()
+
+    return held.mapInArrow(run, "query long, doc long, score double")
+
+
+def _asked_matrix(part: list[tuple[int, list[str]]]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Queries, their words, and which words (at) are in which query (of)."""
+    place = {t: i for i, t in enumerate(sorted({t for _, terms in part for t in terms}))}
+    at = np.array([place[t] for _, terms in part for t in terms], np.int64)
+    return np.array([query for query, _ in part], np.int64), pa.array(list(place), pa.string()), at, np.repeat(np.arange(len(part)), [len(terms) for _, terms in part])
+
+
+class _Best:
+    """The k best documents of each query of what was added; scores are whole millionths, those below 0 do not count."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, ids: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        keep = scores >= 0
+        if scores.shape[1] > self.k:
+            keep &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+        query, doc = np.nonzero(keep)
+        self.parts.append((ids[query], names[doc], scores[query, doc]))
+        self.held += len(query)
+        if self.held > SCORES:
+            self.parts = [self._first()]
+            self.held = len(self.parts[0][0])
+
+    def _first(self) -> tuple[np.ndarray, ...]:
+        query, doc, score = (np.concatenate([p[i] for p in self.parts] or [np.zeros(0, np.int64)]) for i in range(3))
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        return query[kept], doc[kept], score[kept]
+
+    def rows(self) -> pa.RecordBatch:
+        query, doc, score = self._first()
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(doc, pa.int64()), pa.array(score / 1e6, pa.float64())], names=["query", "doc", "score"])
+
+
 def sharing_windows(docs: DataFrame, items: DataFrame, key: str, item_key: str, words: str, width: int = 10) -> DataFrame:
     """(query, doc): documents in which any run of width words of an item stands. Items with fewer words have none.
 

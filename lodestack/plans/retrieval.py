@@ -211,12 +211,7 @@ overlap AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER
 
 def overlap(spark, sf_dir, k):
     """Jaccard similarity of the sets of words; only documents that share one with a query are scored."""
-    words = corpus(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.array_distinct("words").alias("words"))
-    q = asked(spark, sf_dir).select(F.col("item_id").alias("query"), F.explode(F.array_distinct("words")).alias("term"))
-    d = words.select("doc", F.size("words").alias("dn"), F.explode("words").alias("term"))
-    both = d.join(q, "term").groupBy("query", "doc", "dn").agg(F.count("*").alias("n")).join(q.groupBy("query").agg(F.count("*").alias("qn")), "query")
-    scored = both.select("query", "doc", F.round(F.col("n") / (F.col("dn") + F.col("qn") - F.col("n")), 6).alias("score"))
-    return R.ranked(scored, ["query"], [F.desc("score"), F.col("doc")], k)
+    return R.overlap_top_k(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", "item_id", "words", k)
 
 
 def fused_whole(spark, sf_dir, k):

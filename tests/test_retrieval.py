@@ -114,3 +114,28 @@ def test_shards_are_bounded_by_words_too(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [f"w{i % 7}"] * 30) for i in range(40)], "id long, words array<string>").coalesce(1)
     lengths = [sum(r.dl) for r in B.block_index(docs, "id", "words").where("term = ''").collect()]
     assert sum(lengths) == 1200 and max(lengths) < 130
+
+
+def test_overlap_is_that_of_plain_sets_and_pairs_are_never_rows(spark, monkeypatch):
+    """Every pair of a text and a query with a common word was a row of a shuffle, nearly all pairs."""
+    import random
+
+    from lodestack.operators import retrieval as R
+
+    rng, vocabulary = random.Random(5), [f"w{i}" for i in range(90)]
+    lists = [[rng.choice(vocabulary[: rng.choice([4, 90])]) for _ in range(rng.randrange(0, 40))] for _ in range(150)] + [None, [], vocabulary[:64], ["only"], [f"x{i}" for i in range(127)] + ["w0"]]
+    asks = [rng.sample(vocabulary, rng.randrange(1, 12)) for _ in range(20)] + [[], None, ["w0"], ["nowhere"]]
+    docs = spark.createDataFrame([*enumerate(lists), (None, ["w0"])], "d long, words array<string>").repartition(4)
+    queries = spark.createDataFrame([*enumerate(asks), (None, ["w0"])], "q int, words array<string>")
+    want = []
+    for q, a in enumerate(asks):
+        own = []
+        for d, ws in enumerate(lists):
+            n, u = len(set(a or []) & set(ws or [])), len(set(a or []) | set(ws or []))
+            own += [(-((2_000_000 * n + u) // (2 * u)) / 1e6, d)] if n else []
+        want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(sorted(own)[:7])]
+    for rows, cells, scores in ((200_000, 4_000_000, 1_000_000), (30, 60, 50)):  # whole, and in several passes, matrices and steps
+        monkeypatch.setattr(R, "OVERLAP_ROWS", rows), monkeypatch.setattr(R, "OVERLAP_CELLS", cells), monkeypatch.setattr(R, "SCORES", scores)
+        got = R.overlap_top_k(docs, queries, "d", "q", "words", 7)
+        assert sorted((r.query, r.doc, r.score, r.rank) for r in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
