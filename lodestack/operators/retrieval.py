@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -152,17 +152,28 @@ def _component(word: str) -> int:
     return hashlib.md5(word.encode()).digest()[0]
 
 
-def hashed_vectors(docs: DataFrame, key: str, words: str) -> DataFrame:
-    """(key, vector): how many words of a document fall on each of 256 components, which is the vector of texts where no model is at hand."""
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, words) as batches (key, vector)."""
+    for batch in batches:
+        out, first = np.zeros((batch.num_rows, HASHED)), 0
+        for some in by_words([batch], WORDS):
+            lists = some.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = lists.flatten().dictionary_encode()
+            component = np.array([_component(w) for w in found.dictionary.to_pylist()], np.int64)
+            own = np.repeat(np.arange(some.num_rows), sizes) * HASHED
+            if len(own):
+                own += component[found.indices.to_numpy(zero_copy_only=False)]
+            out[first : first + some.num_rows] = np.bincount(own, minlength=some.num_rows * HASHED).reshape(-1, HASHED)
+            first += some.num_rows
+        ends = pa.array(np.arange(batch.num_rows + 1) * HASHED, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["key", "vector"])
 
-    def run(batches):
-        for batch in by_words(batches, WORDS):
-            found = [np.bincount([_component(w) for w in ws.as_py() or ()], minlength=HASHED) for ws in batch.column(1)]
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * HASHED, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["key", "vector"])
 
+def hashed_vectors(docs: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, vector): how many words of a document fall on each of 256 components, which is the vector of texts where no model is at hand."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, words).mapInArrow(run, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
+    return docs.select(key, words).mapInArrow(hashed, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
 
 
 def _packed(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -217,12 +228,13 @@ def _best(queries, docs, k: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[part][row]), pa.array(names[doc]), pa.array(scores[row, doc])], names=["query", "doc", "score"])
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, source: str = "", made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """(query, doc, score, rank): exact cosine, rounded to 6 places, of a stated set of queries with all vectors.
 
     Queries are packed in blocks. If all of them are small they are sent to every task; else each pack of vectors meets each block by a join on the block's
     number. A task scores by matrix products and hands on its own k best per query. Vectors of another length than the query,
-    nulls and zero vectors are left out.
+    nulls and zero vectors are left out. With made, batches (key, source) of vectors are made into batches (key, vector) by the worker that scores them,
+    so that a task has one Python worker, not two.
     """
     spark = vectors.sparkSession
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -230,14 +242,15 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
 
-
     def blocked(key, rows):
         found = list(_packed(rows.select(["id", "v"]).combine_chunks().to_batches()[0]))
         return pa.table({"dim": pa.array([dim for dim, _, _ in found], pa.int32()), "ids": pa.array([ids.tobytes() for _, ids, _ in found], pa.binary()), "vectors": pa.array([v.tobytes() for _, _, v in found], pa.binary()), "block": pa.array([key[0].as_py()] * len(found), pa.int32())})
 
     packs = asked.withColumn("block", block).groupBy("block").applyInArrow(blocked, "dim int, ids binary, vectors binary, block int")
     packs = written(packs, "cosine-blocks")
-    held = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    own = source if made else vector
+    held = vectors.where(F.col(own).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(own).alias("v"))
+    made = made or iter
     size = packs.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
     out = "query long, doc long, score double"
     if size <= BROADCAST_BYTES:
@@ -247,7 +260,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
         sent = spark.sparkContext.broadcast(by_dim)
 
         def run(batches):
-            for rows in batches:
+            for rows in made(batches):
                 for dim, ids, vectors in _packed(rows):
                     for own in sent.value.get(dim, ()):
                         yield from _best(own, (ids, vectors), k)
@@ -262,7 +275,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: st
                     pair = lambda ids, v, r=r: (np.frombuffer(r[ids].as_buffer(), np.int64), np.frombuffer(r[v].as_buffer(), float).reshape(-1, r["dim"].as_py()))
                     yield from _best(pair("q_ids", "q_vectors"), pair("ids", "vectors"), k)
 
-        docs = held.mapInArrow(_pack, "dim int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        docs = held.mapInArrow(lambda batches: _pack(made(batches)), "dim int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = docs.join(packs.select("dim", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dim", "block"])
         found = pairs.mapInArrow(score, out)
     return ranked(found, ["query"], [F.desc("score"), F.col("doc")], k)

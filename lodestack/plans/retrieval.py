@@ -53,8 +53,8 @@ def dense(spark, sf_dir, k):
 
 
 def near(spark, sf_dir, k):
-    d, q = R.hashed_vectors(corpus(spark, sf_dir), "doc_id", "words"), R.hashed_vectors(asked(spark, sf_dir), "item_id", "words")
-    return R.cosine_top_k(d, q, "doc_id", "item_id", "vector", k)
+    q = R.hashed_vectors(asked(spark, sf_dir), "item_id", "words")
+    return R.cosine_top_k(corpus(spark, sf_dir), q, "doc_id", "item_id", "vector", k, "words", R.hashed)
 
 
 @query("postings_statistics", BM25_SQL + "SELECT term, df FROM df WHERE df >= 2")

@@ -139,3 +139,19 @@ def test_overlap_is_that_of_plain_sets_and_pairs_are_never_rows(spark, monkeypat
         got = R.overlap_top_k(docs, queries, "d", "q", "words", 7)
         assert sorted((r.query, r.doc, r.score, r.rank) for r in got.collect()) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_vectors_are_made_by_the_worker_that_scores_them(spark, sf_dir, monkeypatch):
+    """A task had two Python workers, one that made the vectors and one that scored them."""
+    from lodestack.operators import retrieval as R
+    from lodestack.plans import retrieval as P
+
+    d, q = P.corpus(spark, sf_dir), R.hashed_vectors(P.asked(spark, sf_dir), "item_id", "words")
+    d = d.unionByName(spark.createDataFrame([(-1, None), (-2, [])], "doc_id long, words array<string>"))
+    apart = sorted(map(tuple, R.cosine_top_k(R.hashed_vectors(d, "doc_id", "words"), q, "doc_id", "item_id", "vector", 5).collect()))
+    for most in (R.BROADCAST_BYTES, 0):  # sent to all tasks, and joined
+        monkeypatch.setattr(R, "BROADCAST_BYTES", most)
+        together = R.cosine_top_k(d, q, "doc_id", "item_id", "vector", 5, "words", R.hashed)
+        assert sorted(map(tuple, together.collect())) == apart
+    monkeypatch.undo()
+    assert P.near(spark, sf_dir, 5)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
