@@ -380,15 +380,49 @@ class _Best:
 def sharing_windows(docs: DataFrame, items: DataFrame, key: str, item_key: str, words: str, width: int = 10) -> DataFrame:
     """(query, doc): documents in which any run of width words of an item stands. Items with fewer words have none.
 
-    Hashes of runs meet first, and then the words themselves are compared.
+    Where the items' runs are few, a task hashes a text's runs by the numbers of their words and hands on only runs whose hash an item has; then the words themselves are compared.
     """
     last = F.size(words) - width
     runs = lambda: F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, width), " "))).otherwise(F.array().cast("array<string>"))
     asked = written(items.select(F.col(item_key).alias("query"), F.explode(F.array_distinct(runs())).alias("run")), "windows-asked")
-    held = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(runs())).alias("run"))
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        held = _runs_with_hash(docs.select(F.col(key).alias("doc"), words), [r[0] for r in items.where(last >= 0).select(words).collect()], width)
+    else:
+        held = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(runs())).alias("run"))
     return held.join(small(asked, BROADCAST_ROWS), "run").select("query", "doc").distinct()
 
 
+def _run_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width numbers."""
+    n = max(0, len(numbers) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[i : i + n]
+    return out
+
+
+def _runs_with_hash(held: DataFrame, lists: list[list[str]], width: int) -> DataFrame:
+    """(doc, run): runs of the texts of held (doc, words) whose hash a run of lists has; words that stand in no list have the number 0."""
+    place = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws if w is not None}), 1)}
+    own = [_run_hashes(np.array([place.get(w, 0) for w in ws], np.uint64), width) for ws in lists]
+    sent = held.sparkSession.sparkContext.broadcast((list(place), np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))))
+
+    def run(batches):
+        known, hashes = pa.array(sent.value[0], pa.string()), sent.value[1]
+        for batch in by_words(batches, WORDS):
+            lists = batch.column(1).cast(pa.list_(pa.string()))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            numbers = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            found = _run_hashes(numbers.astype(np.uint64), width)
+            ends, row = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(np.isin(found, hashes) & (np.arange(len(found)) + width <= ends[row[: len(found)]]))
+            texts = [" ".join(w for w in flat.slice(i, width).to_pylist() if w is not None) for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at], pa.int64())), pa.array(texts, pa.string())], names=["doc", "run"])
+
+    return held.mapInArrow(run, f"doc {held.schema['doc'].dataType.simpleString()}, run string")
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.5, sparse_weight: float = 0.5, damp: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion of two ranked lists (query, doc, rank): score, both ranks, and rank.
 

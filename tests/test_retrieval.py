@@ -155,3 +155,23 @@ def test_hashed_vectors_are_made_by_the_worker_that_scores_them(spark, sf_dir, m
         assert sorted(map(tuple, together.collect())) == apart
     monkeypatch.undo()
     assert P.near(spark, sf_dir, 5)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_shared_windows_are_those_of_plain_runs_and_only_they_are_rows(spark, monkeypatch):
+    """All runs of all texts were made as strings and joined."""
+    import random
+
+    from lodestack.operators import retrieval as R
+
+    rng = random.Random(8)
+    asks = [[rng.choice("abcd") for _ in range(rng.randrange(0, 9))] for _ in range(12)] + [None, []]
+    lists = [[rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))] for _ in range(60)] + [asks[0] + ["z"] + asks[1], None, [], ["a"]]
+    runs = lambda ws: {tuple(ws[i : i + 4]) for i in range(len(ws or []) - 3)}
+    want = {(q, d) for q, a in enumerate(asks) for d, ws in enumerate(lists) if runs(a) & runs(ws)}
+    docs = spark.createDataFrame(list(enumerate(lists)), "d long, words array<string>").repartition(3)
+    items = spark.createDataFrame(list(enumerate(asks)), "q long, words array<string>")
+    for most in (R.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(R, "BROADCAST_ROWS", most)
+        assert {tuple(r) for r in R.sharing_windows(docs, items, "d", "q", "words", 4).collect()} == want and want
+    got = R._runs_with_hash(docs.selectExpr("d AS doc", "words"), [a for a in asks if a], 4).collect()
+    assert {tuple(r.run.split()) for r in got} <= set().union(*map(runs, asks))
