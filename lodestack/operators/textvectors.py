@@ -2,8 +2,8 @@
 
 Every word falls into one of a fixed number of columns by the CRC-32 of its bytes, so the vocabulary needs no cap. A row is a text's
 (1 + ln tf) * idf by column, brought to length 1; texts are counted by column once, and all passes read the counts.
-The right singular vectors are found by subspace iteration from a random start of fixed seed: each round is one pass in which tasks sum a (a' Q) over their rows a, and hand on their sums in blocks of columns; the blocks are added up by
-block. What the driver gets of a round is of one size whatever the input, columns * (dims + EXTRA) numbers. A text's vector is its row times those vectors.
+The right singular vectors are found by subspace iteration from a random start of fixed seed: each round is one pass in which tasks, two for each core, sum a (a' Q) over their rows a, and hand on their sums in blocks of columns; the
+blocks are added up by block. So what a round shuffles is of one size, too. What the driver gets of a round is of one size whatever the input, columns * (dims + EXTRA) numbers. A text's vector is its row times those vectors.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ COLUMNS, DIMS, EXTRA, ROUNDS, SEED = 16_384, 256, 16, 3, 7
 BLOCK = 1024
 #: Columns that at least one of so many texts has are a dense matrix in products, of so many rows at once.
 COMMON, DENSE_ROWS = 32, 500
-#: The basis is fitted to at most about so many texts, chosen by the hash of their key; idf and vectors take all.
-FIT_TEXTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -122,8 +120,8 @@ class _Products:
             total[column] += w[i:j] @ out[r[i:j]]
 
 
-def _idf(held: DataFrame, columns: int) -> tuple[np.ndarray, int]:
-    """idf by column, and the number of texts."""
+def _idf(held: DataFrame, columns: int) -> np.ndarray:
+    """idf by column."""
 
     def run(batches):
         df, n = np.zeros(columns, np.int64), 0
@@ -136,12 +134,13 @@ def _idf(held: DataFrame, columns: int) -> tuple[np.ndarray, int]:
     found = dict(held.select("at", "tf").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect())  # a row a column
     n, df = found.pop(-1, 0), np.zeros(columns)
     df[list(found)] = list(found.values())
-    return np.log((1 + n) / (1 + df)) + (1.0 if n else 0.0), n
+    return np.log((1 + n) / (1 + df)) + (1.0 if n else 0.0)
 
 
 def _pass(held: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The sum of a (a' q) over all rows a."""
-    sent = held.sparkSession.sparkContext.broadcast((idf, q))
+    context = held.sparkSession.sparkContext
+    sent = context.broadcast((idf, q))
 
     def run(batches):
         products = _Products(*sent.value)
@@ -162,7 +161,7 @@ def _pass(held: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
         return pa.table({"block": table["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros_like(q)
-    for r in held.select("at", "tf").mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # columns / BLOCK rows
+    for r in held.select("at", "tf").coalesce(2 * context.defaultParallelism).mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # columns / BLOCK rows
         own = out[r.block * BLOCK : (r.block + 1) * BLOCK]
         own += np.frombuffer(r.sums).reshape(own.shape)
     return out
@@ -173,18 +172,17 @@ def fit(docs: DataFrame, key: str, words: str, dims: int = DIMS, columns: int =
     columns are filled with zero vectors."""
     if not 0 < dims <= columns:
         raise ValueError("dims must be from 1 to the number of columns")
-    return fit_counts(written(counts(docs, key, words, columns), "vectors-counts"), key, dims, columns, rounds, seed)
+    return fit_counts(written(counts(docs, key, words, columns), "vectors-counts"), dims, columns, rounds, seed)
 
 
-def fit_counts(held: DataFrame, key: str, dims: int = DIMS, columns: int = COLUMNS, rounds: int = ROUNDS, seed: int = SEED) -> Basis:
-    """fit() for a table of counts(), which is read for each round."""
-    idf, n = _idf(held, columns)
-    some = held if n <= FIT_TEXTS else held.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * FIT_TEXTS / n))
+def fit_counts(held: DataFrame, dims: int = DIMS, columns: int = COLUMNS, rounds: int = ROUNDS, seed: int = SEED) -> Basis:
+    """fit() for a table of counts(), which is read whole for each round."""
+    idf = _idf(held, columns)
     width = min(columns, dims + EXTRA)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, width)))[0]
     for _ in range(rounds):
-        q = np.linalg.qr(_pass(some, idf, q))[0]
-    values, turn = np.linalg.eigh(q.T @ _pass(some, idf, q))
+        q = np.linalg.qr(_pass(held, idf, q))[0]
+    values, turn = np.linalg.eigh(q.T @ _pass(held, idf, q))
     order = np.argsort(-values)[:dims]
     values = np.sqrt(np.maximum(values[order], 0))
     vectors = q @ turn[:, order]

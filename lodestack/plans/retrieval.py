@@ -236,7 +236,7 @@ def trace_lost_documents_all_words(spark, sf_dir):
 def text_near(spark, sf_dir, k):
     """By the cosine of text vectors that are learnt from the documents."""
     held, q = written(V.counts(corpus(spark, sf_dir), "doc_id", "words"), "text-counts"), asked(spark, sf_dir)
-    basis = V.fit_counts(held, "doc_id")
+    basis = V.fit_counts(held)
     return R.cosine_top_k(V.vectors_of_counts(held, "doc_id", basis), V.text_vectors(q, "item_id", "words", basis), "doc_id", "item_id", "vector", k)
 
 

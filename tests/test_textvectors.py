@@ -100,3 +100,11 @@ def test_texts_are_counted_once_and_products_are_those_of_plain_rows(spark, monk
             outs.append(out)
     total[products.common] += dense
     assert np.allclose(np.concatenate(outs), a @ q) and np.allclose(total, a.T @ (a @ q))
+
+
+def test_the_basis_is_fitted_to_all_texts_however_many(spark, monkeypatch):
+    """Beyond FIT_TEXTS texts the basis was fitted to a share of them, by the hash of their keys."""
+    monkeypatch.setattr(V, "FIT_TEXTS", 30, raising=False)
+    lists = texts()
+    basis = V.fit(spark.createDataFrame(list(enumerate(lists)), "id long, words array<string>"), "id", "words", dims=6, columns=COLUMNS, rounds=8)
+    assert np.allclose(basis.values, np.linalg.svd(matrix(lists, basis.idf), compute_uv=False)[:6], atol=1e-6)
