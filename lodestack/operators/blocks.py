@@ -208,6 +208,79 @@ def _pass(index: DataFrame, weights: DataFrame, k: int, mean: float, k1: float,
     return own.groupBy("shard").applyInArrow(search, "shard long, query long, blocks long, scored long" if counted else "query long, doc long, score double")
 
 
+#: Bytes of bits of queries' documents that are worked on at once.
+HOLD_BYTES = 4_000_000
+
+
+def holders(index: DataFrame, queries: DataFrame, query_key: str, words: str) -> DataFrame:
+    """(query, found, n): how many documents have all words of each query, and whether the one with the query's own key does. Keys of queries are unique whole numbers.
+
+    Documents that have a word are bits in their shard, a query's are those of all its words; what is handed on are a shard's numbers, so that pairs of query and
+    document are never rows. Queries are sent to all tasks, ASKED_ROWS words at a time.
+    """
+    asked = queries.select(F.col(query_key).cast("long").alias("query"), F.array_sort(F.array_distinct(words)).alias("terms")).where(F.size("terms") > 0)
+    asked = written(asked, "holders-asked")
+    passes = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // ASKED_ROWS))
+    parts = [_held(index, asked.where(F.pmod(F.xxhash64("terms"), F.lit(passes)) == i)) for i in range(passes)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    found = every.groupBy("query").agg(F.max("found").alias("found"), F.sum("n").alias("n"))
+    return asked.select("query").join(found, "query", "left").select("query", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _held(index: DataFrame, asked: DataFrame) -> DataFrame:
+    by_terms: dict[tuple[str, ...], list[int]] = {}
+    for query, terms in asked.collect():  # about ASKED_ROWS words
+        by_terms.setdefault(tuple(terms), []).append(query)
+    sets = sorted(by_terms, key=len)  # those of as many words are worked on together
+    names = sorted({t for terms in sets for t in terms})
+    place = {t: i for i, t in enumerate(names)}
+    numbers = [np.array([place[t] for t in terms], np.int32) for terms in sets]
+    ids = np.array([q for terms in sets for q in by_terms[terms]], np.int64)
+    of = np.repeat(np.arange(len(sets)), [len(by_terms[terms]) for terms in sets])
+    sent = index.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), numbers, ids, of))
+    wanted = small(written(asked.select(F.explode("terms").alias("term")).distinct(), "holders-terms"), BROADCAST_ROWS)
+    own = index.where("term <> ''").join(wanted, "term", "left_semi").unionByName(index.where("term = ''")).select("shard", "term", "docs", "keys")
+
+    def search(table):
+        names, numbers, ids, of = sent.value
+        head = table.filter(pc.equal(table["term"], ""))
+        body = table.filter(pc.not_equal(table["term"], ""))
+        keys = np.concatenate([k.values.to_numpy() for k in head["keys"]])
+        lists = body["docs"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        doc = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        width = -(-len(keys) // 8)
+        bits = np.zeros((len(lists) + 1, width), np.uint8)  # the last row is for words that no document has
+        np.bitwise_or.at(bits, (row, doc >> 3), (1 << (doc & 7)).astype(np.uint8))
+        at = pc.fill_null(pc.index_in(names, value_set=body["term"].combine_chunks()), len(lists)).to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        near = np.minimum(np.searchsorted(keys[order], ids), len(keys) - 1)
+        here = keys[order][near] == ids
+        n, found = np.zeros(len(numbers), np.int64), np.zeros(len(ids), bool)
+        step, first = max(1, HOLD_BYTES // width), 0
+        while first < len(numbers):
+            several = len(numbers[first])
+            last = first
+            while last < min(len(numbers), first + step) and len(numbers[last]) == several:
+                last += 1
+            which = at[np.stack(numbers[first:last])]
+            both = bits[which[:, 0]]
+            for k in range(1, several):
+                both &= bits[which[:, k]]
+            n[first:last] = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+            mine = np.flatnonzero((of >= first) & (of < last) & here)
+            spot = order[near[mine]]
+            found[mine] = (both[of[mine] - first, spot >> 3] >> (spot & 7)) & 1 > 0
+            first = last
+        some = np.flatnonzero(n[of] > 0)
+        return pa.table([pa.array(ids[some], pa.int64()), pa.array(found[some]), pa.array(n[of][some], pa.int64())], names=["query", "found", "n"])
+
+    return own.groupBy("shard").applyInArrow(search, "query long, found boolean, n long")
+
+
 def overfetched(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, query_key: str, allowed: DataFrame, k: int, more: int = 4) -> DataFrame:
     """(query, doc, score, rank, place): the k best of the documents in allowed (doc), with their rank among all. search(queries, k) gives (query, doc, score, rank).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import fixed as V
 from lodestack.functions import text as X
 from lodestack.functions.bindings import DOCS_SQL, MESSAGES_SQL, documents, messages
+from lodestack.operators import blocks as B
 from lodestack.operators import chunks as C
 from lodestack.operators import ingestion as I
 from lodestack.operators import passages as A
@@ -451,12 +452,5 @@ def metadata_bonus(spark, sf_dir):
 SELECT p.query, coalesce(max(n) FILTER (doc = p.query), 0) = len(any_value(p.p)) AS found, count(*) FILTER (n = len(p.p)) AS n_equal FROM probe p LEFT JOIN h ON h.query = p.query GROUP BY 1""")
 def self_retrieval(spark, sf_dir):
     """Whether the first eight words of a document find it in the index, for every fiftieth, and how many documents have them all."""
-    index = S.index(spark, sf_dir).where("term <> ''")
-    probe = S.corpus(spark, sf_dir).where((F.col("doc_id") % 50 == 0) & (F.size("words") > 0)).select(F.col("doc_id").alias("query"), F.array_distinct(F.slice("words", 1, 8)).alias("p"))
-    # Who has all words has the rarest one; only these documents, and the query's own, are held against the other words.
-    asked = written(probe.select("query", F.size("p").alias("of"), F.explode("p").alias("term")), "probe-words")
-    held = index.select("doc", "term").join(R.small(asked.select("term").distinct(), R.BROADCAST_ROWS), "term", "left_semi")
-    rarest = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = rarest.join(held, "term").select("query", "doc").union(asked.select("query", F.col("query").alias("doc"))).distinct()
-    h = pairs.join(asked, "query").join(held, ["doc", "term"]).groupBy("query", "of", "doc").agg(F.count("*").alias("n"))
-    return h.groupBy("query").agg((F.max(F.when(F.col("doc") == F.col("query"), F.col("n"))) == F.first("of")).alias("found"), F.count_if(F.col("n") == F.col("of")).alias("n_equal"))
+    probe = S.corpus(spark, sf_dir).where((F.col("doc_id") % 50 == 0) & (F.size("words") > 0)).select("doc_id", F.slice("words", 1, 8).alias("p"))
+    return B.holders(S.blocks(spark, sf_dir), probe, "doc_id", "p").withColumnRenamed("n", "n_equal")
