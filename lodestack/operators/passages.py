@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.fixed import BOUNDARY, BULLET, LIST_DEPTH, ORDERED
+from lodestack.operators.retrieval import WORDS, by_words
 from lodestack.shared import written
 
 
@@ -121,16 +122,19 @@ STACKED_SUMS = ("n", "digit", "long", "prose", "narrative", "marked", "like")
 STACKED_FOUND = "start int, end int, columns int, data int, likeness double, mean double, numbers double, long double, prose double, narrative double, marked double, aligned double, even double, uneven double, oversized double"
 
 
-def _stretches(at: np.ndarray, head: np.ndarray, stop: np.ndarray, x: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """The columns of STACKED_FOUND for all stretches of a run of lines that begin with c headings and have whole rows of c lines up to their end, for each c.
+def _stretches(ends: np.ndarray, head: np.ndarray, stop: np.ndarray, x: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """For all stretches of runs of lines (ends: where each run ends) that begin with c headings and have whole rows of c lines up to their end, for each c: the place of
+    their first line, and the columns of STACKED_FOUND with places in lines' stead.
 
-    Every sum over a stretch, over one of its columns or over its rows is the difference of two running sums, those over columns and rows by steps of c lines.
+    Every sum over a stretch, over one of its columns or over its rows is the difference of two running sums, those over columns and rows by steps of c lines; so all
+    runs are worked on at once. Sums are of whole numbers, like in tenths, and do not depend on the lines before.
     """
-    lines = len(at)
+    lines = len(head)
     place = np.arange(lines + 1)
     first = lambda flag: np.minimum.accumulate(np.append(np.where(flag, place[:-1], lines), lines)[::-1])[::-1]
-    stop_at, no_head_at = first(stop), first(~head)
-    upto = {name: np.concatenate([[0], np.cumsum(x[name])]) for name in STACKED_SUMS}
+    stop_at, no_head_at, over = first(stop), first(~head), np.repeat(ends, np.diff(ends, prepend=0))
+    whole = {name: np.rint(10 * x[name]).astype(np.int64) if name == "like" else x[name].astype(np.int64) for name in STACKED_SUMS}
+    upto = {name: np.concatenate([[0], np.cumsum(y)]) for name, y in whole.items()}
     words = np.concatenate([[0], np.cumsum(x["words"])])
 
     def by_steps(y: np.ndarray, c: int) -> np.ndarray:
@@ -140,10 +144,11 @@ def _stretches(at: np.ndarray, head: np.ndarray, stop: np.ndarray, x: dict[str,
         return np.cumsum(full.reshape(-1, c), axis=0).reshape(-1)[: c + len(y)]
 
     step = lambda v, a, b: np.where(v <= a, 1.0, np.where(v <= b, 0.6, 0.2))
-    for c in range(STACKED_COLUMNS[0], min(STACKED_COLUMNS[1], lines // (1 + STACKED_LEAST)) + 1):
+    for c in range(STACKED_COLUMNS[0], min(STACKED_COLUMNS[1], int(np.diff(ends, prepend=0).max(initial=0)) // (1 + STACKED_LEAST)) + 1):
         p = place[: lines - c]
-        data = np.minimum(stop_at[p + c] - p - c, c * STACKED_ROWS)
-        p = p[fit := (no_head_at[p] - p >= c) & (data >= c * STACKED_LEAST) & (data % c == 0)]
+        p = p[(p + c < over[p]) & (np.minimum(no_head_at[p], over[p]) - p >= c)]
+        data = np.minimum(np.minimum(stop_at[p + c], over[p]) - p - c, c * STACKED_ROWS)
+        p = p[fit := (data >= c * STACKED_LEAST) & (data % c == 0)]
         if not len(p):
             continue
         data = data[fit]
@@ -151,14 +156,14 @@ def _stretches(at: np.ndarray, head: np.ndarray, stop: np.ndarray, x: dict[str,
         spread = lambda y, yy, k=k: np.sqrt(np.maximum((k * yy - y * y).astype(float), 0.0)) / y
         of = lambda sums, a, b, c=c: sums[b] - sums[a]
         between = lambda y, a, b, c=c: (s := by_steps(y, c))[b] - s[a]
-        n, nn = by_steps(x["n"], c), by_steps(x["n"] * x["n"], c)
+        n, nn = by_steps(whole["n"], c), by_steps(whole["n"] * whole["n"], c)
         column = lambda sums, j, q=q, end=end: sums[end + j] - sums[q + j]
         aligned = sum((step(spread(column(n, j), column(nn, j)), 0.35, 0.7) for j in range(c)), 0.0) / c
         row_words, row_width = words[c:] - words[:-c], upto["n"][c:] - upto["n"][:-c]
         every = lambda name, a=p, end=end, data=data, c=c: of(upto[name], a, end) / (data + c)
         yield [
-            at[p], at[end - 1], np.full(len(p), c), data,
-            of(upto["like"], p, q) / c, every("n"), of(upto["digit"], q, end) / data, *[every(name) for name in ("long", "prose", "narrative", "marked")],
+            p, p, end - 1, np.full(len(p), c), data,
+            of(upto["like"], p, q) / 10 / c, every("n"), of(upto["digit"], q, end) / data, *[every(name) for name in ("long", "prose", "narrative", "marked")],
             aligned, step(spread(between(row_words, q, end), between(row_words * row_words, q, end)), 0.45, 0.9), spread(between(row_width, q, end), between(row_width * row_width, q, end)), between((row_width > 220).astype(np.int64), q, end) / k,
         ]
 
@@ -170,16 +175,15 @@ def stacked_stretches(runs: DataFrame, key: str) -> DataFrame:
     names = [key, "_run", *[c.split()[0] for c in STACKED_FOUND.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_words(batches, WORDS, 2):
             lists = batch.column(2)
             flat = lists.flatten()
             x = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-            for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-                own = {name: v[a:b] for name, v in x.items()}
-                for found in _stretches(own["at"], own["head"], own["stop"], own):
-                    which = pa.array(np.full(len(found[0]), i))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(v, kind) for v, kind in zip(found, kinds, strict=True)]], names=names)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            for p, start, end, *found in _stretches(ends, x["head"], x["stop"], x):
+                which = pa.array(np.searchsorted(ends, p, side="right"))
+                columns = [x["at"][start], x["at"][end], *found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(v, kind) for v, kind in zip(columns, kinds, strict=True)]], names=names)
 
     return runs.select(key, "_run", "u").mapInArrow(run, schema)
 
